@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import decontaminate, htmltext, language, lines, mixing, secrets, suffixes, tokens
+from quillstream.llm import decontaminate, htmltext, language, lines, mixing, neardup, secrets, suffixes, tokens
 from quillstream.llm.common import prepare, table
 
 
@@ -39,6 +39,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeat_report(table(prepare(spark), sf_dir, "documents"))
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.class_report(table(prepare(spark), sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "source", "text")
     out = lines.dedup_lines(docs)
