@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import decontaminate, htmltext, language, lines, mixing, neardup, secrets, suffixes, tokens
+from quillstream.llm import decontaminate, htmltext, language, lines, mixing, neardup, neighbours, secrets, suffixes, tokens
 from quillstream.llm.common import prepare, table
 
 
@@ -18,6 +18,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbour_report(table(prepare(spark), sf_dir, "embeddings"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_report(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
