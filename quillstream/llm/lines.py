@@ -1,6 +1,7 @@
 """Line dedup by site-relative frequency, with DataFrame functions only.
 
-A line of a host is boilerplate if more than `ratio` of the host's documents have it. Empty lines don't count."""
+A line of a host is boilerplate if more than `ratio` of the host's pages have it. Empty lines don't count, and documents
+of a host with the same text are one page, so that copies of a page don't make boilerplate of its lines."""
 
 from __future__ import annotations
 
@@ -29,9 +30,10 @@ def _key(line: Column) -> Column:
 def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """host, line (key), pages and share of every boilerplate line."""
     keys = F.array_distinct(F.transform(F.filter(F.split(F.col(text), "\n"), lambda x: _line(x) != ""), _key))
-    lines = docs.select(F.col(host).alias("host"), F.explode(keys).alias("line")).groupBy("host", "line").agg(F.count("*").alias("pages"))
+    pages = stored(docs.select(F.col(host).alias("host"), text_key(text).alias("page"), F.coalesce(keys, F.array().cast("array<bigint>")).alias("lines")).distinct(), "pages")
+    lines = pages.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("pages"))
     lines = lines.where(F.col("pages") >= least_pages)
-    totals = docs.groupBy(F.col(host).alias("h")).agg(F.count("*").alias("total"))
+    totals = pages.groupBy(F.col("host").alias("h")).agg(F.count("*").alias("total"))
     return lines.join(totals, lines.host.eqNullSafe(totals.h)).select("host", "line", "pages", (F.col("pages") / F.col("total")).alias("share")).where(F.col("share") > ratio)
 
 
@@ -39,8 +41,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", host: str = "source", ratio
     """docs with their boilerplate lines removed, and n_lines, n_dropped, both counting lines that aren't blank.
 
     Lines are compared without blanks at their ends. A null text stays null; a null host is a host of its own.
-    A text that loses nothing stays as it is, byte for byte. Repeated rows stay, and each counts as a page of its
-    host. The lines that go are few for a host (shares add up to its mean number of lines, so fewer than that mean
+    A text that loses nothing stays as it is, byte for byte. Repeated rows stay, and
+    count as one page of their host. The lines that go are few for a host (shares add up to its mean number of lines, so fewer than that mean
     over `ratio`), but hosts may be many: they are joined as one array per host, and rows of a hot host are dealt
     over partitions by the row's key beside the host, so the array is repeated for each salt of it."""
     prepare(docs.sparkSession)
@@ -64,8 +66,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", host: str = "source", ratio
 LINES_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
 l AS (SELECT r, source, i, lines[i] AS raw, trim(lines[i], ' ') AS line FROM (SELECT r, source, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
-pages AS (SELECT source, line, count(DISTINCT r) AS n FROM l WHERE line <> '' GROUP BY ALL),
-totals AS (SELECT source, count(*) AS total FROM d GROUP BY ALL),
+pages AS (SELECT source, line, count(DISTINCT text) AS n FROM l JOIN (SELECT r, text FROM d) USING (r) WHERE line <> '' GROUP BY ALL),
+totals AS (SELECT source, count(DISTINCT coalesce(text, '')) AS total FROM d GROUP BY ALL),
 bad AS (SELECT p.source, line FROM pages p JOIN totals t ON p.source IS NOT DISTINCT FROM t.source WHERE n >= 5 AND n / total > 0.02),
 marked AS (SELECT l.*, b.line IS NOT NULL AS goes FROM l LEFT JOIN bad b ON l.line = b.line AND l.source IS NOT DISTINCT FROM b.source),
 per AS (SELECT r, count(*) FILTER (line <> '') AS n_lines, count(*) FILTER (goes) AS n_dropped,
