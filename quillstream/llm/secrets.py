@@ -5,7 +5,7 @@ for a secret if its log-likelihood ratio is large, both as a whole and by charac
 
 from __future__ import annotations
 
-from functools import reduce
+from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,8 +59,6 @@ def train(samples: DataFrame) -> list[float]:
     codes = samples.where("word is not null and secret is not null").select("secret", _codes(F.col("word")).alias("c"))
     pairs = codes.select("secret", F.explode(F.arrays_zip(F.slice("c", 1, F.greatest(F.size("c") - 1, F.lit(0))).alias("a"), F.slice("c", 2, F.greatest(F.size("c") - 1, F.lit(0))).alias("b"))).alias("p"))
     counts = {(r.secret, r.a, r.b): r.n for r in pairs.groupBy("secret", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n")).collect()}
-    from math import log
-
     table = []
     for a in range(n):
         totals = [sum(counts.get((s, a, b), 0) for b in range(n)) + n for s in (True, False)]
@@ -130,8 +128,7 @@ def secret_report(docs: DataFrame, samples: DataFrame | None = None) -> DataFram
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256 and spans as text."""
     found = scan(docs.select("doc_id", "text"), samples=samples)
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["rank"] == k)).cast("long").alias(f"n_{kind}") for k, (kind, *_) in enumerate(KINDS)]
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind, *_ in KINDS]
     return found.select("doc_id", *counts, F.sha2(said(F.filter("spans", lambda s: s["rank"] < 3)), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
-
-__all__ = ["labelled_samples", "ratio", "redact", "reduce", "scan", "secret_report", "train"]
