@@ -24,6 +24,8 @@ COPIES, BOUNDARY = 3, 1.1
 APART = 0.3
 #: Neighbours of a centroid in the graph, and rows of a list or of its queries that one task compares.
 DEGREE, BLOCK = 24, 4096
+#: Rows that walk the graph at once: what a step holds is so many rows' neighbours.
+ROWS_AT_ONCE = 256
 #: Recall that the ratio is calibrated for.
 RECALL = 0.98
 
@@ -41,7 +43,12 @@ class Index:
     usual: float = 0.0  # distance of a row to its nearest centroid: a query nearer to one counts as at this distance
 
     def search(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """The `width` nearest centroids found for each row, nearest first, and their distances.
+        """The `width` nearest centroids found for each row, nearest first, and their distances, a few rows at once."""
+        parts = [self._walk(x[i : i + ROWS_AT_ONCE], width) for i in range(0, len(x), ROWS_AT_ONCE)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _walk(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """search() of a few rows.
 
         Best-first search of all rows at once: in each round every row's nearest centroids that were not yet opened
         are opened, until a round brings nothing."""
