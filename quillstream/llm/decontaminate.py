@@ -203,7 +203,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
     """text without its words of the spans and what stands between words of one span."""
-    places, kept, at = [m.span() for m in _word.finditer(text)], [], 0
+    places, kept, at = [m.span() for m in _word.finditer(text.translate(LOWER))], [], 0
     for a, b in spans:
         if places[b - 1][1] > at:
             kept.append(text[at : max(at, places[a][0])])
