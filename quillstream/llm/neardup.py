@@ -32,6 +32,7 @@ NEAR, RING = 0.62, 0.35
 #: rows of a larger group to which all of it is compared in one round.
 BUCKET_ROWS, GROUP_ROWS, GROUP_SHINGLES, PIVOTS = 2048, 4096, 4_000_000, 64
 _U = np.uint64
+_MIX = _U(0x9E3779B97F4A7C15)
 _word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
 
 
@@ -64,10 +65,12 @@ class Shingler:
         size = min(self.size, len(w))
         if not size:
             return np.zeros(0, _U), np.zeros(0, np.int64)
-        h = _stir(w[: len(w) - size + 1] + _U(size))
+        h = w[: len(w) - size + 1] + _U(size)
         for i in range(1, size):
-            h = _stir(h * _U(3) + w[i : len(w) - size + 1 + i])
-        return np.unique(h, return_counts=True)
+            h = h * _MIX + w[i : len(w) - size + 1 + i]
+        h = np.sort(_stir(h))
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        return h[first], np.diff(np.r_[first, len(h)])
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
@@ -115,11 +118,11 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], coordinates: int) -> n
         total = np.bincount(owners, weights, len(todo))
         owner, coordinate, rank, name = throw(elements, weights, (coordinates * spread / total)[owners], owners, coordinates)
         place = owner * coordinates + coordinate
-        order = np.lexsort((-rank, place))
-        rows, seen = np.zeros(len(todo) * coordinates, _U), np.zeros(len(todo) * coordinates, bool)
-        last = np.r_[place[order][1:] != place[order][:-1], True]
-        rows[place[order][last]], seen[place[order][last]] = name[order][last], True
-        whole = seen.reshape(-1, coordinates).all(axis=1)
+        rows, earliest = np.zeros(len(todo) * coordinates, _U), np.full(len(todo) * coordinates, np.inf)
+        np.minimum.at(earliest, place, rank)
+        wins = rank == earliest[place]
+        rows[place[wins]] = name[wins]
+        whole = (earliest < np.inf).reshape(-1, coordinates).all(axis=1)
         found[todo[whole]] = rows.reshape(-1, coordinates)[whole]
         todo, spread = todo[~whole], spread * 2
     return found
@@ -132,31 +135,42 @@ def band_keys(found: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def bucket_edges(keys: np.ndarray, marks: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
-    """Edges that connect all candidate pairs of a bucket, and its leaders, given one-byte signatures.
+def bucket_edges(marks: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
+    """Edges (row, row) that connect all candidate pairs of a bucket, and its leaders, given one-byte signatures.
 
     Each row that is near to no leader so far becomes one. A row in a leader's ring, near only to rows that are near
-    to it, is compared with those too."""
-    n = len(keys)
-    edges, leaders, near = [], [], []
-    free, ring = np.ones(n, bool), []
+    to it, is compared with those too. There are fewer edges than rows."""
+    n = len(marks)
+    up, edges, leaders, near, ring = list(range(n)), [], [], [], []
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    def join(a: int, b: int) -> None:
+        x, y = root(a), root(b)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            edges.append((a, b))
+
+    free = np.ones(n, bool)
     for i in range(n):
-        if not free[i]:
-            continue
-        agreed = (marks == marks[i]).mean(axis=1)
-        close = np.flatnonzero(agreed >= NEAR)
-        edges += [(keys[j], keys[i]) for j in close.tolist() if j != i]
-        free[close] = False
-        around = np.flatnonzero((agreed < NEAR) & (agreed >= RING))
-        leaders.append(i)
-        near.append(close)
-        ring.append(around)
+        if free[i]:
+            agreed = (marks == marks[i]).mean(axis=1)
+            close = np.flatnonzero(agreed >= NEAR)
+            free[close] = False
+            for j in close.tolist():
+                join(j, i)
+            leaders.append(i)
+            near.append(close)
+            ring.append(np.flatnonzero((agreed < NEAR) & (agreed >= RING)))
     for close, around in zip(near, ring, strict=True):
         for j in around.tolist():
-            agreed = (marks[close] == marks[j]).mean(axis=1)
-            best = int(agreed.argmax())
-            if agreed[best] >= NEAR:
-                edges.append((keys[j], keys[close[best]]))
+            if root(j) != root(int(close[0])):
+                agreed = (marks[close] == marks[j]).mean(axis=1)
+                if agreed[best := int(agreed.argmax())] >= NEAR:
+                    join(j, int(close[best]))
     return edges, leaders
 
 
@@ -231,16 +245,25 @@ def near_classes(rows: DataFrame, weighted: bool = False, words: int = WORDS, si
     member = met.join(own.select("k", "marks"), "k")
     member = member.withColumn("salt", F.pmod(F.xxhash64("k"), F.ceil(F.col("rows") / bucket_rows)))
 
+    width = bands * band_rows
+
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for key, salt, several, part in grouped(batches, ["key", "salt", "several"]):
-            marks = np.frombuffer(b"".join(part.marks), np.uint8).reshape(len(part), -1)
-            keys = part.k.tolist()
-            edges, leaders = bucket_edges(keys, marks)
-            u, v, m = [a for a, _ in edges], [b for _, b in edges], [None] * len(edges)
-            if several:  # leaders of a salted bucket are compared with one another
-                u, v, m = u + [keys[i] for i in leaders], v + [key] * len(leaders), m + [marks[i].tobytes() for i in leaders]
-            if u:
-                yield pd.DataFrame({"u": u, "v": v, "marks": m})
+        for part in whole_groups(batches, ["key", "salt"]):
+            k, several = part.k.to_numpy(), part.several.to_numpy()
+            marks = np.frombuffer(b"".join(part.marks), np.uint8).reshape(-1, width)
+            starts = group_starts(part, ["key", "salt"])
+            sizes = np.diff(np.r_[starts, len(part)])
+            pair = starts[(sizes == 2) & ~several[starts]]  # most buckets: all at once
+            pair = pair[(marks[pair] == marks[pair + 1]).mean(axis=1) >= NEAR]
+            u, v, m = [k[pair + 1]], [k[pair]], [np.full(len(pair), None)]
+            for a, n in zip(*(x[(sizes > 2) | several[starts]].tolist() for x in (starts, sizes)), strict=True):
+                edges, leaders = bucket_edges(marks[a : a + n])
+                ends = np.array(edges, np.int64).reshape(-1, 2) + a
+                u, v, m = [*u, k[ends[:, 0]]], [*v, k[ends[:, 1]]], [*m, np.full(len(edges), None)]
+                if several[a]:  # leaders of a salted bucket are compared with one another
+                    at = np.array(leaders) + a
+                    u, v, m = [*u, k[at]], [*v, part.key.to_numpy()[at]], [*m, part.marks.to_numpy()[at]]
+            yield pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v), "marks": np.concatenate(m)})
 
     dealt = member.withColumn("several", F.col("rows") > bucket_rows).select("key", "salt", "several", "k", "marks")
     pairs = stored(dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "k").mapInPandas(compare, "u long, v long, marks binary"), "pairs")
@@ -259,7 +282,7 @@ def near_classes(rows: DataFrame, weighted: bool = False, words: int = WORDS, si
                 yield pd.DataFrame({"u": u, "v": v})
 
     leaders = pairs.where("marks is not null").select(F.col("v").alias("key"), F.col("u").alias("k"), "marks")
-    edges = pairs.where("marks is null").select("u", "v").unionByName(leaders.repartition("key").sortWithinPartitions("key", "k").mapInPandas(lead, "u long, v long")).distinct()
+    edges = pairs.where("marks is null and u <> v").select("u", "v").unionByName(leaders.repartition("key").sortWithinPartitions("key", "k").mapInPandas(lead, "u long, v long")).distinct()
     groups = components(edges)
     hubs = met.groupBy("k").agg(F.sum("rows").alias("hub"))
     groups = groups.join(own.select("k", "size"), groups.node == F.col("k")).select("k", F.col("label").alias("g"), "size").join(hubs, "k")
@@ -301,24 +324,38 @@ def _packed(elements: np.ndarray, n: np.ndarray, weighted: bool) -> bytes:
     return elements.tobytes()
 
 
-def grouped(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple]:
-    """Groups of rows that come sorted by `by`: their values and frame."""
+def group_starts(part: pd.DataFrame, by: list[str]) -> np.ndarray:
+    """Where the groups of a frame start that is sorted by `by`."""
+    new = np.zeros(max(len(part) - 1, 0), bool)
+    for c in by:
+        x = part[c].to_numpy()
+        new |= x[1:] != x[:-1]
+    return np.r_[0, np.flatnonzero(new) + 1] if len(part) else np.zeros(0, np.int64)
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], by: list[str], rows: int = 4096) -> Iterator[pd.DataFrame]:
+    """Rows that come sorted by `by`, in frames that end where a group ends; about `rows` or one group each."""
     held: list[pd.DataFrame] = []
-    last = None
+    size = 0
     for batch in batches:
-        cuts = np.flatnonzero((batch[by].to_numpy()[1:] != batch[by].to_numpy()[:-1]).any(axis=1)) + 1 if len(batch) > 1 else []
-        for a, b in zip([0, *cuts], [*cuts, len(batch)], strict=True):
-            part = batch.iloc[a:b]
-            if not len(part):
-                continue
-            now = tuple(part[by].iloc[0])
-            if held and now != last:
-                yield (*last, pd.concat(held))
-                held = []
-            last = now
-            held.append(part)
-    if held:
-        yield (*last, pd.concat(held))
+        held.append(batch)
+        size += len(batch)
+        if size >= rows:
+            part = pd.concat(held, ignore_index=True)
+            last = int(group_starts(part, by)[-1])
+            if last:
+                yield part.iloc[:last]
+            held, size = [part.iloc[last:]], len(part) - last
+    if size:
+        yield pd.concat(held, ignore_index=True)
+
+
+def grouped(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple]:
+    """Groups of rows that come sorted by `by`: their values and frame."""
+    for part in whole_groups(batches, by):
+        starts = group_starts(part, by)
+        for a, b in zip(starts, [*starts[1:], len(part)], strict=True):
+            yield tuple(part[c].iloc[a] for c in by), part.iloc[a:b]
 
 
 def heavy_links(sets: DataFrame, similar: float, part_rows: int) -> DataFrame:
