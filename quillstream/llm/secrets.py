@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from quillstream.llm.common import prepare, text_key, with_columns
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = "AKIA[A-Z0-9]+"
-HEX = "[0-9a-f]+"
+#: Runs as long as they must be: a shorter run can't hold or hide a longer one, so none is matched in vain.
+ACCESS = "AKIA[A-Z0-9]{12,}"
+HEX = "[0-9a-f]{32,}"
 #: kind, pattern, least characters, group they are counted in
 KINDS = (("assign", ASSIGN, 8, 2), ("access", ACCESS, 16, 0), ("hex", HEX, 32, 0))
 #: What the models judge, and the strings that can hold one.
-CANDIDATE, LEAST_CHARS = "[A-Za-z0-9+/_=-]+", 20
+CANDIDATE, LEAST_CHARS = "[A-Za-z0-9+/_=-]{20,}", 20
 #: Documents that can hold any span: others are passed by. Each kind's own pattern decides.
 ANY = r"""AKIA[A-Z0-9]{12}|[A-Za-z0-9+/_=-]{20}|(?i:(?:password|passwd|secret|token|api_?key)["']?\x20*[:=])"""
 #: The models' characters; all others count as the last one.
