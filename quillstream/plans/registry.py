@@ -1,9 +1,467 @@
-"""Queries of the news-monitoring operators and their SQL."""
+"""Queries of the news-monitoring operators over the test tables, and the same in SQL."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql() -> dict:
-    return {}
+from quillstream.functions import dates, text
+from quillstream.functions.lexicon import Lexicon, re2
+from quillstream.operators import classify, dedup, filters, lookup, report, upsert
+from quillstream.plans import sql
+from quillstream.schema import ARTICLES_SQL, articles, table
+from quillstream.sources import feeds, html
+from quillstream.streaming import monitor
+
+DAY, AS_OF = "2024-01-02", "2024-01-03 12:00:00"
+#: A lexicon of words that the test documents have; the engine's users bring their own.
+LEXICON = Lexicon(
+    keywords=("eau", "ouan", "elle", "ment", "inea", "ating", "rent", "reth", "erat", "ertion", "rely", "thnt", "qui", "par", "erat", "whst", "nterti", "theastou", "lytionat", "vipa"),
+    countries={"Azerbaycan": ("eau", "ouan", "erat"), "KKTC": ("rely",), "Kazakistan": ("elle", "ating"), "Kırgızistan": ("rent",), "Özbekistan": ("ertion",), "Türkmenistan": ("thnt",)},
+    topics={"Ermenistan Hattı": ("inea", "onon"), "Sınır Hattı & Bölgesel Diplomasi": ("reth",), "Spor": ("thre", "par"), "Güvenlik/Savunma": ("ther", "des"), "Enerji/Ekonomi": ("from", "que")},
+    flagging=("Ermenistan Hattı", "Sınır Hattı & Bölgesel Diplomasi"),
+    union=("whst", "theastou"),
+    weak=("qui", "reth"),
+    masks=(r"(?i)\bthe\s+ating\b", r"(?i)\bles\s+elle\b"),
+)
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(oracle: str | None = None):
+    def add(f):
+        _Q[f.__name__] = f
+        if oracle:
+            _SQL[f.__name__] = f"WITH {ARTICLES_SQL}{oracle if oracle.lstrip().startswith(',') else ' ' + oracle}"
+        return f
+
+    return add
+
+
+def _news(spark: SparkSession, sf: str) -> DataFrame:
+    """articles, labelled by the lexicon's first stage."""
+    return classify.labelled(classify.with_stage1(articles(spark, sf), LEXICON)).drop("stage1")
+
+
+_STAGE1 = sql.stage1(LEXICON)
+_NEWS = f", {_STAGE1}, {sql.NEWS}"
+_KEYED = ", " + sql.KEYED
+
+
+@_query(f"{_NEWS} SELECT count(*) AS total, count(*) FILTER (ilgili_mi = 1) AS relevant, count(*) FILTER (category = 'en') AS english, count(*) FILTER (category = 'de') AS german FROM news WHERE publish_date BETWEEN '{DAY} 00:00:00' AND '{DAY} 23:59:59'")
+def daily_summary(spark, sf):
+    return report.daily_summary(_news(spark, sf), DAY, {"english": "en", "german": "de"})
+
+
+@_query("SELECT source_name, count(*) AS articles FROM articles GROUP BY 1")
+def source_counts(spark, sf):
+    return report.per_source(articles(spark, sf))
+
+
+@_query(", c AS (SELECT source_name || '/' || category AS name, count(*) AS articles FROM articles GROUP BY 1) SELECT name, regexp_replace(lower(name), '[^\\pL\\pN]', '', 'g')[1:16] AS slug, false AS is_other, articles FROM c WHERE articles >= 10 UNION ALL SELECT 'other', 'other', true, CAST(sum(articles) AS BIGINT) FROM c WHERE articles < 10 HAVING count(*) > 0")
+def threshold_groups(spark, sf):
+    return report.threshold_groups(articles(spark, sf).withColumn("group", F.concat_ws("/", "source_name", "category")), by="group")
+
+
+@_query(f"{_NEWS} SELECT count(*) AS relevant, " + ", ".join(f"count(*) FILTER ({' OR '.join(f'contains(c, {sql.text(w)})' for w in words)}) AS {name}" for name, words in report.COUNTRY_MARKS.items()) + " FROM (SELECT trim(lower(translate(ilgi_kategorisi, 'İIƏ', 'iıə'))) AS c FROM news WHERE ilgili_mi = 1)")
+def country_multi_counts(spark, sf):
+    return report.country_counts(_news(spark, sf))
+
+
+@_query(f"{_NEWS} SELECT ilgi_kategorisi, count(*) AS articles FROM news WHERE ilgili_mi = 1 GROUP BY 1")
+def aspect_counts(spark, sf):
+    return report.per_aspect(_news(spark, sf))
+
+
+@_query(f"{_NEWS} SELECT count(*) AS total, count(*) FILTER (ilgili_mi = 1) AS filtered FROM news")
+def total_and_relevant(spark, sf):
+    return report.filtered_and_all(_news(spark, sf), F.col("ilgili_mi") == 1)
+
+
+@_query("SELECT count(*) FILTER (publish_date < '2024-01-03 00:00:00') AS past, count(*) FILTER (publish_date >= '2024-01-03 00:00:00') AS today FROM articles")
+def past_vs_today(spark, sf):
+    return report.past_and_today(articles(spark, sf), AS_OF)
+
+
+@_query("SELECT DISTINCT publish_date[1:10] AS day FROM articles ORDER BY 1 DESC LIMIT 30")
+def recent_days(spark, sf):
+    return report.recent_days(articles(spark, sf))
+
+
+@_query(", d AS (SELECT DISTINCT publish_date[1:10] AS day FROM articles), a AS (SELECT '2024-01-09' AS day, true AS f UNION ALL SELECT day, false FROM d), r AS (SELECT day, row_number() OVER (ORDER BY f DESC, day DESC) AS place FROM a) SELECT day, CAST(place AS INTEGER) AS place, place <= 3 OR day = '2024-01-01' AS is_quick FROM r")
+def quick_days(spark, sf):
+    return report.quick_days(report.recent_days(articles(spark, sf)), "2024-01-09 08:00:00", "2024-01-01")
+
+
+@_query(", c AS (SELECT source_name, count(*) AS n FROM articles WHERE category <> 'en' GROUP BY 1), o AS (SELECT source_name, row_number() OVER (ORDER BY n DESC, source_name) AS g FROM c WHERE n >= 20) SELECT id, a.source_name, g IS NULL AS is_other, CAST(coalesce(g, (SELECT coalesce(max(g), 0) + 1 FROM o)) AS INTEGER) AS group_rank FROM articles a JOIN c USING (source_name) LEFT JOIN o USING (source_name) WHERE category <> 'en'")
+def source_groups(spark, sf):
+    return report.source_groups(articles(spark, sf).where("category <> 'en'"), 20).select("id", "source_name", "is_other", "group_rank")
+
+
+@_query("SELECT source_name, count(*) AS fetched, count(*) FILTER (publish_date >= '2024-01-03 00:00:00') AS today FROM articles GROUP BY 1")
+def adapter_health(spark, sf):
+    return report.adapter_health(articles(spark, sf), AS_OF)
+
+
+@_query(f"{_NEWS}, l AS (SELECT unnest(['Azerbaycan', 'Kazakistan', 'KKTC', 'Spor']) AS label), r AS (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY publish_date DESC, id DESC) AS turn FROM news, l WHERE ilgili_mi = 1 AND contains(ilgi_kategorisi, label)) SELECT label, id, CAST(turn AS INTEGER) AS turn FROM r WHERE turn <= 2")
+def top2_per_label(spark, sf):
+    return report.newest_per_label(_news(spark, sf), ["Azerbaycan", "Kazakistan", "KKTC", "Spor"]).select("label", "id", "turn")
+
+
+@_query(f"SELECT id, {sql.title_key('title')} AS view_key, {sql.title_key('title', False)} AS dedup_key FROM articles")
+def title_norm(spark, sf):
+    return articles(spark, sf).select("id", text.title_key(F.col("title")).alias("view_key"), text.title_key(F.col("title"), False).alias("dedup_key"))
+
+
+@_query(f"SELECT id, list_sort({sql.words('title')}) AS words, list_sort({sql.words('title', (*text.TITLE_STOPWORDS, *text.NOTICE_STOPWORDS))}) AS notice_words, list_sort({sql.folded_words('title')}) AS folded FROM articles")
+def title_tokens(spark, sf):
+    t = F.col("title")
+    return articles(spark, sf).select("id", F.array_sort(text.title_words(t)).alias("words"), F.array_sort(text.title_words(t, (*text.TITLE_STOPWORDS, *text.NOTICE_STOPWORDS))).alias("notice_words"), F.array_sort(text.folded_words(t)).alias("folded"))
+
+
+@_query(f", w AS (SELECT id, {sql.words('title')} AS a, lag({sql.words('title')}) OVER (PARTITION BY source_name ORDER BY id) AS b FROM articles) SELECT id, {sql.jaccard('a', 'b')} AS similarity, {sql.contained('a', 'b')} AS nested FROM w WHERE b IS NOT NULL")
+def title_similarity(spark, sf):
+    from pyspark.sql import Window
+
+    w = articles(spark, sf).select("id", "source_name", text.title_words(F.col("title")).alias("a")).withColumn("b", F.lag("a").over(Window.partitionBy("source_name").orderBy("id")))
+    return w.where("b is not null").select("id", text.jaccard(F.col("a"), F.col("b")).alias("similarity"), text.contained(F.col("a"), F.col("b")).alias("nested"))
+
+
+@_query("SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[\\s\\x{a0}]+', ' ', 'g'), ' ') AS body FROM pages")
+def text_clean(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.clean_text(F.col("html")).alias("body"))
+
+
+@_query(f"SELECT page_id, {sql.canonical_url('url')} AS link FROM pages")
+def url_canonical(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.canonical_url(F.col("url")).alias("link"))
+
+
+@_query(f"SELECT id, {sql.is_junk('title')} AS junk FROM articles")
+def junk_titles(spark, sf):
+    return articles(spark, sf).select("id", text.is_junk_title(F.col("title")).alias("junk"))
+
+
+@_query("SELECT id, lower(translate(title, 'İIƏ', 'iıə')) AS turkish, trim(lower(translate(translate(title, 'İI', 'iı'), 'ıöüşçğ', 'iouscg'))) AS folded, (regexp_replace(lower(title), '[^\\pL\\pN]', '', 'g'))[1:16] AS slug, publish_date[12:16] AS clock, publish_date[1:10] AS day FROM articles")
+def text_folds(spark, sf):
+    t = F.col("title")
+    return articles(spark, sf).select("id", text.turkish_lower(t).alias("turkish"), text.search_fold(t).alias("folded"), text.source_slug(t).alias("slug"), text.display_time(F.col("publish_date")).alias("clock"), text.day_of(F.col("publish_date")).alias("day"))
+
+
+@_query("SELECT id, length(trim(summary, ' ')) < 60 OR trim(summary, ' ') IN ('...', '` and `') OR suffix(trim(summary, ' '), '...') OR suffix(trim(summary, ' '), '…') AS needs_brief, length(summary) >= 60 AND right(trim(summary, ' '), 3) <> '...' AS is_full, length(trim(summary, ' ')) < 50 AS needs_body FROM articles")
+def summary_quality(spark, sf):
+    s = F.col("summary")
+    return articles(spark, sf).select("id", text.needs_brief(s).alias("needs_brief"), text.is_full_summary(s).alias("is_full"), filters.needs_body().alias("needs_body"))
+
+
+@_query(", t AS (SELECT id, CASE WHEN id % 3 = 0 THEN title || ' - ' || source_name WHEN id % 3 = 1 THEN 'Short - ' || source_name ELSE title END AS raw FROM articles) SELECT id, CASE WHEN length(trim(regexp_extract(raw, '(?s)^(.*) - ', 1))) > 10 THEN trim(regexp_extract(raw, '(?s)^(.*) - ', 1)) ELSE raw END AS title, trim(string_split(raw, ' - ')[-1]) AS outlet FROM t")
+def title_suffixes(spark, sf):
+    raw = F.when(F.col("id") % 3 == 0, F.concat_ws(" - ", "title", "source_name")).when(F.col("id") % 3 == 1, F.concat(F.lit("Short - "), F.col("source_name"))).otherwise(F.col("title"))
+    return articles(spark, sf).select("id", text.strip_title_suffix(raw).alias("title"), feeds.outlet_of(raw).alias("outlet"))
+
+
+_SAID = "CASE id % 5 WHEN 0 THEN (id % 59) || ' dak önce' WHEN 1 THEN (id % 23) || ' saat önce' WHEN 2 THEN (id % 6) || ' gün önce' WHEN 3 THEN (id % 7) || ' hours ago' ELSE 'yesterday' END"
+
+
+@_query(f", t AS (SELECT id, {_SAID} AS raw FROM articles) SELECT id, strftime(TIMESTAMP '{AS_OF}' - to_seconds(CASE WHEN raw LIKE '%dak%' THEN 60 WHEN raw LIKE '%saat%' OR raw LIKE '%hour%' THEN 3600 WHEN raw LIKE '%gün%' THEN 86400 END * TRY_CAST(regexp_extract(raw, '^\\d+') AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS publish_date FROM t")
+def relative_date(spark, sf):
+    return articles(spark, sf).select("id", dates.relative_date(F.expr(_SAID), AS_OF).alias("publish_date"))
+
+
+_RAW_DATE = "CASE id % 6 WHEN 0 THEN substr(publish_date, 1, 10) || 'T' || substr(publish_date, 12) || 'Z' WHEN 1 THEN substr(publish_date, 9, 2) || '.' || substr(publish_date, 6, 2) || '.' || substr(publish_date, 1, 4) || ' ' || substr(publish_date, 12, 5) WHEN 2 THEN 'Mon, 0' || (id % 9 + 1) || ' Jan 2024 ' || substr(publish_date, 12) || ' +0300' WHEN 3 THEN substr(publish_date, 1, 16) WHEN 4 THEN publish_date || '.123' ELSE 'unknown' END"
+_FORM = "'%Y-%m-%d %H:%M:%S'"
+_PARSED = f"coalesce(strftime(try_strptime(regexp_extract(raw, '^\\w+, (.*) \\+0300$', 1), '%d %b %Y %H:%M:%S') - INTERVAL 3 HOUR, {_FORM}), strftime(try_strptime(replace(replace(string_split(raw, '.')[1], 'Z', ''), 'T', ' '), ['%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H:%M', '%Y-%m-%d']), {_FORM}), strftime(try_strptime(raw, ['%d.%m.%Y %H:%M:%S', '%d.%m.%Y %H:%M']), {_FORM}))"
+
+
+@_query(f", t AS (SELECT id, {_RAW_DATE} AS raw FROM articles) SELECT id, coalesce({_PARSED}, '{AS_OF}') AS feed, least(coalesce({_PARSED}, '{AS_OF}'), '{AS_OF}') AS pipeline, strftime(try_strptime(trim(translate(string_split(raw, '.')[1], 'TZ', ' ')), ['%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H:%M']), {_FORM}) AS meta FROM (SELECT id, CASE WHEN raw = 'unknown' THEN 'none' ELSE raw END AS raw FROM t WHERE raw NOT LIKE '__.__.____ %') UNION ALL SELECT id, coalesce({_PARSED}, '{AS_OF}'), least(coalesce({_PARSED}, '{AS_OF}'), '{AS_OF}'), NULL FROM t WHERE raw LIKE '__.__.____ %'")
+def parse_dates(spark, sf):
+    raw = F.expr(_RAW_DATE)
+    a = articles(spark, sf)
+    return a.select("id", dates.feed_date(raw, F.lit(""), AS_OF).alias("feed"), dates.pipeline_date(raw, AS_OF).alias("pipeline"), dates.parse_date(raw).alias("meta"))
+
+
+_MONTHS = ("Ocak", "Mart", "Temmuz", "Ekim", "Haziran")
+_SPOKEN = "CASE id % 4 WHEN 0 THEN 'Haber ' || (id % 33) || ' ' || m || ' 2023 14:05 not' WHEN 1 THEN 'on ' || (id % 33) || '.0' || (id % 9 + 1) || '.2023' WHEN 2 THEN (id % 33) || ' ' || m || ' 2023' ELSE 'none' END"
+
+
+@_query(
+    f", t AS (SELECT id, {_SPOKEN} AS raw, m, CASE m WHEN 'Ocak' THEN 1 WHEN 'Mart' THEN 3 WHEN 'Temmuz' THEN 7 WHEN 'Ekim' THEN 10 ELSE 6 END AS mn FROM (SELECT *, [{', '.join(map(sql.text, _MONTHS))}][CAST(id % 5 + 1 AS INTEGER)] AS m FROM articles)) "
+    f"SELECT id, CASE id % 4 WHEN 3 THEN NULL ELSE strftime(try_strptime(CASE id % 4 WHEN 0 THEN (id % 33) || '.' || mn || '.2023 14:05' WHEN 1 THEN (id % 33) || '.' || (id % 9 + 1) || '.2023 12:00' ELSE (id % 33) || '.' || mn || '.2023 12:00' END, '%d.%m.%Y %H:%M'), {_FORM}) END AS text_date, "
+    f"CASE WHEN id % 2 = 0 THEN strftime(try_strptime((id % 33) || '.' || mn || '.2023 12:00', '%d.%m.%Y %H:%M'), {_FORM}) END AS title_date FROM t"
+)
+def turkish_dates(spark, sf):
+    a = articles(spark, sf).withColumn("m", F.element_at(F.array(*map(F.lit, _MONTHS)), (F.col("id") % 5 + 1).cast("int")))
+    return a.select("id", dates.text_date(F.expr(_SPOKEN)).alias("text_date"), dates.title_date(F.expr(_SPOKEN), AS_OF).alias("title_date"))
+
+
+_TIMED = "CASE id % 4 WHEN 0 THEN 'Spor / ' || (id % 30) || ':15 - ' || source_name WHEN 1 THEN (id % 30) || '.45 ' || source_name ELSE source_name END"
+
+
+@_query(f", t AS (SELECT id, {_TIMED} AS raw, publish_date[1:10] || ' 00:00:00' AS d, source_name, id % 30 AS h FROM articles) SELECT id, CASE WHEN id % 4 = 1 AND h <= 23 THEN d[1:10] || ' ' || lpad(CAST(h AS VARCHAR), 2, '0') || ':45:00' ELSE d END AS title_time, CASE WHEN id % 4 = 0 AND h <= 23 THEN source_name ELSE raw END AS section_title, CASE WHEN id % 4 = 0 AND h <= 23 THEN d[1:10] || ' ' || lpad(CAST(h AS VARCHAR), 2, '0') || ':15:00' ELSE d END AS section_time, CASE WHEN id % 4 = 0 AND h <= 29 THEN '2024-01-03 ' || lpad(CAST(h AS VARCHAR), 2, '0') || ':15:00' WHEN id % 4 = 1 AND h <= 29 THEN '2024-01-03 ' || lpad(CAST(h AS VARCHAR), 2, '0') || ':45:00' END AS clock FROM t")
+def title_times(spark, sf):
+    raw, d = F.expr(_TIMED), F.concat(text.day_of(F.col("publish_date")), F.lit(" 00:00:00"))
+    s = dates.section_time(raw, d)
+    return articles(spark, sf).select("id", dates.with_title_time(d, raw).alias("title_time"), s["title"].alias("section_title"), s["publish_date"].alias("section_time"), dates.clock_in(raw, AS_OF).alias("clock"))
+
+
+@_query(f"{_NEWS} SELECT id FROM news WHERE publish_date BETWEEN '{DAY} 00:00:00' AND '{DAY} 23:59:59' AND (relevance_status ILIKE 'Stage 1%' OR relevance_status ILIKE 'Stage 2%' OR relevance_status = 'İlgili' OR ilgili_mi = 1)")
+def relevant_of_day(spark, sf):
+    return _news(spark, sf).where(filters.on_day(DAY) & filters.is_relevant()).select("id")
+
+
+@_query("SELECT event_id, event_type FROM events WHERE ts >= date_trunc('day', (SELECT max(ts) FROM events))")
+def today_filter(spark, sf):
+    e = table(spark, sf, "events")
+    return e.where(F.col("ts") >= F.date_trunc("day", e.agg(F.max("ts")).scalar()).cast("timestamp_ntz")).select("event_id", "event_type")
+
+
+@_query("SELECT id FROM articles WHERE NOT (source_name ILIKE '%src1%' OR link ILIKE '%src7.example%')")
+def blocklist_purge(spark, sf):
+    return articles(spark, sf).where(~filters.blocked(("%src1%",), ("src7.example",))).select("id")
+
+
+@_query(f", t AS (SELECT id, CASE WHEN id % 3 = 0 THEN '' ELSE publish_date END AS publish_date, CASE WHEN id % 6 = 0 THEN 'x 31.12.2023 y' ELSE 'x' END AS title, CASE WHEN id % 9 = 0 THEN 'y 30/11/2023' ELSE summary END AS summary FROM articles) SELECT id, CASE WHEN publish_date <> '' AND publish_date < '2024-01-03 00:00:00' THEN 'DB date was ' || publish_date WHEN id % 6 = 0 THEN 'Title contained 2023-12-31' WHEN id % 9 = 0 THEN 'Summary contained 2023-11-30' END AS reason FROM t")
+def outdated_reason(spark, sf):
+    a = articles(spark, sf)
+    a = a.withColumns({"publish_date": F.when(F.col("id") % 3 == 0, "").otherwise(F.col("publish_date")), "title": F.when(F.col("id") % 6 == 0, "x 31.12.2023 y").otherwise("x"), "summary": F.when(F.col("id") % 9 == 0, "y 30/11/2023").otherwise(F.col("summary"))})
+    return a.select("id", filters.outdated_reason(AS_OF).alias("reason"))
+
+
+@_query(f"{_NEWS} SELECT id FROM news WHERE ilgili_mi = 1 AND (summary IS NULL OR summary IN ('', '...', '` and `') OR summary LIKE '%...' OR length(summary) < 60) ORDER BY publish_date DESC, id DESC LIMIT 40")
+def brief_backfill(spark, sf):
+    return filters.backfill(_news(spark, sf)).select("id")
+
+
+@_query(f"{_NEWS}, c AS (SELECT source_name AS s, count(*) AS n FROM news GROUP BY 1), f AS (SELECT news.*, n < 60 AS is_other FROM news JOIN c ON s = source_name WHERE ilgili_mi = 1 AND contains(trim(lower(translate(translate(ilgi_kategorisi, 'İI', 'iı'), 'ıöüşçğ', 'iouscg'))), 'azerbaycan') AND contains(trim(lower(translate(translate(ilgi_kategorisi, 'İI', 'iı'), 'ıöüşçğ', 'iouscg'))), 'spor') AND (n < 60 OR category = 'Diğer / Sınıflandırılmamış') AND (contains(lower(title), 'src') OR contains(lower(source_name), 'src') OR contains(lower(ilgi_kategorisi), 'src'))) SELECT id, (SELECT count(*) FROM f) AS matches FROM f ORDER BY publish_date DESC, id DESC LIMIT 50")
+def search_page(spark, sf):
+    return report.page(report.with_other_flag(_news(spark, sf), 60), "Azerbaycan", "Spor", "other", "SRC").select("id", "matches")
+
+
+@_query("SELECT id FROM articles ORDER BY publish_date, id LIMIT 25")
+def oldest_first_page(spark, sf):
+    return report.page(articles(spark, sf).withColumns({"ilgili_mi": F.lit(0), "ilgi_kategorisi": F.lit(""), "is_other": F.lit(False)}), shown=25, newest=False).select("id")
+
+
+@_query(f", {_STAGE1} SELECT id, found[1:5] AS matched FROM stage1")
+def keyword_matches(spark, sf):
+    a = articles(spark, sf)
+    t = classify.masked(classify.lead(F.col("title"), F.col("summary")), LEXICON.masks)
+    return a.select("id", F.slice(classify.keywords_in(t, LEXICON.keywords), 1, 5).alias("matched"))
+
+
+@_query(f", {_STAGE1} SELECT id, t AS masked FROM stage1")
+def false_friends(spark, sf):
+    return articles(spark, sf).select("id", classify.masked(classify.lead(F.col("title"), F.col("summary")), LEXICON.masks).alias("masked"))
+
+
+@_query(f", {_STAGE1} SELECT id, is_candidate FROM stage1")
+def weak_gate(spark, sf):
+    return classify.with_stage1(articles(spark, sf), LEXICON).select("id", F.col("stage1.is_candidate").alias("is_candidate"))
+
+
+@_query(f", {_STAGE1} SELECT id, aspect FROM stage1 WHERE aspect IS NOT NULL")
+def aspect_cascade(spark, sf):
+    return classify.with_stage1(articles(spark, sf), LEXICON).where("stage1.aspect is not null").select("id", F.col("stage1.aspect").alias("aspect"))
+
+
+@_query(f", {_STAGE1} SELECT id, aspect IS NOT NULL AS is_relevant, CASE WHEN aspect IS NOT NULL THEN 'Stage 1 (Anahtar Kelime)' END AS stage, is_candidate, CASE WHEN aspect IS NOT NULL OR is_candidate THEN found[1:5] ELSE [] END AS matched, CASE WHEN aspect IS NOT NULL THEN 'Tespit edildi: ' || aspect WHEN is_candidate THEN 'Zayıf anahtar kelime (LLM doğrulaması gerekli): ' || array_to_string(found[1:3], ', ') ELSE '' END AS explanation FROM stage1")
+def stage1_result(spark, sf):
+    s = classify.with_stage1(articles(spark, sf), LEXICON)
+    return s.select("id", *(F.col(f"stage1.{c}").alias(c) for c in ("is_relevant", "stage", "is_candidate", "matched", "explanation")))
+
+
+@_query(f"{_NEWS} SELECT id, ilgili_mi, ilgi_kategorisi, guven_skoru, gerekce, relevance_status, relevance_aspect FROM news")
+def item_labels(spark, sf):
+    return _news(spark, sf).select("id", "ilgili_mi", "ilgi_kategorisi", "guven_skoru", "gerekce", "relevance_status", "relevance_aspect")
+
+
+@_query(f"{_NEWS} SELECT id, ilgili_mi, ilgi_kategorisi, relevance_status, 0.5 AS guven_skoru FROM news")
+def bulk_reclassify(spark, sf):
+    stored = _news(spark, sf).withColumns({"ilgili_mi": F.lit(1), "guven_skoru": F.lit(0.5)})
+    return classify.reclassified(stored, LEXICON).select("id", "ilgili_mi", "ilgi_kategorisi", "relevance_status", "guven_skoru")
+
+
+_STRICT = {"Spor": ("ing", "elle"), "Enerji": ("tion",)}
+
+
+@_query(f", t AS (SELECT id, title, lower(title) AS low, summary[1:250] AS lead FROM articles), y AS (SELECT *, NOT regexp_matches(title, '(?i)\\bthe the\\b') AND (regexp_matches(title, {sql.text(re2('eau', 'thnt', 'erat'))}) OR regexp_matches(lead, {sql.text(re2('eau', 'thnt', 'erat'))}) AND (contains(low, 'and') OR contains(low, 'le'))) AS yes FROM t) SELECT id, CAST(yes AS INTEGER) AS ilgili_mi, CASE WHEN NOT yes THEN 'İlgisiz' WHEN contains(low, 'ing') OR contains(low, 'elle') THEN 'Spor' WHEN contains(low, 'tion') THEN 'Enerji' ELSE 'Diplomasi' END AS ilgi_kategorisi FROM y")
+def strict_relabel(spark, sf):
+    return classify.strictly_relabelled(articles(spark, sf), ("eau", "thnt", "erat"), (r"(?i)\bthe the\b",), ("and", "le"), _STRICT, "Diplomasi").select("id", "ilgili_mi", "ilgi_kategorisi")
+
+
+_PATTERNS = [("src1", "Alpha"), ("rc1", "Beta"), ("src2x", "Gamma"), ("rc3", "Delta")]
+_PATTERN_ROWS = ", ".join(f"({i}, {sql.text(p)}, {sql.text(c)})" for i, (p, c) in enumerate(_PATTERNS))
+
+
+@_query(f", p(ord, pattern, cat) AS (VALUES {_PATTERN_ROWS}), m AS (SELECT id, arg_min(cat, (CASE WHEN n = pattern THEN 0 ELSE 1 END, ord)) AS cat FROM (SELECT id, lower(trim(source_name)) AS n FROM articles) JOIN p ON n = pattern OR contains(n, pattern) OR contains(pattern, n) GROUP BY id) SELECT id, coalesce(cat, category) AS resolved FROM articles LEFT JOIN m USING (id)")
+def category_resolution(spark, sf):
+    return lookup.with_category(articles(spark, sf), _PATTERNS).select("id", "resolved")
+
+
+_SOURCES = [(0, "SRC1", "A", "rss", "src1"), (1, "Src12 News", "B", "scraping", ""), (2, "c3", "C", "rss+scraping", ""), (3, "src4", "D", "html", "")]
+_SOURCE_ROWS = ", ".join(f"({i}, {sql.text(n)}, {sql.text(c)}, {sql.text(t)})" for i, n, c, t, _ in _SOURCES)
+
+
+def _sources(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_SOURCES, "ord int, name string, category string, type string, domain string")
+
+
+@_query(f", s(ord, name, cat, type) AS (VALUES {_SOURCE_ROWS}), m AS (SELECT id, arg_min(name, ord) AS name, arg_min(cat, ord) AS cat FROM articles JOIN s ON contains(lower(source_name), lower(name)) OR contains(lower(name), lower(source_name)) GROUP BY id) SELECT id, coalesce(name, source_name) AS source_name, coalesce(cat, 'Diğer / Sınıflandırılmamış') AS category FROM articles LEFT JOIN m USING (id)")
+def source_match(spark, sf):
+    return lookup.with_source(articles(spark, sf).select("id", F.col("source_name").alias("raw_source")), _sources(spark)).select("id", "source_name", "category")
+
+
+@_query(f", s(ord, name, cat, type) AS (VALUES {_SOURCE_ROWS}) SELECT id, CASE WHEN contains(type, 'rss') THEN 'RSS' ELSE 'Scraping' END AS veri_kaynagi FROM articles LEFT JOIN s ON source_name = name")
+def provenance_tag(spark, sf):
+    return lookup.with_provenance(articles(spark, sf), _sources(spark)).select("id", "veri_kaynagi")
+
+
+@_query(", i AS (SELECT id AS ord, source_name, 'https://x/' || (id % 17) AS link FROM articles) SELECT ord, source_name, link FROM i QUALIFY row_number() OVER (PARTITION BY source_name, link ORDER BY ord) = 1")
+def first_per_link(spark, sf):
+    i = articles(spark, sf).select(F.col("id").alias("ord"), "source_name", F.concat(F.lit("https://x/"), (F.col("id") % 17).cast("string")).alias("link"))
+    return dedup.per_link(i)
+
+
+@_query(", i AS (SELECT id AS ord, source_name, title, publish_date, category, link FROM articles), s AS (SELECT * FROM i WHERE category = 'en'), k AS (SELECT *, " + sql.title_key("title", False) + " AS t, publish_date[1:10] AS d FROM i WHERE category <> 'en' OR ord % 2 = 1), n AS (SELECT k.* FROM k WHERE NOT EXISTS (SELECT 1 FROM s WHERE ord % 2 = 0 AND s.source_name = k.source_name AND s.publish_date[1:10] = k.d AND " + sql.title_key("s.title", False) + " = k.t)) SELECT ord FROM n QUALIFY t = '' OR row_number() OVER (PARTITION BY source_name, d, t ORDER BY ord) = 1")
+def exact_new_stories(spark, sf):
+    i = articles(spark, sf).withColumn("ord", F.col("id"))
+    old = (F.col("category") == "en") & (F.col("ord") % 2 == 0)
+    return dedup.new_stories(i.where(~old), i.where(old)).select("ord")
+
+
+_AGG = ", g AS (SELECT id, source_name, title, summary, publish_date, CASE WHEN id % 4 = 1 THEN 'https://news.google.com/' || id ELSE link END AS link, CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END AS ilgili_mi, category FROM articles)"
+
+
+def _mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """articles with some aggregator links and some relevant rows."""
+    link = F.when(F.col("id") % 4 == 1, F.concat(F.lit("https://news.google.com/"), F.col("id").cast("string"))).otherwise(F.col("link"))
+    return articles(spark, sf).withColumn("link", link).withColumn("ilgili_mi", F.when(F.col("id") % 5 == 0, 1).otherwise(0))
+
+
+@_query(_AGG + f", k AS (SELECT *, {sql.title_key('title')} AS t, publish_date[1:10] AS d FROM g), w AS (SELECT *, row_number() OVER (PARTITION BY source_name, d, t ORDER BY id) AS n, min(CASE WHEN NOT contains(link, 'news.google.com') THEN (id, link) END) OVER (PARTITION BY source_name, d, t) AS m FROM k WHERE t <> '') SELECT id, CASE WHEN contains(link, 'news.google.com') THEN coalesce(m[2], link) ELSE link END AS link FROM w WHERE n = 1 UNION ALL SELECT id, link FROM k WHERE t = ''")
+def store_dedup(spark, sf):
+    return dedup.on_storing(_mixed(spark, sf)).select("id", "link")
+
+
+@_query(_KEYED + " SELECT id FROM keyed QUALIFY row_number() OVER (PARTITION BY source_name, k ORDER BY publish_date DESC, id DESC) = 1")
+def view_dedup(spark, sf):
+    return dedup.for_reading(articles(spark, sf)).select("id")
+
+
+@_query(_AGG + ", " + sql.keyed("g", False) + ", s AS (SELECT list(struct_pack(id := id, a := contains(link, 'news.google.com'), r := ilgili_mi) ORDER BY id) AS xs FROM keyed GROUP BY source_name, publish_date[1:10], k) SELECT list_reduce(xs, lambda p, x: CASE WHEN p.a AND NOT x.a OR p.r = 0 AND x.r = 1 THEN x ELSE p END).id AS id FROM s")
+def exact_purge(spark, sf):
+    return dedup.sequential_survivors(_mixed(spark, sf)).select("id")
+
+
+@_query(_AGG + ", " + sql.keyed("g") + " SELECT id FROM keyed QUALIFY row_number() OVER (PARTITION BY source_name, publish_date[1:10], k ORDER BY ilgili_mi DESC, contains(link, 'news.google.com'), length(summary) DESC, id DESC) = 1")
+def best_of_group(spark, sf):
+    return dedup.best_of_stories(_mixed(spark, sf)).select("id")
+
+
+@_query(_KEYED + ", c AS (SELECT count(*) AS n FROM keyed GROUP BY source_name, publish_date[1:10], k) SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates FROM c WHERE n > 1")
+def dup_audit(spark, sf):
+    return dedup.surplus(articles(spark, sf))
+
+
+@_query(", " + sql.fold("articles", "category", "len(x.w) >= 3 AND len(k.w) > 0 AND (" + sql.jaccard("k.w", "x.w") + " >= 0.65 OR " + sql.contained("k.w", "x.w") + ")", "false") + " SELECT id FROM folded")
+def near_dup_fold(spark, sf):
+    return dedup.near_survivors(articles(spark, sf), dedup.INGEST, ["category"]).select("id")
+
+
+_NEAR60 = "(" + sql.jaccard("k.w", "x.w") + " >= 0.6 OR (" + sql.contained("k.w", "x.w") + " AND least(len(k.w), len(x.w)) >= 3))"
+
+
+@_query(_AGG + ", " + sql.fold("g", "source_name, publish_date[1:10]", _NEAR60, "(h.a AND NOT x.a OR h.r = 0 AND x.r = 1 OR x.n > h.n AND h.r = x.r AND NOT x.a)") + " SELECT id FROM folded")
+def near_dup_survivor(spark, sf):
+    return dedup.near_survivors(_mixed(spark, sf), dedup.HISTORY).select("id")
+
+
+_NEAR65 = "(" + sql.jaccard("k.w", "x.w") + " >= 0.65 OR (" + sql.jaccard("k.w", "x.w") + " >= 0.5 AND abs(k.ts - x.ts) <= 3600) OR (" + sql.contained("k.w", "x.w") + " AND least(len(k.w), len(x.w)) >= 3))"
+
+
+@_query(_AGG + ", " + sql.fold("g", "source_name", _NEAR65, "(h.r = 0 AND x.r = 1 OR x.n > h.n AND h.r = x.r)") + " SELECT id FROM folded")
+def near_dup_time(spark, sf):
+    return dedup.near_survivors(_mixed(spark, sf), dedup.ONE_DAY, ["source_name"]).select("id")
+
+
+@_query(", i AS (SELECT id AS ord, 'https://x/' || (id % 400) AS link FROM articles) SELECT ord, link FROM i WHERE ord % 400 NOT IN (SELECT id FROM articles WHERE id < 50) QUALIFY row_number() OVER (PARTITION BY link ORDER BY ord) = 1")
+def known_links(spark, sf):
+    link = F.concat(F.lit("https://x/"), (F.col("id") % 400).cast("string"))
+    a = articles(spark, sf)
+    return filters.unknown_links(a.select(F.col("id").alias("ord"), link.alias("link")), a.where("id < 50").select(F.concat(F.lit("https://x/"), F.col("id").cast("string")).alias("link"))).select("ord", "link")
+
+
+_POLICY = [("src1", "both"), ("src2", "fallback"), ("src3", "fallback"), ("src4", "feed")]
+
+
+@_query(", f AS (SELECT id, source_name FROM articles WHERE source_name <> 'src3'), s AS (SELECT id + 1000000 AS id, source_name FROM articles) SELECT * FROM f UNION ALL SELECT * FROM s WHERE source_name = 'src1' OR source_name IN ('src2', 'src3') AND source_name NOT IN (SELECT source_name FROM f)")
+def source_policies(spark, sf):
+    a = articles(spark, sf).select("id", "source_name")
+    return feeds.combined(a.where("source_name <> 'src3'"), a.withColumn("id", F.col("id") + 1000000), spark.createDataFrame(_POLICY, "source_name string, policy string"))
+
+
+@_query(", i AS (SELECT id AS ord, source_name, link FROM articles WHERE length(title) >= 20 AND NOT contains(lower(title), 'elle')) SELECT ord, source_name FROM i QUALIFY row_number() OVER (PARTITION BY source_name ORDER BY ord) <= 30")
+def local_outlets(spark, sf):
+    i = articles(spark, sf).withColumn("ord", F.col("id"))
+    return feeds.local_items(i, ("elle",)).select("ord", "source_name")
+
+
+_JSON = "concat('{\"news_results\":[{\"title\":\"Story ', id, '\",\"link\":\"', link, '\",\"date\":\"', id % 20, ' saat önce\",\"source\":{\"name\":\"', source_name, '\"}},{\"title\":\"\",\"link\":\"x\"}]}')"
+
+
+@_query(f", s(ord, name, cat, type) AS (VALUES {_SOURCE_ROWS}), m AS (SELECT id, arg_min(name, ord) AS name, arg_min(cat, ord) AS cat FROM articles JOIN s ON contains(lower(source_name), lower(name)) OR contains(lower(name), lower(source_name)) GROUP BY id) SELECT 'Story ' || id AS title, coalesce(name, source_name) AS source_name, coalesce(cat, 'Diğer / Sınıflandırılmamış') AS category, strftime(TIMESTAMP '{AS_OF}' - to_hours(CAST(id % 20 AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS publish_date, link FROM articles LEFT JOIN m USING (id)")
+def search_results(spark, sf):
+    return feeds.search_items(articles(spark, sf).select(F.expr(_JSON).alias("json")), _sources(spark), AS_OF).select("title", "source_name", "category", "publish_date", "link")
+
+
+@_query()
+def html_article_text(spark, sf):
+    return html.bodies(table(spark, sf, "pages")).select("page_id", "body", "page_date")
+
+
+@_query(", h AS (SELECT page_id, regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<nav\\b[^>]*>.*?</nav\\s*>|<footer\\b[^>]*>.*?</footer\\s*>', ' ', 'g') AS h FROM pages), a AS (SELECT page_id, regexp_extract(h, '(?is)<article\\b[^>]*>(.*?)</article>', 1) AS h FROM h), p AS (SELECT page_id, list_filter(list_transform(regexp_split_to_array(h, '(?i)<p\\b[^>]*>')[2:], lambda x: trim(regexp_replace(regexp_replace(regexp_replace(x, '(?is)</p>.*$', ''), '<[^>]+>', '', 'g'), '[\\s\\x{a0}]+', ' ', 'g'), ' ')), lambda x: x <> '' AND NOT (length(x) < 35 AND regexp_matches(lower(x), 'çerez|cookie|takip et|abone ol|paylaş|yorum yap|tıklayın|okumak için|kabul ediyorum|daha fazla'))) AS ps FROM a) SELECT page_id, CASE WHEN length(array_to_string(ps, ' ')) > 100 THEN array_to_string(ps, ' ') ELSE '' END AS body FROM p")
+def html_paragraphs(spark, sf):
+    return html.paragraphs(table(spark, sf, "pages")).select("page_id", "body")
+
+
+@_query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events FROM events GROUP BY ALL")
+def daily_tumbling(spark, sf):
+    return monitor.daily_counts(table(spark, sf, "events"))
+
+
+@_query(sql.UPSERT)
+def upsert_merge(spark, sf):
+    a = articles(spark, sf)
+    stored = upsert.prepared(a.withColumn("ord", F.col("id")).withColumn("ilgili_mi", F.when(F.col("id") % 2 == 0, 1).otherwise(0)), AS_OF).withColumn("id", F.col("ord")).drop("ord")
+    items = a.select(F.col("id").alias("ord"), "source_name", "category", F.concat(F.lit("N "), F.col("source_name")).alias("title"), F.when(F.col("id") % 5 == 0, "").otherwise("new").alias("summary"), F.when(F.col("id") % 7 == 0, "").otherwise("2024-01-05 00:00:00").alias("publish_date"), F.when(F.col("id") % 3 == 0, F.concat("link", F.lit("/new"))).otherwise(F.col("link")).alias("link"), F.lit(1).alias("ilgili_mi"), F.lit(0.0).alias("guven_skoru"))
+    return upsert.merged(stored, items, AS_OF).select("id", "title", "summary", "publish_date", "link", "ilgili_mi", "guven_skoru", "category")
+
+
+@_query(f"{_NEWS}, v AS (SELECT id, id % 2 = 0 AS y FROM articles WHERE category = 'de') SELECT id, CASE WHEN y IS NULL THEN ilgili_mi ELSE CAST(y AS INTEGER) END AS ilgili_mi, CASE WHEN y IS NULL THEN relevance_status WHEN y THEN 'Stage 2 (LLM)' ELSE 'Genel (Filtresiz)' END AS relevance_status, CASE WHEN y IS NULL THEN guven_skoru ELSE 0.7 END AS guven_skoru FROM news LEFT JOIN v USING (id) WHERE id NOT IN (SELECT id FROM articles WHERE source_name = 'src9')")
+def verdicts_and_deletes(spark, sf):
+    n = _news(spark, sf)
+    v = n.where("category = 'de'").select("id", (F.col("id") % 2 == 0).alias("relevant"), F.lit("Spor").alias("category"), F.lit(0.7).alias("confidence"), F.lit("r").alias("reason"))
+    out = upsert.without_ids(upsert.with_verdicts(n, v), n.where("source_name = 'src9'").select("id"))
+    return out.select("id", "ilgili_mi", "relevance_status", "guven_skoru")
+
+
+@_query("SELECT event_id, json_extract_string(props, '$.' || (json_keys(props))[1]) AS first_value FROM events")
+def json_extract(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select("event_id", F.get(F.map_values(F.from_json("props", "map<string,string>")), F.lit(0)).alias("first_value"))
+
+
+@_query("SELECT id, '{\"id\": ' || id || '}' AS object FROM articles")
+def llm_json(spark, sf):
+    said = F.concat(F.lit("Thought {x} first.\n```json\n{\"id\": "), F.col("id").cast("string"), F.lit("}\n```\nthen {\"no\": 1}"))
+    return articles(spark, sf).select("id", text.json_object(said).alias("object"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_Q)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
