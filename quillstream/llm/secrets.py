@@ -31,18 +31,19 @@ _PARTS = "get set user name account list map index count total value data file p
 
 
 def labelled_samples(spark: SparkSession, rows: int = 6000) -> DataFrame:
-    """word, secret: random strings in three alphabets, and identifiers joined from ordinary words in four styles.
+    """word, secret: random strings in four alphabets; identifiers joined from ordinary words in seven styles, and rulers.
 
     Made from row numbers by hashing, so they are the same in each run."""
     n = spark.range(rows)
     digest = lambda i: F.sha2(F.concat(F.lit(f"{i}:"), F.col("id").cast("string")), 256)
+    kind = lambda n: F.col("id") % n
     base64 = F.substring(F.base64(F.unhex(digest(1))), 1, 40)
-    random = F.when(F.col("id") % 3 == 0, base64).when(F.col("id") % 3 == 1, F.regexp_replace(base64, "[+/=]", "x")).otherwise(F.substring(digest(2), 1, 40))
+    random = F.when(kind(4) == 0, base64).when(kind(4) == 1, F.translate(base64, "+/", "-_")).when(kind(4) == 2, F.translate(base64, "+/=", "xK7")).otherwise(F.substring(digest(2), 1, 40))
     parts = _PARTS.split()
-    word = lambda i: F.element_at(F.array(*map(F.lit, parts)), (F.pmod(F.xxhash64(F.lit(i), F.col("id")), F.lit(len(parts))) + 1).cast("int"))
-    w = [word(i) for i in range(4)]
-    style = F.col("id") % 4
-    ordinary = F.when(style == 0, F.concat_ws("_", *w)).when(style == 1, F.concat_ws("-", *w)).when(style == 2, F.concat(w[0], *map(F.initcap, w[1:]))).otherwise(F.concat(*w))
+    pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (F.pmod(F.xxhash64(F.lit(i), F.col("id")), F.lit(len(xs))) + 1).cast("int"))
+    w = [pick(parts, i) for i in range(4)]
+    styles = [F.concat_ws("_", *w), F.concat_ws("-", *w), F.concat(w[0], *map(F.initcap, w[1:])), F.concat(*w), F.concat_ws("/", *w), F.concat_ws(".", *w), F.concat(w[0], F.lit("_"), w[1], F.lit("_"), (F.col("id") % 2100).cast("string")), F.repeat(pick("-=_./+*#", 9), F.lit(40))]
+    ordinary = F.element_at(F.array(*styles), (kind(len(styles)) + 1).cast("int"))
     return n.select(random.alias("word"), F.lit(True).alias("secret")).unionByName(n.select(ordinary.alias("word"), F.lit(False).alias("secret")))
 
 
@@ -92,27 +93,27 @@ def scan(docs: DataFrame, text: str = "text", samples: DataFrame | None = None)
     the patterns. A null or empty text has no spans; equal rows get equal spans, rows without any stay."""
     spark = prepare(docs.sparkSession)
     table = train(labelled_samples(spark) if samples is None else samples)
-    keyed = with_columns(docs, {"_key": text_key(text)})
-    texts = keyed.select("_key", F.col(text).alias("_text")).where(F.col("_text").rlike(ANY))
+    keyed = with_columns(docs, {"__qs_key": text_key(text)})
+    texts = keyed.select("__qs_key", F.col(text).alias("__qs_text")).where(F.col("__qs_text").rlike(ANY))
     kinds = (*KINDS, ("markov", CANDIDATE, LEAST_CHARS, 0))
-    found = F.array(*(F.struct(F.lit(k).alias("rank"), _found(F.col("_text"), pattern, group).alias("m")) for k, (_, pattern, _, group) in enumerate(kinds)))
-    each = texts.select("_key", F.explode(found).alias("f")).select("_key", "f.rank", F.posexplode("f.m").alias("i", "m"))
-    each = each.select("_key", "rank", "i", "m.gap", "m.chars", "m.counted", F.when(F.col("rank") == 3, F.col("m.word")).alias("word")).dropDuplicates(["_key", "rank", "i"])
-    upto = Window.partitionBy("_key", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    found = F.array(*(F.struct(F.lit(k).alias("rank"), _found(F.col("__qs_text"), pattern, group).alias("m")) for k, (_, pattern, _, group) in enumerate(kinds)))
+    each = texts.select("__qs_key", F.explode(found).alias("f")).select("__qs_key", "f.rank", F.posexplode("f.m").alias("i", "m"))
+    each = each.select("__qs_key", "rank", "i", "m.gap", "m.chars", "m.counted", F.when(F.col("rank") == 3, F.col("m.word")).alias("word")).dropDuplicates(["__qs_key", "rank", "i"])
+    upto = Window.partitionBy("__qs_key", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     placed = each.withColumn("end", F.sum(F.col("gap") + F.col("chars")).over(upto)).withColumn("start", F.col("end") - F.col("chars"))
     least = F.element_at(F.array(*(F.lit(n) for _, _, n, _ in kinds)), F.col("rank") + 1)
     placed = placed.where(F.col("counted") >= least)
     score = ratio(F.col("word"), table)
     random = placed.where("rank = 3").withColumn("score", score).where((F.col("score") >= LEAST_WHOLE) & (F.col("score") >= LEAST_MEAN * (F.col("chars") - 1)))
     span = F.struct(F.col("start").cast("int").alias("start"), F.col("rank").cast("int").alias("rank"), F.col("end").cast("int").alias("end"))
-    spans = placed.where("rank < 3").select("_key", span.alias("span")).unionByName(random.select("_key", span.alias("span")))
-    per = spans.groupBy("_key").agg(F.array_sort(F.collect_list("span")).alias("_all"))
-    base = F.filter("_all", lambda s: s["rank"] < 3)
-    apart = F.filter("_all", lambda s: (s["rank"] < 3) | ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    spans = placed.where("rank < 3").select("__qs_key", span.alias("span")).unionByName(random.select("__qs_key", span.alias("span")))
+    per = spans.groupBy("__qs_key").agg(F.array_sort(F.collect_list("span")).alias("__qs_all"))
+    base = F.filter("__qs_all", lambda s: s["rank"] < 3)
+    apart = F.filter("__qs_all", lambda s: (s["rank"] < 3) | ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     names = F.array(*(F.lit(k) for k, *_ in kinds))
-    per = per.select("_key", F.transform(apart, lambda s: F.struct(s["start"], s["rank"], s["end"], F.element_at(names, s["rank"] + 1).alias("kind"))).alias("_spans"))
+    per = per.select("__qs_key", F.transform(apart, lambda s: F.struct(s["start"], s["rank"], s["end"], F.element_at(names, s["rank"] + 1).alias("kind"))).alias("__qs_spans"))
     none = F.array().cast("array<struct<start: int, rank: int, end: int, kind: string>>")
-    return with_columns(keyed.join(per, "_key", "left"), {"spans": F.coalesce(F.col("_spans"), none)}).drop("_key", "_spans")
+    return with_columns(keyed.join(per, "__qs_key", "left"), {"spans": F.coalesce(F.col("__qs_spans"), none)}).drop("__qs_key", "__qs_spans")
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", samples: DataFrame | None = None) -> DataFrame:
