@@ -164,8 +164,10 @@ def sample(docs: DataFrame, text: str, lang: str, row_id: str, rows_per_lang: in
     return sorted((r["t"], r["l"]) for r in rows)
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score (0 to 1) and rejected: score below the calibrated level, or nothing to go by."""
+def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = "") -> DataFrame:
+    """docs with lang_pred, score (0 to 1) and rejected: score below the calibrated level, or nothing to go by.
+
+    Null and empty texts, and those without a letter, are `und` with score 0. prefix goes before the new names."""
     held = prepare(docs.sparkSession).sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
@@ -174,8 +176,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             langs, score = held.value.predict(list(texts))
             yield pd.DataFrame({"lang": langs, "score": score})
 
-    out = with_columns(docs, {"_id": run(F.coalesce(F.col(text), F.lit("")))})
-    return with_columns(out, {"lang_pred": F.col("_id.lang"), "score": F.col("_id.score"), "rejected": (F.col("_id.lang") == "und") | (F.col("_id.score") < model.least)}).drop("_id")
+    run = run.asNondeterministic()  # so that a filter on its result doesn't run it again
+    out = with_columns(docs, {"__qs_id": run(F.coalesce(F.col(text), F.lit("")))})
+    return with_columns(out, {prefix + "lang_pred": F.col("__qs_id.lang"), prefix + "score": F.col("__qs_id.score"), prefix + "rejected": (F.col("__qs_id.lang") == "und") | (F.col("__qs_id.score") < model.least)}).drop("__qs_id")
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
