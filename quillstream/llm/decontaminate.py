@@ -143,8 +143,8 @@ def shards(benchmark: DataFrame, item: str, text: str, window: int, limit: int):
         yield Items(sorted((r.item, r.text) for r in part.toLocalIterator()), window)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """docs with leak: struct<n_words, spans: array<struct<start, end>> of hit words, items: array<string>>.
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, shard_words: int = SHARD_WORDS, name: str = "leak") -> DataFrame:
+    """docs with leak (or another name): struct<n_words, spans: array<struct<start, end>> of hit words, items: array<string>>.
 
     A null or empty text has no words; items that are null, have no id or no words have no windows; repeated
     items count once. Repeated rows of docs stay. An empty benchmark hits nothing."""
@@ -165,15 +165,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
                     rows.append((len(w), [{"start": a, "end": b} for a, b in spans], sorted(found)))
                 yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
 
-        return scan
+        return scan.asNondeterministic()  # so that a filter on its result doesn't run it again
 
     models = shards(benchmark, item, item_text, window, shard_words)
     first = next(models)
-    out = with_columns(docs, {"leak": scanner(first)(F.coalesce(F.col(text), F.lit("")))})
+    out = with_columns(docs, {name: scanner(first)(F.coalesce(F.col(text), F.lit("")))})
     for model in models:
         more = scanner(model)(F.coalesce(F.col(text), F.lit("")))
-        both = with_columns(out, {"_more": more})
-        out = stored(with_columns(both, {"leak": F.struct(F.col("leak.n_words").alias("n_words"), F.concat("leak.spans", "_more.spans").alias("spans"), F.array_distinct(F.concat("leak.items", "_more.items")).alias("items"))}).drop("_more"), "leaks")
+        both = with_columns(out, {"__qs_more": more})
+        out = stored(with_columns(both, {name: F.struct(F.col(f"{name}.n_words").alias("n_words"), F.concat(f"{name}.spans", "__qs_more.spans").alias("spans"), F.array_distinct(F.concat(f"{name}.items", "__qs_more.items")).alias("items"))}).drop("__qs_more"), "leaks")
     return out
 
 
@@ -190,15 +190,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
 
     Columns and clean rows stay as they are; a document without hits stays even if it is null or empty."""
     spark = prepare(docs.sparkSession)
-    found = find_leaks(docs, benchmark, text, window=window, **names)
+    found = find_leaks(docs, benchmark, text, window=window, name="__qs_leak", **names)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([without(t, sorted((x["start"], x["end"]) for x in hit)) if len(hit) else t for t, hit in zip(texts, spans, strict=True)], dtype=object)
 
-    n_hit = covered("leak.spans")
-    kept = found.where((n_hit == 0) | (n_hit < F.col("leak.n_words")) & (n_hit <= most_covered * F.col("leak.n_words")))
-    return with_columns(kept, {text: cut(F.col(text), F.col("leak.spans"))}).select(docs.columns)
+    n_hit = covered("__qs_leak.spans")
+    kept = found.where((n_hit == 0) | (n_hit < F.col("__qs_leak.n_words")) & (n_hit <= most_covered * F.col("__qs_leak.n_words")))
+    return with_columns(kept, {text: cut(F.col(text), F.col("__qs_leak.spans"))}).select(docs.columns)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

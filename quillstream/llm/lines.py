@@ -37,7 +37,7 @@ def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", ratio
     return lines.join(totals, lines.host.eqNullSafe(totals.h)).select("host", "line", "pages", (F.col("pages") / F.col("total")).alias("share")).where(F.col("share") > ratio)
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES, prefix: str = "") -> DataFrame:
     """docs with their boilerplate lines removed, and n_lines, n_dropped, both counting lines that aren't blank.
 
     Lines are compared without blanks at their ends. A null text stays null; a null host is a host of its own.
@@ -46,21 +46,21 @@ def dedup_lines(docs: DataFrame, text: str = "text", host: str = "source", ratio
     over `ratio`), but hosts may be many: they are joined as one array per host, and rows of a hot host are dealt
     over partitions by the row's key beside the host, so the array is repeated for each salt of it."""
     prepare(docs.sparkSession)
-    found = boilerplate(docs, text, host, ratio, least_pages).groupBy("host").agg(F.collect_set("line").alias("_drop"))
+    found = boilerplate(docs, text, host, ratio, least_pages).groupBy("host").agg(F.collect_set("line").alias("__qs_drop"))
     found = stored(found, "boilerplate")
     salts = 64
-    salted = found.withColumn("_salt", F.explode(F.array(*map(F.lit, range(salts)))))
-    rows = with_columns(docs, {"_salt": F.pmod(text_key(text), F.lit(salts)).cast("int"), "_host": F.col(f"`{host}`")})
-    joined = rows.join(salted.withColumnRenamed("host", "_h"), F.col("_host").eqNullSafe(F.col("_h")) & (rows["_salt"] == salted["_salt"]), "left").drop(salted["_salt"])
+    salted = found.withColumn("__qs_salt", F.explode(F.array(*map(F.lit, range(salts)))))
+    rows = with_columns(docs, {"__qs_salt": F.pmod(text_key(text), F.lit(salts)).cast("int"), "__qs_host": F.col(f"`{host}`")})
+    joined = rows.join(salted.withColumnRenamed("host", "__qs_h"), F.col("__qs_host").eqNullSafe(F.col("__qs_h")) & (rows["__qs_salt"] == salted["__qs_salt"]), "left").drop(salted["__qs_salt"])
     lines = F.split(F.col(text), "\n")
-    drop = F.coalesce(F.col("_drop"), F.array().cast("array<bigint>"))
+    drop = F.coalesce(F.col("__qs_drop"), F.array().cast("array<bigint>"))
     goes = lambda x: (_line(x) != "") & F.array_contains(drop, _key(x))
     counts = {"n_lines": F.coalesce(F.size(F.filter(lines, lambda x: _line(x) != "")), F.lit(0)), "n_dropped": F.coalesce(F.size(F.filter(lines, goes)), F.lit(0))}
     counts["n_lines"] = F.when(F.col(text).isNull(), 0).otherwise(counts["n_lines"])
-    counts["n_dropped"] = F.when(F.col(text).isNull() | F.col("_drop").isNull(), 0).otherwise(counts["n_dropped"])
-    clean = F.when(F.col(text).isNull() | F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, lambda x: ~goes(x)), "\n"))
-    out = with_columns(joined, {**{k: v.cast("long") for k, v in counts.items()}, "_text": clean})
-    return with_columns(out, {text: F.col("_text")}).drop("_salt", "_host", "_h", "_drop", "_text")
+    counts["n_dropped"] = F.when(F.col(text).isNull() | F.col("__qs_drop").isNull(), 0).otherwise(counts["n_dropped"])
+    clean = F.when(F.col(text).isNull() | F.col("__qs_drop").isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, lambda x: ~goes(x)), "\n"))
+    out = with_columns(joined, {**{prefix + k: v.cast("long") for k, v in counts.items()}, "__qs_text": clean})
+    return with_columns(out, {text: F.col("__qs_text")}).drop("__qs_salt", "__qs_host", "__qs_h", "__qs_drop", "__qs_text")
 
 
 LINES_SQL = """

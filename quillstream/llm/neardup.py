@@ -208,7 +208,7 @@ def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """A long key for every row: the id if no two rows share one and none is null; else a hash of id and text."""
     twice = docs.groupBy(F.col(doc_id).alias("i")).count().where("count > 1 or i is null").limit(1).count()
     plain = dict(docs.dtypes)[doc_id] == "bigint" and not twice
-    return with_columns(docs, {"_k": F.col(doc_id) if plain else F.xxhash64(F.col(doc_id).cast("string"), F.coalesce(F.col(text), F.lit("")))})
+    return with_columns(docs, {"__qs_k": F.col(doc_id) if plain else F.xxhash64(F.col(doc_id).cast("string"), F.coalesce(F.col(text), F.lit("")))})
 
 
 def near_classes(rows: DataFrame, weighted: bool = False, words: int = WORDS, similar: float = SIMILAR, bands: int = BANDS, band_rows: int = ROWS, bucket_rows: int = BUCKET_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -400,20 +400,22 @@ def heavy_links(sets: DataFrame, similar: float, part_rows: int) -> DataFrame:
         state = stored(state.select("k", "g", "hub", F.coalesce("new", "label").alias("label"), (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")), "state")
 
 
-def classify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+def classify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", prefix: str = "", **options) -> DataFrame:
     """docs with class_id (the smallest id of its class), class_size and keep (whether it is the one that stays).
 
-    A document without similar ones is a class of its own, as is one without words (null and empty texts). Equal
+    prefix goes before the new columns' names. A document without similar ones is a class of its own, as is one without words (null and empty texts). Equal
     rows are of one class; of those with the smallest id exactly one stays. Null ids come last."""
     prepare(docs.sparkSession)
     keyed = _keyed(docs, text, doc_id)
-    found = near_classes(keyed.select(F.col("_k").alias("k"), F.col(text).alias("t")), **options).withColumnRenamed("k", "_j")
-    light = keyed.select("_k", F.col(doc_id).alias("_i"), (F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "")) > 0).alias("_w"))
-    light = light.groupBy("_k", "_i", "_w").agg(F.count("*").alias("_n")).join(found, F.col("_k") == F.col("_j"), "left")
-    light = light.withColumn("_label", F.coalesce("label", "_k"))
-    per = light.groupBy("_label").agg(F.min("_i").alias("class_id"), F.sum("_n").alias("class_size"), F.min_by("_k", F.struct(F.col("_i").isNull(), "_i", "_k")).alias("_first"))
-    known = light.select("_k", "_label", "_w").join(per, "_label").select("_k", "class_id", F.when(F.col("_w"), F.col("class_size")).otherwise(1).cast("long").alias("class_size"), ((F.col("_k") == F.col("_first")) | ~F.col("_w")).alias("keep"))
-    return with_columns(keyed.join(known.withColumnRenamed("_k", "_j"), F.col("_k") == F.col("_j")).drop("_j"), {"class_id": F.col("class_id"), "class_size": F.col("class_size"), "keep": F.col("keep")})
+    found = near_classes(keyed.select(F.col("__qs_k").alias("k"), F.col(text).alias("t")), **options).withColumnRenamed("k", "__qs_j")
+    light = keyed.select("__qs_k", F.col(doc_id).alias("__qs_i"), (F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "")) > 0).alias("__qs_w"))
+    light = light.groupBy("__qs_k", "__qs_i", "__qs_w").agg(F.count("*").alias("__qs_n")).join(found, F.col("__qs_k") == F.col("__qs_j"), "left")
+    light = light.withColumn("__qs_label", F.coalesce("label", "__qs_k"))
+    per = light.groupBy("__qs_label").agg(F.min("__qs_i").alias("class_id"), F.sum("__qs_n").alias("class_size"), F.min_by("__qs_k", F.struct(F.col("__qs_i").isNull(), "__qs_i", "__qs_k")).alias("__qs_first"))
+    known = light.select(F.col("__qs_k").alias("__qs_j"), "__qs_label", "__qs_w").join(per, "__qs_label")
+    known = known.select("__qs_j", F.col("class_id").alias("__qs_class"), F.when(F.col("__qs_w"), F.col("class_size")).otherwise(1).cast("long").alias("__qs_size"), ((F.col("__qs_j") == F.col("__qs_first")) | ~F.col("__qs_w")).alias("__qs_keep"))
+    out = with_columns(keyed.join(known, F.col("__qs_k") == F.col("__qs_j")), {prefix + "class_id": F.col("__qs_class"), prefix + "class_size": F.col("__qs_size"), prefix + "keep": F.col("__qs_keep")})
+    return out.drop("__qs_j", "__qs_class", "__qs_size", "__qs_keep")
 
 
 def class_report(docs: DataFrame, **options) -> DataFrame:
@@ -423,6 +425,8 @@ def class_report(docs: DataFrame, **options) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """One document of each class, the one with the smallest id; of equal rows one. Documents without words all stay."""
-    marked = classify(docs, text, doc_id, **options).where("keep")
-    once = marked.where("class_size = 1").drop("_k")
-    return once.select(docs.columns).unionByName(marked.where("class_size > 1").dropDuplicates(["_k"]).select(docs.columns))
+    marked = classify(docs, text, doc_id, prefix="__qs_", **options).where("__qs_keep")
+    # only rows with words that are of one key can be equal
+    turn = F.row_number().over(Window.partitionBy("__qs_k").orderBy("__qs_class_id"))
+    once, several = marked.where("__qs_class_size = 1"), marked.where("__qs_class_size > 1").withColumn("__qs_turn", turn).where("__qs_turn = 1")
+    return once.select(docs.columns).unionByName(several.select(docs.columns))

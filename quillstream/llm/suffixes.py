@@ -182,7 +182,7 @@ def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     twice = docs.groupBy(F.col(doc_id).alias("i")).count().where("count > 1 or i is null").limit(1).count()
     plain = dict(docs.dtypes)[doc_id] == "bigint" and not twice
     key = F.col(doc_id) if plain else F.xxhash64(F.col(doc_id).cast("string"), F.coalesce(F.col(text), F.lit("")))
-    return with_columns(docs, {"_k": key})
+    return with_columns(docs, {"__qs_k": key})
 
 
 def repeated_spans(rows: DataFrame, least: int = LEAST, gram: int = GRAM, first_stays: bool = False, hot: int = HOT, array_bytes: int = ARRAY_BYTES) -> DataFrame:
@@ -310,17 +310,18 @@ def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def _with_spans(docs: DataFrame, text: str, doc_id: str, **options) -> DataFrame:
     keyed = _keyed(docs, text, doc_id)
-    rows = keyed.select(F.col("_k").alias("k"), F.col(text).cast("binary").alias("t"))
-    spans = repeated_spans(rows, **options).select(F.col("k").alias("_j"), F.col("spans").alias("_spans"))
-    return keyed.join(spans, F.col("_k") == F.col("_j"), "left")
+    rows = keyed.select(F.col("__qs_k").alias("k"), F.col(text).cast("binary").alias("t"))
+    spans = repeated_spans(rows, **options).select(F.col("k").alias("__qs_j"), F.col("spans").alias("__qs_spans"))
+    return keyed.join(spans, F.col("__qs_k") == F.col("__qs_j"), "left")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST, first_stays: bool = True, **options) -> DataFrame:
-    """docs without the strings of `least` bytes that stand at an earlier place too (by id, then by place), or, if not
-    first_stays, at any other place. Of a code point that is cut, the whole stays.
+    """docs without the strings of `least` bytes that stand at an earlier place too, or, if not first_stays, at any
+    other place. Earlier is by id, then by place; where ids repeat or are null, by a hash of id and text in place of
+    the id. Of a code point that is cut, the whole stays.
 
-    Null and short texts stay as they are; equal rows are copies, and of those with one id and text all count as
-    later ones."""
+    Null and short texts stay as they are. Rows that agree in id and text are copies of each other, which lose the
+    same: all of it if not first_stays, nothing for each other's sake otherwise."""
     prepare(docs.sparkSession)
 
     @F.pandas_udf("string")
@@ -343,7 +344,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return pd.Series(out, dtype=object)
 
     found = _with_spans(docs, text, doc_id, least=least, first_stays=first_stays, **options)
-    return with_columns(found, {text: cut(F.col(text), F.col("_spans"))}).select(docs.columns)
+    return with_columns(found, {text: cut(F.col(text), F.col("__qs_spans"))}).select(docs.columns)
 
 
 def repeat_report(docs: DataFrame, **options) -> DataFrame:
@@ -362,8 +363,8 @@ def repeat_report(docs: DataFrame, **options) -> DataFrame:
         return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept_sha256"])
 
     found = _with_spans(docs.select("doc_id", "text"), "text", "doc_id", first_stays=False, **options)
-    has = F.col("_spans").isNotNull()
+    has = F.col("__qs_spans").isNotNull()
     empty = F.array().cast("array<struct<a: int, b: int>>")
-    out = with_columns(found, {"_d": digest(F.when(has, F.col("text").cast("binary")), F.coalesce(F.col("_spans"), empty))})
+    out = with_columns(found, {"__qs_d": digest(F.when(has, F.col("text").cast("binary")), F.coalesce(F.col("__qs_spans"), empty))})
     t = F.coalesce(F.col("text"), F.lit(""))
-    return out.select("doc_id", F.octet_length(t).cast("long").alias("n_bytes"), F.when(has, F.col("_d.n_removed")).otherwise(0).cast("long").alias("n_removed"), F.when(has, F.col("_d.n_spans")).otherwise(0).cast("long").alias("n_spans"), F.when(has, F.col("_d.kept_sha256")).otherwise(F.sha2(t, 256)).alias("kept_sha256"))
+    return out.select("doc_id", F.octet_length(t).cast("long").alias("n_bytes"), F.when(has, F.col("__qs_d.n_removed")).otherwise(0).cast("long").alias("n_removed"), F.when(has, F.col("__qs_d.n_spans")).otherwise(0).cast("long").alias("n_spans"), F.when(has, F.col("__qs_d.kept_sha256")).otherwise(F.sha2(t, 256)).alias("kept_sha256"))
