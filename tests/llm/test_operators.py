@@ -1,0 +1,391 @@
+"""Each operator against brute force, the library it must agree with, or held-out accuracy."""
+
+import collections
+import hashlib
+import os
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quillstream.llm import decontaminate, graph, htmltext, language, lines, mixing, neardup, neighbours, queries, secrets, suffixes, tokens
+
+SF = "/root/testdata/sf0.01"
+here = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+
+
+def docs_of(spark, texts, first=0):
+    return spark.createDataFrame([(i + first, t) for i, t in enumerate(texts)], "doc_id long, text string")
+
+
+# -- 5: token counts
+
+
+def test_tokens_agree_with_the_library(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = queries.vocabulary()
+    theirs = tokenizers.Tokenizer.from_file(path)
+    r = random.Random(1)
+    letters = "ab 'stre\n\t é\x85　\x1c1٣²½.,!?中😀  \xa0<|endoftext|>\r\x0b"
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(800)] + ["a<|endoftext|> b", "x" * 20000, "   lead", "trail   ", "don't I'll we've", "über naïve ﬁ"]
+    ours = {x.doc_id: x for x in tokens.count_tokens(docs_of(spark, texts), path, limit=5).collect()}
+    for i, t in enumerate(texts):
+        n = len(theirs.encode(t, add_special_tokens=False).ids)
+        assert (ours[i].n_tokens, ours[i].n_bytes, ours[i].over_limit) == (n, len(t.encode()), n > 5), t
+
+
+# -- 2: decontamination
+
+
+def brute_leaks(docs, items, window):
+    grams = collections.defaultdict(set)
+    for i, t in items:
+        w = decontaminate.words(t)
+        n = min(window, len(w))
+        for k in range(len(w) - n + 1) if n else ():
+            grams[tuple(w[k : k + n])].add(str(i))
+    out = {}
+    for i, t in docs:
+        w, hit, found = decontaminate.words(t), set(), set()
+        for n in {len(g) for g in grams}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in grams:
+                    hit |= set(range(k, k + n))
+                    found |= grams[tuple(w[k : k + n])]
+        out[i] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
+    return out
+
+
+@pytest.mark.parametrize("shard_words", [10**6, 40])
+def test_leaks_by_brute_force(spark, shard_words):
+    r = random.Random(shard_words)
+    some = lambda n: " ".join(r.choice(["a", "B", "c", "dé", "e-f"]) for _ in range(n))
+    items = [(i, some(r.randint(0, 14))) for i in range(25)]
+    docs = [(i, some(r.randint(0, 60)) + r.choice(items)[1] + " " + some(5)) for i in range(120)]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.leak_report(spark.createDataFrame(docs, "doc_id long, text string"), b, window=4, shard_words=shard_words)
+    assert {x[0]: tuple(x)[1:] for x in got.collect()} == brute_leaks(docs, items, 4)
+
+
+def test_clean_text_stays_and_passages_go(spark):
+    passage = "One two three four five six seven eight nine TEN"
+    docs = docs_of(spark, ["Nothing here.", f"Before the cut, {passage}; after the cut comes quite a lot of other text, long enough to stay.", passage])
+    got = {x.doc_id: x.text for x in decontaminate.decontaminate(docs, spark.createDataFrame([(1, passage.lower())], "item_id long, text string")).collect()}
+    assert got == {0: "Nothing here.", 1: "Before the cut, ; after the cut comes quite a lot of other text, long enough to stay."}
+
+
+# -- 3: mixing
+
+
+def test_mix_meets_targets(spark):
+    r = random.Random(4)
+    rows = [(i, " ".join("w" for _ in range(r.randint(0, 400))), r.choice(["a"] * 30 + ["b", "c", "d", None])) for i in range(900)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(d).collect()
+    again = {x.doc_id: x.taken for x in mixing.mix(d.repartition(3)).collect()}
+    size = {i: len(t.split()) for i, t, _ in rows}
+    total, by = sum(size.values()), collections.defaultdict(list)
+    for x in got:
+        by[x.source].append(x)
+        assert x.size == size[x.doc_id] and 0 <= x.taken <= 3 * x.size and again[x.doc_id] == x.taken
+    for xs in by.values():
+        assert sum(x.size for x in xs) == xs[0].source_size and xs[0].target <= 3 * xs[0].source_size
+        assert sum(x.taken for x in xs) == int(xs[0].target)
+    assert abs(sum(xs[0].target for xs in by.values()) - total) < 1e-6
+
+
+def test_schedule_is_even_in_every_stretch(spark):
+    plan = spark.createDataFrame([(0, 600, 600.0, 10), (1, 200, 300.0, 4), (2, 500, 100.0, 8)], "place int, source_size long, target double, blocks long")
+    slots = sorted((s.slot, s.place) for s in mixing.schedule(plan, 1, 1000).where("slot is not null").collect())
+    first = [p for _, p in slots[:10]]
+    assert collections.Counter(first)[0] in (5, 6, 7) and set(first) == {0, 1, 2}
+
+
+# -- 4: pages
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head><body>
+<header><a href="/">Site</a></header><nav><ul><li><a href="/x">Menu</a></ul></nav><div class="cookie-notice"><p>We use cookies</p></div>
+%s<aside><p>Side</p></aside><div id="comments"><p>Great read, thank you all so much for it!</p></div>
+<form><input value="x"><label>Mail</label></form><div class="ad">Buy now</div><!-- <p>gone</p> --><footer>&copy; 2024</footer></body></html>"""
+ARTICLE = "<h1>A &lt;fine&gt; title</h1><p>First  paragraph\nwith <b>bold</b> and a <a href='/y'>link</a>, long enough to matter to anyone.<p>Second &amp; unclosed&nbsp;one, which is also of some length.<ul><li>Item one<li>Item two</ul><p>Third.</p>"
+TEXT = ["A <fine> title", "First paragraph with bold and a link, long enough to matter to anyone.", "Second & unclosed one, which is also of some length.", "Item one", "Item two", "Third."]
+
+
+@pytest.mark.parametrize("wrap", ["<article>%s</article>", "<main><header><p>By me</p></header>%s</main>", "<div id='content'>%s</div>", "<div><div class='post'>%s</div></div>", "<article><div class='share'>Share it</div>%s<section class='comments'><article><p>nice</p></article></section></article>"])
+def test_main_text(wrap):
+    expected = (["By me"] if "By me" in wrap else []) + TEXT
+    assert htmltext.main_text(PAGE % (wrap % ARTICLE)) == "\n\n".join(expected)
+
+
+def test_broken_markup_ends():
+    for h in ("<", "<p", "<p class='", "<!--", "<script>", "</p></div></body>", "<a <b <c", "<p>" * 5000, "<" * 20000, "<p a=\"" * 3000):
+        htmltext.main_text(h)
+    assert htmltext.main_text("<body><nav><a>Menu</a></nav><p>a &lt;b&gt;") == "a <b>"
+
+
+# -- 6: suffix arrays
+
+
+def brute_repeats(docs, least):
+    seen = collections.Counter()
+    for _, t in docs:
+        b = (t or "").encode()
+        seen.update(b[s : s + least] for s in range(len(b) - least + 1))
+    out = {}
+    for i, t in docs:
+        b = (t or "").encode()
+        gone = set()
+        for s in range(len(b) - least + 1):
+            if seen[b[s : s + least]] > 1:
+                gone |= set(range(s, s + least))
+        n = sum(q - 1 not in gone for q in gone)
+        out[i] = (len(b), len(gone), n, hashlib.sha256(bytes(x for q, x in enumerate(b) if q not in gone)).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("hot, array_bytes", [(2048, 1_500_000), (2048, 300), (1, 300)])
+def test_repeats_by_brute_force(spark, hot, array_bytes):
+    r = random.Random(hot + array_bytes)
+    some = lambda n: "".join(r.choice("abcdeé ") for _ in range(n))
+    shared = [some(r.randint(15, 120)) for _ in range(6)]
+    docs = [(i, "".join(r.choice([some(r.randint(0, 40)), r.choice(shared), r.choice(shared)[r.randint(0, 10) :], "ab" * r.randint(0, 30)]) for _ in range(r.randint(0, 5)))) for i in range(100)]
+    docs += [(200, docs[5][1]), (201, "x" * 90), (202, "x" * 19), (203, ""), (204, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x[0]: tuple(x)[1:] for x in suffixes.repeat_report(d, least=20, gram=6, hot=hot, array_bytes=array_bytes).collect()}
+    assert got == brute_repeats(docs, 20)
+    # the first place of every string stays: what is left has no string twice that the input had twice
+    first = {x.doc_id: x.text for x in suffixes.remove_repeats(d, least=20, gram=6, hot=hot, array_bytes=array_bytes).collect()}
+    earlier = set()
+    for i, t in docs:
+        b = (t or "").encode()
+        gone = set()
+        for s in range(len(b) - 19):
+            if b[s : s + 20] in earlier:
+                gone |= set(range(s, s + 20))
+            earlier.add(b[s : s + 20])
+        if all(x < 128 for x in b):
+            assert (first[i] or "") == "".join(c for q, c in enumerate(t or "") if q not in gone)
+
+
+def test_previous_factors():
+    text = b"abracadabra abracadabra"
+    order, ranks = suffixes.suffix_order(np.frombuffer(text, np.uint8).astype(np.int32), 64)
+    common = np.r_[0, suffixes.common_prefix(ranks, order[:-1], order[1:])]
+    longest = np.zeros(len(text), int)
+    longest[order] = suffixes.previous_factors(order, common)
+    for i in range(len(text)):
+        best = max((n for n in range(len(text) - i + 1) if any(text[j : j + n] == text[i : i + n] for j in range(i))), default=0)
+        assert longest[i] == best
+
+
+# -- 7: near-duplicates
+
+
+def test_signatures_estimate_weighted_similarity():
+    r = np.random.default_rng(1)
+    e = r.integers(0, 2**63, 120, dtype=np.uint64)
+    a, b = r.integers(1, 6, 100).astype(float), r.integers(1, 6, 100).astype(float)
+    x, y = dict(zip(e[:100].tolist(), a)), dict(zip(e[20:].tolist(), b))
+    true = sum(min(x.get(k, 0), y.get(k, 0)) for k in e.tolist()) / sum(max(x.get(k, 0), y.get(k, 0)) for k in e.tolist())
+    s = neardup.signatures([(e[:100], a), (e[20:], b)], 4000)
+    assert abs((s[0] == s[1]).mean() - true) < 0.03
+
+
+def brute_classes(docs, weighted):
+    def bag(t):
+        w = (t or "").lower().split()
+        c = collections.Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else collections.Counter()
+        return c if weighted else collections.Counter(set(c))
+
+    bags, up = {i: bag(t) for i, t in docs}, {i: i for i, _ in docs}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in up:
+        for j in up:
+            x, y = bags[i], bags[j]
+            if j < i and x and y and sum((x & y).values()) >= 0.8 * sum((x | y).values()):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    return {i: root(i) for i in up}
+
+
+@pytest.mark.parametrize("options", [{}, {"group_rows": 5}, {"bucket_rows": 4}, {"weighted": True}])
+def test_classes_by_brute_force(spark, options):
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6))) for _ in range(400)]
+    some = lambda n: [r.choice(words) for _ in range(n)]
+    base, common, docs = [some(r.randint(3, 150)) for _ in range(25)], some(40), []
+    for i in range(350):
+        kind, t = r.random(), list(r.choice(base))
+        if kind < 0.5:
+            for _ in range(r.randint(0, max(1, len(t) // 25))):
+                t[r.randrange(len(t))] = r.choice(words)
+        elif kind < 0.7:
+            t = some(r.randint(20, 60)) + common + some(5)
+        elif kind < 0.8:
+            t = some(r.randint(0, 30))
+        elif kind < 0.85:
+            t = t + t
+        docs.append((i, " ".join(t)))
+    docs += [(1000, docs[5][1]), (1001, docs[5][1].upper()), (1002, None)]
+    got = {x.doc_id: x.class_id for x in neardup.class_report(spark.createDataFrame(docs, "doc_id long, text string"), **options).collect()}
+    assert got == brute_classes(docs, options.get("weighted", False))
+
+
+def test_components(spark):
+    r = random.Random(2)
+    edges = [(i, i + 1) for i in range(40)] + [(r.randint(50, 150), r.randint(50, 150)) for _ in range(60)]
+    up = list(range(200))
+    for _ in up:
+        for a, b in edges:
+            up[a] = up[b] = min(up[a], up[b])
+    got = {x.node: x.label for x in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {n: up[n] for e in edges for n in e if e[0] != e[1]}
+
+
+# -- 8: lines
+
+
+def test_boilerplate_lines(spark):
+    rows = [(i, f"Header\nstory {i}\n\n  Header \nend {i % 7}", "h") for i in range(60)] + [(100 + i, f"Header\nother {i}", None) for i in range(4)]
+    got = {x.doc_id: x for x in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), ratio=0.5).collect()}
+    assert got[3].text == "story 3\n\nend 3" and (got[3].n_lines, got[3].n_dropped) == (4, 2)
+    assert got[101].text == "Header\nother 1"  # too few pages
+
+
+def test_copies_of_a_page_are_one_page(spark):
+    rows = [(i, "same line\nsame end", "h") for i in range(50)] + [(100 + i, f"a {i}", "h") for i in range(9)]
+    assert all(x.n_dropped == 0 for x in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+
+
+# -- 9: secrets
+
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def brute_secrets(t):
+    t, out = t or "", []
+    out += [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(t) if len(m[2]) >= 8]
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+    out.sort()
+    said = ",".join(f"{k}:{a}:{b}" for a, _, b, k in out)
+    return ([sum(o[1] == k for o in out) for k in range(3)], hashlib.sha256(said.encode()).hexdigest(), said)
+
+
+def test_base_spans_by_brute_force(spark):
+    r = random.Random(2)
+    parts = ["password", "Token", "secret", "API_KEY", "apikey", '"', "'", " ", ":", "=", "abcdef0123456789" * 2, "AKIA", "ABCDEFGHIJKLMNOP", "xY9+/=_-.", "é", "😀", "\n", "a1b2c3d4", "deadbeef" * 4]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 25))) if i % 50 else None for i in range(1200)]
+    got = {x.doc_id: x for x in secrets.secret_report(docs_of(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        counts, digest, said = brute_secrets(t)
+        assert ([got[i].n_assign, got[i].n_access, got[i].n_hex], got[i].base_sha256) == (counts, digest), t
+        assert [s for s in got[i].spans.split(",") if not s.startswith("markov")] == said.split(",") or not said
+
+
+def test_markov_models_tell_random_strings_from_names(spark):
+    r = random.Random(9)
+    b62 = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    random_ = ["".join(r.choice(b62) for _ in range(36)) for _ in range(40)]
+    names = ["getCustomerAccountNumberFromServer", "max_number_of_open_connections", "load-balancer-health-check-interval", "internationalizationandlocalization", "transactionIsolationLevelReadCommitted", "================================", "--------------------------------------"]
+    got = [x.spans for x in secrets.secret_report(docs_of(spark, [f"see {w} here" for w in random_ + names])).orderBy("doc_id").collect()]
+    assert sum(s == f"markov:4:{4 + 36}" for s in got[:40]) >= 38
+    assert got[40:] == [""] * len(names)
+
+
+def test_redaction(spark):
+    got = secrets.redact(docs_of(spark, ["a token=abcdefgh12 b", "none"])).orderBy("doc_id").collect()
+    assert [x.text for x in got] == ["a [SECRET] b", "none"]
+
+
+# -- 10: languages
+
+
+@here
+def test_held_out_accuracy(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    got = language.language_report(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(got) > 200 and np.mean([x.lang == x.lang_pred for x in got]) > 0.97
+    assert all(0 <= x.score <= 1 for x in got) and not any(x.rejected for x in got)
+
+
+def test_lang_of_short_and_empty_texts():
+    model = language.fit([("the cat and the dog were here today", "en"), ("der hund und die katze sind hier heute", "de")] * 30)
+    assert model.predict(["the dog", "die katze", "", None, "123 ..."])[0] == ["en", "de", "und", "und", "und"]
+    assert language.fit([]).predict(["text"])[0] == ["und"]
+
+
+# -- 1: neighbours
+
+
+@here
+def test_recall_and_exact_scores(spark):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = e.collect()
+    v, ids = np.array([r.embedding for r in rows], np.float64), np.array([r.vec_id for r in rows])
+    got = collections.defaultdict(list)
+    for x in neighbours.neighbour_report(e).collect():
+        got[x.query_id].append(x)
+    hits = n = 0
+    for q in ids[ids % 100 == 0]:
+        d = np.sqrt(((v - v[ids == q][0]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        best = np.lexsort((ids, d))[:10]
+        mine = sorted(got[q], key=lambda x: x.rank)
+        assert [x.rank for x in mine] == list(range(1, 11))
+        assert [(x.score, x.vec_id) for x in mine] == sorted((x.score, x.vec_id) for x in mine)
+        assert all(abs(x.score - d[ids == x.vec_id][0]) < 1e-12 for x in mine)
+        hits, n = hits + len({x.vec_id for x in mine} & set(ids[best].tolist())), n + 10
+    assert hits / n >= 0.9
+
+
+def test_common_vector_and_ties(spark):
+    r = np.random.default_rng(3)
+    v = r.normal(size=(3000, 8))
+    v[::3] = v[0]
+    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for x in neighbours.neighbour_report(e, block=100).collect():
+        got[x.query_id].append((x.rank, x.vec_id, x.score))
+    assert sorted(got[0]) == [(k, 3 * k, 0.0) for k in range(1, 11)]
+    assert sorted(got[300])[:3] == [(1, 0, 0.0), (2, 3, 0.0), (3, 6, 0.0)]
+    assert all(len(x) == 10 for x in got.values()) and len(got) == 30
+
+
+def test_walk_finds_what_a_scan_finds():
+    r = np.random.default_rng(1)
+    index = neighbours.build(r.normal(size=(8000, 6)), 1000, 10)
+    q = r.normal(size=(200, 6))
+    at, d = index.search(q, 20)
+    true = np.sort(np.sqrt(neighbours.squared(q, index.centroids)), axis=1)[:, :20]
+    assert (np.abs(d - true) < 1e-9).mean() > 0.9
+
+
+@here
+def test_queries_and_sql_agree(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.execute(f"create view {f.split('.')[0]} as select * from read_parquet('{SF}/{f}')")
+    for name, sql in queries.oracle_sql().items():
+        got = queries.queries()[name](spark, SF)
+        theirs = con.execute(sql).fetchall()
+        columns = [d[0] for d in con.description]
+        assert sorted(columns) == sorted(got.columns)
+        assert sorted(map(repr, theirs)) == sorted(repr(tuple(x)) for x in got.select(columns).collect()), name
+
+
+@here
+def test_pipeline_runs(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert got.count() > 100 and got.agg(F.sum("taken")).first()[0] > 0
