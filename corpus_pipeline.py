@@ -19,13 +19,13 @@ def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter and those that the calibrated model can't place go."""
     prepare(spark)
-    found = language.identify(docs, language.learn(docs))
-    return found.where(~F.col("rejected")).select(docs.columns)
+    found = language.identify(docs, language.learn(docs), prefix="__qs_")
+    return found.where(~F.col("__qs_rejected")).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines of each source go."""
-    return _measured(lines.dedup_lines(docs), docs.columns)
+    return _measured(lines.dedup_lines(docs, prefix="__qs_"), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
