@@ -76,12 +76,15 @@ def least_of_windows(x: np.ndarray, size: int) -> np.ndarray:
 
 
 def segments(text: bytes, least: int = LEAST, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
-    """First window start, number of window starts, bucket and hash of each segment of a text, in slices."""
+    """First window start, number of window starts, bucket, hash and whether it may repeat in itself of each segment of
+    a text, in slices. A segment can only repeat in itself if its smallest gram stands in it twice: then the first
+    one of its first window isn't the last one of its last window."""
     data, width = np.frombuffer(text, np.uint8), least - gram + 1
     for at in range(0, len(data) - least + 1, SLICE):
         part = data[at : at + SLICE + least - 1]
         h = Hashes(part)
-        lowest = least_of_windows(h.all(gram), width)
+        grams = h.all(gram)
+        lowest = least_of_windows(grams, width)
         first = np.r_[0, np.flatnonzero(lowest[1:] != lowest[:-1]) + 1]
         count = np.diff(np.r_[first, len(lowest)])
         if count.max() > width:  # periodic text
@@ -90,7 +93,13 @@ def segments(text: bytes, least: int = LEAST, gram: int = GRAM) -> Iterator[tupl
             turn = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             first, left = first[owner] + turn * width, count[owner] - turn * width
             count = np.minimum(left, width)
-        yield first + at, count, lowest[first].view(np.int64), h(first, first + count + least - 1).view(np.int64)
+        twice, windows = np.zeros(len(first), bool), np.lib.stride_tricks.sliding_window_view(grams, width)
+        for i in range(0, len(first), 4096):
+            a, b = first[i : i + 4096], first[i : i + 4096] + count[i : i + 4096] - 1
+            left = a + (windows[a] == lowest[a][:, None]).argmax(axis=1)
+            right = b + width - 1 - (windows[b] == lowest[a][:, None])[:, ::-1].argmax(axis=1)
+            twice[i : i + 4096] = left != right
+        yield first + at, count, lowest[first].view(np.int64), h(first, first + count + least - 1).view(np.int64), twice
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -192,15 +201,15 @@ def repeated_spans(rows: DataFrame, least: int = LEAST, gram: int = GRAM, first_
         for batch in batches:
             got = [(k, *s) for k, t in zip(batch.k, batch.t, strict=True) if t is not None and len(t) >= least for s in segments(bytes(t), least, gram)]
             if got:
-                yield pd.DataFrame({"k": np.repeat(np.array([g[0] for g in got], np.int64), [len(g[1]) for g in got]), **{c: np.concatenate([g[i] for g in got]).astype(kind) for i, (c, kind) in enumerate((("s", "int32"), ("n", "int16"), ("m", "int64"), ("x", "int64")), 1)}})
+                yield pd.DataFrame({"k": np.repeat(np.array([g[0] for g in got], np.int64), [len(g[1]) for g in got]), **{c: np.concatenate([g[i] for g in got]).astype(kind) for i, (c, kind) in enumerate((("s", "int32"), ("n", "int16"), ("m", "int64"), ("x", "int64"), ("own", "bool")), 1)}})
 
-    every = stored(rows.mapInPandas(cut, "k long, s int, n short, m long, x long"), "segments")
-    shared = every.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m")
+    every = stored(rows.mapInPandas(cut, "k long, s int, n short, m long, x long, own boolean"), "segments")
+    shared = every.groupBy("m").agg(F.count("*").alias("c"), F.max("own").alias("own")).where("c > 1 or own").select("m")
     live = stored(every.join(shared, "m", "left_semi"), "live")
     # one row for each distinct segment of a bucket, with its first place
-    kinds = live.groupBy("m", "x").agg(F.count("*").alias("c"), F.min(F.struct("k", "s", "n")).alias("at"))
+    kinds = live.groupBy("m", "x").agg(F.count("*").alias("c"), F.min(F.struct("k", "s", "n")).alias("at"), F.max("own").alias("own"))
     kinds = stored(kinds, "kinds")
-    buckets = kinds.groupBy("m").agg(F.count("*").alias("distinct"), F.min("c").alias("rarest")).where("distinct > 1")
+    buckets = kinds.groupBy("m").agg(F.count("*").alias("distinct"), F.min("c").alias("rarest"), F.max("own").alias("own")).where("distinct > 1 or own")
     if not first_stays:
         buckets = buckets.where("rarest = 1")
     repeated = kinds.where("c > 1").select("m", "x", F.col("at.k").alias("k0"), F.col("at.s").alias("s0"))
@@ -210,7 +219,7 @@ def repeated_spans(rows: DataFrame, least: int = LEAST, gram: int = GRAM, first_
     span = F.struct(F.col("s").alias("a"), (F.col("s") + F.col("n") + least - 1).alias("b"))
     whole = whole.select("k", span.alias("span"))
     # texts of the segments that differ
-    wanted = kinds.join(buckets, "m").select("m", "distinct", "at.*")
+    wanted = kinds.join(buckets.select("m", "distinct"), "m").select("m", "distinct", "at.*")
     lists = wanted.groupBy("k").agg(F.collect_list(F.struct("m", "distinct", "s", "n")).alias("of"))
     take = lambda x: F.struct(x["m"], x["distinct"], x["s"], x["n"], F.substring(F.col("t"), x["s"] + 1, x["n"] + least - 1).alias("t"))
     texts = rows.join(lists, "k").select("k", F.explode(F.transform("of", take)).alias("of")).select("k", "of.*")

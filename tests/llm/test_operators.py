@@ -152,7 +152,7 @@ def test_repeats_by_brute_force(spark, hot, array_bytes):
     some = lambda n: "".join(r.choice("abcdeé ") for _ in range(n))
     shared = [some(r.randint(15, 120)) for _ in range(6)]
     docs = [(i, "".join(r.choice([some(r.randint(0, 40)), r.choice(shared), r.choice(shared)[r.randint(0, 10) :], "ab" * r.randint(0, 30)]) for _ in range(r.randint(0, 5)))) for i in range(100)]
-    docs += [(200, docs[5][1]), (201, "x" * 90), (202, "x" * 19), (203, ""), (204, None)]
+    docs += [(200, docs[5][1]), (201, "x" * 90), (204 + 1, "q" + "yz" * 11), (206, some(30) + "klmnopqrstuvw" * 3 + "k" + some(9)), (202, "x" * 19), (203, ""), (204, None)]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     got = {x[0]: tuple(x)[1:] for x in suffixes.repeat_report(d, least=20, gram=6, hot=hot, array_bytes=array_bytes).collect()}
     assert got == brute_repeats(docs, 20)
