@@ -55,11 +55,11 @@ def schedule(plan: DataFrame, block_words: int, slots: int) -> DataFrame:
     total = F.sum("target").over(all_.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     upto = F.sum("target").over(all_.rowsBetween(Window.unboundedPreceding, 0)) / total
     edges = plan.where("target >= 1").withColumn("upto", upto)
-    ladder = edges.agg(F.array_sort(F.collect_list(F.struct("upto", "place"))).alias("ladder"))  # a row for each source
+    ladder = edges.agg(F.array_sort(F.collect_list(F.struct("upto", "place")))).scalar()  # an entry for each source
     point = F.pmod((F.col("id") + 1) * F.lit(GOLDEN), F.lit(1.0))
-    last = F.element_at("ladder", -1)
-    first_over = F.element_at(F.filter("ladder", lambda x: x.upto > F.col("point")), 1)
-    points = spark.range(slots).withColumn("point", point).withColumn("one", F.lit(1)).join(F.broadcast(ladder.withColumn("one", F.lit(1))), "one")
+    last = F.get("ladder", F.size("ladder") - 1)
+    first_over = F.get(F.filter("ladder", lambda x: x.upto > F.col("point")), F.lit(0))
+    points = spark.range(slots).withColumn("point", point).withColumn("ladder", ladder)
     drawn = points.select(F.col("id").alias("slot"), F.coalesce(first_over.place, last.place).alias("place"))
     drawn = drawn.withColumn("turn", F.row_number().over(Window.partitionBy("place").orderBy("slot")) - 1)
     # the block of a turn: each pass through the source has the same blocks
