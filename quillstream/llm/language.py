@@ -18,6 +18,8 @@ from quillstream.llm.common import prepare, with_columns
 
 #: Buckets of subwords, size of an embedding, most training rows of a language and most languages.
 BUCKETS, DIM, ROWS_PER_LANG, LANGS = 1 << 15, 16, 600, 256
+#: Most training rows in all: with many languages, each has fewer.
+ROWS = 20_000
 EPOCHS, BATCH, RATE = 6, 32, 40.0
 #: Share of calibration rows whose confidence may fall below the rejection level, before it is halved.
 REJECTED = 0.001
@@ -158,6 +160,7 @@ def sample(docs: DataFrame, text: str, lang: str, row_id: str, rows_per_lang: in
     counts = labelled.groupBy("l").count().orderBy(F.desc("count"), "l").limit(langs).collect()
     if not counts:
         return []
+    rows_per_lang = min(rows_per_lang, ROWS // len(counts))
     share = F.element_at(F.create_map(*(F.lit(x) for r in counts for x in (r["l"], min(1.0, rows_per_lang / r["count"])))), F.col("l"))
     chance = F.pmod(F.xxhash64(F.lit(11), "i", "l"), F.lit(1 << 20)) / float(1 << 20)
     rows = labelled.where(F.col("l").isin([r["l"] for r in counts])).where(chance < share).select("t", "l").toArrow().to_pylist()
