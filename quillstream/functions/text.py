@@ -29,6 +29,12 @@ LEADING_TIME = r"^[0-2]?\d[:.][0-5]\d\s*[-–—:]?\s*"
 _any = "|".join
 
 
+def bound(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body names it: what is written as a chain of columns, the
+    optimiser would copy into each place that uses one."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def filled(c: Column) -> Column:
     """c, with null as an empty string: the two are one everywhere a value is merely wanted or not."""
     return F.coalesce(c, F.lit(""))
@@ -133,7 +139,10 @@ def is_junk_title(title: Column) -> Column:
     t = squashed(filled(title))
     t = F.regexp_replace(t, r"^\d{1,2}\s+[A-ZÇĞİÖŞÜa-zçğıöşü]+\s+\d{4}\s*\d{0,2}[:.]?\d{0,2}\s*[-–—]?\s*", "")
     t = F.trim(F.regexp_replace(t, r"^\d{1,2}[:.]\d{2}(:\d{2})?\s*[-–—]?\s*", ""))
-    low = lower(t)
+    return bound(F.struct(t.alias("t"), lower(t).alias("low")), lambda x: _is_junk(x["t"], x["low"]))
+
+
+def _is_junk(t: Column, low: Column) -> Column:
     words = F.size(F.filter(F.split(t, r"(?U)\s+"), lambda w: F.length(w) > 1))
     holds = lambda c, phrases: reduce(lambda a, b: a | b, (F.contains(c, F.lit(p)) for p in phrases))
     ends = reduce(lambda a, b: a | b, (F.endswith(low, F.lit(g)) for g in GENERIC_TITLES))
@@ -200,7 +209,7 @@ def clean_brief(answer: Column) -> Column:
     told = F.regexp_replace(t, r"(?is)<think(?:ing)?>.*?</think(?:ing)?>", "")
     monologue = reduce(lambda a, b: a | b, (F.contains(told, F.lit(m)) for m in MONOLOGUE_MARKS))
     attempts = F.regexp_extract_all(told, F.lit(r"Attempt\s*\d+:\*?\s*([^\n\r]+)"), F.lit(1))
-    lines = F.filter(F.transform(F.split(told, "\r\n|\n|\r"), F.trim), lambda x: (x != "") & ~x.rlike(rf"(?i)^(\d+\.|\*)\s*\*\*({_any(MONOLOGUE_HEADS)})") & ~F.startswith(x, F.lit("```")) & ~F.startswith(x, F.lit("Attempt")))
+    lines = F.filter(F.transform(F.split(told, "\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(rf"(?i)^(\d+\.|\*)\s*\*\*({_any(MONOLOGUE_HEADS)})") & ~F.startswith(x, F.lit("```")) & ~F.startswith(x, F.lit("Attempt")))
     body = F.when(~monologue, told).when(F.size(attempts) > 0, F.trim(F.element_at(attempts, F.greatest(F.size(attempts), F.lit(1))))).otherwise(F.array_join(lines, " "))
     body = F.regexp_replace(squashed_ends(body), rf"(?iuU)^({_any(SUMMARY_LABELS)})\s*", "")
     return F.when(t == "", "").when(plain, tagged).otherwise(F.regexp_replace(body, '^["` ]+|["` ]+$', ""))

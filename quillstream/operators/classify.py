@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.functions.lexicon import Lexicon, java
-from quillstream.functions.text import filled
+from quillstream.functions.text import bound, filled
 
 STAGE_1, STAGE_2, GENERAL, NOT_RELEVANT = "Stage 1 (Anahtar Kelime)", "Stage 2 (LLM)", "Genel (Filtresiz)", "İlgisiz"
 STRICT_STAGE = "Stage 1 (Kavram Tespiti)"
@@ -70,13 +70,7 @@ def with_stage1(items: DataFrame, lexicon: Lexicon, title: str = "title", summar
         return F.struct(yes.alias("is_relevant"), F.when(yes, F.lit(STAGE_1)).alias("stage"), j["weak"].alias("is_candidate"), j["aspect"].alias("aspect"), F.when(yes | j["weak"], F.slice(found, 1, 5)).otherwise(empty).alias("matched"), said.alias("explanation"))
 
     text = masked(lead(F.col(title), F.col(summary), lexicon.window), lexicon.masks)
-    return items.withColumn("stage1", _bound(_bound(_bound(text, facts), judged), result))
-
-
-def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once, however often body names it: what is written as a chain of columns, the
-    optimiser would copy into each place that uses one."""
-    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+    return items.withColumn("stage1", bound(bound(bound(text, facts), judged), result))
 
 
 LABELS = ("ilgili_mi", "ilgi_kategorisi", "guven_skoru", "gerekce", "relevance_status", "relevance_aspect", "llm_relevance_explanation")
