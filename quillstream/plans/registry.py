@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillstream.functions import dates, text
 from quillstream.functions.lexicon import Lexicon, re2
 from quillstream.operators import classify, dedup, filters, lookup, report, upsert
-from quillstream.plans import sql
+from quillstream.plans import ingest, sql
 from quillstream.schema import ARTICLES_SQL, articles, table
 from quillstream.sources import feeds, html
 from quillstream.streaming import monitor
@@ -277,7 +277,7 @@ def item_labels(spark, sf):
     return _news(spark, sf).select("id", "ilgili_mi", "ilgi_kategorisi", "guven_skoru", "gerekce", "relevance_status", "relevance_aspect")
 
 
-@_query(f"{_NEWS} SELECT id, ilgili_mi, ilgi_kategorisi, relevance_status, 0.5 AS guven_skoru FROM news")
+@_query(f"{_NEWS} SELECT id, ilgili_mi, ilgi_kategorisi, relevance_status, 0.5::DOUBLE AS guven_skoru FROM news")
 def bulk_reclassify(spark, sf):
     stored = _news(spark, sf).withColumns({"ilgili_mi": F.lit(1), "guven_skoru": F.lit(0.5)})
     return classify.reclassified(stored, LEXICON).select("id", "ilgili_mi", "ilgi_kategorisi", "relevance_status", "guven_skoru")
@@ -459,6 +459,65 @@ def llm_json(spark, sf):
     return articles(spark, sf).select("id", text.json_object(said).alias("object"))
 
 
+_RAW_TITLE = "CASE id % 3 WHEN 0 THEN '14:24 - ' || title WHEN 1 THEN 'SON DAKİKA: ' || title ELSE title END"
+
+
+@_query("SELECT id, trim(regexp_replace(title, '[\\s\\x{a0}]+', ' ', 'g'), ' ') AS title FROM articles")
+def title_clean(spark, sf):
+    return articles(spark, sf).select("id", text.clean_leading_time(F.expr(_RAW_TITLE)).alias("title"))
+
+
+@_query("SELECT id, source_name AS bare, 'Gündem ' || source_name AS first_part, '%22' || source_name || '%20haber%22' AS query FROM articles")
+def title_affixes(spark, sf):
+    raw = F.concat(F.lit("Gündem "), F.col("source_name"), F.lit(" - Site"))
+    return articles(spark, sf).select("id", text.without_affixes(raw, ("Gündem",), ("Site",)).alias("bare"), text.without_affixes(raw, first_part=True).alias("first_part"), text.query_encoded(F.concat("source_name", F.lit(" haber"))).alias("query"))
+
+
+@_query("SELECT id, source_name || '.' AS brief, CASE WHEN id % 2 = 0 THEN source_name ELSE 'son ' || source_name END AS attempt FROM articles")
+def llm_brief(spark, sf):
+    said = F.concat(F.lit("<think>hm</think>Özet: \""), F.col("source_name"), F.lit(".\""))
+    tried = F.when(F.col("id") % 2 == 0, F.concat(F.lit("<summary> "), F.col("source_name"), F.lit(" </summary>"))).otherwise(F.concat(F.lit("Drafting\nAttempt 1: ilk\nAttempt 2: son "), F.col("source_name")))
+    return articles(spark, sf).select("id", text.clean_brief(said).alias("brief"), text.clean_brief(tried).alias("attempt"))
+
+
+@_query(f"{_NEWS} SELECT id, CASE WHEN length(trim(summary, ' ')) < 60 OR suffix(trim(summary, ' '), '...') OR suffix(trim(summary, ' '), '…') THEN title ELSE summary END AS content FROM news WHERE ilgili_mi = 1")
+def brief_texts(spark, sf):
+    return classify.briefs(_news(spark, sf)).select("id", "content")
+
+
+@_query(f"{_NEWS} SELECT n.id, CASE WHEN s.is_candidate THEN CAST(n.id % 2 = 0 AS INTEGER) ELSE n.ilgili_mi END AS ilgili_mi, CASE WHEN s.is_candidate AND n.id % 2 = 0 THEN 'Stage 2 (LLM)' WHEN s.is_candidate THEN 'Genel (Filtresiz)' ELSE n.relevance_status END AS relevance_status, CASE WHEN s.is_candidate AND n.id % 2 = 0 THEN 1.0::DOUBLE WHEN s.is_candidate THEN 0.0::DOUBLE ELSE n.guven_skoru END AS guven_skoru FROM news n JOIN stage1 s USING (id)")
+def second_stage(spark, sf):
+    judged = classify.labelled(classify.with_stage1(articles(spark, sf), LEXICON))
+    verdicts = lambda c: c.select("id", (F.col("id") % 2 == 0).alias("relevant"), F.lit("Enerji").alias("category"), F.lit(None).cast("double").alias("confidence"), F.lit("offline").alias("reason"))
+    return classify.with_stage2(judged, verdicts).select("id", "ilgili_mi", "relevance_status", "guven_skoru")
+
+
+@_query(f"{_NEWS} SELECT (SELECT count(*) FROM articles) AS fetched, count(*) AS saved, count(*) FILTER (ilgili_mi = 1) AS relevant FROM news WHERE source_name <> 'src3'")
+def run_metrics(spark, sf):
+    return report.run_metrics(articles(spark, sf), _news(spark, sf).where("source_name <> 'src3'"))
+
+
+@_query(f", t AS (SELECT id, source_name, {_RAW_TITLE} AS raw, CASE WHEN id % 7 = 0 THEN 'BISTECH KAP' ELSE title END AS notice, title FROM articles) SELECT id, id % 3 <> 2 OR source_name ILIKE '%src1' OR title <> trim(regexp_replace(title, '[\\s\\x{{a0}}]+', ' ', 'g'), ' ') AS dirty, id % 7 = 0 AS promo FROM t")
+def title_hygiene(spark, sf):
+    a = articles(spark, sf).withColumn("notice", F.when(F.col("id") % 7 == 0, "BISTECH KAP").otherwise(F.col("title"))).withColumn("title", F.expr(_RAW_TITLE))
+    dirty = filters.dirty_rows(a, ("%src1",)).select(F.col("id").alias("_d"), F.lit(True).alias("_y"))
+    return a.join(dirty, a.id == F.col("_d"), "left").select("id", F.coalesce("_y", F.lit(False)).alias("dirty"), filters.is_promo("notice").alias("promo"))
+
+
+@_query()
+def ingest_cycle(spark, sf):
+    """All articles as they would arrive on the last day, onto those of the days before."""
+    a = articles(spark, sf)
+    stored = upsert.prepared(a.where("publish_date < '2024-01-03 00:00:00'").withColumn("ord", F.col("id")), AS_OF).withColumn("id", F.col("ord")).drop("ord")
+    items = a.select(F.col("id").alias("ord"), F.lit("").alias("source_id"), "source_name", "category", "title", "summary", F.lit("").alias("author"), "publish_date", "link", F.lit(None).cast("string").alias("scraped_at"), F.lit(None).cast("string").alias("veri_kaynagi"))
+    return ingest.ingest(items, stored, LEXICON, _sources(spark), AS_OF).select("id", "source_name", "title", "publish_date", "link", "ilgili_mi", "ilgi_kategorisi")
+
+
+@_query()
+def dashboard_day(spark, sf):
+    return ingest.dashboard(_news(spark, sf), DAY).select("id", "source_name", "category", "is_other", "group_rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 

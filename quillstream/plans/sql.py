@@ -110,6 +110,6 @@ def _step(near: str, replaces: str) -> str:
 
 UPSERT = """, old AS (SELECT *, id % 2 = 0 AND length(summary) >= 60 AND right(trim(summary, ' '), 3) <> '...' AS keeps FROM (SELECT id, source_name, category, trim(regexp_replace(title, '\\s+', ' ', 'g'), ' ') AS title, trim(regexp_replace(summary, '\\s+', ' ', 'g'), ' ') AS summary, publish_date, link FROM articles)),
 new AS (SELECT id AS ord, category, 'N ' || source_name AS title, CASE WHEN id % 5 = 0 THEN '' ELSE 'new' END AS summary, CASE WHEN id % 7 = 0 THEN '2024-01-03 12:00:00' ELSE '2024-01-05 00:00:00' END AS publish_date, CASE WHEN id % 3 = 0 THEN link || '/new' ELSE link END AS link FROM articles)
-SELECT o.id, coalesce(n.title, o.title) AS title, CASE WHEN n.link IS NULL OR o.keeps OR n.summary = '' THEN o.summary ELSE n.summary END AS summary, coalesce(n.publish_date, o.publish_date) AS publish_date, o.link, CAST(CASE WHEN n.link IS NULL AND o.id % 2 = 1 THEN 0 ELSE 1 END AS INTEGER) AS ilgili_mi, CASE WHEN n.link IS NULL AND o.id % 2 = 1 THEN 0.0 ELSE 1.0 END AS guven_skoru, o.category
+SELECT o.id, coalesce(n.title, o.title) AS title, CASE WHEN n.link IS NULL OR o.keeps OR n.summary = '' THEN o.summary ELSE n.summary END AS summary, coalesce(n.publish_date, o.publish_date) AS publish_date, o.link, CAST(CASE WHEN n.link IS NULL AND o.id % 2 = 1 THEN 0 ELSE 1 END AS INTEGER) AS ilgili_mi, CASE WHEN n.link IS NULL AND o.id % 2 = 1 THEN 0.0 ELSE 1.0 END::DOUBLE AS guven_skoru, o.category
 FROM old o LEFT JOIN new n USING (link)
-UNION ALL SELECT (SELECT max(id) FROM old) + row_number() OVER (ORDER BY ord), title, summary, publish_date, link, 1, 1.0, category FROM new WHERE ord % 3 = 0"""
+UNION ALL SELECT (SELECT max(id) FROM old) + row_number() OVER (ORDER BY ord), title, summary, publish_date, link, 1, 1.0::DOUBLE, category FROM new WHERE ord % 3 = 0"""

@@ -1,10 +1,21 @@
 """Streams over files, run to their end."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillstream.schema import RAW_ARTICLE
 from quillstream.streaming import monitor
 
+
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Each one keeps state of its own."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 ROWS = [
     (1, "s", "Ankara bugün yoğun kar yağışı altında", "2026-09-01 09:00:00", "u1"),
     (2, "s", "Ankara bugün yoğun kar yağışı altında kaldı", "2026-09-01 09:10:00", "u2"),
