@@ -14,6 +14,7 @@ from quillstream.operators.dedup import INGEST
 from quillstream.schema import RAW_ARTICLE
 
 POLL = "3 minutes"
+_DAY = 86_400_000
 
 
 def landed(spark: SparkSession, path: str, schema: str = RAW_ARTICLE, per_batch: int = 1000, form: str = "parquet") -> DataFrame:
@@ -42,12 +43,13 @@ def new_links(items: DataFrame, within: str = "2 days") -> DataFrame:
     return rows.dropDuplicatesWithinWatermark(["source_name", "link"]).drop("_ts")
 
 
-def new_headlines(items: DataFrame) -> DataFrame:
+def new_headlines(items: DataFrame, late: str = "2 days") -> DataFrame:
     """source_name, day, ord of items of a stream that are no near-duplicates of earlier ones of their source and day.
 
-    The state of a source and day is the word sets kept so far; it goes when nothing has come for two days of
-    processing time. Within a batch items are seen by ord."""
-    rows = items.select(filled(F.col("source_name")).alias("source_name"), day_of(filled(F.col("publish_date"))).alias("day"), "ord", F.array_sort(title_words(clean_leading_time(F.col("title")))).alias("words"))
+    The state of a source and day is the word sets kept so far; it goes when the watermark, `late` behind the newest
+    date, has passed the day. Items older than the watermark are dropped. Within a batch items are seen by ord."""
+    rows = items.withColumn("_ts", F.try_to_timestamp("publish_date", F.lit("yyyy-MM-dd HH:mm:ss"))).withWatermark("_ts", late)
+    rows = rows.select("_ts", filled(F.col("source_name")).alias("source_name"), day_of(filled(F.col("publish_date"))).alias("day"), "ord", F.array_sort(title_words(clean_leading_time(F.col("title")))).alias("words"))
 
     def see(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -63,7 +65,9 @@ def new_headlines(items: DataFrame) -> DataFrame:
                 kept.append(w)
             out.append((*key, row.ord))
         state.update(([sorted(k) for k in kept],))
-        state.setTimeoutDuration(2 * 86_400_000)
+        over = pd.to_datetime(key[1], errors="coerce")
+        after = state.getCurrentWatermarkMs() + _DAY
+        state.setTimeoutTimestamp(after if pd.isna(over) else max(int(over.timestamp() * 1000) + _DAY, after))
         yield pd.DataFrame(out, columns=["source_name", "day", "ord"])
 
-    return rows.groupBy("source_name", "day").applyInPandasWithState(see, "source_name string, day string, ord long", "kept array<array<string>>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("source_name", "day").applyInPandasWithState(see, "source_name string, day string, ord long", "kept array<array<string>>", "append", GroupStateTimeout.EventTimeTimeout)

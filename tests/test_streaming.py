@@ -32,7 +32,9 @@ def landed(spark, path):
 
 
 def run(query):
-    query.awaitTermination(120)
+    ended = query.awaitTermination(60)
+    query.stop()
+    assert ended
     assert query.exception() is None
 
 
