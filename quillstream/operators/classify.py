@@ -54,7 +54,9 @@ def with_stage1(items: DataFrame, lexicon: Lexicon, title: str = "title", summar
         for name, words in reversed(lexicon.topics.items()):
             topic = F.when(has_any(t, words), F.lit(name)).otherwise(topic)
         named = F.array_compact(F.array(*(F.when(f, F.lit(c)) for c, f in flags.items())))
-        return F.struct(keywords_in(t, lexicon.keywords).alias("found"), named.alias("named"), has_any(t, lexicon.union).alias("union"), topic.alias("topic"))
+        full = F.struct(keywords_in(t, lexicon.keywords).alias("found"), named.alias("named"), has_any(t, lexicon.union).alias("union"), topic.alias("topic"))
+        none = F.struct(empty.alias("found"), empty.alias("named"), F.lit(False).alias("union"), F.lit("").alias("topic"))
+        return F.when(has_any(t, lexicon.keywords), full).otherwise(none)  # countries and topics only matter beside a keyword
 
     def judged(f: Column) -> Column:
         found, named, n = f["found"], f["named"], F.size(f["named"])
