@@ -1,5 +1,6 @@
 """Nulls, empty texts and tables, repeated rows and clashing columns, in every operator and pipeline stage."""
 
+import random
 import sys
 from pathlib import Path
 
@@ -105,6 +106,27 @@ def test_pipeline_stages_on_odd_rows(spark, docs, clashing, tmp_path):
                     assert out.columns == d.columns
 
 
+def test_near_copies_of_a_source_keep_their_lines(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r, stages = random.Random(3), dict(corpus_pipeline.STAGES)
+    some = lambda n: " ".join("".join(r.choice("abcdefghijklm") for _ in range(r.randint(3, 7))) for _ in range(n))
+    site, article, rows = "All rights are with the site", [some(12) for _ in range(10)], []
+    for i in range(100):
+        copy = list(article)
+        words = copy[k := r.randrange(10)].split()
+        words[r.randrange(12)] = some(1)
+        copy[k] = " ".join(words)
+        rows.append((i, "\n".join([site, *copy]), "en", "hot", 0))
+    rows += [(100 + i, "\n".join([site, some(40), some(30)]), "en", "hot", 0) for i in range(200)]
+    # pages of another source that have little of their own
+    stub = [some(30) for _ in range(10)]
+    rows += [(500 + i, "\n".join([*stub, some(12)]), "en", "stubs", 0) for i in range(60)]
+    d = stages["line_dedup"](spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path))
+    got = {x.doc_id: x.text for x in stages["near_dedup"](spark, d, str(tmp_path)).collect()}
+    assert [i for i in got if i < 100] == [0]
+    assert got == {i: "\n".join(t.split("\n")[10 if i >= 500 else 1 :]) for i, t, *_ in rows if i == 0 or i >= 100}
+
+
 def test_odd_pages(spark):
     pages = spark.createDataFrame([(1, None, "u", "x"), (2, "", "u", "x"), (3, "<p", None, "x"), (4, "plain &amp; text", "u", "x"), (4, "plain &amp; text", "u", "x")], "page_id long, html string, url string, n_chars string")
     got = [(r.page_id, r.text, r.n_chars) for r in htmltext.extract(pages).orderBy("page_id").collect()]
