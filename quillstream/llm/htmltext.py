@@ -33,31 +33,33 @@ SIBLINGS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",))
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored sponsors promo promos promotion promoted banner banners cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login paywall menu menus nav navbar navigation breadcrumb breadcrumbs crumbs pagination pager toolbar sidebar sidebars aside rail widget widgets related recommended recommendations trending popular share sharing social follow header masthead topbar footer foot bottombar copyright disclaimer comment comments commentlist respond reply replies discussion disqus feedback search searchform form skip toc tags taglist hidden complementary contentinfo".split())
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])|(?<=[a-z])(?=[0-9])")
 ARTICLE = frozenset(("article", "main"))
+#: Elements that are dropped unless they enclose the article, as are those with MARKS.
+WRAPPERS = frozenset(("form", "fieldset"))
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "drop", "main", "chars", "links", "link_chars", "tags", "density", "total")
+    __slots__ = ("name", "parent", "children", "drop", "maybe", "main", "chars", "links", "link_chars", "tags", "density", "total")
 
     def __init__(self, name: str, parent: Node | None, drop: bool = False, main: bool = False) -> None:
-        self.name, self.parent, self.drop, self.main = name, parent, drop, main
+        self.name, self.parent, self.drop, self.maybe, self.main = name, parent, drop, False, main
         self.children: list[Node | str] = []
 
 
-def marked(rest: str) -> tuple[bool, bool]:
-    """Whether the attributes say that an element isn't part of the article, or is the main part."""
-    main = False
+def marked(rest: str) -> tuple[bool, bool, bool]:
+    """Whether the attributes say that an element is hidden, isn't part of the article, or is the main part."""
+    main = maybe = False
     for key, a, b, c in ATTRIBUTE.findall(rest):
         key, value = key.lower(), a or b or c
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True, False
+            return True, False, False
         if key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True, False
+                return True, False, False
         elif key == "role" and value.lower() == "main":
             main = True
         elif not MARKS.isdisjoint(SPLIT.split(value.lower())) or not MARKS.isdisjoint(x.lower() for x in SPLIT.split(value)):
-            return True, False
-    return False, main
+            maybe = True
+    return False, maybe, main and not maybe
 
 
 def parse(html: str) -> Node:
@@ -80,21 +82,47 @@ def parse(html: str) -> Node:
             node = closed(node, name)
             continue
         node = opened(node, name)
-        drop, main = marked(rest) if rest and "=" in rest or "hidden" in rest else (False, False)
+        drop, maybe, main = marked(rest) if rest and "=" in rest or "hidden" in rest else (False, False, False)
         if name in ("html", "body", "article", "main"):
-            drop = False
+            drop = maybe = False
         # a page's header is dropped, an article's own one has its title
-        drop = drop or name in DROPPED or name == "header" and not inside(node)
+        drop = drop or name in DROPPED and name not in WRAPPERS or name == "header" and not inside(node)
         child = Node(name, node, drop, main or name in ARTICLE)
+        child.maybe = not drop and (maybe or name in WRAPPERS)
         node.children.append(child)
         if name in RAW:
             end = re.compile(f"</{name}(?=[\\s/>])", re.I).search(html, at)
             at = (html.find(">", end.end()) + 1 or n) if end else n
         elif name not in VOID and not (rest.endswith("/") and name in ("svg", "path")):
             node = child
+    weigh(root)
     return root
 
 
+def weigh(root: Node) -> None:
+    """Drops what is marked, or is a form, unless it holds most of the characters outside links of the page or of the
+    article around it, or the largest article that isn't inside another one (comments are)."""
+    order, stack = [], [(root, root, False, False)]
+    while stack:
+        node, frame, linked, nested = stack.pop()
+        order.append((node, frame, linked, nested))
+        frame, nested = (node, True) if node.main else (frame, nested)
+        stack += [(x, frame, linked or node.name == "a", nested) for x in node.children if isinstance(x, Node) and not x.drop]
+    if not any(node.maybe for node, *_ in order):
+        return
+    held, mains = {}, []
+    for node, _, linked, nested in reversed(order):
+        kids = [x for x in node.children if isinstance(x, Node) and not x.drop]
+        own = 0 if linked or node.name == "a" else sum(len("".join(x.split())) for x in node.children if isinstance(x, str))
+        held[node] = own + sum(held[x] for x in kids)
+        if node.main and held[node] and not nested:
+            mains.append(node)
+    top = max(mains, key=held.__getitem__, default=None)
+    around = {top, *path(top)} if top else set()
+    for node, frame, _, _ in order:
+        node.drop = node.drop or node.maybe and node not in around and 2 * held[node] <= held[frame]
+
+
 def inside(node: Node | None) -> bool:
     while node:
         if node.main:

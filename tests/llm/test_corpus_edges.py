@@ -134,6 +134,13 @@ def test_odd_pages(spark):
     assert htmltext.extract(pages.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("wrap", ["<div class='content with-sidebar'><article>%s</article></div>", "<div id='page' class='header-fixed'><div>%s</div></div>", "<form id='aspnetForm'><div class='ad'>Buy</div>%s</form>", "<article><section class='share-enabled'>%s</section><div class='share'>Share it</div></article>", "<div class='has-sidebar'><div class='content'>%s</div><div class='sidebar'>Other things</div></div>"])
+def test_marked_wrappers_keep_the_article(wrap):
+    words = "<p>%s</p>" % " ".join(["Enough words of an article."] * 8)
+    page = "<body><nav><a href='/'>Menu</a></nav>%s<form class='search'><label>Find</label></form><footer>Foot</footer></body>"
+    assert htmltext.main_text(page % (wrap % (words * 2))) == "\n\n".join([" ".join(["Enough words of an article."] * 8)] * 2)
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (100, [0.0, 0.0]), (200, None), (300, [float("nan"), 1.0]), (400, [None, 1.0]), (None, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (3, [float("inf"), 0.0]), (4, [1.0]), (1, [1.0, 1.0])]
     e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
