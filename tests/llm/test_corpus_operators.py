@@ -97,10 +97,30 @@ def test_mix_meets_targets(spark):
 
 
 def test_schedule_is_even_in_every_stretch(spark):
-    plan = spark.createDataFrame([(0, 600, 600.0, 10), (1, 200, 300.0, 4), (2, 500, 100.0, 8)], "place int, source_size long, target double, blocks long")
-    slots = sorted((s.slot, s.place) for s in mixing.schedule(plan, 1, 1000).where("slot is not null").collect())
-    first = [p for _, p in slots[:10]]
-    assert collections.Counter(first)[0] in (5, 6, 7) and set(first) == {0, 1, 2}
+    plan = spark.createDataFrame([(0, 6000, 6000.0, 100), (1, 2000, 3000.5, 40), (2, 5000, 1000.0, 80), (3, 10, 0.0, 1)], "place int, source_size long, target double, blocks long")
+    slots = sorted((s.slot, s.place) for s in mixing.schedule(plan, 100).collect())
+    assert len({s for s, _ in slots}) == len(slots) and {p for _, p in slots} == {0, 1, 2}
+    # every stretch from the start, and so every stretch, holds the sources in nearly their shares
+    points = [p for s, p in slots if s < 100]
+    for n in range(1, len(points) + 1):
+        for place, share in ((0, 0.6), (1, 0.3), (2, 0.1)):
+            assert abs(points[:n].count(place) - share * n) <= 2
+
+
+def test_slots_of_documents_follow_the_targets(spark):
+    r = random.Random(8)
+    rows = [(i, " ".join("w" for _ in range(r.randint(1, 60))), r.choice("aaaaabc")) for i in range(3000)]
+    got = [x for x in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_words=16).collect() if x.n_slots]
+    assert all((x.first_slot is not None) and x.taken for x in got)
+    targets = {x.source: x.target for x in got}
+    got.sort(key=lambda x: x.first_slot)
+    words = collections.Counter()
+    whole = {s: n for s, n in targets.items() if n <= next(x.source_size for x in got if x.source == s)}
+    for n, x in enumerate(got, 1):
+        words[x.source] += x.size
+        if n % 200 == 0:  # of sources that are not repeated, each stretch has words in the targets' proportions
+            least, most = (f(words[s] / targets[s] for s in whole) for f in (min, max))
+            assert most - least < 0.05
 
 
 # -- 4: pages
