@@ -20,7 +20,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Short Arrow batches, a package that Python workers can import, and a checkpoint folder.
 
     The folder is the one the cluster names in spark.checkpoint.dir; a local one is made only
-    where that is unset, as in tests."""
+    where that is unset and all of Spark runs in this process, as in tests."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
@@ -33,6 +33,8 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quillstream-")
         sc.setCheckpointDir(named)
     return named

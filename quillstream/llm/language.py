@@ -18,8 +18,9 @@ from quillstream.llm.common import prepare, with_columns
 
 #: Buckets of subwords, size of an embedding, most training rows of a language and most languages.
 BUCKETS, DIM, ROWS_PER_LANG, LANGS = 1 << 15, 16, 600, 256
-#: Most training rows in all: with many languages, each has fewer.
-ROWS = 20_000
+#: Most training rows in all: with many languages, each has fewer. Most characters of a row that are learned from:
+#: of a longer text, those from a place on that a hash of its id says. (Predictions are of whole texts.)
+ROWS, CHARS = 20_000, 2000
 EPOCHS, BATCH, RATE = 6, 32, 40.0
 #: Share of calibration rows whose confidence may fall below the rejection level, before it is halved.
 REJECTED = 0.001
@@ -155,7 +156,9 @@ def calibrate(model: Model, texts: list[str], y: np.ndarray) -> None:
 
 
 def sample(docs: DataFrame, text: str, lang: str, row_id: str, rows_per_lang: int, langs: int = LANGS) -> list[tuple[str, str]]:
-    """At most about rows_per_lang labelled rows of each of the `langs` commonest languages, chosen by a hash of their ids."""
+    """At most about rows_per_lang labelled rows of each of the `langs` commonest languages, chosen by a hash of their ids.
+
+    What comes to the driver is bounded by ROWS times CHARS characters, whatever the texts' lengths."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.col(row_id).alias("i"))
     counts = labelled.groupBy("l").count().orderBy(F.desc("count"), "l").limit(langs).collect()
     if not counts:
@@ -163,7 +166,9 @@ def sample(docs: DataFrame, text: str, lang: str, row_id: str, rows_per_lang: in
     rows_per_lang = min(rows_per_lang, ROWS // len(counts))
     share = F.element_at(F.create_map(*(F.lit(x) for r in counts for x in (r["l"], min(1.0, rows_per_lang / r["count"])))), F.col("l"))
     chance = F.pmod(F.xxhash64(F.lit(11), "i", "l"), F.lit(1 << 20)) / float(1 << 20)
-    rows = labelled.where(F.col("l").isin([r["l"] for r in counts])).where(chance < share).select("t", "l").toArrow().to_pylist()
+    spare = F.greatest(F.length("t") - CHARS, F.lit(0))
+    passage = F.substring(F.col("t"), (F.pmod(F.xxhash64(F.lit(13), "i"), spare + 1) + 1).cast("int"), F.lit(CHARS))
+    rows = labelled.where(F.col("l").isin([r["l"] for r in counts])).where(chance < share).select(passage.alias("t"), "l").toArrow().to_pylist()
     return sorted((r["t"], r["l"]) for r in rows)
 
 

@@ -10,7 +10,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import prepare, text_key, with_columns
+from quillstream.llm.common import prepare, stored, text_key, with_columns
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Runs as long as they must be: a shorter run can't hold or hide a longer one, so none is matched in vain.
@@ -103,15 +103,17 @@ def scan(docs: DataFrame, text: str = "text", samples: DataFrame | None = None)
     placed = each.withColumn("end", F.sum(F.col("gap") + F.col("chars")).over(upto)).withColumn("start", F.col("end") - F.col("chars"))
     least = F.element_at(F.array(*(F.lit(n) for _, _, n, _ in kinds)), F.col("rank") + 1)
     placed = placed.where(F.col("counted") >= least)
-    score = ratio(F.col("word"), table)
-    random = placed.where("rank = 3").withColumn("score", score).where((F.col("score") >= LEAST_WHOLE) & (F.col("score") >= LEAST_MEAN * (F.col("chars") - 1)))
-    span = F.struct(F.col("start").cast("int").alias("start"), F.col("rank").cast("int").alias("rank"), F.col("end").cast("int").alias("end"))
-    spans = placed.where("rank < 3").select("__qs_key", span.alias("span")).unionByName(random.select("__qs_key", span.alias("span")))
+    # one pass over the texts: only candidates are scored, base spans go through as they are
+    score = F.when(F.col("rank") == 3, ratio(F.col("word"), table))
+    random = (score >= LEAST_WHOLE) & (score >= LEAST_MEAN * (F.col("chars") - 1))
+    spans = placed.where((F.col("rank") < 3) | random).select("__qs_key", F.struct(F.col("start").cast("int").alias("start"), F.col("rank").cast("int").alias("rank"), F.col("end").cast("int").alias("end")).alias("span"))
     per = spans.groupBy("__qs_key").agg(F.array_sort(F.collect_list("span")).alias("__qs_all"))
     base = F.filter("__qs_all", lambda s: s["rank"] < 3)
     apart = F.filter("__qs_all", lambda s: (s["rank"] < 3) | ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     names = F.array(*(F.lit(k) for k, *_ in kinds))
     per = per.select("__qs_key", F.transform(apart, lambda s: F.struct(s["start"], s["rank"], s["end"], F.element_at(names, s["rank"] + 1).alias("kind"))).alias("__qs_spans"))
+    # stored, so that copies of one text beyond a task's share can be split from one another when they are joined
+    per = stored(per, "spans")
     none = F.array().cast("array<struct<start: int, rank: int, end: int, kind: string>>")
     return with_columns(keyed.join(per, "__qs_key", "left"), {"spans": F.coalesce(F.col("__qs_spans"), none)}).drop("__qs_key", "__qs_spans")
 
