@@ -71,7 +71,7 @@ def train(samples: DataFrame) -> list[float]:
 def ratio(word: Column, table: list[float]) -> Column:
     """Sum of a word's transitions' log-likelihood ratios."""
     n = len(ALPHABET) + 1
-    held = F.array(*map(F.lit, table))
+    held = F.split(F.lit(" ".join(map(repr, table))), " ").cast("array<double>")  # one literal, folded once
     zero = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("last"))
     add = lambda acc, c: F.struct((acc["sum"] + F.when(acc["last"] < 0, 0.0).otherwise(F.element_at(held, acc["last"] * n + c + 1))).alias("sum"), c.alias("last"))
     return F.aggregate(_codes(word), zero, add, lambda acc: acc["sum"])
