@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 
 from quillstream.llm.common import prepare, stored
 
-#: Most rows of the sample that centroids are fitted on, rows aimed at for a list, most lists.
-SAMPLE, LIST_ROWS, LISTS = 20_000, 256, 8192
+#: Most rows and bytes of the sample that centroids are fitted on, rows aimed at for a list. There is a list for every
+#: four rows of the sample at most.
+SAMPLE, SAMPLE_BYTES, LIST_ROWS = 20_000, 64_000_000, 256
+#: Distances that are held at once while the index is built.
+HELD = 4_000_000
 #: Most copies of a vector, and how much farther than its nearest centroid the others may be.
 COPIES, BOUNDARY = 3, 1.1
 #: A further list is left out if its centroid is nearer to a chosen one's than this share of its distance to the vector.
@@ -34,6 +37,13 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
 
 
+def in_blocks(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """squared(a, b), some rows of a at once, so that no more than about HELD distances are there."""
+    step = max(1, HELD // max(len(b), 1))
+    for i in range(0, len(a), step):
+        yield slice(i, i + step), squared(a[i : i + step], b)
+
+
 @dataclass
 class Index:
     centroids: np.ndarray
@@ -136,18 +146,26 @@ def build(sample: np.ndarray, lists: int, k: int, recall: float = RECALL, seed:
     rng = np.random.default_rng(seed)
     lists = max(1, min(lists, len(sample) // 4))
     centroids = np.stack([sample[g].mean(axis=0) for g in balanced_leaves(sample, lists, rng)])
+    own, away = np.zeros(len(sample), np.int64), np.zeros(len(sample))
     for _ in range(4):  # Lloyd's rounds, in which full lists become dearer
-        d = squared(sample, centroids)
-        load = np.bincount(d.argmin(axis=1), minlength=len(centroids))
-        dear = d.min(axis=1).mean() * 0.1 * np.maximum(load / max(load.mean(), 1e-9) - 1, 0)
-        own = (d + dear).argmin(axis=1)
+        for at, d in in_blocks(sample, centroids):
+            own[at], away[at] = d.argmin(axis=1), d.min(axis=1)
+        load = np.bincount(own, minlength=len(centroids))
+        dear = away.mean() * 0.1 * np.maximum(load / max(load.mean(), 1e-9) - 1, 0)
+        for at, d in in_blocks(sample, centroids):
+            d += dear
+            own[at] = d.argmin(axis=1)
         sums = np.zeros_like(centroids)
         np.add.at(sums, own, sample)
         n = np.bincount(own, minlength=len(centroids))
         centroids[n > 0] = sums[n > 0] / n[n > 0, None]
     c = len(centroids)
-    d = squared(centroids, centroids)
-    near = np.argsort(d, axis=1, kind="stable")[:, 1 : DEGREE + 1] if c > 1 else np.zeros((1, 1), np.int64)
+    near = np.zeros((c, min(DEGREE, c - 1) if c > 1 else 1), np.int64)
+    for at, d in in_blocks(centroids, centroids) if c > 1 else ():
+        most = near.shape[1] + 1
+        best = np.argpartition(d, most - 1, axis=1)[:, :most]
+        order = np.argsort(np.take_along_axis(d, best, axis=1), axis=1, kind="stable")
+        near[at] = np.take_along_axis(best, order, axis=1)[:, 1:]
     far = rng.integers(0, c, (c, 4))  # long links keep the graph connected
     index = Index(centroids, np.hstack([near, far, (np.arange(c)[:, None] + 1) % c]), np.unique(rng.integers(0, c, min(c, 16))))
     if c > 1:
@@ -158,10 +176,11 @@ def build(sample: np.ndarray, lists: int, k: int, recall: float = RECALL, seed:
 def calibrate(index: Index, sample: np.ndarray, k: int, recall: float, rng: np.random.Generator) -> None:
     """Sets the ratio at which the sample's own queries find this share of their k nearest."""
     queries = rng.choice(len(sample), min(300, len(sample)), replace=False)
-    d = squared(sample[queries], sample)
-    d[np.arange(len(queries)), queries] = np.inf
     k = min(k, len(sample) - 1)
-    true = np.argpartition(d, k - 1, axis=1)[:, :k]
+    true = np.zeros((len(queries), k), np.int64)
+    for at, d in in_blocks(sample[queries], sample):
+        d[np.arange(len(d)), queries[at]] = np.inf
+        true[at] = np.argpartition(d, k - 1, axis=1)[:, :k]
     row, owner = index.lists_of(sample)
     of = [[] for _ in range(len(sample))]
     for r, o in zip(row.tolist(), owner.tolist(), strict=True):
@@ -198,13 +217,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, list_rows: int
     spark = prepare(vectors.sparkSession)
     total = vectors.count()
     chance = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 30)) / float(1 << 30)
-    taken = vectors.where(chance < SAMPLE / max(total, 1)).select("id", "v").toPandas()
+    width = vectors.agg(F.max(F.size("v"))).first()[0] or 1
+    taken = vectors.where(chance < min(SAMPLE, max(SAMPLE_BYTES // (8 * width), 1000)) / max(total, 1)).select("id", "v").toPandas()
     if not len(taken):
         taken = vectors.orderBy("id").limit(1000).toPandas()
     if not len(taken):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = _matrix(taken.sort_values("id").v)
-    index = build(sample, 1 if total <= 4 * list_rows else min(total // list_rows, LISTS), k, recall)
+    index = build(sample, 1 if total <= 4 * list_rows else total // list_rows, k, recall)
     held = spark.sparkContext.broadcast(index)
 
     def placed(search: str):
@@ -236,7 +256,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, list_rows: int
         return pd.DataFrame({"query_id": np.repeat(np.array([o[0] for o in out], np.int64), [len(o[1]) for o in out]), "vec_id": np.concatenate([o[1] for o in out]) if out else np.zeros(0, np.int64), "score": np.concatenate([o[2] for o in out]) if out else np.zeros(0)})
 
     def scanned(asked: DataFrame) -> DataFrame:
-        # at most LISTS rows
+        # a row for each list, of which the sample's size bounds the number
         blocks = sizes.join(asked.groupBy("list").agg(F.count("*").alias("asked")), "list")
         blocks = F.broadcast(blocks.select("list", F.ceil(F.col("rows") / block).alias("vs"), F.ceil(F.col("asked") / block).alias("qs")))
         dealt = posted.join(blocks, "list").select("list", F.pmod(F.xxhash64("id"), F.col("vs")).alias("vb"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qb"), "id", "v")
