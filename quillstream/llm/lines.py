@@ -67,7 +67,7 @@ def _classed(pages: DataFrame, frequent: DataFrame) -> DataFrame:
 
     Where frequent lines are most of a page, its class is that of the longest one; lines that are the longest two of
     such a page are of one class, so that copies of which different lines were edited meet. Others are alone."""
-    joined = _beside_host(pages, frequent.groupBy("host").agg(F.collect_set("line").alias("__qs_drop")), "host", F.col("page"))
+    joined = _beside_host(pages, frequent.groupBy("host").agg(F.collect_set("line").alias("__qs_drop")), "host", F.col("page"), hot_hosts(pages, "host"))
     often = F.filter("sized", lambda x: F.array_contains(F.coalesce("__qs_drop", F.array().cast("array<bigint>")), x.line))
     chars = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + x.n)
     own = joined.select("host", "page", "lines", often.alias("often"), chars(F.col("sized")).alias("chars"))
@@ -82,10 +82,20 @@ def _classed(pages: DataFrame, frequent: DataFrame) -> DataFrame:
     return own.select("host", "lines", F.coalesce("label", "u", "page").alias("class"))
 
 
-def _beside_host(rows: DataFrame, found: DataFrame, host: str, key: Column) -> DataFrame:
-    """rows with __qs_drop of their host, dealt by a key beside it."""
-    salted = found.withColumn("__qs_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    rows = with_columns(rows, {"__qs_salt": F.pmod(key, F.lit(SALTS)).cast("int"), "__qs_host": F.col(f"`{host}`")})
+def hot_hosts(docs: DataFrame, host: str) -> list:
+    """Hosts with over 1/256 of all rows: fewer than 256, whatever the corpus."""
+    counts = docs.groupBy(F.col(host).alias("h")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    return [r.h for r in counts.join(F.broadcast(total), F.col("n") * 256 > F.col("total")).select("h").collect()]
+
+
+def _beside_host(rows: DataFrame, found: DataFrame, host: str, key: Column, hot: list) -> DataFrame:
+    """rows with __qs_drop of their host; rows of hot hosts are dealt by a key beside it, so only these hosts' arrays are repeated."""
+    names = [h for h in hot if h is not None]
+    is_hot = lambda h: F.coalesce(h.isin(names), F.lit(None in hot)) if names else h.isNull() & F.lit(None in hot)
+    salted = found.withColumn("__qs_salt", F.explode(F.when(is_hot(F.col("host")), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    here = F.col(f"`{host}`")
+    rows = with_columns(rows, {"__qs_salt": F.when(is_hot(here), F.pmod(key, F.lit(SALTS)).cast("int")).otherwise(0), "__qs_host": here})
     return rows.join(salted.withColumnRenamed("host", "__qs_h"), F.col("__qs_host").eqNullSafe(F.col("__qs_h")) & (rows["__qs_salt"] == salted["__qs_salt"]), "left").drop(salted["__qs_salt"])
 
 
@@ -95,12 +105,12 @@ def dedup_lines(docs: DataFrame, text: str = "text", host: str = "source", ratio
     Lines are compared without blanks at their ends. A null text stays null; a null host is a host of its own.
     A text that loses nothing stays as it is, byte for byte. Repeated rows stay, and
     count as one page of their host, as do near copies if near_copies is set. The lines that go are few for a host (shares add up to its mean number of lines, so fewer than that mean
-    over `ratio`), but hosts may be many: they are joined as one array per host, and rows of a hot host are dealt
-    over partitions by the row's key beside the host, so the array is repeated for each salt of it."""
+    over `ratio`), but hosts may be many: they are joined as one array per host. Rows of a hot host (over 1/256 of all) are
+    dealt over partitions by the row's key beside the host, and its array is repeated for each salt."""
     prepare(docs.sparkSession)
     found = boilerplate(docs, text, host, ratio, least_pages, near_copies).groupBy("host").agg(F.collect_set("line").alias("__qs_drop"))
     found = stored(found, "boilerplate")
-    joined = _beside_host(docs, found, host, text_key(text))
+    joined = _beside_host(docs, found, host, text_key(text), hot_hosts(docs, host))
     lines = F.split(F.col(text), "\n")
     drop = F.coalesce(F.col("__qs_drop"), F.array().cast("array<bigint>"))
     goes = lambda x: (_line(x) != "") & F.array_contains(drop, _key(x))
