@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import sys
+from array import array
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,67 +26,153 @@ def words(text: str | None) -> list[str]:
 
 
 class SuffixAutomaton:
-    """Of several word sequences. State 0 is the root; link and length as usual; each step is a dict."""
+    """Of several word sequences (words are numbers), in flat arrays. State 0 is the root; link and length as usual.
 
-    def __init__(self) -> None:
-        self.step: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
+    While it grows, the arcs of a state are a chain and all arcs stand in one open hash table; freeze() turns them
+    into one sorted array of (state, word), which is a tenth of what a dict for each state takes."""
 
-    def _state(self, length: int, step: dict[int, int], link: int) -> int:
-        self.step.append(step)
+    def __init__(self) -> None:
+        self.link, self.length, self.head = array("i", [-1]), array("i", [0]), array("i", [-1])
+        self.source, self.word, self.target, self.after = array("i"), array("i"), array("i"), array("i")
+        self.slots = array("i", [-1]) * 1024
+        self.keys = self.ends = array("q")
+
+    def _slot(self, state: int, w: int) -> int:
+        """Where the arc stands, or would."""
+        mask, slots, source, word = len(self.slots) - 1, self.slots, self.source, self.word
+        at = (state * 0x9E3779B97F4A7C15 + w * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF) >> 32 & mask
+        while (arc := slots[at]) >= 0 and (source[arc] != state or word[arc] != w):
+            at = at + 1 & mask
+        return at
+
+    def _to(self, state: int, w: int) -> int:
+        arc = self.slots[self._slot(state, w)]
+        return self.target[arc] if arc >= 0 else -1
+
+    def _connect(self, state: int, w: int, target: int) -> None:
+        """Adds an arc that isn't there."""
+        if 2 * len(self.word) >= len(self.slots):
+            self.slots = array("i", [-1]) * (4 * len(self.slots))
+            for arc in range(len(self.word)):
+                self.slots[self._slot(self.source[arc], self.word[arc])] = arc
+        self.slots[self._slot(state, w)] = len(self.word)
+        self.after.append(self.head[state])
+        self.head[state] = len(self.word)
+        self.source.append(state)
+        self.word.append(w)
+        self.target.append(target)
+
+    def _state(self, length: int, link: int) -> int:
         self.length.append(length)
         self.link.append(link)
-        return len(self.step) - 1
+        self.head.append(-1)
+        return len(self.link) - 1
 
     def _split(self, p: int, w: int, q: int) -> int:
         """The state of p's strings with w: q, or a copy of it if q has longer strings too."""
         if self.length[q] == self.length[p] + 1:
             return q
-        copy = self._state(self.length[p] + 1, dict(self.step[q]), self.link[q])
+        copy = self._state(self.length[p] + 1, self.link[q])
+        arc = self.head[q]
+        while arc >= 0:
+            self._connect(copy, self.word[arc], self.target[arc])
+            arc = self.after[arc]
         self.link[q] = copy
-        while p >= 0 and self.step[p].get(w) == q:
-            self.step[p][w] = copy
+        while p >= 0 and (arc := self.slots[self._slot(p, w)]) >= 0 and self.target[arc] == q:
+            self.target[arc] = copy
             p = self.link[p]
         return copy
 
-    def add(self, sequence: list[int]) -> None:
+    def add(self, sequence: Iterable[int]) -> None:
         last = 0
         for w in sequence:
-            if w in self.step[last]:  # another sequence has it
-                last = self._split(last, w, self.step[last][w])
+            if (q := self._to(last, w)) >= 0:  # another sequence has it
+                last = self._split(last, w, q)
                 continue
-            new = self._state(self.length[last] + 1, {}, 0)
-            p = last
-            while p >= 0 and w not in self.step[p]:
-                self.step[p][w] = new
+            new, p = self._state(self.length[last] + 1, 0), last
+            while p >= 0 and (q := self._to(p, w)) < 0:
+                self._connect(p, w, new)
                 p = self.link[p]
             if p >= 0:
-                self.link[new] = self._split(p, w, self.step[p][w])
+                self.link[new] = self._split(p, w, q)
             last = new
 
+    def freeze(self) -> None:
+        keys = np.frombuffer(self.source, np.int32).astype(np.int64) << 32 | np.frombuffer(self.word, np.int32) if len(self.word) else np.zeros(0, np.int64)
+        order = np.argsort(keys)
+        self.ends = array("i", np.frombuffer(self.target, np.int32)[order].tobytes() if len(order) else b"")
+        self.keys = array("q", keys[order].tobytes())
+        self.source = self.word = self.target = self.after = self.head = self.slots = array("i")
+
+    def walk(self, state: int, matched: int, w: int) -> tuple[int, int]:
+        """The state and length of the longest match that ends with w, after that of (state, matched)."""
+        keys = self.keys
+        while True:
+            at = bisect_left(keys, key := state << 32 | w)
+            if at < len(keys) and keys[at] == key:
+                return self.ends[at], matched + 1
+            if not state:
+                return 0, 0
+            state = self.link[state]
+            matched = self.length[state]
+
+    def shortened(self, state: int, least: int) -> int:
+        """The state of the last `least` words of a match of this state, which has so many."""
+        while self.length[self.link[state]] >= least:
+            state = self.link[state]
+        return state
+
 
 class Items:
-    """The automaton of the items, their vocabulary and the items of each window.
+    """The frozen automaton of the items, their vocabulary, and the items of each window by its state.
 
-    A window is `window` consecutive words of an item; an item with fewer words is one window."""
+    A window is `window` consecutive words of an item; an item with fewer words is one window. Items without id have
+    windows like the others, which no id stands for."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int) -> None:
-        self.window = window
+    def __init__(self, items: Iterable[tuple[str | None, str | None]], window: int) -> None:
+        self.window, self.names = window, []
         self.ids: dict[str, int] = {}
         self.automaton = SuffixAutomaton()
-        self.owners: dict[tuple[int, ...], set[str]] = {}
-        pairs: set[int] = set()
+        flat, ends, owners = array("i"), [0], array("i")
         for item, text in items:
             sequence = [self.ids.setdefault(w, len(self.ids)) for w in words(text)]
-            if not sequence:
-                continue
-            self.automaton.add(sequence)
-            n = min(window, len(sequence))
-            for i in range(len(sequence) - n + 1):
-                self.owners.setdefault(tuple(sequence[i : i + n]), set()).add(item)
-            pairs.update(a << 32 | b for a, b in zip(sequence, sequence[1:], strict=False))
-        self.sizes = sorted({len(x) for x in self.owners}, reverse=True)
-        self.pairs = np.array(sorted(pairs), dtype=np.int64)
+            if sequence:
+                self.automaton.add(sequence)
+                flat.extend(sequence)
+                ends.append(len(flat))
+                owners.append(-1 if item is None else len(self.names))
+                if item is not None:
+                    self.names.append(item)
+        self.automaton.freeze()
+        at, who = array("q"), array("i")  # windows by state and length, and their items
+        for owner, a, b in zip(owners, ends, ends[1:], strict=False):
+            state, n = 0, min(window, b - a)
+            for i in range(a, b):
+                state, _ = self.automaton.walk(state, 0, flat[i])
+                if i - a + 1 >= n:
+                    state = self.automaton.shortened(state, n)
+                    at.append(state * (window + 1) + n)
+                    who.append(owner)
+        keys, of = np.frombuffer(at, np.int64) if len(at) else np.zeros(0, np.int64), np.frombuffer(who, np.int32) if len(who) else np.zeros(0, np.int32)
+        both = np.unique(np.stack([keys, of], axis=1), axis=0) if len(keys) else np.zeros((0, 2), np.int64)
+        first = np.flatnonzero(np.r_[True, both[1:, 0] != both[:-1, 0]]) if len(both) else np.zeros(0, np.int64)
+        self.keys, self.firsts = array("q", both[first, 0].tobytes()), array("q", np.r_[first, len(both)].astype(np.int64).tobytes())
+        self.owners = array("i", both[:, 1].astype(np.int32).tobytes())
+        self.sizes = sorted({x % (window + 1) for x in self.keys}, reverse=True)
+        w = np.frombuffer(flat, np.int32).astype(np.int64) if len(flat) else np.zeros(0, np.int64)
+        inner = np.ones(max(len(w) - 1, 0), bool)
+        inner[np.array(ends[1:-1], np.int64) - 1] = False
+        self.pairs = np.unique((w[:-1] << 32 | w[1:])[inner])
+
+    def nbytes(self) -> int:
+        """About what a worker holds."""
+        held = (self.automaton.link, self.automaton.length, self.automaton.keys, self.automaton.ends, self.keys, self.firsts, self.owners)
+        return sum(x.itemsize * len(x) for x in held) + self.pairs.nbytes + sys.getsizeof(self.ids) + sum(sys.getsizeof(x) + 28 for x in self.ids) + sum(sys.getsizeof(x) + 8 for x in self.names)
+
+    def owners_of(self, state: int, n: int) -> array | None:
+        """Places of the items that have the window of n words at this state."""
+        at = bisect_left(self.keys, key := state * (self.window + 1) + n)
+        return self.owners[self.firsts[at] : self.firsts[at + 1]] if at < len(self.keys) and self.keys[at] == key else None
 
     def stretches(self, sequence: np.ndarray) -> list[tuple[int, int]]:
         """Maximal runs of words of which each adjacent pair stands in some item: no match leaves them."""
@@ -104,28 +193,22 @@ class Items:
         if not self.sizes or not sequence:
             return [], set()
         spans: list[list[int]] = []
-        found: set[str] = set()
+        found: set[int] = set()
         coded = np.fromiter((self.ids.get(w, -1) for w in sequence), np.int64, len(sequence))
-        step, link, length = self.automaton.step, self.automaton.link, self.automaton.length
         for a, b in self.stretches(coded):
             state = matched = 0
-            run = coded[a:b].tolist()
-            for i, w in enumerate(run):
-                while state and w not in step[state]:
-                    state = link[state]
-                    matched = length[state]
-                if w in step[state]:
-                    state, matched = step[state][w], matched + 1
+            for i, w in enumerate(coded[a:b].tolist(), a + 1):
+                state, matched = self.automaton.walk(state, matched, w)
                 for n in self.sizes:
-                    if n <= matched and (owners := self.owners.get(tuple(run[i + 1 - n : i + 1]))):
-                        found |= owners
-                        if spans and a + i + 1 - n <= spans[-1][1]:
-                            while len(spans) > 1 and a + i + 1 - n <= spans[-2][1]:
+                    if n <= matched and (owners := self.owners_of(self.automaton.shortened(state, n), n)):
+                        found.update(owners)
+                        if spans and i - n <= spans[-1][1]:
+                            while len(spans) > 1 and i - n <= spans[-2][1]:
                                 spans.pop()
-                            spans[-1] = [min(spans[-1][0], a + i + 1 - n), a + i + 1]
+                            spans[-1] = [min(spans[-1][0], i - n), i]
                         else:
-                            spans.append([a + i + 1 - n, a + i + 1])
-        return [tuple(x) for x in spans], found
+                            spans.append([i - n, i])
+        return [tuple(x) for x in spans], {self.names[x] for x in found if x >= 0}
 
 
 #: Words of items that one automaton holds; items beyond it go to further automata, each with its own pass.
@@ -134,20 +217,20 @@ SHARD_WORDS = 2_000_000
 
 def shards(benchmark: DataFrame, item: str, text: str, window: int, limit: int):
     """Automata over all items, each over about `limit` words at most, so that what is sent to workers is bounded."""
-    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("item is not null and text is not null").distinct()
+    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("text is not null").distinct()
     n = F.length("text") / 2
     total = items.agg(F.sum(n)).first()[0] or 0
     parts = int(total // limit) + 1
     for k in range(parts):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k) if parts > 1 else items
-        yield Items(sorted((r.item, r.text) for r in part.toLocalIterator()), window)
+        yield Items(((r.item, r.text) for r in part.orderBy("item", "text").toLocalIterator()), window)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, shard_words: int = SHARD_WORDS, name: str = "leak") -> DataFrame:
     """docs with leak (or another name): struct<n_words, spans: array<struct<start, end>> of hit words, items: array<string>>.
 
-    A null or empty text has no words; items that are null, have no id or no words have no windows; repeated
-    items count once. Repeated rows of docs stay. An empty benchmark hits nothing."""
+    A null or empty text has no words; items that are null or have no words have no windows; the windows of items
+    without id are hit like others, but no id is named for them; repeated items count once. Repeated rows of docs stay. An empty benchmark hits nothing."""
     spark = prepare(docs.sparkSession)
     kind = "n_words long, spans array<struct<start: int, end: int>>, items array<string>"
 
@@ -221,7 +304,7 @@ def leak_report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 LEAK_SQL = r"""
 WITH item_words AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+  FROM benchmark WHERE text IS NOT NULL),
 windows AS (
   SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(10, len(w)) AS n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS gram
   FROM item_words, LATERAL (SELECT unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i) WHERE len(w) > 0),

@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -45,7 +46,7 @@ def brute_leaks(docs, items, window):
         w = decontaminate.words(t)
         n = min(window, len(w))
         for k in range(len(w) - n + 1) if n else ():
-            grams[tuple(w[k : k + n])].add(str(i))
+            grams[tuple(w[k : k + n])] |= {str(i)} - {"None"}
     out = {}
     for i, t in docs:
         w, hit, found = decontaminate.words(t), set(), set()
@@ -62,7 +63,7 @@ def brute_leaks(docs, items, window):
 def test_leaks_by_brute_force(spark, shard_words):
     r = random.Random(shard_words)
     some = lambda n: " ".join(r.choice(["a", "B", "c", "dé", "e-f"]) for _ in range(n))
-    items = [(i, some(r.randint(0, 14))) for i in range(25)]
+    items = [(i, some(r.randint(0, 14))) for i in range(25)] + [(None, "q r s t u"), (None, "v w")]
     docs = [(i, some(r.randint(0, 60)) + r.choice(items)[1] + " " + some(5)) for i in range(120)]
     b = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.leak_report(spark.createDataFrame(docs, "doc_id long, text string"), b, window=4, shard_words=shard_words)
@@ -76,6 +77,35 @@ def test_clean_text_stays_and_passages_go(spark):
     assert got == {0: "Nothing here.", 1: "Before the cut, ; after the cut comes quite a lot of other text, long enough to stay."}
 
 
+def test_automaton_matches_longest_suffixes_and_stays_small():
+    r = random.Random(6)
+    sequences = [[r.randrange(4) for _ in range(r.randint(1, 30))] for _ in range(30)]
+    automaton = decontaminate.SuffixAutomaton()
+    for x in sequences:
+        automaton.add(x)
+    automaton.freeze()
+    inside = {tuple(x[a:b]) for x in sequences for a in range(len(x)) for b in range(a + 1, len(x) + 1)}
+    text, state, matched = [r.randrange(5) for _ in range(2000)], 0, 0
+    for i, w in enumerate(text, 1):
+        state, matched = automaton.walk(state, matched, w)
+        assert matched == max((n for n in range(1, min(i, 30) + 1) if tuple(text[i - n : i]) in inside), default=0)
+    words = [f"w{i}" for i in range(20_000)]
+    tracemalloc.start()
+    model = decontaminate.Items(((str(k), " ".join(words[int(len(words) * r.random() ** 3)] for _ in range(200))) for k in range(400)), 10)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    # at SHARD_WORDS words: under 500 MB while it is built, and less in a worker
+    assert peak / 80_000 * decontaminate.SHARD_WORDS < 500e6 and model.nbytes() / 80_000 * decontaminate.SHARD_WORDS < 250e6
+
+
+def test_a_very_long_text_is_read_to_its_end(spark):
+    passage = "one two three four five six seven eight nine ten"
+    long = "filler word " * 150_000
+    docs = docs_of(spark, [long + passage, passage + " " + long, long])
+    got = {x.doc_id: (x.n_words, x.n_hit) for x in decontaminate.leak_report(docs, spark.createDataFrame([(1, passage)], "item_id long, text string")).collect()}
+    assert got == {0: (300_010, 10), 1: (300_010, 10), 2: (300_000, 0)}
+
+
 # -- 3: mixing
 
 
@@ -381,6 +411,15 @@ def test_common_vector_and_ties(spark):
     assert all(len(x) == 10 for x in got.values()) and len(got) == 30
 
 
+def test_a_large_index_is_built_in_little_memory():
+    x = np.random.default_rng(2).normal(size=(neighbours.SAMPLE, 16))
+    tracemalloc.start()
+    index = neighbours.build(x, 5000, 10)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(index.centroids) == 5000 and peak < 500e6
+
+
 def test_walk_finds_what_a_scan_finds():
     r = np.random.default_rng(1)
     index = neighbours.build(r.normal(size=(8000, 6)), 1000, 10)
