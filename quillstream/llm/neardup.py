@@ -28,9 +28,11 @@ WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 25, 5
 #: Agreement of signatures from which on a pair is a candidate (five standard deviations below 0.8), and below
 #: which even a neighbour of a candidate can't be one.
 NEAR, RING = 0.62, 0.35
-#: Rows of a bucket that are compared in one task; rows and shingles of a group that is resolved in one task;
-#: rows of a larger group to which all of it is compared in one round.
-BUCKET_ROWS, GROUP_ROWS, GROUP_SHINGLES, PIVOTS = 2048, 4096, 4_000_000, 64
+#: Rows of a bucket that are compared in one task; rows and shingles of a group that is resolved in one task.
+BUCKET_ROWS, GROUP_ROWS, GROUP_SHINGLES = 2048, 4096, 4_000_000
+#: Rows of a larger group to which all of it is compared in the first round; each round has twice as many as the one
+#: before, up to this share of the group.
+PIVOTS, PIVOT_SHARE = 64, 1 / 16
 _U = np.uint64
 _MIX = _U(0x9E3779B97F4A7C15)
 _word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
@@ -211,7 +213,7 @@ def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return with_columns(docs, {"__qs_k": F.col(doc_id) if plain else F.xxhash64(F.col(doc_id).cast("string"), F.coalesce(F.col(text), F.lit("")))})
 
 
-def near_classes(rows: DataFrame, weighted: bool = False, words: int = WORDS, similar: float = SIMILAR, bands: int = BANDS, band_rows: int = ROWS, bucket_rows: int = BUCKET_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
+def near_classes(rows: DataFrame, weighted: bool = True, words: int = WORDS, similar: float = SIMILAR, bands: int = BANDS, band_rows: int = ROWS, bucket_rows: int = BUCKET_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """k, label of those rows (k: long, t: string) that are in a class with another key; label is a key of the class.
 
     weighted: shingles weigh as often as they occur, else once. Texts with the same words are one class without
@@ -268,26 +270,16 @@ def near_classes(rows: DataFrame, weighted: bool = False, words: int = WORDS, si
     dealt = member.withColumn("several", F.col("rows") > bucket_rows).select("key", "salt", "several", "k", "marks")
     pairs = stored(dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "k").mapInPandas(compare, "u long, v long, marks binary"), "pairs")
 
-    def lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, part in grouped(batches, ["key"]):
-            marks = np.frombuffer(b"".join(part.marks), np.uint8).reshape(len(part), -1)
-            u, v = [], []
-            for i in range(1, len(part)):
-                agreed = (marks[:i] == marks[i]).mean(axis=1)
-                best = int(agreed.argmax())
-                if agreed[best] >= RING:
-                    u.append(part.k.iloc[i])
-                    v.append(part.k.iloc[best])
-            if u:
-                yield pd.DataFrame({"u": u, "v": v})
-
     leaders = pairs.where("marks is not null").select(F.col("v").alias("key"), F.col("u").alias("k"), "marks")
-    edges = pairs.where("marks is null and u <> v").select("u", "v").unionByName(leaders.repartition("key").sortWithinPartitions("key", "k").mapInPandas(lead, "u long, v long")).distinct()
+    led = leader_edges(leader_blocks(leaders, bucket_rows))
+    edges = pairs.where("marks is null and u <> v").select("u", "v").unionByName(led).distinct()
     groups = components(edges)
     hubs = met.groupBy("k").agg(F.sum("rows").alias("hub"))
     groups = groups.join(own.select("k", "size"), groups.node == F.col("k")).select("k", F.col("label").alias("g"), "size").join(hubs, "k")
     sizes = groups.groupBy("g").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
-    groups = groups.join(sizes, "g").withColumn("heavy", (F.col("n") > group_rows) | (F.col("shingles") > GROUP_SHINGLES)).select("k", "g", "hub", "heavy", "n")
+    # parts of a heavy group: of bounded rows and about bounded shingles
+    parts = F.greatest(F.ceil(F.col("n") / bucket_rows), F.ceil(F.col("shingles") / GROUP_SHINGLES))
+    groups = groups.join(sizes, "g").withColumn("heavy", (F.col("n") > group_rows) | (F.col("shingles") > GROUP_SHINGLES)).select("k", "g", "hub", "heavy", "n", parts.alias("parts"))
 
     @F.pandas_udf("binary")
     def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -295,7 +287,7 @@ def near_classes(rows: DataFrame, weighted: bool = False, words: int = WORDS, si
         for batch in texts:
             yield pd.Series([_packed(*shingler.shingles(shingler.words(t)), weighted) for t in batch], dtype=object)
 
-    sets = stored(rows.join(groups, "k").select("k", "g", "hub", "heavy", "n", cut("t").alias("set")), "sets")
+    sets = stored(rows.join(groups, "k").select("k", "g", "hub", "heavy", "n", "parts", cut("t").alias("set")), "sets")
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, part in grouped(batches, ["g"]):
@@ -310,10 +302,41 @@ def near_classes(rows: DataFrame, weighted: bool = False, words: int = WORDS, si
     light = sets.where("not heavy").select("g", "k", "hub", "set").repartition("g").sortWithinPartitions("g", "k").mapInPandas(settle, "u long, v long")
     links = copies.unionByName(light)
     if sizes.where((F.col("n") > group_rows) | (F.col("shingles") > GROUP_SHINGLES)).limit(1).count():
-        links = links.unionByName(heavy_links(sets.where("heavy"), similar, bucket_rows))
+        links = links.unionByName(heavy_links(sets.where("heavy").drop("heavy"), similar))
     return components(links).select(F.col("node").alias("k"), "label")
 
 
+def leader_blocks(leaders: DataFrame, rows: int) -> DataFrame:
+    """key, i, j, block, k, marks: the leaders (key, k, marks) of each key in blocks, for each pair (i, j) of blocks."""
+    blocks = stored(leaders.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / rows).cast("int").alias("blocks")), "blocks")
+    placed = leaders.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64(F.lit(2), "k"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return placed.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "k", "marks")
+
+
+def leader_edges(placed: DataFrame) -> DataFrame:
+    """u, v: each leader and the nearest one of every block, if that may belong to one group with it."""
+
+    def lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (_, i, j), part in grouped(batches, ["key", "i", "j"]):
+            marks, k = np.frombuffer(b"".join(part.marks), np.uint8).reshape(len(part), -1), part.k.to_numpy()
+            first = part.block.to_numpy() == i
+            mine, others = np.flatnonzero(~first) if i != j else np.arange(len(part)), np.flatnonzero(first)
+            u, v = [], []
+            for a in mine.tolist():  # to the nearest earlier leader of the other block, or of its own
+                to = others if i != j else others[:a]
+                if len(to):
+                    agreed = (marks[to] == marks[a]).mean(axis=1)
+                    best = int(agreed.argmax())
+                    if agreed[best] >= RING:
+                        u.append(k[a])
+                        v.append(k[to[best]])
+            if u:
+                yield pd.DataFrame({"u": u, "v": v})
+
+    return placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "k").mapInPandas(lead, "u long, v long")
+
+
 def _packed(elements: np.ndarray, n: np.ndarray, weighted: bool) -> bytes:
     """A set of shingles; with weights, of shingles and turns, whose Jaccard similarity is the weighted one."""
     if weighted and len(n) and n.max() > 1:
@@ -358,16 +381,19 @@ def grouped(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple]:
             yield tuple(part[c].iloc[a] for c in by), part.iloc[a:b]
 
 
-def heavy_links(sets: DataFrame, similar: float, part_rows: int) -> DataFrame:
-    """u, v: links that connect the classes of groups too large for one task (k, g, hub, n, set).
+def heavy_links(sets: DataFrame, similar: float) -> DataFrame:
+    """u, v: links that connect the classes of groups too large for one task (k, g, hub, n, parts, set).
 
-    In each round a few rows of each group, those with most neighbours first, are compared with the whole group,
-    which is dealt over many tasks. A link between two classes has an end outside the group's largest class, so rows
-    in that one need no turn of their own; a row that had its turn has all its links. Rounds end when no row is left."""
-    state = stored(sets.select("k", "g", "hub", F.col("k").alias("label"), F.lit(False).alias("done")), "state")
+    In each round some rows of each group, those with most neighbours first, are compared with the whole group,
+    which is dealt over many tasks, as are they. A link between two classes has an end outside the group's largest
+    class, so rows in that one need no turn of their own; a row that had its turn has all its links. Most groups are
+    one class after the first rounds; where none dominates, rounds grow, so that their number stays small. They end
+    when no row is left."""
+    salt = F.pmod(F.xxhash64("k"), "parts").alias("salt")
+    state = stored(sets.select("k", "g", salt, "hub", "n", "parts", F.col("k").alias("label"), F.lit(False).alias("done")), "state")
     links: DataFrame | None = None
-    parts = F.ceil(F.col("n") / part_rows)
-    members = sets.select("k", "g", "set", F.pmod(F.xxhash64("k"), parts).alias("salt"), parts.alias("parts"))
+    members = sets.select("k", "g", "set", salt, "parts")
+    size = PIVOTS
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
@@ -385,19 +411,24 @@ def heavy_links(sets: DataFrame, similar: float, part_rows: int) -> DataFrame:
 
     while True:
         largest = state.groupBy("g", "label").agg(F.count("*").alias("c")).groupBy("g").agg(F.max_by("label", F.struct("c", "label")).alias("top"))
-        turn = Window.partitionBy("g").orderBy(F.desc("hub"), "k")
-        pivots = state.join(largest, "g").where("not done and label <> top").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= PIVOTS).select("k", "g")
-        pivots = stored(pivots, "pivots")
+        # so many of each part of a group; packs of them are as large as parts are
+        each = F.ceil(F.greatest(F.lit(PIVOTS), F.least(F.lit(size), F.floor(F.col("n") * PIVOT_SHARE))) / F.col("parts"))
+        turn = F.row_number().over(Window.partitionBy("g", "salt").orderBy(F.desc("hub"), "k"))
+        pivots = state.join(largest, "g").where("not done and label <> top").withColumn("turn", turn).where(F.col("turn") <= each)
+        pack = F.floor(F.col("salt") / F.greatest(F.lit(1), F.floor(F.col("n") / (F.col("parts") * each))))
+        pivots = stored(pivots.select("k", "g", pack.alias("pack")), "pivots")
         if not pivots.limit(1).count():
             return links if links is not None else state.select(F.col("k").alias("u"), F.col("k").alias("v")).limit(0)
-        theirs = members.join(pivots.select("k"), "k").select("k", "g", "set", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")).toDF("pivot", "pivot_g", "pivot_set", "pivot_salt")
-        found = stored(members.select("k", "g", "set", "salt").groupBy("g", "salt").cogroup(theirs.groupBy("pivot_g", "pivot_salt")).applyInPandas(compare, "u long, v long"), "links")
+        size *= 2
+        theirs = members.join(pivots.select("k", "pack"), "k").select("k", "g", "pack", "set", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")).toDF("pivot", "pivot_g", "pivot_pack", "pivot_set", "pivot_salt")
+        asked = members.join(pivots.select(F.col("g").alias("pivot_g"), "pack").distinct(), F.col("g") == F.col("pivot_g")).select("k", "g", "salt", "pack", "set")
+        found = stored(asked.groupBy("g", "salt", "pack").cogroup(theirs.groupBy("pivot_g", "pivot_salt", "pivot_pack")).applyInPandas(compare, "u long, v long"), "links")
         links = found if links is None else links.unionByName(found)
         label = state.select("k", "label")
         ends = found.join(label, found.u == label.k).select(F.col("label").alias("a"), "v").join(label, F.col("v") == label.k).select(F.col("a").alias("u"), F.col("label").alias("v")).where("u <> v")
         merged = components(ends).select(F.col("node").alias("label"), F.col("label").alias("new"))
         state = state.join(merged, "label", "left").join(pivots.select("k", F.lit(True).alias("now")), "k", "left")
-        state = stored(state.select("k", "g", "hub", F.coalesce("new", "label").alias("label"), (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")), "state")
+        state = stored(state.select("k", "g", "salt", "hub", "n", "parts", F.coalesce("new", "label").alias("label"), (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")), "state")
 
 
 def classify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", prefix: str = "", **options) -> DataFrame:
@@ -409,11 +440,14 @@ def classify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", prefix
     keyed = _keyed(docs, text, doc_id)
     found = near_classes(keyed.select(F.col("__qs_k").alias("k"), F.col(text).alias("t")), **options).withColumnRenamed("k", "__qs_j")
     light = keyed.select("__qs_k", F.col(doc_id).alias("__qs_i"), (F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "")) > 0).alias("__qs_w"))
-    light = light.groupBy("__qs_k", "__qs_i", "__qs_w").agg(F.count("*").alias("__qs_n")).join(found, F.col("__qs_k") == F.col("__qs_j"), "left")
-    light = light.withColumn("__qs_label", F.coalesce("label", "__qs_k"))
-    per = light.groupBy("__qs_label").agg(F.min("__qs_i").alias("class_id"), F.sum("__qs_n").alias("class_size"), F.min_by("__qs_k", F.struct(F.col("__qs_i").isNull(), "__qs_i", "__qs_k")).alias("__qs_first"))
-    known = light.select(F.col("__qs_k").alias("__qs_j"), "__qs_label", "__qs_w").join(per, "__qs_label")
-    known = known.select("__qs_j", F.col("class_id").alias("__qs_class"), F.when(F.col("__qs_w"), F.col("class_size")).otherwise(1).cast("long").alias("__qs_size"), ((F.col("__qs_j") == F.col("__qs_first")) | ~F.col("__qs_w")).alias("__qs_keep"))
+    light = stored(light.groupBy("__qs_k", "__qs_i", "__qs_w").agg(F.count("*").alias("__qs_n")).join(found, F.col("__qs_k") == F.col("__qs_j"), "left").drop("__qs_j"), "light")
+    several = light.where("label is not null")
+    per = several.groupBy("label").agg(F.min("__qs_i").alias("class_id"), F.sum("__qs_n").alias("class_size"), F.min_by("__qs_k", F.struct(F.col("__qs_i").isNull(), "__qs_i", "__qs_k")).alias("__qs_first"))
+    # stored, so that a class beyond a task's share can be split when it is joined
+    joined = several.join(stored(per, "classes"), "label")
+    known = joined.select(F.col("__qs_k").alias("__qs_j"), F.col("class_id").alias("__qs_class"), F.col("class_size").alias("__qs_size"), (F.col("__qs_k") == F.col("__qs_first")).alias("__qs_keep"))
+    alone = light.where("label is null").select("__qs_k", "__qs_i", F.when(F.col("__qs_w"), F.col("__qs_n")).otherwise(1).cast("long"), F.lit(True))
+    known = known.unionByName(alone.toDF(*known.columns))
     out = with_columns(keyed.join(known, F.col("__qs_k") == F.col("__qs_j")), {prefix + "class_id": F.col("__qs_class"), prefix + "class_size": F.col("__qs_size"), prefix + "keep": F.col("__qs_keep")})
     return out.drop("__qs_j", "__qs_class", "__qs_size", "__qs_keep")
 

@@ -8,6 +8,7 @@ import re
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,7 +267,7 @@ def brute_classes(docs, weighted):
     return {i: root(i) for i in up}
 
 
-@pytest.mark.parametrize("options", [{}, {"group_rows": 5}, {"bucket_rows": 4}, {"weighted": True}])
+@pytest.mark.parametrize("options", [{}, {"weighted": False, "group_rows": 5}, {"group_rows": 5, "bucket_rows": 8}, {"bucket_rows": 4}, {"weighted": False}])
 def test_classes_by_brute_force(spark, options):
     r = random.Random(5)
     words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6))) for _ in range(400)]
@@ -286,7 +287,35 @@ def test_classes_by_brute_force(spark, options):
         docs.append((i, " ".join(t)))
     docs += [(1000, docs[5][1]), (1001, docs[5][1].upper()), (1002, None)]
     got = {x.doc_id: x.class_id for x in neardup.class_report(spark.createDataFrame(docs, "doc_id long, text string"), **options).collect()}
-    assert got == brute_classes(docs, options.get("weighted", False))
+    assert got == brute_classes(docs, options.get("weighted", True))
+
+
+def test_a_band_key_of_many_unlike_rows(spark):
+    # texts that share half their shingles, so that they meet in hot keys, and pairs of copies among them
+    r = random.Random(12)
+    some = lambda n: [f"w{r.randrange(100_000)}" for _ in range(n)]
+    template, docs = some(54), []
+    for i in range(500):
+        own = some(46)
+        docs.append((2 * i, " ".join([*template, *own])))
+        if i % 10 == 0:
+            docs.append((2 * i + 1, " ".join([*template, *own[:-3], *some(3)])))
+    got = {x.doc_id: x.class_id for x in neardup.class_report(spark.createDataFrame(docs, "doc_id long, text string"), bucket_rows=16, group_rows=100).collect()}
+    assert got == {i: i - i % 2 for i, _ in docs}
+
+
+def test_leaders_of_one_key_meet_in_blocks(spark):
+    # 20,000 unlike rows under one band key in a few tasks: no task gets more than two blocks, and like rows are joined
+    r = np.random.default_rng(5)
+    marks = r.integers(0, 256, (20_000, 125), dtype=np.uint8)
+    marks[1::1000] = marks[::1000]
+    marks[1::1000, :20] += 1
+    rows = spark.createDataFrame(pd.DataFrame({"key": 7, "k": np.arange(20_000), "marks": [m.tobytes() for m in marks]}), "key long, k long, marks binary")
+    placed = neardup.leader_blocks(rows, 2048)
+    sizes = [x["count"] for x in placed.groupBy("i", "j").count().collect()]
+    assert len(sizes) == 55 and max(sizes) < 2.5 * 2048
+    got = {(x.u, x.v) for x in neardup.leader_edges(placed).collect()}
+    assert {(max(e), min(e)) for e in got} == {(i + 1, i) for i in range(0, 20_000, 1000)}
 
 
 def test_components(spark):
