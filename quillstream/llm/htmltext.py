@@ -2,7 +2,8 @@
 
 For each node of the DOM: characters per tag, adjusted by its links; a node's density sum is the sum over its
 children. The body-path threshold is the least density on the way from the node of the largest sum up to the body;
-the subtree of the largest sum under a node that passes it is the content."""
+the subtree of the largest sum under a node that passes it is the content. Elements that a page names as its article
+only widen what density has found, to the whole article."""
 
 from __future__ import annotations
 
@@ -29,8 +30,12 @@ DROPPED = frozenset("head nav footer aside form script style title textarea nosc
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 #: Elements that end an open one of their own group, and what stops the search for it.
 SIBLINGS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)), "thead": (("thead", "tbody", "tfoot"), ("table",)), "tbody": (("thead", "tbody", "tfoot"), ("table",)), "tfoot": (("thead", "tbody", "tfoot"), ("table",))}
-#: Words of class, id and role that mark what isn't the article.
+#: Words of class, id and role that mark what isn't the article, if a name holds nothing else but neutral words.
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored sponsors promo promos promotion promoted banner banners cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login paywall menu menus nav navbar navigation breadcrumb breadcrumbs crumbs pagination pager toolbar sidebar sidebars aside rail widget widgets related recommended recommendations trending popular share sharing social follow header masthead topbar footer foot bottombar copyright disclaimer comment comments commentlist respond reply replies discussion disqus feedback search searchform form skip toc tags taglist hidden complementary contentinfo".split())
+NEUTRAL = frozenset("a an the and of on in for to my site page main global local area bar block blocks body bottom box boxes button buttons btn card cards col column container content contents cta div element entry entries field fields fixed group header heading inner input item items js label left line link links list lists module mobile outer panel post posts article articles story stories right row section sections side slot sticky text title top unit user users view wrap wrapper zone desktop small large first last primary secondary icon icons dfp google".split())
+#: Marks that also name the part of an article with its title.
+HEADS = frozenset("header masthead".split())
+HEADINGS = frozenset("h1 h2 h3".split())
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])|(?<=[a-z])(?=[0-9])")
 ARTICLE = frozenset(("article", "main"))
 #: Elements that are dropped unless they enclose the article, as are those with MARKS.
@@ -38,28 +43,40 @@ WRAPPERS = frozenset(("form", "fieldset"))
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "drop", "maybe", "main", "chars", "links", "link_chars", "tags", "density", "total")
+    __slots__ = ("name", "parent", "children", "drop", "maybe", "head", "main", "chars", "links", "link_chars", "tags", "density", "total")
 
     def __init__(self, name: str, parent: Node | None, drop: bool = False, main: bool = False) -> None:
-        self.name, self.parent, self.drop, self.maybe, self.main = name, parent, drop, False, main
+        self.name, self.parent, self.drop, self.maybe, self.head, self.main = name, parent, drop, False, False, main
         self.children: list[Node | str] = []
 
 
-def marked(rest: str) -> tuple[bool, bool, bool]:
-    """Whether the attributes say that an element is hidden, isn't part of the article, or is the main part."""
-    main = maybe = False
+def marks(value: str) -> set[str]:
+    """The marks in an attribute's names; a name with other words than marks and neutral ones has none."""
+    found: set[str] = set()
+    for name in value.split():
+        words = {x.lower() for x in SPLIT.split(name) if x and not x.isdigit()}
+        if words - MARKS <= NEUTRAL:
+            found |= words & MARKS
+        elif (whole := name.lower()) in MARKS:
+            found.add(whole)
+    return found
+
+
+def marked(rest: str) -> tuple[bool, set[str], bool]:
+    """Whether the attributes say that an element is hidden, by what it isn't part of the article, or whether it is the main part."""
+    main, found = False, set()
     for key, a, b, c in ATTRIBUTE.findall(rest):
         key, value = key.lower(), a or b or c
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True, False, False
+            return True, set(), False
         if key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True, False, False
+                return True, set(), False
         elif key == "role" and value.lower() == "main":
             main = True
-        elif not MARKS.isdisjoint(SPLIT.split(value.lower())) or not MARKS.isdisjoint(x.lower() for x in SPLIT.split(value)):
-            maybe = True
-    return False, maybe, main and not maybe
+        else:
+            found |= marks(value)
+    return False, found, main and not found
 
 
 def parse(html: str) -> Node:
@@ -82,13 +99,17 @@ def parse(html: str) -> Node:
             node = closed(node, name)
             continue
         node = opened(node, name)
-        drop, maybe, main = marked(rest) if rest and "=" in rest or "hidden" in rest else (False, False, False)
+        drop, found, main = marked(rest) if rest and "=" in rest or "hidden" in rest else (False, set(), False)
         if name in ("html", "body", "article", "main"):
-            drop = maybe = False
-        # a page's header is dropped, an article's own one has its title
-        drop = drop or name in DROPPED and name not in WRAPPERS or name == "header" and not inside(node)
+            drop, found = False, set()
+        within_main = inside(node)
+        if name == "header" and not within_main:
+            found = found | {"header"}
+        drop = drop or name in DROPPED and name not in WRAPPERS
         child = Node(name, node, drop, main or name in ARTICLE)
-        child.maybe = not drop and (maybe or name in WRAPPERS)
+        child.maybe = not drop and (bool(found) or name in WRAPPERS)
+        # a page's header is dropped; one inside its article, or beside it below the body, may have the title
+        child.head = bool(found) and found <= HEADS and (within_main or node.name != "body")
         node.children.append(child)
         if name in RAW:
             end = re.compile(f"</{name}(?=[\\s/>])", re.I).search(html, at)
@@ -100,8 +121,9 @@ def parse(html: str) -> Node:
 
 
 def weigh(root: Node) -> None:
-    """Drops what is marked, or is a form, unless it holds most of the characters outside links of the page or of the
-    article around it, or the largest article that isn't inside another one (comments are)."""
+    """Drops what is marked, or is a form, unless it holds most of the characters outside links of the article around it
+    (of the page, if that names no article), or the largest article that isn't inside another one (comments are). A
+    header that has a heading outside links stays, where it isn't the page's own."""
     order, stack = [], [(root, root, False, False)]
     while stack:
         node, frame, linked, nested = stack.pop()
@@ -110,17 +132,20 @@ def weigh(root: Node) -> None:
         stack += [(x, frame, linked or node.name == "a", nested) for x in node.children if isinstance(x, Node) and not x.drop]
     if not any(node.maybe for node, *_ in order):
         return
-    held, mains = {}, []
+    held, titled, mains = {}, set(), []
     for node, _, linked, nested in reversed(order):
         kids = [x for x in node.children if isinstance(x, Node) and not x.drop]
         own = 0 if linked or node.name == "a" else sum(len("".join(x.split())) for x in node.children if isinstance(x, str))
         held[node] = own + sum(held[x] for x in kids)
+        if node.name in HEADINGS and held[node] or any(x in titled for x in kids):
+            titled.add(node)
         if node.main and held[node] and not nested:
             mains.append(node)
     top = max(mains, key=held.__getitem__, default=None)
     around = {top, *path(top)} if top else set()
     for node, frame, _, _ in order:
-        node.drop = node.drop or node.maybe and node not in around and 2 * held[node] <= held[frame]
+        keep = node in around or node.head and node in titled or 2 * held[node] > held[frame] and (frame is not root or not top)
+        node.drop = node.drop or node.maybe and not keep
 
 
 def inside(node: Node | None) -> bool:
@@ -210,12 +235,6 @@ def content(root: Node) -> list[Node]:
     while x.parent and x.name not in ("body", "html"):
         least, x = min(least, x.density), x.parent
     body = x
-    mains = [y for y in descendants(body) if y.main and y.chars]
-    if mains:  # the page says where its article is: the densest such part, as a whole
-        top = max(mains, key=lambda y: (y.total, y.chars))
-        while (up := next((y for y in path(top) if y.main), None)) is not None:
-            top = up
-        return [top]
     chosen, stack = [], [body]
     while stack:
         node = stack.pop()
@@ -226,7 +245,22 @@ def content(root: Node) -> list[Node]:
             stack += reversed(kids)
     heart = best if best is not body else None
     picked = [max(descendants(y), key=lambda z: z.total) if y.total and heart and within(heart, y) else y for y in chosen if heart is None or within(heart, y)]
-    return picked or [best]
+    return widened(picked or [best], body, least)
+
+
+def widened(picked: list[Node], body: Node, least: float) -> list[Node]:
+    """What density picked, as whole articles: those around a picked node or, if it encloses some, all of them, and
+    others that pass the threshold with a quarter of the text. A page that names no article keeps what was picked."""
+    mains = [y for y in descendants(body) if y.main and y.chars and not any(x.main for x in path(y))]
+    if not mains:
+        return picked
+    own = lambda y: y.chars - y.link_chars
+    found = {y for y in mains for x in picked if within(x, y) or within(y, x)}
+    if not found:
+        return picked
+    most = max(map(own, found))
+    around = [y for y in mains if any(within(x, y) for x in picked)]
+    return [y for y in mains if y in around or 4 * own(y) >= most and y.density >= least]
 
 
 def path(node: Node) -> Iterator[Node]:

@@ -132,6 +132,10 @@ def test_odd_pages(spark):
     got = [(r.page_id, r.text, r.n_chars) for r in htmltext.extract(pages).orderBy("page_id").collect()]
     assert got == [(1, "", 0), (2, "", 0), (3, "<p", 2), (4, "plain & text", 12), (4, "plain & text", 12)]
     assert htmltext.extract(pages.limit(0)).collect() == []
+    clash = pages.withColumn("text", F.lit("old")).withColumn("N_CHARS", F.lit("old")).drop("n_chars")
+    assert sorted((r.page_id, r.text, r.n_chars) for r in htmltext.extract(clash).collect()) == sorted(got)
+    long = spark.createDataFrame([(1, "<body><article>" + "<p>word &amp; word</p>" * 60_000 + "</article>")], "page_id long, html string")
+    assert htmltext.extract(long).first().text == "\n\n".join(["word & word"] * 60_000)
 
 
 @pytest.mark.parametrize("wrap", ["<div class='content with-sidebar'><article>%s</article></div>", "<div id='page' class='header-fixed'><div>%s</div></div>", "<form id='aspnetForm'><div class='ad'>Buy</div>%s</form>", "<article><section class='share-enabled'>%s</section><div class='share'>Share it</div></article>", "<div class='has-sidebar'><div class='content'>%s</div><div class='sidebar'>Other things</div></div>"])
@@ -147,3 +151,5 @@ def test_odd_vectors(spark):
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.neighbour_report(e).orderBy("rank").collect()]
     assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0)]
     assert neighbours.neighbour_report(e.limit(0)).collect() == []
+    clash = e.select("*", *(F.lit("old").alias(c) for c in ("id", "v", "list", "rank")))
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.neighbour_report(clash).orderBy("rank").collect()] == got

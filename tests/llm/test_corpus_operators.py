@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import os
 import random
 import re
@@ -171,6 +172,60 @@ def test_main_text(wrap):
     assert htmltext.main_text(PAGE % (wrap % ARTICLE)) == "\n\n".join(expected)
 
 
+WORDS = " ".join(["Enough words of an article."] * 8)
+
+
+@pytest.mark.parametrize(
+    "body, expected",
+    [
+        (f"<article><div class='post-content social-science'><p>{WORDS}</p></div><p>{WORDS * 3}</p></article>", [WORDS, WORDS * 3]),
+        (f"<article><header class='entry-header'><h1>Its title</h1></header><p>{WORDS}</p></article>", ["Its title", WORDS]),
+        (f"<div class='post'><header><h1>Its title</h1></header><p>{WORDS}</p></div>", ["Its title", WORDS]),
+        (f"<header><h1>The site</h1></header><div><p>{WORDS}</p></div>", [WORDS]),
+        (f"<article><p>{WORDS}</p></article><div class='ad'><p>{WORDS * 4}</p></div>", [WORDS]),
+        (f"<article><p>{WORDS}</p></article><article><p>{WORDS}</p></article><article><a href='/'>Another one</a></article>", [WORDS, WORDS]),
+        (f"<div><p>{WORDS}</p><p class='ad-free'>{WORDS}</p><div class='newsletter-signup box'>Join us</div><div class='post-comments'><p>{WORDS}</p></div></div>", [WORDS, WORDS]),
+        (f"<ul><li><a href='/a'>One of many links</a><li><a href='/b'>{WORDS}</a></ul><div><p>{WORDS}</p><p>{WORDS}</p></div>", [WORDS, WORDS]),
+    ],
+)
+def test_density_and_marks_choose(body, expected):
+    assert htmltext.main_text(f"<html><body><nav><a href='/'>Menu</a></nav>{body}<footer>Foot</footer></body></html>") == "\n\n".join(expected)
+
+
+def densities(node, share):
+    """Density and sum of each node below a kept one, by the definition, recursively."""
+    kids = [x for x in node.children if not isinstance(x, str) and not x.drop]
+    chars = lambda n: sum(len("".join(x.split())) if isinstance(x, str) else 0 if x.drop else chars(x) for x in n.children)
+    linked = lambda n: chars(n) if n.name == "a" else sum(linked(x) for x in n.children if not isinstance(x, str) and not x.drop)
+    tags = lambda n: sum(1 + tags(x) for x in n.children if not isinstance(x, str) and not x.drop)
+    links = lambda n: (n.name == "a") + sum(links(x) for x in n.children if not isinstance(x, str) and not x.drop)
+    c, lc, t, lt = chars(node), linked(node), max(tags(node), 1), max(links(node), 1)
+    if share is None:
+        share = lc / max(c, 1)
+    odds = c / max(lc, 1) * t / lt
+    own = c / t * (math.log(odds) / math.log(c / max(c - lc, 1) * lc + share * c + math.e) if c and odds > 1 else 0.0)
+    below, total = [], 0.0
+    for x in kids:
+        (d, *_), *rest = found = densities(x, share)
+        total += d
+        below += found
+    return [(own, total, node), *below]
+
+
+def test_densities_by_their_definition():
+    r = random.Random(3)
+
+    def some(depth):
+        inner = "".join(r.choice([WORDS[: r.randint(0, 200)], some(depth - 1) if depth else ""]) for _ in range(r.randint(1, 4)))
+        return f"<{(name := r.choice(['div', 'p', 'section', 'a href=x', 'b', 'ul']))}>{inner}</{name.split()[0]}>"
+
+    for _ in range(200):
+        root = htmltext.parse(f"<body>{some(4)}{some(3)}</body>")
+        htmltext.measure(root)
+        for density, total, node in densities(root, None):
+            assert abs(node.density - density) < 1e-9 * max(1, density) and abs(node.total - total) < 1e-6 * max(1, total)
+
+
 def test_broken_markup_ends():
     for h in ("<", "<p", "<p class='", "<!--", "<script>", "</p></div></body>", "<a <b <c", "<p>" * 5000, "<" * 20000, "<p a=\"" * 3000):
         htmltext.main_text(h)
