@@ -194,6 +194,7 @@ def json_object(text: Column) -> Column:
     """The last valid JSON object of a text: of fenced blocks, else of braces nested once, else the outermost braces."""
     t = filled(text)
     valid = lambda a: F.element_at(F.filter(F.reverse(a), lambda x: F.try_parse_json(x).isNotNull()), 1)
+    # The two patterns in which answers carry objects.
     fenced = F.regexp_extract_all(t, F.lit(r"(?s)```(?:json)?\s*(\{.*?\})\s*```"), F.lit(1))
     braces = F.regexp_extract_all(t, F.lit(r"(?s)\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"), F.lit(0))
     outer = F.regexp_extract(t, r"(?s)\{.*\}", 0)

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstream.functions.dates import parse_time
 from quillstream.functions.text import TITLE_STOPWORDS, contained, day_of, filled, jaccard, title_key, title_words
 from quillstream.operators.filters import is_aggregator, is_promo
 
@@ -161,7 +162,7 @@ def near_survivors(rows: DataFrame, rule: Rule, by: list[str] | None = None, ord
         (F.coalesce(F.col("ilgili_mi"), F.lit(0)) if "ilgili_mi" in rows.columns else F.lit(0)).alias("relevant"),
         is_aggregator(F.col("link")).alias("aggregator"),
         F.length(filled(F.col("title"))).alias("size"),
-        F.unix_timestamp(F.try_to_timestamp(F.substring("publish_date", 1, 19), F.lit("yyyy-MM-dd HH:mm:ss"))).cast("double").alias("ts"),
+        F.unix_timestamp(parse_time(F.col("publish_date"))).cast("double").alias("ts"),
         is_promo().alias("promo") if rule.keep != "first" else F.lit(False).alias("promo"),
     )
 
@@ -206,7 +207,7 @@ def sequential_survivors(news: DataFrame) -> DataFrame:
     """The rows an exact purge in id order leaves of each story of a source and day: a row takes the place of the one
     kept if that has an aggregator's link and it a direct one, or that isn't relevant and it is.
 
-    Only the kept row of a story is held, so a story may have any number of rows."""
+    Said with a window and aggregates over the stories' ids, so a story may have any number of rows."""
     facts = news.select(
         F.to_json(F.struct(filled(F.col("source_name")).alias("s"), day_of(filled(F.col("publish_date"))).alias("d"), story_key(strip_labels=False).alias("k"))).alias("g"),
         F.col("id"),
@@ -214,19 +215,13 @@ def sequential_survivors(news: DataFrame) -> DataFrame:
         F.coalesce(F.col("ilgili_mi"), F.lit(0)).alias("relevant"),
     )
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if kept is None or row.g != kept.g:
-                    out += [kept.id] if kept is not None else []
-                    kept = row
-                elif kept.aggregator and not row.aggregator or kept.relevant == 0 and row.relevant == 1:
-                    kept = row
-            yield pd.DataFrame({"o": pd.Series(out, dtype="int64")})
-        if kept is not None:
-            yield pd.DataFrame({"o": pd.Series([kept.id], dtype="int64")})
-
-    ids = facts.repartition("g").sortWithinPartitions("g", "id").mapInPandas(fold, "o long")
+    # A direct and relevant row is never replaced, and replaces all others: the first such one stays. Without one,
+    # direct rows and relevant ones take turns, so the first of the last run of one kind stays; rows that are
+    # neither replace nothing.
+    kind = F.when(~F.col("aggregator") & (F.col("relevant") == 1), 3).when(~F.col("aggregator"), 2).when(F.col("relevant") == 1, 1).otherwise(0)
+    kinds = facts.withColumn("kind", kind)
+    turn = kinds.where("kind in (1, 2)").withColumn("before", F.lag("kind").over(Window.partitionBy("g").orderBy("id")))
+    starts = turn.where("before is null or before <> kind").groupBy("g").agg(F.max("id").alias("start"))
+    first = kinds.groupBy("g").agg(F.min("id").alias("first"), F.min(F.when(F.col("kind") == 3, F.col("id"))).alias("best"))
+    ids = first.join(starts, "g", "left").select(F.coalesce("best", "start", "first").alias("o"))
     return news.join(ids, news.id == F.col("o"), "left_semi")

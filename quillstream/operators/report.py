@@ -63,12 +63,9 @@ def quick_days(days: DataFrame, as_of: str, selected: str, quick: int = 3) -> Da
     """day, place, is_quick: today comes first if missing; the newest few are quick, as is the selected day if known.
 
     days has a row for each day, so one task orders them."""
-    known = days.select("day").where(F.col("day") != as_of[:10])
-    today = days.sparkSession.range(1).select(F.lit(as_of[:10]).alias("day"))
-    has_today = days.where(F.col("day") == as_of[:10]).limit(1).count() > 0
-    all_ = days.select("day") if has_today else today.unionByName(known)
-    order = Window.orderBy(F.desc("_first"), F.desc("day"))
-    ranked = all_.withColumn("_first", F.lit(False) if has_today else F.col("day") == as_of[:10]).withColumn("place", F.row_number().over(order))
+    today = days.sparkSession.range(1).select(F.lit(as_of[:10]).alias("day"), F.lit(True).alias("missing"))
+    all_ = days.select("day", F.lit(False).alias("missing")).unionByName(today).groupBy("day").agg(F.min("missing").alias("missing"))
+    ranked = all_.withColumn("place", F.row_number().over(Window.orderBy(F.desc("missing"), F.desc("day"))))
     return ranked.select("day", "place", ((F.col("place") <= quick) | (F.col("day") == selected)).alias("is_quick"))
 
 
@@ -106,10 +103,10 @@ def page(news: DataFrame, tab: str = "all", sub_tab: str = "all", source: str =
     return newest_first(rows.withColumn("matches", n.scalar()), newest).limit(shown)
 
 
-def run_metrics(fetched: DataFrame, saved: DataFrame) -> DataFrame:
-    """Of one cycle: fetched, saved and relevant rows."""
+def run_metrics(fetched: DataFrame, saved: DataFrame, began: str | None = None, ended: str | None = None) -> DataFrame:
+    """Of one cycle: fetched, saved and relevant rows, and the seconds between two moments, null if one isn't given."""
     n, relevant = saved.agg(F.count("*")).scalar(), saved.agg(_count(F.col("ilgili_mi") == 1)).scalar()
-    return fetched.agg(F.count("*").alias("fetched")).withColumns({"saved": n, "relevant": relevant})
+    return fetched.agg(F.count("*").alias("fetched")).withColumns({"saved": n, "relevant": relevant, "duration_seconds": F.unix_timestamp(F.lit(ended)).cast("double") - F.unix_timestamp(F.lit(began)).cast("double")})
 
 
 def with_other_flag(news: DataFrame, least: int = 10) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions.text import clean_leading_time, filled, is_full_summary
 from quillstream.operators.classify import GENERAL, NOT_RELEVANT, STAGE_2
+from quillstream.operators.stages import cut
 
 # What an insert stores where an item has nothing.
 DEFAULTS = {"source_id": "", "source_name": "Bilinmeyen", "category": "Resmi / Ana Akım", "author": "", "relevance_status": "", "llm_relevance_explanation": "", "relevance_aspect": "", "inconsistency_status": 0, "inconsistency_note": "", "group_id": "", "veri_kaynagi": "Scraping"}
@@ -64,8 +65,9 @@ def merged(stored: DataFrame, items: DataFrame, as_of: str) -> DataFrame:
     start = F.coalesce(F.col("old"), F.struct(*(first[c].cast(stored.schema[c].dataType).alias(c) for c in columns)))
     rest = F.when(F.col("old").isNull(), F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0)))).otherwise(F.col("rows"))
     after = both.withColumn("now", F.when(F.col("rows").isNull(), F.col("old")).otherwise(F.aggregate(rest, start, step)))
-    after = after.select("id", F.when(F.col("id").isNull(), first["ord"]).alias("_first"), "now")
-    largest = stored.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    # written once: the join isn't repeated for what is numbered and what is counted
+    after = cut(after.select("id", F.when(F.col("id").isNull(), first["ord"]).alias("_first"), "now"))
+    largest = after.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     fresh = after.where("id is null").select("_first", "now")
     numbered = _numbered(fresh, "_first").select((largest + F.col("_n")).alias("id"), "now")
     return after.where("id is not null").select("id", "now").unionByName(numbered).select("id", *(F.col(f"now.{c}").alias(c) for c in columns))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -12,21 +11,14 @@ from quillstream.functions import dates
 from quillstream.functions.lexicon import Lexicon
 from quillstream.functions.text import clean_leading_time, filled, is_junk_title
 from quillstream.operators import classify, dedup, filters, lookup, report, upsert
-
-
-def _cut(rows: DataFrame) -> DataFrame:
-    """A batch as it is now, in the checkpoint folder the cluster names: what follows doesn't copy its expressions."""
-    sc = rows.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="quillstream-"))
-    return rows.checkpoint()
+from quillstream.operators.stages import cut
 
 
 def arrivals(items: DataFrame, news: DataFrame, as_of: str, zone: str = "UTC") -> DataFrame:
     """Items (RAW_ARTICLE) worth a look: of today, no junk, with a new link and story, no near-duplicate of their
     source and day, stored ones included. All cheap tests come before the fold."""
     date = dates.with_title_time(dates.pipeline_date(F.col("publish_date"), as_of, zone), F.col("title"))
-    rows = _cut(items.withColumn("publish_date", date).withColumn("title", clean_leading_time(F.col("title"))).where(filters.since_midnight(as_of)))
+    rows = cut(items.withColumn("publish_date", date).withColumn("title", clean_leading_time(F.col("title"))).where(filters.since_midnight(as_of)))
     rows = dedup.new_stories(filters.unknown_links(rows.where(~is_junk_title(F.col("title"))), news), news)
     today = news.where(filters.since_midnight(as_of)).select("source_name", "title", "publish_date", "link", (F.col("id") - F.lit(1 << 62)).alias("ord"))
     both = today.unionByName(rows.select("source_name", "title", "publish_date", "link", "ord"))
@@ -47,9 +39,9 @@ def ingest(items: DataFrame, news: DataFrame, lexicon: Lexicon, sources: DataFra
     """The stored table after a cycle: provenance, arrivals, bodies, two stages of classification, upsert."""
     searched = F.col("veri_kaynagi") == "SerpApi"
     tagged = lookup.with_provenance(items.where(~F.coalesce(searched, F.lit(False))), sources).unionByName(items.where(searched), allowMissingColumns=True)
-    rows = _cut(arrivals(tagged, news, as_of))
+    rows = cut(arrivals(tagged, news, as_of))
     rows = rows if bodies is None else with_bodies(rows, bodies, as_of)
-    judged = classify.labelled(_cut(classify.with_stage1(rows, lexicon)))
+    judged = classify.labelled(cut(classify.with_stage1(rows, lexicon)))
     if verdicts is not None:
         judged = classify.with_stage2(judged.withColumn("id", F.col("ord")), verdicts).drop("id")
     return upsert.merged(news, judged.drop("stage1"), as_of)

@@ -291,13 +291,16 @@ def strict_relabel(spark, sf):
     return classify.strictly_relabelled(articles(spark, sf), ("eau", "thnt", "erat"), (r"(?i)\bthe the\b",), ("and", "le"), _STRICT, "Diplomasi").select("id", "ilgili_mi", "ilgi_kategorisi")
 
 
-_PATTERNS = [("src1", "Alpha"), ("rc1", "Beta"), ("src2x", "Gamma"), ("rc3", "Delta")]
+_PATTERNS = lookup.outlet_patterns()
 _PATTERN_ROWS = ", ".join(f"({i}, {sql.text(p)}, {sql.text(c)})" for i, (p, c) in enumerate(_PATTERNS))
+#: Names as sources write them: outlets, with something before or after, parts of one, and others.
+_OUTLET_NAMES = [x for i, (p, _) in enumerate(_PATTERNS) for x in (p, f" {p} online" if i % 2 else f"yeni {p}", p[: len(p) // 2])] + ["", "zzz", "xq"]
 
 
-@_query(f", p(ord, pattern, cat) AS (VALUES {_PATTERN_ROWS}), m AS (SELECT id, arg_min(cat, (CASE WHEN n = pattern THEN 0 ELSE 1 END, ord)) AS cat FROM (SELECT id, lower(trim(source_name)) AS n FROM articles) JOIN p ON n = pattern OR contains(n, pattern) OR contains(pattern, n) GROUP BY id) SELECT id, coalesce(cat, category) AS resolved FROM articles LEFT JOIN m USING (id)")
+@_query(f", p(ord, pattern, cat) AS (VALUES {_PATTERN_ROWS}), n AS (SELECT id, category, {sql.texts(_OUTLET_NAMES)}[id % {len(_OUTLET_NAMES)} + 1] AS source FROM articles), m AS (SELECT id, arg_min(cat, (CASE WHEN n = pattern THEN 0 ELSE 1 END, ord)) AS cat FROM (SELECT id, lower(trim(source)) AS n FROM n) JOIN p ON n = pattern OR contains(n, pattern) OR contains(pattern, n) GROUP BY id) SELECT id, coalesce(cat, category) AS resolved FROM n LEFT JOIN m USING (id)")
 def category_resolution(spark, sf):
-    return lookup.with_category(articles(spark, sf), _PATTERNS).select("id", "resolved")
+    name = F.element_at(F.array(*map(F.lit, _OUTLET_NAMES)), (F.col("id") % len(_OUTLET_NAMES) + 1).cast("int"))
+    return lookup.with_category(articles(spark, sf).withColumn("source_name", name)).select("id", "resolved")
 
 
 _SOURCES = [(0, "SRC1", "A", "rss", "src1"), (1, "Src12 News", "B", "scraping", ""), (2, "c3", "C", "rss+scraping", ""), (3, "src4", "D", "html", "")]
@@ -381,9 +384,10 @@ def near_dup_survivor(spark, sf):
 _NEAR65 = "(" + sql.jaccard("k.w", "x.w") + " >= 0.65 OR (" + sql.jaccard("k.w", "x.w") + " >= 0.5 AND abs(k.ts - x.ts) <= 3600) OR (" + sql.contained("k.w", "x.w") + " AND least(len(k.w), len(x.w)) >= 3))"
 
 
-@_query(_AGG + ", " + sql.fold("g", "source_name", _NEAR65, "(h.r = 0 AND x.r = 1 OR x.n > h.n AND h.r = x.r)") + " SELECT id FROM folded")
+@_query(_AGG + f", gd AS (SELECT * FROM g WHERE publish_date[1:10] = '{DAY}'), " + sql.fold("gd", "source_name", _NEAR65, "(h.r = 0 AND x.r = 1 OR x.n > h.n AND h.r = x.r)") + " SELECT id FROM folded")
 def near_dup_time(spark, sf):
-    return dedup.near_survivors(_mixed(spark, sf), dedup.ONE_DAY, ["source_name"]).select("id")
+    """Of one day, as the rule for recent rows is."""
+    return dedup.near_survivors(_mixed(spark, sf).where(filters.on_day(DAY)), dedup.ONE_DAY, ["source_name"]).select("id")
 
 
 @_query(", i AS (SELECT id AS ord, 'https://x/' || (id % 400) AS link FROM articles) SELECT ord, link FROM i WHERE ord % 400 NOT IN (SELECT id FROM articles WHERE id < 50) QUALIFY row_number() OVER (PARTITION BY link ORDER BY ord) = 1")
@@ -453,24 +457,41 @@ def json_extract(spark, sf):
     return e.select("event_id", F.get(F.map_values(F.from_json("props", "map<string,string>")), F.lit(0)).alias("first_value"))
 
 
-@_query("SELECT id, '{\"id\": ' || id || '}' AS object FROM articles")
+_ANSWER = """CASE id % 6
+  WHEN 0 THEN 'Thought {x} first.\n```json\n{"id": ' || id || '}\n```\nthen ```\n{"last": "' || source_name || '"}\n``` and {"no": 1}'
+  WHEN 1 THEN '```json\n{broken ' || id || '}\n``` so {"a": {"b": ' || id || '}} it is'
+  WHEN 2 THEN 'first {"n": 1} then {"n": ' || id || ', "s": {"t": [1, 2]}} and {not json}'
+  WHEN 3 THEN 'only {broken {' || source_name || '} here'
+  WHEN 4 THEN 'none at all ' || id
+  ELSE '{"deep": {"er": {"id": ' || id || '}}}' END"""
+
+
+@_query(f"SELECT id, {sql.json_object(f'({_ANSWER})')} AS object FROM articles")
 def llm_json(spark, sf):
-    said = F.concat(F.lit("Thought {x} first.\n```json\n{\"id\": "), F.col("id").cast("string"), F.lit("}\n```\nthen {\"no\": 1}"))
-    return articles(spark, sf).select("id", text.json_object(said).alias("object"))
+    return articles(spark, sf).withColumn("said", F.expr(_ANSWER)).select("id", text.json_object(F.col("said")).alias("object"))
 
 
 _RAW_TITLE = "CASE id % 3 WHEN 0 THEN '14:24 - ' || title WHEN 1 THEN 'SON DAKİKA: ' || title ELSE title END"
 
 
-@_query("SELECT id, trim(regexp_replace(title, '[\\s\\x{a0}]+', ' ', 'g'), ' ') AS title FROM articles")
+_VARIED_TITLE = """CASE id % 9 WHEN 0 THEN '14:24 - ' || title WHEN 1 THEN 'SON DAKİKA: ' || title WHEN 2 THEN '9.05:33 CANLI | ' || title
+  WHEN 3 THEN 'FLASH ' || title || ' &amp; &quot;' || source_name || '&quot;' WHEN 4 THEN 'ÖZEL HABER - 12:30 ' || title WHEN 5 THEN '  12:30 ' || title
+  WHEN 6 THEN '12:30CANLI: ' || title || ' &lt;b&gt;&nbsp; ' WHEN 7 THEN '7:5 ' || title ELSE title END"""
+
+
+@_query(f"SELECT id, {sql.cleaned(f'({_VARIED_TITLE})')} AS title FROM articles")
 def title_clean(spark, sf):
-    return articles(spark, sf).select("id", text.clean_leading_time(F.expr(_RAW_TITLE)).alias("title"))
+    return articles(spark, sf).select("id", text.clean_leading_time(F.expr(_VARIED_TITLE)).alias("title"))
 
 
-@_query("SELECT id, source_name AS bare, 'Gündem ' || source_name AS first_part, '%22' || source_name || '%20haber%22' AS query FROM articles")
+_AFFIXED = "CASE id % 5 WHEN 0 THEN 'Gündem ' || source_name || ' - Site' WHEN 1 THEN source_name || ' -  Site ' WHEN 2 THEN 'Gündem' || category || ' - ' || source_name WHEN 3 THEN ' ' || source_name || ' - Site - Site' ELSE source_name || ' Gündem' END"
+_PHRASE = "source_name || ' haber & ' || coalesce(category, 'öz')"
+
+
+@_query(f"""SELECT id, trim(regexp_replace(CASE WHEN starts_with(raw, 'Gündem') THEN trim(raw[7:]) ELSE raw END, '\\s+-\\s+Site\\s*$', '')) AS bare, trim(split_part(raw, ' - ', 1)) AS first_part, url_encode('"' || phrase || '"') AS query FROM (SELECT id, {_AFFIXED} AS raw, {_PHRASE} AS phrase FROM articles)""")
 def title_affixes(spark, sf):
-    raw = F.concat(F.lit("Gündem "), F.col("source_name"), F.lit(" - Site"))
-    return articles(spark, sf).select("id", text.without_affixes(raw, ("Gündem",), ("Site",)).alias("bare"), text.without_affixes(raw, first_part=True).alias("first_part"), text.query_encoded(F.concat("source_name", F.lit(" haber"))).alias("query"))
+    raw = F.expr(_AFFIXED)
+    return articles(spark, sf).select("id", text.without_affixes(raw, ("Gündem",), ("Site",)).alias("bare"), text.without_affixes(raw, first_part=True).alias("first_part"), text.query_encoded(F.expr(_PHRASE)).alias("query"))
 
 
 @_query("SELECT id, source_name || '.' AS brief, CASE WHEN id % 2 = 0 THEN source_name ELSE 'son ' || source_name END AS attempt FROM articles")
@@ -492,9 +513,9 @@ def second_stage(spark, sf):
     return classify.with_stage2(judged, verdicts).select("id", "ilgili_mi", "relevance_status", "guven_skoru")
 
 
-@_query(f"{_NEWS} SELECT (SELECT count(*) FROM articles) AS fetched, count(*) AS saved, count(*) FILTER (ilgili_mi = 1) AS relevant FROM news WHERE source_name <> 'src3'")
+@_query(f"{_NEWS} SELECT (SELECT count(*) FROM articles) AS fetched, count(*) AS saved, count(*) FILTER (ilgili_mi = 1) AS relevant, 204.0::DOUBLE AS duration_seconds FROM news WHERE source_name <> 'src3'")
 def run_metrics(spark, sf):
-    return report.run_metrics(articles(spark, sf), _news(spark, sf).where("source_name <> 'src3'"))
+    return report.run_metrics(articles(spark, sf), _news(spark, sf).where("source_name <> 'src3'"), AS_OF, "2024-01-03 12:03:24")
 
 
 @_query(f", t AS (SELECT id, source_name, {_RAW_TITLE} AS raw, CASE WHEN id % 7 = 0 THEN 'BISTECH KAP' ELSE title END AS notice, title FROM articles) SELECT id, id % 3 <> 2 OR source_name ILIKE '%src1' OR title <> trim(regexp_replace(title, '[\\s\\x{{a0}}]+', ' ', 'g'), ' ') AS dirty, id % 7 = 0 AS promo FROM t")
@@ -504,6 +525,12 @@ def title_hygiene(spark, sf):
     return a.join(dirty, a.id == F.col("_d"), "left").select("id", F.coalesce("_y", F.lit(False)).alias("dirty"), filters.is_promo("notice").alias("promo"))
 
 
+@_query(", c(source_name, most) AS (VALUES ('src1', 3), ('src2', 0), ('src4', 60)) SELECT id, source_name FROM articles LEFT JOIN c USING (source_name) QUALIFY most IS NULL OR row_number() OVER (PARTITION BY source_name ORDER BY id) <= most")
+def source_caps(spark, sf):
+    caps = spark.createDataFrame([("src1", 3), ("src2", 0), ("src4", 60)], "source_name string, most int")
+    return feeds.capped(articles(spark, sf).withColumn("ord", F.col("id")), caps).select("id", "source_name")
+
+
 @_query()
 def ingest_cycle(spark, sf):
     """All articles as they would arrive on the last day, onto those of the days before."""

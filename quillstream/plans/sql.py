@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quillstream.functions.lexicon import Lexicon, re2
-from quillstream.functions.text import GENERIC_TITLES, JUNK_PHRASES, LONG_STOPWORDS, OUTDATED_PHRASES, OUTLET_SUFFIXES, SECTION_LABELS, TITLE_STOPWORDS, TRACKING_KEYS
+from quillstream.functions.text import ALERT_LABELS, ENTITIES, GENERIC_TITLES, JUNK_PHRASES, LONG_STOPWORDS, OUTDATED_PHRASES, OUTLET_SUFFIXES, SECTION_LABELS, TITLE_STOPWORDS, TRACKING_KEYS
 
 
 def text(x: str) -> str:
@@ -33,6 +33,22 @@ def folded_words(c: str) -> str:
     return f"list_filter(list_distinct(regexp_extract_all(translate(lower({c}), 'ıöüşçğ', 'iouscg'), '[a-z]{{5,}}')), lambda x: NOT list_contains({texts(LONG_STOPWORDS)}, x))"
 
 
+def cleaned(c: str) -> str:
+    """Decoded, without a leading time and then an alert label, with single blanks."""
+    out = c
+    for entity, char in ENTITIES.items():
+        out = f"replace({out}, {text(entity)}, {text(char)})"
+    out = rf"regexp_replace({out}, '^\d{{1,2}}[:.]\d{{2}}(:\d{{2}})?\s*[-–—]?\s*', '')"
+    return rf"trim(regexp_replace(regexp_replace({out}, '(?i)^({'|'.join(ALERT_LABELS)})\s*[:|-]?\s*', ''), '[\s\x{{a0}}]+', ' ', 'g'), ' ')"
+
+
+def json_object(c: str) -> str:
+    """The last valid object of fenced blocks, else of braces nested once, else the outermost braces."""
+    fenced = rf"list_filter(regexp_extract_all({c}, '(?s)```(?:json)?\s*(\{{.*?\}})\s*```', 1), lambda x: json_valid(x))"
+    braces = rf"list_filter(regexp_extract_all({c}, '(?s)\{{[^{{}}]*(?:\{{[^{{}}]*\}}[^{{}}]*)*\}}'), lambda x: json_valid(x))"
+    return rf"coalesce({fenced}[-1], {braces}[-1], regexp_extract({c}, '(?s)\{{.*\}}', 0))"
+
+
 def jaccard(a: str, b: str) -> str:
     return f"(CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) END)"
 
@@ -96,7 +112,7 @@ def fold(table: str, by: str, near: str, replaces: str) -> str:
     """CTE folded: ids that a fold in id order keeps. near: of kept k and new x; replaces: of hit h and new x.
 
     Each row is a list of one, so that the fold's state, a list of kept rows, has the type of its input."""
-    relevant = "ilgili_mi" if table == "g" else "0"
+    relevant = "ilgili_mi" if table in ("g", "gd") else "0"
     return f"""steps AS (SELECT list([struct_pack(id := id, w := {words('title')}, a := contains(link, 'news.google.com'), r := {relevant}, n := length(title), ts := epoch(strptime(publish_date, '%Y-%m-%d %H:%M:%S')))] ORDER BY id) AS xs FROM {table} GROUP BY {by}),
 kept AS (SELECT list_reduce(xs, lambda acc, y: {_step(near, replaces)}, xs[1][1:0]) AS ks FROM steps),
 folded AS (SELECT unnest(ks).id AS id FROM kept)"""

@@ -69,6 +69,16 @@ def combined(feed: DataFrame, scraped: DataFrame, policy: DataFrame) -> DataFram
     return feed.unionByName(want.where("policy = 'both'").unionByName(instead).drop("policy"), allowMissingColumns=True)
 
 
+def capped(items: DataFrame, caps: DataFrame) -> DataFrame:
+    """The first `most` items of each source in caps (source_name, most), after its feed and cards were combined;
+    sources without a cap keep all. Items of one feed are few, so a source's order is a window over its own."""
+    from pyspark.sql import Window
+
+    turn = F.row_number().over(Window.partitionBy("source_name").orderBy("ord"))
+    most = F.broadcast(caps.select(F.col("source_name").alias("_s"), "most").limit(10_000))  # configured, a row for each source
+    return items.withColumn("_turn", turn).join(most, items.source_name == F.col("_s"), "left").where("most is null or _turn <= most").drop("_turn", "_s", "most")
+
+
 def local_items(items: DataFrame, stop_phrases: tuple[str, ...] = (), least_title: int = 20, most: int = 30) -> DataFrame:
     """Items of local outlets: long enough titles without stop phrases, the first of each link, `most` per outlet."""
     from functools import reduce

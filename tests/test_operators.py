@@ -233,7 +233,8 @@ def test_filters_and_pages(spark):
     assert filters.dirty_rows(news.withColumn("title", F.lit("14:20 x"))).count() == 4 and filters.dirty_rows(news).count() == 0
     blocked = spark.createDataFrame([("KKTC Haber", None), ("x", "https://a.BRTK.net/1"), (None, None)], "source_name string, link string")
     assert [r[0] for r in blocked.select(filters.blocked()).collect()] == [True, True, False]
-    assert report.run_metrics(news, news).first().asDict() == {"fetched": 4, "saved": 4, "relevant": 2}
+    assert report.run_metrics(news, news).first().asDict() == {"fetched": 4, "saved": 4, "relevant": 2, "duration_seconds": None}
+    assert report.run_metrics(news, news, "2026-08-31 10:00:00", "2026-08-31 10:01:05").first().duration_seconds == 65.0
 
 
 def test_ingest_cycle(spark):
@@ -256,3 +257,23 @@ def test_ingest_cycle(spark):
     assert (got["u7"].ilgi_kategorisi, got["u7"].publish_date) == ("Kazakistan", "2026-09-01 08:00:00")
     read = ingest.dashboard(out, "2026-09-01").collect()
     assert {r.link for r in read} == {"u1", "u7"} and all(r.is_other and r.group_rank == 1 for r in read)
+
+
+def test_sequential_purge_as_a_fold(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quillstream.operators import dedup
+
+    r = random.Random(4)
+    rows = [(i, "s", "One headline of a story" if r.random() < 0.5 else f"Story {r.randint(0, 60)}", "2024-01-02 10:00:00", r.choice(["https://news.google.com/x", "https://a/x"]), r.choice([0, 0, 1, None])) for i in range(400)]
+    news = spark.createDataFrame(rows, "id long, source_name string, title string, publish_date string, link string, ilgili_mi int")
+    kept = {}
+    for i, _, title, _, link, relevant in rows:
+        now = (i, "google" in link, relevant or 0)
+        old = kept.get(title)
+        if old is None or old[1] and not now[1] or old[2] == 0 and now[2] == 1:
+            kept[title] = now
+    got = [x.id for x in dedup.sequential_survivors(news).select(F.col("id")).collect()]
+    assert sorted(got) == sorted(x[0] for x in kept.values())
