@@ -295,7 +295,10 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256 and contaminated."""
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256 and contaminated.
+
+    A row for each row of docs, repeated ones too. A null or empty text has no words and isn't contaminated; the
+    digest of no items is that of the empty string. Null ids stay null; other columns are not read."""
     found = find_leaks(docs.select("doc_id", "text"), benchmark, **options)
     n_hit = covered("leak.spans")
     return found.select("doc_id", F.col("leak.n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("leak.items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("leak.items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))

@@ -199,6 +199,9 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
 
 
 def language_report(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> DataFrame:
-    """Per document: doc_id, held_out, lang_pred, score, rejected."""
+    """Per document: doc_id, held_out, lang_pred, score, rejected.
+
+    A row for each row of docs, repeated ones with equal answers. A text without a letter (null or empty too) is `und`
+    with score 0, rejected, as is every text where no row is labelled. Null ids stay null."""
     out = identify(docs.select("doc_id", "text"), learn(docs, rows_per_lang=rows_per_lang))
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")

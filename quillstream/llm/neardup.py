@@ -453,7 +453,10 @@ def classify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", prefix
 
 
 def class_report(docs: DataFrame, **options) -> DataFrame:
-    """Per document: doc_id, class_id, class_size."""
+    """Per document: doc_id, class_id, class_size.
+
+    A row for each row of docs; repeated ones are of one class. A text without words (null or empty too) is alone: its
+    class is its own id, null for a null id, and its size 1. Other columns are not read."""
     return classify(docs.select("doc_id", "text"), **options).select("doc_id", "class_id", "class_size")
 
 

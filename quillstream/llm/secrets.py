@@ -129,7 +129,10 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", samples:
 
 
 def secret_report(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
-    """Per document: doc_id, n_assign, n_access, n_hex, base_sha256 and spans as text."""
+    """Per document: doc_id, n_assign, n_access, n_hex, base_sha256 and spans as text.
+
+    A row for each row of docs, repeated ones too. A null or empty text has no spans: zeros, the digest of the empty
+    string and an empty text. Null ids stay null; other columns are not read."""
     found = scan(docs.select("doc_id", "text"), samples=samples)
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -302,7 +302,7 @@ def test_signatures_estimate_weighted_similarity():
 
 def brute_classes(docs, weighted):
     def bag(t):
-        w = (t or "").lower().split()
+        w = re.findall(decontaminate.WORD, (t or "").lower())
         c = collections.Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else collections.Counter()
         return c if weighted else collections.Counter(set(c))
 
@@ -528,7 +528,47 @@ def test_queries_and_sql_agree(spark):
 
 
 @here
-def test_pipeline_runs(spark):
+def test_pipeline_stage_by_stage(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert got.count() > 100 and got.agg(F.sum("taken")).first()[0] > 0
+    sf = "/root/testdata/sf0.001"
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet").collect()
+    before = {r.doc_id: r for r in docs.collect()}
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        after = {r.doc_id: r for r in docs.collect()}
+        assert docs.count() == len(after) and set(after) <= set(before)
+        if name != "source_mixing":
+            assert docs.columns == columns and all(r.text is None or r.n_chars == len(r.text) for r in after.values())
+        if name == "language_id":
+            assert all(after[i].text == before[i].text for i in after) and len(after) > 0.98 * len(before)
+            assert all(not re.search(r"[^\W\d_]", before[i].text or "") for i in set(before) - set(after))
+        elif name == "line_dedup":  # what goes are lines that over a fiftieth, and five, of the source's texts have
+            assert set(after) == set(before)
+            pages = collections.defaultdict(set)
+            for r in before.values():
+                for line in {x.strip(" ") for x in r.text.split("\n")} - {""}:
+                    pages[r.source, line].add(r.text)
+            totals = collections.Counter(s for s, _ in {(r.source, r.text) for r in before.values()})
+            for i, r in after.items():
+                left = collections.Counter(before[i].text.split("\n"))
+                left.subtract(r.text.split("\n") if r.text or before[i].text == "" else [])
+                gone = {x.strip(" ") for x, n in left.items() if n > 0} - {""}
+                assert all(len(pages[r.source, x]) >= 5 and len(pages[r.source, x]) > 0.02 * totals[r.source] for x in gone)
+        elif name == "near_dedup":
+            classes = brute_classes(sorted((i, r.text) for i, r in before.items()), True)
+            wordless = {i for i, r in before.items() if not decontaminate.words(r.text)}
+            assert set(after) == {i for i, c in classes.items() if c == i or i in wordless}
+            assert all(after[i].text == before[i].text for i in after)
+        elif name == "decontamination":
+            hit = brute_leaks([(i, r.text) for i, r in before.items()], [(r.item_id, r.text) for r in items], 10)
+            assert set(after) == {i for i, (n, h, *_) in hit.items() if not h or h < n and 2 * h <= n}
+            assert all(after[i].text == before[i].text if not hit[i][1] else len(decontaminate.words(after[i].text)) == hit[i][0] - hit[i][1] for i in after)
+        else:
+            by = collections.defaultdict(list)
+            for i, r in after.items():
+                assert r.size == len((before[i].text or "").split()) and 0 <= r.taken <= 3 * r.size
+                by[r.source].append(r)
+            assert set(after) == set(before) and all(sum(r.taken for r in rs) == int(rs[0].target) for rs in by.values())
+        before = after
