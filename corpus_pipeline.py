@@ -1,4 +1,7 @@
-"""A training corpus from documents in five stages, each on all that the one before kept."""
+"""A training corpus from documents in five stages, each on all that the one before kept.
+
+All stages take any rows: null ids, texts, languages and sources, empty texts and tables, repeated rows, texts of any
+length and further columns, also ones with names that operators use, which stay as they are."""
 
 from __future__ import annotations
 
@@ -17,29 +20,36 @@ def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter and those that the calibrated model can't place go."""
+    """Documents without a letter (null and empty texts too) and those that the calibrated model can't place go;
+    repeated rows share one fate. A table without labelled rows teaches no language, so that nothing is placed."""
     prepare(spark)
     found = language.identify(docs, language.learn(docs), prefix="__qs_")
     return found.where(~F.col("__qs_rejected")).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of each source go; near copies, of which the next stage keeps one, count as one page."""
+    """Boilerplate lines of each source go; near copies, of which the next stage keeps one, count as one page.
+
+    All rows stay. A null text stays null; a null source is a source of its own; repeated rows count as one page."""
     return _measured(lines.dedup_lines(docs, prefix="__qs_", near_copies=True), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays."""
+    """One document of each class of near-duplicates stays, the one with the smallest id; of equal rows one. Null and
+    empty texts, and others without a word, all stay; null ids come last."""
     return neardup.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of benchmark items go, and documents that mostly consist of them."""
+    """Passages of benchmark items go, and documents that mostly consist of them. A document without a hit stays as it
+    is, null and empty ones too; repeated rows share one fate; an empty benchmark changes nothing."""
     return _measured(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")), docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, size, source_size, target and the words that the mix takes of each document."""
+    """doc_id, source, size, source_size, target, the words that the mix takes of each document, and its slots.
+
+    A null or empty text has size 0, of which nothing is taken; a null source is the last; repeated rows each count."""
     return mixing.mix(docs)
 
 
