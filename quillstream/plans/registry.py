@@ -12,7 +12,7 @@ from quillstream.functions.lexicon import Lexicon, re2
 from quillstream.operators import classify, dedup, filters, lookup, report, upsert
 from quillstream.plans import ingest, sql
 from quillstream.schema import ARTICLES_SQL, articles, table
-from quillstream.sources import feeds, html
+from quillstream.sources import configured, feeds, html
 from quillstream.streaming import monitor
 
 DAY, AS_OF = "2024-01-02", "2024-01-03 12:00:00"
@@ -531,6 +531,66 @@ def source_caps(spark, sf):
     return feeds.capped(articles(spark, sf).withColumn("ord", F.col("id")), caps).select("id", "source_name")
 
 
+_NAMES = [x for _, name, *_ in configured.SOURCES for x in (name, f"Yeni {name} Online", name[: len(name) // 2])] + ["zzz"]
+_DEFAULT_SOURCES = ", ".join(f"({i}, {sql.text(name)}, {sql.text(category)})" for i, (_, name, category, *_) in enumerate(configured.SOURCES))
+
+
+@_query(f", s(ord, name, cat) AS (VALUES {_DEFAULT_SOURCES}), r AS (SELECT id, {sql.texts(_NAMES)}[id % {len(_NAMES)} + 1] AS raw FROM articles), l AS (SELECT id, raw, replace(lower(replace(raw, 'İ', '#')), '#', 'i̇') AS low FROM r), m AS (SELECT id, arg_min(name, ord) AS name, arg_min(cat, ord) AS cat FROM l JOIN (SELECT *, replace(lower(replace(name, 'İ', '#')), '#', 'i̇') AS ln FROM s) ON contains(low, ln) OR contains(ln, low) GROUP BY id) SELECT id, coalesce(name, raw) AS source_name, coalesce(cat, 'Diğer / Sınıflandırılmamış') AS category FROM r LEFT JOIN m USING (id)")
+def configured_sources(spark, sf):
+    """Names as search results give them, matched with the sources that are read by default."""
+    raw = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("id") % len(_NAMES) + 1).cast("int"))
+    rows = articles(spark, sf).select("id", F.trim(raw).alias("raw_source"))
+    return lookup.with_source(rows, configured.sources(spark)).select("id", "source_name", "category")
+
+
+_READ = [name for name, *_ in configured.READINGS] + ["unread"]
+_READING_ROWS = ", ".join("(" + ", ".join("NULL::INT" if v is None else str(v) if isinstance(v, int) else sql.text(v) for v in r) + ")" for r in configured.READINGS)
+
+
+@_query(f""", r(source_name, policy, most_of_feed, most_of_page, most, most_instead) AS (VALUES {_READING_ROWS}),
+a AS (SELECT id AS ord, {sql.texts(_READ)}[id % {len(_READ)} + 1] AS source_name FROM articles),
+f AS (SELECT ord, source_name, most, policy FROM a LEFT JOIN r USING (source_name) WHERE ord % 22 NOT IN (0, 2, 5, 9, 15, 16) QUALIFY most_of_feed IS NULL OR row_number() OVER (PARTITION BY source_name, ord % 3 ORDER BY ord) <= most_of_feed),
+c AS (SELECT ord + 1000000 AS ord, source_name, policy, CASE policy WHEN 'both' THEN most ELSE most_instead END AS most FROM a JOIN r USING (source_name) QUALIFY most_of_page IS NULL OR row_number() OVER (PARTITION BY source_name, ord % 2 ORDER BY ord) <= most_of_page),
+u AS (SELECT ord, source_name, most, 0 AS kind FROM f UNION ALL SELECT ord, source_name, most, 1 FROM c WHERE policy = 'both' OR policy = 'fallback' AND source_name NOT IN (SELECT source_name FROM f))
+SELECT ord, source_name FROM u QUALIFY most IS NULL OR row_number() OVER (PARTITION BY source_name ORDER BY kind, ord) <= most""")
+def source_readings(spark, sf):
+    """Each default source by its reading; some of them have an empty feed."""
+    name = F.element_at(F.array(*map(F.lit, _READ)), (F.col("id") % len(_READ) + 1).cast("int"))
+    a = articles(spark, sf).select(F.col("id").alias("ord"), name.alias("source_name"))
+    feed = a.where(~(F.col("ord") % 22).isin(0, 2, 5, 9, 15, 16)).withColumn("place", F.col("ord") % 3)
+    cards = a.withColumn("place", F.col("ord") % 2).withColumn("ord", F.col("ord") + 1000000)
+    return configured.gathered(feed, cards, configured.readings(spark)).select("ord", "source_name")
+
+
+_OUTLET_ROWS = ", ".join(f"({i}, {sql.text(f'{name} ({city})')})" for i, (_, _, name, _, city) in enumerate(configured.OUTLETS[:7]))
+
+
+@_query(f""", o(n, source_name) AS (VALUES {_OUTLET_ROWS}), a AS (SELECT id AS ord, o.source_name, title, CASE WHEN id % 41 = 0 THEN '' WHEN id % 43 = 0 THEN '/x/' || id ELSE 'http://x/' || (id % 997) END AS link FROM articles JOIN o ON id % 7 = n),
+f AS (SELECT ord, source_name, trim(split_part(title || ' - Outlet - x', ' - ', 1)) AS title, link, 'RSS' AS veri_kaynagi, 0 AS kind FROM a WHERE source_name <> 'Kars Manşet (Kars)' QUALIFY row_number() OVER (PARTITION BY source_name ORDER BY ord) <= 25),
+c AS (SELECT ord, source_name, title, link, 'Scraping' AS veri_kaynagi, 1 AS kind FROM (SELECT ord, source_name, CASE WHEN ord % 5 = 0 THEN title || ' VIDEO' WHEN ord % 7 = 3 THEN title[1:19] ELSE title END AS title, link FROM a) WHERE length(title) >= 20 AND link LIKE 'http%' AND NOT regexp_matches(lower(title), 'foto galeri|video|reklam|resmi ilandır|nöbetçi|vefat|künye')),
+u AS (SELECT * FROM f WHERE link <> '' UNION ALL SELECT * FROM c), d AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY source_name, link ORDER BY kind, ord) = 1)
+SELECT ord, source_name, title, veri_kaynagi FROM d QUALIFY row_number() OVER (PARTITION BY source_name ORDER BY kind, ord) <= 30""")
+def outlet_news(spark, sf):
+    """Feeds and front pages of seven local outlets."""
+    name = F.element_at(F.array(*(F.lit(f"{name} ({city})") for _, _, name, _, city in configured.OUTLETS[:7])), (F.col("id") % 7 + 1).cast("int"))
+    link = F.when(F.col("id") % 41 == 0, "").when(F.col("id") % 43 == 0, F.concat(F.lit("/x/"), "id")).otherwise(F.concat(F.lit("http://x/"), F.col("id") % 997))
+    a = articles(spark, sf).select(F.col("id").alias("ord"), name.alias("source_name"), "title", link.alias("link"))
+    feed = a.where("source_name <> 'Kars Manşet (Kars)'").withColumn("title", F.concat("title", F.lit(" - Outlet - x")))
+    links = a.withColumn("title", F.when(F.col("ord") % 5 == 0, F.concat("title", F.lit(" VIDEO"))).when(F.col("ord") % 7 == 3, F.substring("title", 1, 19)).otherwise(F.col("title")))
+    return configured.outlet_items(feed, links).select("ord", "source_name", "title", "veri_kaynagi")
+
+
+_SAVED = ", ".join(f"({i}, {sql.text(q)}, {sql.text(label)}, {sql.text(next(s for g, s, _ in configured.GROUPS if g == group))}, {sql.text(next(u for g, _, u in configured.GROUPS if g == group))})" for i, (group, q, label) in enumerate(configured.SAVED_QUERIES))
+
+
+@_query(f", q(n, query, label, source_id, unnamed) AS (VALUES {_SAVED}), a AS (SELECT id AS ord, q.*, CASE WHEN id % 3 = 0 THEN title ELSE title || ' - ' || source_name || ' - x' END AS title FROM articles JOIN q ON id % {len(configured.SAVED_QUERIES)} = n QUALIFY row_number() OVER (PARTITION BY query ORDER BY id) <= 20) SELECT ord, source_id, trim(split_part(title, ' - ', 1)) AS title, CASE WHEN contains(title, ' - ') THEN trim(split_part(title, ' - ', 2)) ELSE unnamed || ' (' || label || ')' END || ' (' || label || ')' AS source_name FROM a")
+def saved_query_news(spark, sf):
+    queries = F.array(*(F.lit(q) for _, q, _ in configured.SAVED_QUERIES))
+    title = F.when(F.col("id") % 3 == 0, F.col("title")).otherwise(F.concat("title", F.lit(" - "), "source_name", F.lit(" - x")))
+    feed = articles(spark, sf).select(F.col("id").alias("ord"), title.alias("title"), F.element_at(queries, (F.col("id") % len(configured.SAVED_QUERIES) + 1).cast("int")).alias("query"))
+    return configured.query_items(feed, configured.saved_queries(spark)).select("ord", "source_id", "title", "source_name")
+
+
 @_query()
 def ingest_cycle(spark, sf):
     """All articles as they would arrive on the last day, onto those of the days before."""

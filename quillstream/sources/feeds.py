@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,20 +71,21 @@ def combined(feed: DataFrame, scraped: DataFrame, policy: DataFrame) -> DataFram
     return feed.unionByName(want.where("policy = 'both'").unionByName(instead).drop("policy"), allowMissingColumns=True)
 
 
-def capped(items: DataFrame, caps: DataFrame) -> DataFrame:
-    """The first `most` items of each source in caps (source_name, most), after its feed and cards were combined;
-    sources without a cap keep all. Items of one feed are few, so a source's order is a window over its own."""
-    from pyspark.sql import Window
+def capped(items: DataFrame, caps: DataFrame, by: tuple[str, ...] = (), order: tuple[str, ...] = ("ord",)) -> DataFrame:
+    """The first `most` items of each source in caps (source_name, any other names of items' columns, most), or of each
+    of its parts if `by` names them; those without a cap, or a null one, all stay.
 
-    turn = F.row_number().over(Window.partitionBy("source_name").orderBy("ord"))
-    most = F.broadcast(caps.select(F.col("source_name").alias("_s"), "most").limit(10_000))  # configured, a row for each source
-    return items.withColumn("_turn", turn).join(most, items.source_name == F.col("_s"), "left").where("most is null or _turn <= most").drop("_turn", "_s", "most")
+    The window deals rows as the join does, so caps cost no further shuffle of items if `by` is empty."""
+    keys = [c for c in caps.columns if c != "most"]
+    turn = F.row_number().over(Window.partitionBy("source_name", *by).orderBy(*order))
+    most = caps.select(*(F.col(c).alias("_cap_" + c) for c in keys), F.col("most").alias("_most"))
+    same = reduce(lambda a, b: a & b, (items[c] == most["_cap_" + c] for c in keys))
+    rows = items.withColumn("_turn", turn).join(most, same, "left").where("_most is null or _turn <= _most")
+    return rows.drop("_turn", *most.columns)
 
 
 def local_items(items: DataFrame, stop_phrases: tuple[str, ...] = (), least_title: int = 20, most: int = 30) -> DataFrame:
     """Items of local outlets: long enough titles without stop phrases, the first of each link, `most` per outlet."""
-    from functools import reduce
-
     stop = reduce(lambda a, b: a | b, (F.contains(F.lower(filled(F.col("title"))), F.lit(p)) for p in stop_phrases), F.lit(False))
     kept = items.where((F.length(filled(F.col("title"))) >= least_title) & ~stop)
     return first_of(first_of(kept, ["source_name", "link"], [F.col("ord")]), ["source_name"], [F.col("ord")], most)

@@ -9,7 +9,7 @@ import pytest
 
 from quillstream.plans import registry
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 ROOT = Path(__file__).resolve().parents[1]
 
 
