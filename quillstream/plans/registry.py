@@ -600,7 +600,7 @@ def ingest_cycle(spark, sf):
     return ingest.ingest(items, stored, LEXICON, _sources(spark), AS_OF).select("id", "source_name", "title", "publish_date", "link", "ilgili_mi", "ilgi_kategorisi")
 
 
-@_query()
+@_query(f"{_NEWS}, day AS (SELECT * FROM news WHERE publish_date BETWEEN '{DAY} 00:00:00' AND '{DAY} 23:59:59'), {sql.keyed('day')}, r AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY source_name, k ORDER BY publish_date DESC, id DESC) = 1), c AS (SELECT source_name, lower(trim(source_name)) AS s, count(*) AS n FROM r GROUP BY 1), o AS (SELECT source_name, row_number() OVER (ORDER BY n DESC, source_name) AS g FROM c WHERE n >= 10), p(ord, pattern, cat) AS (VALUES {_PATTERN_ROWS}), m AS (SELECT source_name, arg_min(cat, (CASE WHEN s = pattern THEN 0 ELSE 1 END, ord)) AS cat FROM c JOIN p ON s = pattern OR contains(s, pattern) OR contains(pattern, s) GROUP BY 1) SELECT id, source_name, coalesce(cat, CASE WHEN coalesce(category, '') IN ('', {sql.text(lookup.OTHER)}) THEN {sql.text(lookup.OTHER)} ELSE category END) AS category, g IS NULL AS is_other, CAST(coalesce(g, (SELECT coalesce(max(g), 0) + 1 FROM o)) AS INTEGER) AS group_rank FROM r LEFT JOIN o USING (source_name) LEFT JOIN m USING (source_name)")
 def dashboard_day(spark, sf):
     return ingest.dashboard(_news(spark, sf), DAY).select("id", "source_name", "category", "is_other", "group_rank")
 
