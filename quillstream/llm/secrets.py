@@ -31,7 +31,7 @@ _PARTS = "get set user name account list map index count total value data file p
 
 
 def labelled_samples(spark: SparkSession, rows: int = 6000) -> DataFrame:
-    """word, secret: random strings in four alphabets; identifiers joined from ordinary words in seven styles, and rulers.
+    """word, secret: random strings in four alphabets; identifiers joined from ordinary words in eight styles, and rulers.
 
     Made from row numbers by hashing, so they are the same in each run."""
     n = spark.range(rows)
@@ -42,7 +42,7 @@ def labelled_samples(spark: SparkSession, rows: int = 6000) -> DataFrame:
     parts = _PARTS.split()
     pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (F.pmod(F.xxhash64(F.lit(i), F.col("id")), F.lit(len(xs))) + 1).cast("int"))
     w = [pick(parts, i) for i in range(4)]
-    styles = [F.concat_ws("_", *w), F.concat_ws("-", *w), F.concat(w[0], *map(F.initcap, w[1:])), F.concat(*w), F.concat_ws("/", *w), F.concat_ws(".", *w), F.concat(w[0], F.lit("_"), w[1], F.lit("_"), (F.col("id") % 2100).cast("string")), F.repeat(pick("-=_./+*#", 9), F.lit(40))]
+    styles = [F.concat_ws("_", *w), F.concat_ws("-", *w), F.concat(w[0], *map(F.initcap, w[1:])), F.concat(*w), F.concat_ws("/", *w), F.concat_ws(".", *w), F.upper(F.concat_ws("_", *w)), F.concat(w[0], F.lit("_"), w[1], F.lit("_"), (F.col("id") % 2100).cast("string")), F.repeat(pick("-=_./+*#", 9), F.lit(40))]
     ordinary = F.element_at(F.array(*styles), (kind(len(styles)) + 1).cast("int"))
     return n.select(random.alias("word"), F.lit(True).alias("secret")).unionByName(n.select(ordinary.alias("word"), F.lit(False).alias("secret")))
 
