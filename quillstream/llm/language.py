@@ -1,7 +1,8 @@
 """Language ID: averaged hashed subword embeddings with a linear softmax, trained by stochastic gradient descent.
 
-Once trained, each bucket's embedding times the softmax weights is a row of one score per language; a text's scores
-are the mean of the rows of its subwords. Rejection and score are calibrated on labelled rows left out of training."""
+Once trained, each bucket's embedding times the softmax weights is a row of one score per language, where these are
+few; a text's scores are the mean of the rows of its subwords. Rejection and score are calibrated on labelled rows left
+out of training, rejection apart for short and long texts."""
 
 from __future__ import annotations
 
@@ -16,14 +17,19 @@ from pyspark.sql import functions as F
 
 from quillstream.llm.common import prepare, with_columns
 
-#: Buckets of subwords, size of an embedding, most training rows of a language and most languages.
-BUCKETS, DIM, ROWS_PER_LANG, LANGS = 1 << 15, 16, 600, 256
-#: Most training rows in all: with many languages, each has fewer. Most characters of a row that are learned from:
+#: Buckets of subwords, size of an embedding and most training rows of a language.
+BUCKETS, DIM, ROWS_PER_LANG = 1 << 15, 16, 600
+#: Most training rows in all, and so most languages: with many, each has fewer rows. Most characters of a row that are learned from:
 #: of a longer text, those from a place on that a hash of its id says. (Predictions are of whole texts.)
 ROWS, CHARS = 20_000, 2000
-EPOCHS, BATCH, RATE = 6, 32, 40.0
-#: Share of calibration rows whose confidence may fall below the rejection level, before it is halved.
-REJECTED = 0.001
+#: Passes over the training rows, and those where languages outnumber an embedding's dimensions.
+EPOCHS, MANY_EPOCHS = 6, 24
+BATCH, RATE = 32, 40.0
+#: Share of calibration rows whose evidence may fall below the rejection level, and how much of that level is kept, as
+#: the lowest of a few hundred rows says little of the rarest.
+REJECTED, KEPT = 0.001, 0.85
+#: Characters from which a text is long, and calibration rows that a level of its own takes.
+LONG, LEAST_ROWS = 400, 100
 _letter = regex.compile(r"\p{L}").search
 
 #: ASCII that isn't a letter counts as a blank; upper case as lower case.
@@ -52,10 +58,12 @@ def subwords(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray
 @dataclass
 class Model:
     langs: list[str]
-    rows: np.ndarray  # a score per bucket and language
+    rows: np.ndarray  # a score per bucket and language, or with `head` the buckets' embeddings
     bias: np.ndarray
     sharpness: float = 1.0
-    least: float = 0.0
+    least: float = -np.inf  # rejection level
+    least_long: float = -np.inf  # that of texts of LONG characters on
+    head: np.ndarray | None = None
 
     def scores(self, texts: list[str]) -> np.ndarray:
         out = np.empty((len(texts), len(self.langs)), np.float64)
@@ -66,23 +74,29 @@ class Model:
                 size += len(texts[j])
                 j += 1
             grams, starts, ends = subwords(texts[i:j])
-            total = np.zeros((j - i, len(self.langs)))
+            total = np.zeros((j - i, self.rows.shape[1]))
             for g in grams:
                 for k, (a, b) in enumerate(zip(starts, ends, strict=True)):
                     total[k] += self.rows[g[a:b]].sum(axis=0, dtype=np.float64)
-            out[i:j] = total / (3 * np.maximum(ends - starts, 1))[:, None] + self.bias
+            mean = total / (3 * np.maximum(ends - starts, 1))[:, None]
+            out[i:j] = (mean if self.head is None else mean @ self.head) + self.bias
             i = j
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Languages and confidence; `und` and 0 for a text without a letter, or if no language was learned."""
+    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, confidence, and whether the evidence (the largest score) is below the level of texts as short or
+        long; `und`, 0 and true for a text without a letter, or if no language was learned."""
         known = [i for i, t in enumerate(texts) if t and _letter(t)] if self.langs else []
-        langs, score = ["und"] * len(texts), np.zeros(len(texts))
+        langs, score, rejected = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         if known:
-            p = softmax(self.scores([texts[i] for i in known]) * self.sharpness)
-            for i, row in zip(known, p, strict=True):
-                langs[i], score[i] = self.langs[int(row.argmax())], min(1.0, float(row.max()))
-        return langs, score
+            raw = self.scores([texts[i] for i in known])
+            for i, x, p in zip(known, raw, softmax(raw * self.sharpness), strict=True):
+                langs[i], score[i] = self.langs[int(p.argmax())], min(1.0, float(p.max()))
+                rejected[i] = x.max() < (self.least_long if len(texts[i]) >= LONG else self.least)
+        return langs, score, rejected
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        return self.judge(texts)[:2]
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -123,8 +137,9 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     e = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     w, bias = np.zeros((DIM, len(langs)), np.float32), np.zeros(len(langs), np.float32)
     train = np.flatnonzero(~held)
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = EPOCHS if len(langs) <= DIM else MANY_EPOCHS
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(train)
         for s in range(0, len(order), BATCH):
             part = order[s : s + BATCH]
@@ -139,54 +154,61 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
             w -= np.float32(rate * 0.05) * (h.T @ g)
             bias -= np.float32(0.01) * g.sum(axis=0)
             np.add.at(e, ids, -np.float32(rate) * weight[:, None] * np.repeat(back, sizes, axis=0))
-    model = Model(langs, np.ascontiguousarray(e @ w), bias.astype(np.float64))
+    few = len(langs) <= DIM
+    model = Model(langs, np.ascontiguousarray(e @ w) if few else e, bias.astype(np.float64), head=None if few else w.astype(np.float64))
     if held.any():
         calibrate(model, [texts[i] for i in np.flatnonzero(held)], y[held])
     return model
 
 
 def calibrate(model: Model, texts: list[str], y: np.ndarray) -> None:
-    """Sharpness of the softmax by likelihood, and the confidence below which texts are rejected."""
+    """Sharpness of the softmax by likelihood, and the evidence below which short and long texts are rejected: the
+    embeddings of subwords that no language has are near zero, so their mean scores are low whatever the softmax says."""
     raw = model.scores(texts)
     loss = lambda s: -np.log(np.maximum(softmax(raw * s)[np.arange(len(y)), y], 1e-12)).mean()
     model.sharpness = float(min(np.geomspace(0.25, 64, 49), key=loss))
-    best = softmax(raw * model.sharpness).max(axis=1)
-    chance = 1 / len(model.langs)
-    model.least = float(chance + max(0.0, np.quantile(best, REJECTED) - chance) / 2) if len(model.langs) > 1 else 0.0
+    if len(model.langs) > 1:
+        best = raw.max(axis=1)
+        level = lambda x: max(0.0, float(np.quantile(x, REJECTED))) * KEPT
+        long = np.array([len(t) >= LONG for t in texts])
+        model.least = level(best)
+        model.least_long = level(best[long]) if long.sum() >= LEAST_ROWS else model.least
 
 
-def sample(docs: DataFrame, text: str, lang: str, row_id: str, rows_per_lang: int, langs: int = LANGS) -> list[tuple[str, str]]:
-    """At most about rows_per_lang labelled rows of each of the `langs` commonest languages, chosen by a hash of their ids.
+def sample(docs: DataFrame, text: str, lang: str, row_id: str, rows_per_lang: int) -> list[tuple[str, str]]:
+    """At most about rows_per_lang labelled rows of each language, chosen by a hash of their ids.
 
-    What comes to the driver is bounded by ROWS times CHARS characters, whatever the texts' lengths."""
+    What comes to the driver is bounded by ROWS times CHARS characters, whatever the texts' lengths. Every value of
+    `lang` is learned while there are at most ROWS of them, as each takes a row; of more, the commonest."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.col(row_id).alias("i"))
-    counts = labelled.groupBy("l").count().orderBy(F.desc("count"), "l").limit(langs).collect()
+    counts = labelled.groupBy("l").count().orderBy(F.desc("count"), "l").limit(ROWS).collect()
     if not counts:
         return []
     rows_per_lang = min(rows_per_lang, ROWS // len(counts))
-    share = F.element_at(F.create_map(*(F.lit(x) for r in counts for x in (r["l"], min(1.0, rows_per_lang / r["count"])))), F.col("l"))
+    share = docs.sparkSession.createDataFrame([(r["l"], min(1.0, rows_per_lang / r["count"])) for r in counts], "l string, share double")
     chance = F.pmod(F.xxhash64(F.lit(11), "i", "l"), F.lit(1 << 20)) / float(1 << 20)
     spare = F.greatest(F.length("t") - CHARS, F.lit(0))
     passage = F.substring(F.col("t"), (F.pmod(F.xxhash64(F.lit(13), "i"), spare + 1) + 1).cast("int"), F.lit(CHARS))
-    rows = labelled.where(F.col("l").isin([r["l"] for r in counts])).where(chance < share).select(passage.alias("t"), "l").toArrow().to_pylist()
+    rows = labelled.join(F.broadcast(share), "l").where(chance < F.col("share")).select(passage.alias("t"), "l").toArrow().to_pylist()
     return sorted((r["t"], r["l"]) for r in rows)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = "") -> DataFrame:
-    """docs with lang_pred, score (0 to 1) and rejected: score below the calibrated level, or nothing to go by.
+    """docs with lang_pred, score (0 to 1) and rejected: evidence below the calibrated level of texts as short or
+    long, or nothing to go by.
 
     Null and empty texts, and those without a letter, are `und` with score 0. prefix goes before the new names."""
     held = prepare(docs.sparkSession).sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, rejected boolean")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            langs, score = held.value.predict(list(texts))
-            yield pd.DataFrame({"lang": langs, "score": score})
+            langs, score, rejected = held.value.judge(list(texts))
+            yield pd.DataFrame({"lang": langs, "score": score, "rejected": rejected})
 
     run = run.asNondeterministic()  # so that a filter on its result doesn't run it again
     out = with_columns(docs, {"__qs_id": run(F.coalesce(F.col(text), F.lit("")))})
-    return with_columns(out, {prefix + "lang_pred": F.col("__qs_id.lang"), prefix + "score": F.col("__qs_id.score"), prefix + "rejected": (F.col("__qs_id.lang") == "und") | (F.col("__qs_id.score") < model.least)}).drop("__qs_id")
+    return with_columns(out, {prefix + "lang_pred": F.col("__qs_id.lang"), prefix + "score": F.col("__qs_id.score"), prefix + "rejected": F.col("__qs_id.rejected")}).drop("__qs_id")
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
