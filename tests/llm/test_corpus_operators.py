@@ -276,6 +276,18 @@ def test_repeats_by_brute_force(spark, hot, array_bytes):
             assert (first[i] or "") == "".join(c for q, c in enumerate(t or "") if q not in gone)
 
 
+def test_repeats_in_texts_of_several_megabytes(spark):
+    r = random.Random(4)
+    some = lambda n: "".join(map(chr, r.choices(range(97, 123), k=n)))
+    passage, tail = some(1000), some(399)
+    at = 2_000_000 - 500  # over the place where the first slice ends
+    first = some(at) + passage + some(1_200_000) + tail
+    docs = [(0, first), (1, some(50) + passage), (2, tail), (3, some(2_500_000)), (4, some(300) + passage[:450])]
+    got = {x.doc_id: x for x in suffixes.repeat_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i: (x.n_bytes, x.n_removed, x.n_spans) for i, x in got.items()} == {0: (len(first), 1000, 1), 1: (1050, 1000, 1), 2: (399, 0, 0), 3: (2_500_000, 0, 0), 4: (750, 450, 1)}
+    assert got[0].kept_sha256 == hashlib.sha256((first[:at] + first[at + 1000 :]).encode()).hexdigest()
+
+
 def test_previous_factors():
     text = b"abracadabra abracadabra"
     order, ranks = suffixes.suffix_order(np.frombuffer(text, np.uint8).astype(np.int32), 64)
@@ -436,6 +448,37 @@ def test_markov_models_tell_random_strings_from_names(spark):
     assert got[40:] == [""] * len(names)
 
 
+def test_secrets_at_the_end_of_a_very_long_text(spark):
+    long = "filler word é " * 200_000
+    t = long + "password = hunter2hunter2 AKIA" + "ABCDEFGH12345678"
+    (got,) = secrets.secret_report(docs_of(spark, [t])).collect()
+    counts, digest, said = brute_secrets(t)
+    assert ([got.n_assign, got.n_access, got.n_hex], got.base_sha256) == (counts, digest) and counts == [1, 1, 0]
+
+
+def labelled_strings(n, seed):
+    """Strings as keys and names are written, of other words, lengths and marks than the training samples: (word, whether secret)."""
+    r = random.Random(seed)
+    digits, upper, lower = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    some = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    roots = "abstract bridge candidate deploy encoder fragment gateway history invoice journal kernel ledger metric network overlay pipeline quota registry schedule telemetry upload vector warehouse yield zone".split()
+    name = lambda: [r.choice(roots) for _ in range(r.randint(3, 5))]
+    keys = [lambda: "sk_live_" + some(digits + upper + lower, 24), lambda: "ghp_" + some(digits + upper + lower, 36), lambda: some(lower + digits, 32), lambda: some(upper + digits, 26), lambda: some(upper + lower + digits + "+/", 43) + "=", lambda: some(upper + lower + digits + "-_", 22)]
+    names = [lambda: "_".join(name()), lambda: "".join(x.title() for x in name()), lambda: "/".join(name()), lambda: "-".join(name()) + "-" + some(digits, 2), lambda: "_".join(name()).upper(), lambda: "".join(name())]
+    for i in range(n):
+        word = (keys if i % 2 else names)[i // 2 % 6]()
+        if len(word) >= 20:
+            yield word, bool(i % 2)
+
+
+def test_models_on_labelled_strings(spark):
+    rows = list(labelled_strings(1200, 3))
+    got = [bool(x.spans) for x in secrets.secret_report(docs_of(spark, [f"see {w} here" for w, _ in rows])).orderBy("doc_id").collect()]
+    hits = sum(g and s for g, (_, s) in zip(got, rows, strict=True))
+    precision, recall = hits / sum(got), hits / sum(s for _, s in rows)
+    assert precision > 0.95 and recall > 0.8
+
+
 def test_redaction(spark):
     got = secrets.redact(docs_of(spark, ["a token=abcdefgh12 b", "none"])).orderBy("doc_id").collect()
     assert [x.text for x in got] == ["a [SECRET] b", "none"]
@@ -452,6 +495,35 @@ def test_held_out_accuracy(spark):
     assert all(0 <= x.score <= 1 for x in got) and not any(x.rejected for x in got)
 
 
+def test_a_language_that_is_not_learned_is_rejected(spark):
+    """German is left out of the labelled rows: most of it goes, and hardly any of what was learned."""
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = language.learn(d.where("lang <> 'de'"))
+    got = language.identify(d.where(language.held_out()), model).select("lang", "rejected").collect()
+    new = [x.rejected for x in got if x.lang == "de"]
+    assert len(new) > 20 and np.mean(new) > 0.5
+    assert np.mean([x.rejected for x in got if x.lang != "de"]) < 0.02
+
+
+def test_any_number_of_languages_is_learned(spark):
+    r = random.Random(8)
+    own = [["".join(r.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(6)] for _ in range(300)]
+    rows = [(i * 300 + k, " ".join(r.choices(own[k], k=12)), f"l{k:03}") for i in range(12) for k in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(d)
+    assert len(model.langs) == 300 and model.head is not None and model.rows.shape[1] == language.DIM
+    got = language.identify(d, model).select("lang", "lang_pred").collect()
+    assert np.mean([x.lang == x.lang_pred for x in got]) > 0.9
+
+
+def test_a_very_long_text_has_the_language_of_its_parts(spark):
+    model = language.fit([("the cat and the dog were here today", "en"), ("der hund und die katze sind hier heute", "de")] * 30)
+    docs = docs_of(spark, ["the dog was here and the cat " * 100_000, "die katze und der hund " * 100_000])
+    assert [x.lang_pred for x in language.identify(docs, model).orderBy("doc_id").collect()] == ["en", "de"]
+
+
 def test_lang_of_short_and_empty_texts():
     model = language.fit([("the cat and the dog were here today", "en"), ("der hund und die katze sind hier heute", "de")] * 30)
     assert model.predict(["the dog", "die katze", "", None, "123 ..."])[0] == ["en", "de", "und", "und", "und"]
