@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import decontaminate, htmltext, language, lines, mixing, neardup, neighbours, secrets, suffixes, tokens
+from quillstream.llm import conversations, copies, decontaminate, htmltext, language, lines, mixing, neardup, neighbours, runs, secrets, suffixes, tokens
 from quillstream.llm.common import prepare, table
 
 
@@ -61,10 +61,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_report(table(prepare(spark), sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_report(table(prepare(spark), sf_dir, "documents"))
+
+
+def op12_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies.copy_report(table(prepare(spark), sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(table(prepare(spark), sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()]
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontaminate.LEAK_SQL, "op3_source_mixing": mixing.MIX_SQL, "op8_line_dedup": lines.LINES_SQL}
+    return {"op2_decontamination": decontaminate.LEAK_SQL, "op3_source_mixing": mixing.MIX_SQL, "op8_line_dedup": lines.LINES_SQL, "op12_exact_copies": copies.COPIES_SQL}
