@@ -5,8 +5,8 @@ Then adjacent names of a text are paired, distinct pairs sorted and numbered, an
 Equal texts have equal names at the same level and no others do: names stand for whole blocks and pairs, not for
 hashes of them.
 
-Sorting is dealt by a hash: a name is a place among the blocks of its hash part and the part's number. Blocks and pairs
-are counted once each before they are sorted, so one that a third of all rows share is one row there; where names are
+Sorting is dealt by a hash: blocks are sorted by it, and those of one hash by themselves. A name is the place among the
+blocks of a part of the hashes, and the part's number. Blocks and pairs are told apart before they are sorted, so one that a third of all rows share is one row there; where names are
 joined back, such a key's rows are of a few numbers and Spark splits them among tasks."""
 
 from __future__ import annotations
@@ -32,29 +32,30 @@ def blocks(text: Column, size: int) -> Column:
     return F.when(F.length(text) <= size, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), 0))
 
 
-def numbered(distinct: DataFrame, keys: list[str], h: str = "h") -> DataFrame:
-    """distinct rows (keys and h, a hash of them) with name: their place among the rows of their part, and the part.
+def numbered(distinct: DataFrame) -> DataFrame:
+    """h of distinct rows, each with c, how many rows have it, and name, a number for the first of them.
 
-    `sole` says whether no other row has the same hash."""
-    part = F.pmod(h, F.lit(PARTS))
-    rows = distinct.withColumn("part", part)
-    place = F.row_number().over(Window.partitionBy("part").orderBy(h, *keys)).cast("long")
-    before, after = (f(h).over(Window.partitionBy("part").orderBy(h, *keys)) for f in (F.lag, F.lead))
-    sole = ~(F.coalesce(before == F.col(h), F.lit(False)) | F.coalesce(after == F.col(h), F.lit(False)))
-    return rows.select(*keys, h, (place * PARTS + F.col("part")).alias("name"), sole.alias("sole"))
+    Hashes are sorted within parts. Names of one part are its number and multiples of PARTS from there on, so that the
+    next c - 1 names of a hash are free for its other rows."""
+    hashes = distinct.groupBy("h").agg(F.count("*").alias("c")).withColumn("part", F.pmod("h", F.lit(PARTS)))
+    before = F.sum("c").over(Window.partitionBy("part").orderBy("h")) - F.col("c")
+    return hashes.select("h", "c", (before * PARTS + F.col("part")).alias("name"))
 
 
 def named(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows (row, pos, n, h and the keys) as row, pos, n and the name of their keys.
 
-    A hash that only one key has finds its name by itself, so that blocks travel once; hashes that several keys share,
-    if there are any, are joined key by key."""
-    names = stored(numbered(rows.select("h", *keys).distinct(), keys), "block-names")
-    out = rows.select("row", "pos", "n", "h").join(names.where("sole").select("h", "name"), "h").drop("h")
-    shared = names.where("not sole").drop("sole")
+    Blocks travel once, to be told apart. A hash that only one key has finds its name by itself; the keys of hashes that
+    several share, if there are any, are sorted among themselves and joined as they are."""
+    distinct = rows.select("h", *keys).distinct()
+    names = stored(numbered(distinct), "block-names")
+    out = rows.select("row", "pos", "n", "h").join(names.where("c = 1").select("h", "name"), "h").drop("h")
+    shared = names.where("c > 1").drop("c")
     if shared.isEmpty():
         return out
-    return out.unionByName(rows.join(shared, ["h", *keys]).select("row", "pos", "n", "name"))
+    place = F.row_number().over(Window.partitionBy("h").orderBy(*keys)) - 1
+    told = distinct.join(shared, "h").select("h", *keys, (F.col("name") + place * PARTS).alias("name"))
+    return out.unionByName(rows.join(told, ["h", *keys]).select("row", "pos", "n", "name"))
 
 
 def identities(texts: DataFrame, size: int = BLOCK, bits: int = 64) -> DataFrame:
