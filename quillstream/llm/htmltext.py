@@ -2,13 +2,14 @@
 
 For each node of the DOM: characters per tag, adjusted by its links; a node's density sum is the sum over its
 children. The body-path threshold is the least density on the way from the node of the largest sum up to the body;
-the subtree of the largest sum under a node that passes it is the content. Elements that a page names as its article
-only widen what density has found, to the whole article."""
+the subtree of the largest sum under a node that passes it is the content. It stands for the article around it, or is
+joined by the heading and leads beside it."""
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -31,11 +32,16 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dir d
 #: Elements that end an open one of their own group, and what stops the search for it.
 SIBLINGS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)), "thead": (("thead", "tbody", "tfoot"), ("table",)), "tbody": (("thead", "tbody", "tfoot"), ("table",)), "tfoot": (("thead", "tbody", "tfoot"), ("table",))}
 #: Words of class, id and role that mark what isn't the article, if a name holds nothing else but neutral words.
-MARKS = frozenset("ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored sponsors promo promos promotion promoted banner banners cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login paywall menu menus nav navbar navigation breadcrumb breadcrumbs crumbs pagination pager toolbar sidebar sidebars aside rail widget widgets related recommended recommendations trending popular share sharing social follow header masthead topbar footer foot bottombar copyright disclaimer comment comments commentlist respond reply replies discussion disqus feedback search searchform form skip toc tags taglist hidden complementary contentinfo".split())
+MARKS = frozenset("ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored sponsors promo promos promotion promoted banner banners cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login paywall menu menus nav navbar navigation breadcrumb breadcrumbs crumbs pagination pager toolbar sidebar sidebars aside rail widget widgets related recommended recommendations trending popular share sharing social follow header masthead topbar footer foot bottombar copyright disclaimer comment comments commentlist respond reply replies discussion disqus feedback search searchform form skip toc tags taglist hidden complementary contentinfo outbrain taboola".split())
 NEUTRAL = frozenset("a an the and of on in for to my site page main global local area bar block blocks body bottom box boxes button buttons btn card cards col column container content contents cta div element entry entries field fields fixed group header heading inner input item items js label left line link links list lists module mobile outer panel post posts article articles story stories right row section sections side slot sticky text title top unit user users view wrap wrapper zone desktop small large first last primary secondary icon icons dfp google".split())
 #: Marks that also name the part of an article with its title.
 HEADS = frozenset("header masthead".split())
 HEADINGS = frozenset("h1 h2 h3".split())
+#: What an article's text beside its largest part is in, and elements in which a paragraph may be left open.
+PROSE = frozenset("p blockquote ul ol dl pre table figure h1 h2 h3 h4 h5 h6".split())
+HOLDS_P = frozenset("td th button caption".split())
+#: Marks that count beside any other words of a name.
+CLEAR = frozenset("advert adverts advertisement advertising adsense adbox adslot sponsored outbrain taboola cookie cookies gdpr consent newsletter subscribe subscription comments commentlist disqus breadcrumb breadcrumbs".split())
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])|(?<=[a-z])(?=[0-9])")
 ARTICLE = frozenset(("article", "main"))
 #: Elements that are dropped unless they enclose the article, as are those with MARKS.
@@ -43,10 +49,11 @@ WRAPPERS = frozenset(("form", "fieldset"))
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "drop", "maybe", "head", "main", "chars", "links", "link_chars", "tags", "density", "total")
+    __slots__ = ("name", "parent", "children", "drop", "maybe", "head", "main", "inner", "chars", "links", "link_chars", "tags", "density", "total")
 
     def __init__(self, name: str, parent: Node | None, drop: bool = False, main: bool = False) -> None:
         self.name, self.parent, self.drop, self.maybe, self.head, self.main = name, parent, drop, False, False, main
+        self.inner = main or parent is not None and parent.inner
         self.children: list[Node | str] = []
 
 
@@ -57,6 +64,8 @@ def marks(value: str) -> set[str]:
         words = {x.lower() for x in SPLIT.split(name) if x and not x.isdigit()}
         if words - MARKS <= NEUTRAL:
             found |= words & MARKS
+        elif words & CLEAR:
+            found |= words & CLEAR
         elif (whole := name.lower()) in MARKS:
             found.add(whole)
     return found
@@ -79,30 +88,73 @@ def marked(rest: str) -> tuple[bool, set[str], bool]:
     return False, found, main and not found
 
 
+class Open:
+    """The open elements of a page, and where each name stands among them: every tag costs what it opens or closes, so
+    that deep pages take linear time."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack, self.at, self.blocks = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.name, []).append(len(self.stack))
+        if node.name in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, k: int) -> None:
+        """Closes all from place k on."""
+        while len(self.stack) > k:
+            self.at[self.stack.pop().name].pop()
+            if self.blocks and self.blocks[-1] == len(self.stack):
+                self.blocks.pop()
+
+    def last(self, names) -> int:
+        return max((places[-1] for x in names if (places := self.at.get(x))), default=0)
+
+    def before(self, name: str) -> None:
+        """Closes what ends where an element of this name begins: paragraphs, list items and cells have no end tag."""
+        if name in ENDS_P and (k := self.last(("p",))) > self.last(HOLDS_P):
+            self.cut(k)
+        if name in SIBLINGS:
+            group, stops = SIBLINGS[name]
+            stop = self.last(stops)
+            open_ = [places[k] for x in group if (places := self.at.get(x)) and (k := bisect_right(places, stop)) < len(places)]
+            if open_:
+                self.cut(min(open_))
+
+    def end(self, name: str) -> None:
+        k = self.last((name,))
+        # an end tag of an inline element doesn't end a block
+        if k and (name in BLOCKS or not self.blocks or self.blocks[-1] <= k):
+            self.cut(k)
+
+
 def parse(html: str) -> Node:
     """The tree of a page. Elements that don't belong to an article are kept, marked `drop`."""
-    root = node = Node("#root", None)
+    root = Node("#root", None)
+    open_ = Open(root)
     at, find, n = 0, TOKEN.search, len(html)
     while at < n:
         m = find(html, at)
         if not m:
-            node.children.append(unescape(html[at:]))
+            open_.stack[-1].children.append(unescape(html[at:]))
             break
         if m.start() > at:
-            node.children.append(unescape(html[at : m.start()]))
+            open_.stack[-1].children.append(unescape(html[at : m.start()]))
         at = m.end()
         name = m["name"] or m["name2"]
         if not name:
             continue
         name, rest = name.lower(), m["rest"] or m["rest2"] or ""
         if m["end"] or m["end2"]:
-            node = closed(node, name)
+            open_.end(name)
             continue
-        node = opened(node, name)
+        open_.before(name)
+        node = open_.stack[-1]
         drop, found, main = marked(rest) if rest and "=" in rest or "hidden" in rest else (False, set(), False)
         if name in ("html", "body", "article", "main"):
             drop, found = False, set()
-        within_main = inside(node)
+        within_main = node.inner
         if name == "header" and not within_main:
             found = found | {"header"}
         drop = drop or name in DROPPED and name not in WRAPPERS
@@ -115,7 +167,7 @@ def parse(html: str) -> Node:
             end = re.compile(f"</{name}(?=[\\s/>])", re.I).search(html, at)
             at = (html.find(">", end.end()) + 1 or n) if end else n
         elif name not in VOID and not (rest.endswith("/") and name in ("svg", "path")):
-            node = child
+            open_.push(child)
     weigh(root)
     return root
 
@@ -148,43 +200,6 @@ def weigh(root: Node) -> None:
         node.drop = node.drop or node.maybe and not keep
 
 
-def inside(node: Node | None) -> bool:
-    while node:
-        if node.main:
-            return True
-        node = node.parent
-    return False
-
-
-def opened(node: Node, name: str) -> Node:
-    """Where an element of this name goes: paragraphs, list items and cells end without an end tag."""
-    if name in ENDS_P:
-        x = node
-        while x.parent and x.name not in ("td", "th", "button", "caption"):
-            if x.name == "p":
-                node = x.parent
-                break
-            x = x.parent
-    if name in SIBLINGS:
-        group, stops = SIBLINGS[name]
-        x, found = node, None
-        while x.parent and x.name not in stops:
-            if x.name in group:
-                found = x
-            x = x.parent
-        node = found.parent if found else node
-    return node
-
-
-def closed(node: Node, name: str) -> Node:
-    x = node
-    while x.parent and x.name != name:
-        if name not in BLOCKS and x.name in BLOCKS:  # an end tag of an inline element doesn't end a block
-            return node
-        x = x.parent
-    return x.parent if x.parent else node
-
-
 def measure(root: Node) -> None:
     """Characters, tags and links of every kept node, then its density and the sum of its children's."""
     order, stack = [], [root]
@@ -224,53 +239,106 @@ def descendants(node: Node) -> Iterator[Node]:
         stack += [y for y in reversed(x.children) if isinstance(y, Node) and not y.drop]
 
 
+def path(node: Node) -> Iterator[Node]:
+    while node.parent:
+        node = node.parent
+        yield node
+
+
+def kids(node: Node) -> list[Node]:
+    return [x for x in node.children if isinstance(x, Node) and not x.drop]
+
+
+def prose(node: Node) -> bool:
+    """Whether a node has text, most of it outside links."""
+    return node.chars > 2 * node.link_chars
+
+
+def is_card(node: Node) -> bool:
+    """Whether an article's headings are links: it then points to another page's text."""
+    stack = [(node, False)]
+    while stack:
+        x, linked = stack.pop()
+        if x.name in HEADINGS and x.chars and (linked or 2 * x.link_chars > x.chars):
+            return True
+        stack += [(y, linked or x.name == "a") for y in kids(x)]
+    return False
+
+
+def by_density(body: Node, best: Node, least: float) -> Node:
+    """The subtree of the largest sum in the outermost node around `best` that passes the threshold."""
+    around = {best, *path(best)}
+    node = body
+    while (node is body or not node.chars or node.density < least) and node is not best:
+        node = next(x for x in kids(node) if x in around)
+    return max(descendants(node), key=lambda x: x.total) if node.total else node
+
+
 def content(root: Node) -> list[Node]:
-    """The roots of the content, in page order."""
+    """The roots of the content, in page order.
+
+    Density picks a subtree. Articles of the page that hold it, or that hold most of its text, stand for it, with any
+    others that are prose: a page's short article is as whole as its long one, but a card that links elsewhere is none. In a main part or a body without articles the lists of links go. Else headings and leads beside the subtree join it."""
     measure(root)
-    nodes = list(descendants(root))
     if not root.chars:
         return []
-    best = max(nodes, key=lambda x: x.total)
-    least, x = best.density, best
-    while x.parent and x.name not in ("body", "html"):
-        least, x = min(least, x.density), x.parent
-    body = x
-    chosen, stack = [], [body]
+    best = max(descendants(root), key=lambda x: x.total)
+    least, body = best.density, best
+    while body.parent and body.name not in ("body", "html"):
+        least, body = min(least, body.density), body.parent
+    picked = best if best is body else by_density(body, best, least)
+    own = lambda y: y.chars - y.link_chars
+    up = {picked, *path(picked)}
+    articles = list(outermost(body, "article"))
+    around = [y for y in articles if y in up]
+    below = [y for y in outermost(picked, "article") if prose(y)] if not around else []
+    if around or 2 * sum(map(own, below)) > own(picked):
+        found = {*around, *below}
+        chosen = [y for y in articles if y in found or prose(y) and not is_card(y)]
+        return [z for y in chosen for z in (*(() if any(x.name in HEADINGS for x in descendants(y)) else beside(y)[0]), y)]
+    mains = [y for y in up if y.main and y is not body]
+    if not mains:
+        mains = [y for y in descendants(picked) if y.main and 2 * own(y) > own(picked)][:1]
+    if mains:
+        picked = max(mains, key=lambda y: y.chars)
+    if mains or picked is body:
+        for y in list(descendants(picked)):
+            y.drop = y.drop or y is not picked and y not in up and y.name in BLOCKS and y.links > 1 and not prose(y)
+        return [picked]
+    before, after = beside(picked)
+    return [*before, picked, *after]
+
+
+def outermost(top: Node, name: str) -> Iterator[Node]:
+    """Elements of a name with text that are in no other one below top, in page order."""
+    stack = [top]
     while stack:
-        node = stack.pop()
-        kids = [y for y in node.children if isinstance(y, Node) and not y.drop]
-        if node is not body and node.density >= least and node.chars:
-            chosen.append(node)
+        x = stack.pop()
+        if x.name == name and x.chars and x is not top:
+            yield x
         else:
-            stack += reversed(kids)
-    heart = best if best is not body else None
-    picked = [max(descendants(y), key=lambda z: z.total) if y.total and heart and within(heart, y) else y for y in chosen if heart is None or within(heart, y)]
-    return widened(picked or [best], body, least)
-
-
-def widened(picked: list[Node], body: Node, least: float) -> list[Node]:
-    """What density picked, as whole articles: those around a picked node or, if it encloses some, all of them, and
-    others that pass the threshold with a quarter of the text. A page that names no article keeps what was picked."""
-    mains = [y for y in descendants(body) if y.main and y.chars and not any(x.main for x in path(y))]
-    if not mains:
-        return picked
-    own = lambda y: y.chars - y.link_chars
-    found = {y for y in mains for x in picked if within(x, y) or within(y, x)}
-    if not found:
-        return picked
-    most = max(map(own, found))
-    around = [y for y in mains if any(within(x, y) for x in picked)]
-    return [y for y in mains if y in around or 4 * own(y) >= most and y.density >= least]
-
-
-def path(node: Node) -> Iterator[Node]:
-    while node.parent:
-        node = node.parent
-        yield node
+            stack += reversed(kids(x))
 
 
-def within(node: Node, top: Node) -> bool:
-    return node is top or any(x is top for x in path(node))
+def beside(node: Node) -> tuple[list[Node], list[Node]]:
+    """The heading before a node, on its own level or the nearest one above that has one, with the prose between them;
+    and paragraphs after it on its level."""
+    before: list[Node] = []
+    after: list[Node] = []
+    x, level = node, 0
+    while x.parent and x.name not in ("body", "html"):
+        all_ = kids(x.parent)
+        place = next(i for i, y in enumerate(all_) if y is x)
+        if not level and x.parent.name != "body":
+            after = [y for y in all_[place + 1 :] if y.name in PROSE and prose(y)]
+        titled = [i for i, y in enumerate(all_[:place]) if prose(y) and any(z.name in HEADINGS for z in descendants(y))]
+        if titled:
+            first = next((i for i in reversed(titled) if any(z.name == "h1" for z in descendants(all_[i]))), titled[-1])
+            return [y for y in all_[first:place] if prose(y)] + before, after
+        if x.parent.name != "body":
+            before = [y for y in all_[:place] if y.name in PROSE and prose(y)] + before
+        x, level = x.parent, level + 1
+    return before, after
 
 
 def blocks(top: Node) -> list[str]:
