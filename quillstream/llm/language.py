@@ -6,6 +6,7 @@ out of training, rejection apart for short and long texts."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,8 +29,9 @@ BATCH, RATE = 32, 40.0
 #: Share of calibration rows whose evidence may fall below the rejection level, and how much of that level is kept, as
 #: the lowest of a few hundred rows says little of the rarest.
 REJECTED, KEPT = 0.001, 0.85
-#: Characters from which a text is long, and calibration rows that a level of its own takes.
-LONG, LEAST_ROWS = 400, 100
+#: Up to the first many characters the level of all calibration rows holds, from the last many on that of long ones (of
+#: at least LEAST_ROWS of them), and between them one that grows with the logarithm of the length.
+SHORT, LONG, LEAST_ROWS = 400, 1600, 100
 _letter = regex.compile(r"\p{L}").search
 
 #: ASCII that isn't a letter counts as a blank; upper case as lower case.
@@ -83,16 +85,20 @@ class Model:
             i = j
         return out
 
+    def level(self, chars: int) -> float:
+        """The evidence below which a text of so many characters is rejected, without a step anywhere."""
+        grown = min(1.0, max(0.0, math.log(max(chars, 1) / SHORT) / math.log(LONG / SHORT)))
+        return self.least + grown * (self.least_long - self.least)
+
     def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Languages, confidence, and whether the evidence (the largest score) is below the level of texts as short or
-        long; `und`, 0 and true for a text without a letter, or if no language was learned."""
+        """Languages, confidence, and whether the evidence (the largest score) is below the level of texts as long; `und`, 0 and true for a text without a letter, or if no language was learned."""
         known = [i for i, t in enumerate(texts) if t and _letter(t)] if self.langs else []
         langs, score, rejected = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         if known:
             raw = self.scores([texts[i] for i in known])
             for i, x, p in zip(known, raw, softmax(raw * self.sharpness), strict=True):
                 langs[i], score[i] = self.langs[int(p.argmax())], min(1.0, float(p.max()))
-                rejected[i] = x.max() < (self.least_long if len(texts[i]) >= LONG else self.least)
+                rejected[i] = x.max() < self.level(len(texts[i]))
         return langs, score, rejected
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -170,7 +176,7 @@ def calibrate(model: Model, texts: list[str], y: np.ndarray) -> None:
     if len(model.langs) > 1:
         best = raw.max(axis=1)
         level = lambda x: max(0.0, float(np.quantile(x, REJECTED))) * KEPT
-        long = np.array([len(t) >= LONG for t in texts])
+        long = np.array([len(t) >= SHORT for t in texts])
         model.least = level(best)
         model.least_long = level(best[long]) if long.sum() >= LEAST_ROWS else model.least
 
@@ -194,8 +200,8 @@ def sample(docs: DataFrame, text: str, lang: str, row_id: str, rows_per_lang: in
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = "") -> DataFrame:
-    """docs with lang_pred, score (0 to 1) and rejected: evidence below the calibrated level of texts as short or
-    long, or nothing to go by.
+    """docs with lang_pred, score (0 to 1) and rejected: evidence below the calibrated level of texts as long,
+    or nothing to go by.
 
     Null and empty texts, and those without a letter, are `und` with score 0. prefix goes before the new names."""
     held = prepare(docs.sparkSession).sparkContext.broadcast(model)
