@@ -3,17 +3,26 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(rows: DataFrame) -> DataFrame:
-    """rows as they are now, in the checkpoint folder the cluster names: what follows neither copies their expressions
-    nor computes them again. A folder is made only where none is named and all of Spark runs in this process."""
-    sc = rows.sparkSession.sparkContext
+def folder(spark: SparkSession, name: str | None = None) -> str:
+    """The checkpoint folder the cluster names, or a new one in it. One is made only where none is named and all of Spark
+    runs in this process."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named and not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="quillstream-"))
+    top = sc.getCheckpointDir()
+    return f"{top}/{name}-{uuid.uuid4().hex}" if name else top
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """rows as they are now, in the checkpoint folder: what follows neither copies their expressions nor computes them
+    again."""
+    folder(rows.sparkSession)
     return rows.checkpoint()

@@ -40,13 +40,14 @@ def _keeps(relevant: Column, summary: Column) -> Column:
     return (F.coalesce(relevant, F.lit(0)) == 1) & is_full_summary(summary)
 
 
-def merged(stored: DataFrame, items: DataFrame, as_of: str) -> DataFrame:
+def merged(stored: DataFrame, items: DataFrame, as_of: str, largest: int | None = None) -> DataFrame:
     """The stored table after items were upserted in the order of ord; link is the key.
 
     A stored relevant row keeps its full summary, else a new non-empty one replaces it; an empty date replaces
     nothing; title and labels are the new ones; source, category, scraped_at and id stay. Where a batch has a link
     several times, its rows are folded in order with the stored row as the start: the links that recur are few,
-    and each one's rows are of one story. New rows get ids after the largest one, in order of first arrival."""
+    and each one's rows are of one story. New rows get ids after the largest one, in order of first arrival; `largest`
+    names it where stored is only a part of the table."""
     new = prepared(items, as_of)
     columns = [c for c in stored.columns if c != "id"]
     row = F.struct("ord", *(F.col(c) for c in columns))
@@ -67,9 +68,9 @@ def merged(stored: DataFrame, items: DataFrame, as_of: str) -> DataFrame:
     after = both.withColumn("now", F.when(F.col("rows").isNull(), F.col("old")).otherwise(F.aggregate(rest, start, step)))
     # written once: the join isn't repeated for what is numbered and what is counted
     after = cut(after.select("id", F.when(F.col("id").isNull(), first["ord"]).alias("_first"), "now"))
-    largest = after.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    top = after.agg(F.coalesce(F.max("id"), F.lit(0))).scalar() if largest is None else F.lit(largest)
     fresh = after.where("id is null").select("_first", "now")
-    numbered = _numbered(fresh, "_first").select((largest + F.col("_n")).alias("id"), "now")
+    numbered = _numbered(fresh, "_first").select((top + F.col("_n")).cast("long").alias("id"), "now")
     return after.where("id is not null").select("id", "now").unionByName(numbered).select("id", *(F.col(f"now.{c}").alias(c) for c in columns))
 
 
@@ -105,7 +106,9 @@ def without_ids(news: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def written(news: DataFrame, path: str) -> None:
-    """A version of the table, partitioned by day so that a day's reads prune the rest."""
+    """news as a new table under a path, partitioned by day so that a day's reads prune the rest. A path that news itself
+    is read from is refused, as its files would go before they are read: sources.news_table changes tables in place."""
+    of = lambda x: x.split(":", 1)[-1].lstrip("/").rstrip("/") + "/"
+    if any(of(f).startswith(of(path)) for f in news.inputFiles()):
+        raise ValueError(f"{path} holds files that these rows are read from")
     news.withColumn("publish_day", F.substring("publish_date", 1, 10)).write.mode("overwrite").partitionBy("publish_day").parquet(path)
-
-

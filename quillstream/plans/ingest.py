@@ -35,16 +35,21 @@ def with_bodies(items: DataFrame, bodies: DataFrame, as_of: str) -> DataFrame:
     return rows.drop("_l", "body", "page_date").where(filters.since_midnight(as_of))
 
 
-def ingest(items: DataFrame, news: DataFrame, lexicon: Lexicon, sources: DataFrame, as_of: str, bodies: DataFrame | None = None, verdicts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """The stored table after a cycle: provenance, arrivals, bodies, two stages of classification, upsert."""
+def judged(items: DataFrame, news: DataFrame, lexicon: Lexicon, sources: DataFrame, as_of: str, bodies: DataFrame | None = None, verdicts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The items of a cycle that are stored: provenance, arrivals, bodies, two stages of classification."""
     searched = F.col("veri_kaynagi") == "SerpApi"
     tagged = lookup.with_provenance(items.where(~F.coalesce(searched, F.lit(False))), sources).unionByName(items.where(searched), allowMissingColumns=True)
     rows = cut(arrivals(tagged, news, as_of))
     rows = rows if bodies is None else with_bodies(rows, bodies, as_of)
-    judged = classify.labelled(cut(classify.with_stage1(rows, lexicon)))
+    found = classify.labelled(cut(classify.with_stage1(rows, lexicon)))
     if verdicts is not None:
-        judged = classify.with_stage2(judged.withColumn("id", F.col("ord")), verdicts).drop("id")
-    return upsert.merged(news, judged.drop("stage1"), as_of)
+        found = classify.with_stage2(found.withColumn("id", F.col("ord")), verdicts).drop("id")
+    return found.drop("stage1")
+
+
+def ingest(items: DataFrame, news: DataFrame, lexicon: Lexicon, sources: DataFrame, as_of: str, bodies: DataFrame | None = None, verdicts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The stored table after a cycle."""
+    return upsert.merged(news, judged(items, news, lexicon, sources, as_of, bodies, verdicts), as_of)
 
 
 def dashboard(news: DataFrame, day: str, only_relevant: bool = False, least: int = 10) -> DataFrame:
