@@ -2,7 +2,7 @@
 
 Keys that only need the best row of a group are windows or aggregates. Rules in which a row's fate hangs on what was
 kept before it are folds over rows in order: each partition streams its groups, sorted, and holds what is kept of
-one group, never the group."""
+one group, never the group. Large groups are split by nearness first."""
 
 from __future__ import annotations
 
@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from quillstream.functions.dates import parse_time
 from quillstream.functions.text import TITLE_STOPWORDS, contained, day_of, filled, jaccard, title_key, title_words
+from quillstream.operators.components import components
 from quillstream.operators.filters import is_aggregator, is_promo
+from quillstream.operators.stages import cut
 
 
 def first_of(rows: DataFrame, keys: list, order: list[Column], n: int = 1) -> DataFrame:
@@ -135,10 +137,6 @@ class Kept:
         return False
 
     def see(self, row) -> None:
-        if not len(row.words):
-            if self.rule.keep != "first":
-                self.add(row)
-            return
         k = self.first_near(row) if len(row.words) >= self.rule.fewest else None
         if k is None:
             self.add(row)
@@ -147,12 +145,74 @@ class Kept:
             self.add(row)
 
 
-def near_survivors(rows: DataFrame, rule: Rule, by: list[str] | None = None, order: str = "id", stopwords: tuple[str, ...] = TITLE_STOPWORDS) -> DataFrame:
+#: Rows of a group that are still folded as one stream. Larger groups are split by what their rows can be near to; the
+#: rows that stay are the same.
+WHOLE = 500
+
+
+def near_pairs(sets: DataFrame, rule: Rule) -> DataFrame:
+    """a, b of word sets (g, rep, words, times) of a group of which some rows can be near, each pair once per reason.
+
+    Words are ordered by how many sets of their group have them. Sets that are similar enough share one of their rarest
+    words, as many as the bound leaves; a set within another shares its rarest one with any of the other's. Rows that
+    must be close in time meet only in bins of that length, their own and the neighbouring ones."""
+    words = sets.select("g", "rep", F.explode("words").alias("w"))
+    often = words.groupBy("g", "w").agg(F.count("*").alias("_n")).select(F.col("g").alias("_g"), F.col("w").alias("_w"), "_n")
+    ranked = words.join(often, (F.col("g") == F.col("_g")) & (F.col("w") == F.col("_w"))).groupBy("g", "rep").agg(F.array_sort(F.collect_list(F.struct("_n", "w")))["w"].alias("words"))
+    ranked = cut(ranked.withColumn("n", F.size("words")).join(sets.select("rep", "times"), "rep"))
+
+    def posted(rows: DataFrame, least: float | None, *more: str) -> DataFrame:
+        """A row for each of a set's rarest words, of all if least is None."""
+        first = F.col("n") if least is None else F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9).cast("int") + 1
+        return rows.select("g", "rep", "words", "n", *more, F.posexplode(F.slice("words", F.lit(1), first)).alias("place", "w"))
+
+    def met(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
+        right = right.select(*(F.col(c).alias("_" + c) for c in right.columns))
+        same = [F.col(c) == F.col("_" + c) for c in ("g", "w", *more)]
+        return left.join(right, same)
+
+    both = F.size(F.array_intersect("words", "_words"))
+    seen = lambda least: both >= F.lit(least) * (F.col("n") + F.col("_n") - both) - 1e-9
+    # a pair with several rare words in common is that of the first of them
+    once = F.get(F.array_intersect(F.slice("words", F.lit(1), F.col("place") + 1), "_words"), F.lit(0)) == F.col("w")
+    matters = (F.greatest("n", "_n") >= rule.fewest) & (F.least("n", "_n") > 0)
+    alike = posted(ranked, rule.similar)
+    sized = F.least("n", "_n") >= F.lit(rule.similar) * F.greatest("n", "_n") - 1e-9
+    out = met(alike, alike).where((F.col("rep") < F.col("_rep")) & sized & matters & once & seen(rule.similar)).select("rep", "_rep")
+    small = posted(ranked.where(F.col("n") >= rule.subset), 1.0)
+    within = (F.col("n") <= F.col("_n")) & (F.col("rep") != F.col("_rep")) & (both == F.col("n"))
+    out = out.unionByName(met(small, posted(ranked, None)).where(within & matters).select("rep", "_rep"))
+    if rule.soon is not None:
+        seconds = 60 * rule.minutes
+        timed = posted(ranked.select("*", F.explode("times").alias("ts")), rule.soon, "ts").withColumn("bin", F.floor(F.col("ts") / seconds))
+        around = timed.withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
+        close = F.abs(F.col("ts") - F.col("_ts")) <= seconds
+        out = out.unionByName(met(timed, around, "bin").where((F.col("rep") < F.col("_rep")) & close & matters & once & seen(rule.soon)).select("rep", "_rep"))
+    return out.select(F.col("rep").alias("a"), F.col("_rep").alias("b"))
+
+
+def _by_nearness(rows: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """rows (facts with words) of large groups in two parts: those that others can be near to, their group now their
+    component, and those that stay because none can.
+
+    Rows with the same words are one node. A row's fate depends only on kept rows that are near it, and so on rows of
+    its component; each is folded by itself."""
+    times = F.collect_set("ts") if rule.soon is not None else F.array().cast("array<double>")  # at most the seconds of a day
+    nodes = cut(rows.groupBy("g", "words").agg(F.min("o").alias("rep"), F.count("*").alias("twins"), times.alias("times")))
+    roots = components(near_pairs(nodes, rule))
+    placed = nodes.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("g").alias("_g"), F.col("words").alias("_words"), "twins", F.col("root").isNull().alias("lone"), F.coalesce("root", "rep").alias("root"))
+    both = rows.join(placed, (F.col("g") == F.col("_g")) & (F.col("words") == F.col("_words")))
+    apart = F.col("lone") & (F.col("twins") == 1)
+    return both.where(~apart).withColumn("g", F.col("root").cast("string")).select(rows.columns), both.where(apart).select("o")
+
+
+def near_survivors(rows: DataFrame, rule: Rule, by: list[str] | None = None, order: str = "id", stopwords: tuple[str, ...] = TITLE_STOPWORDS, whole: int = WHOLE) -> DataFrame:
     """rows that a near-duplicate fold keeps, per source and day by default. Notices that are promotions stay unseen.
 
-    Rows of a group are seen in order, each against those kept before it; which of them stays depends on all before,
-    so a group is one stream. Equal word sets of rules that keep the first are dropped before the shuffle's sort by
-    a window over their hash. Rows without words stay. Titles and dates may be null."""
+    Rows of a group are seen in order, each against those kept before it. A group of up to `whole` rows is one stream,
+    a larger one is split into the components of what can be near to what, each a stream: the rows that stay are the
+    same, as a row meets no others. Equal word sets of rules that keep the first are dropped before the shuffle's sort
+    by a window over their hash. Rows without words stay. Titles and dates may be null."""
     by = by or ["source_name", "_day"]
     facts = rows.withColumn("_day", day_of(filled(F.col("publish_date"))))
     facts = facts.select(
@@ -183,10 +243,14 @@ def near_survivors(rows: DataFrame, rule: Rule, by: list[str] | None = None, ord
     if rule.keep == "first":  # a later row with the same words never stays; one with few words stays unseen
         twin = F.row_number().over(Window.partitionBy("g", F.xxhash64("words"), "words").orderBy("o"))
         seen = seen.withColumn("twin", twin).where((F.col("twin") == 1) | (F.size("words") < max(rule.fewest, 1)))
-        passed = seen.where(F.size("words") == 0).select("o")
-        seen = seen.where(F.size("words") > 0).drop("twin")
-    else:
-        passed = facts.where("promo").select("o")
+        seen = seen.drop("twin")
+    passed = facts.where("promo").select("o").unionByName(seen.where(F.size("words") == 0).select("o"))
+    seen = seen.where(F.size("words") > 0)
+    large = facts.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > whole).select("g")
+    if not large.isEmpty():
+        parts, alone = _by_nearness(cut(seen.join(large, "g", "left_semi")), rule)
+        seen = seen.join(large, "g", "left_anti").unionByName(parts)
+        passed = passed.unionByName(alone)
     ids = seen.repartition("g").sortWithinPartitions("g", "o").mapInPandas(fold, "o long").unionByName(passed)
     return rows.join(ids.withColumnRenamed("o", "_o"), rows[order] == F.col("_o"), "left_semi")
 
