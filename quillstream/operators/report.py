@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions.text import day_of, filled, source_slug, turkish_lower
@@ -109,6 +111,15 @@ def run_metrics(fetched: DataFrame, saved: DataFrame, began: str | None = None,
     return fetched.agg(F.count("*").alias("fetched")).withColumns({"saved": n, "relevant": relevant, "duration_seconds": F.unix_timestamp(F.lit(ended)).cast("double") - F.unix_timestamp(F.lit(began)).cast("double")})
 
 
+def observed_run(items: DataFrame, saved: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame], None], began: str | None = None, ended: str | None = None) -> DataFrame:
+    """What run_metrics says, counted in the one pass that writes saved(items): nothing is computed for the counts alone."""
+    seen, kept = Observation("fetched"), Observation("saved")
+    rows = saved(items.observe(seen, F.count(F.lit(1)).alias("n")))
+    write(rows.observe(kept, F.count(F.lit(1)).alias("n"), F.count_if(F.col("ilgili_mi") == 1).alias("relevant")))
+    one = items.sparkSession.createDataFrame([(seen.get["n"], kept.get["n"], kept.get["relevant"])], "fetched long, saved long, relevant long")
+    return one.withColumn("duration_seconds", F.unix_timestamp(F.lit(ended)).cast("double") - F.unix_timestamp(F.lit(began)).cast("double"))
+
+
 def with_other_flag(news: DataFrame, least: int = 10) -> DataFrame:
     """news with is_other: whether its source has fewer articles than a group of its own needs."""
     small = per_source(news).where(F.col("articles") < least).select(F.col("source_name").alias("_s"), F.lit(True).alias("_o"))

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quillstream.functions.text import clean_leading_time, day_of, filled, title_words
 from quillstream.operators.dedup import INGEST
 from quillstream.schema import RAW_ARTICLE
+from quillstream.sources.news_table import NewsTable
 
 POLL = "3 minutes"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _DAY = 86_400_000
 
 
@@ -29,6 +32,20 @@ def cycle(items: DataFrame, ingest: Callable[[DataFrame, int], None], checkpoint
     return items.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def kept_cycle(items: DataFrame, table: NewsTable, judged: Callable[[DataFrame, DataFrame], DataFrame], as_of: Callable[[int], str], checkpoint: str, writer: str, poll: str | None = None):
+    """Cycles whose outcome is kept: judged(batch, stored rows) gives the items that are upserted, as_of(batch's number)
+    the moment they count as of.
+
+    A batch is a version of the table under the writer's name and its number, so one that Spark replays after a failure
+    is applied once, and one killed midway leaves the version before it."""
+
+    def save(batch: DataFrame, n: int) -> None:
+        if not table.applied(writer, n):
+            table.upsert(judged(batch, table.read()), as_of(n), writer, n)
+
+    return cycle(items, save, checkpoint, poll)
+
+
 def daily_counts(events: DataFrame, ts: str = "ts", by: str = "event_type", late: str | None = None) -> DataFrame:
     """Events by day and kind; on a stream, late ones count for as long as the watermark says."""
     rows = events.withColumn("_ts", F.col(ts).cast("timestamp"))
@@ -46,28 +63,84 @@ def new_links(items: DataFrame, within: str = "2 days") -> DataFrame:
 def new_headlines(items: DataFrame, late: str = "2 days") -> DataFrame:
     """source_name, day, ord of items of a stream that are no near-duplicates of earlier ones of their source and day.
 
-    The state of a source and day is the word sets kept so far; it goes when the watermark, `late` behind the newest
-    date, has passed the day. Items older than the watermark are dropped. Within a batch items are seen by ord."""
+    The state of a source and day is the word sets kept so far and where each word occurs in them; it goes when the
+    watermark, `late` behind the newest date, has passed the day. Items older than the watermark are dropped. Within a
+    batch items are seen by ord. State lives in RocksDB, which this sets for the session's new queries."""
+    items.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     rows = items.withColumn("_ts", F.try_to_timestamp("publish_date", F.lit("yyyy-MM-dd HH:mm:ss"))).withWatermark("_ts", late)
-    rows = rows.select("_ts", filled(F.col("source_name")).alias("source_name"), day_of(filled(F.col("publish_date"))).alias("day"), "ord", F.array_sort(title_words(clean_leading_time(F.col("title")))).alias("words"))
-
-    def see(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = [frozenset(w) for w in (state.get[0] if state.exists else [])]
+    rows = rows.select("_ts", filled(F.col("source_name")).alias("source_name"), day_of(filled(F.col("publish_date"))).alias("day"), "ord", title_words(clean_leading_time(F.col("title"))).alias("words"))
+    return rows.groupBy("source_name", "day").transformWithStateInPandas(Headlines(), "source_name string, day string, ord long", "Append", "EventTime")
+
+
+class Headlines(StatefulProcessor):
+    """Keeps headlines of one source and day that aren't near an earlier one.
+
+    `sets` has the words of each one kept, `words` the kept ones that have a word, `heads` those whose first word it is,
+    in lists of LIST. Words are ordered longest first, as long ones are rare. A new set of n words is near a kept one
+    only if they share one of its first n - ceil(similar * n) + 1 words, or if it holds the other's first word; so a
+    headline costs the lists of its own words, and what is added to state is one list for each of them."""
+
+    LIST = 128
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.rule = handle, INGEST
+        self.sets = handle.getMapState("sets", "turn long", "words array<string>")
+        self.lists = {kind: handle.getMapState(kind, "word string, part int", "turns array<long>") for kind in ("words", "heads")}
+        self.size = handle.getValueState("size", "kept long")
+
+    def _turns(self, kind: str, word: str) -> Iterator[int]:
+        part = 0
+        while found := self.lists[kind].getValue((word, part)):
+            yield from found[0]
+            if len(found[0]) < self.LIST:
+                return
+            part += 1
+
+    def _list(self, kind: str, word: str, turn: int) -> None:
+        part, turns = 0, []
+        while found := self.lists[kind].getValue((word, part)):
+            turns = list(found[0])
+            if len(turns) < self.LIST:
+                break
+            part, turns = part + 1, []
+        self.lists[kind].updateValue((word, part), ([*turns, turn],))
+
+    def _near(self, words: list[str]) -> bool:
+        own, n, tried = set(words), len(words), set()
+        reach = n - math.ceil(self.rule.similar * n - 1e-9) + 1
+        for kind, some in (("words", words[:reach]), ("heads", words)):
+            for word in some:
+                for turn in self._turns(kind, word):
+                    if turn not in tried:
+                        tried.add(turn)
+                        other = self.sets.getValue((turn,))[0]
+                        both = len(own.intersection(other))
+                        if both / (n + len(other) - both) >= self.rule.similar or both == min(n, len(other)) >= self.rule.subset:
+                            return True
+        return False
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        kept = self.size.get()[0] if self.size.exists() else 0
+        if not kept:
+            over = pd.to_datetime(key[1], errors="coerce")
+            after = timerValues.getCurrentWatermarkInMs() + _DAY
+            self.handle.registerTimer(after if pd.isna(over) else max(int(over.timestamp() * 1000) + _DAY, after))
         out = []
-        for row in pd.concat(list(batches)).sort_values("ord").itertuples(index=False):
-            w = frozenset(row.words)
-            if len(w) >= INGEST.fewest and any(len(w & k) >= INGEST.similar * len(w | k) or w <= k or k <= w for k in kept):
+        for row in pd.concat(list(rows)).sort_values("ord").itertuples(index=False):
+            words = sorted(row.words, key=lambda w: (-len(w), w))
+            if len(words) >= self.rule.fewest and self._near(words):
                 continue
-            if w:
-                kept.append(w)
+            if words:
+                self.sets.updateValue((kept,), (words,))
+                self._list("heads", words[0], kept)
+                for w in words:
+                    self._list("words", w, kept)
+                kept += 1
             out.append((*key, row.ord))
-        state.update(([sorted(k) for k in kept],))
-        over = pd.to_datetime(key[1], errors="coerce")
-        after = state.getCurrentWatermarkMs() + _DAY
-        state.setTimeoutTimestamp(after if pd.isna(over) else max(int(over.timestamp() * 1000) + _DAY, after))
+        self.size.update((kept,))
         yield pd.DataFrame(out, columns=["source_name", "day", "ord"])
 
-    return rows.groupBy("source_name", "day").applyInPandasWithState(see, "source_name string, day string, ord long", "kept array<array<string>>", "append", GroupStateTimeout.EventTimeTimeout)
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for state in (self.sets, *self.lists.values(), self.size):
+            state.clear()
+        yield pd.DataFrame({"source_name": pd.Series(dtype=str), "day": pd.Series(dtype=str), "ord": pd.Series(dtype="int64")})
