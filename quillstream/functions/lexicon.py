@@ -3,7 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
+from pathlib import Path
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from quillstream.functions.text import bound
 
 # Place names that are words too, and count only with a capital.
 HOMONYMS = ("bakı", "barda", "gence", "laçın", "laçin", "fuzuli", "ağdam", "terter")
@@ -44,6 +51,73 @@ def re2(*keywords: str) -> str:
     return rf"(?:^|[^\pL\pN_])(?:{'|'.join(parts)})(?:[^\pL\pN_]|$)" if parts else r"[^\s\S]"
 
 
+def fold(c: Column) -> Column:
+    """Lower case in which all forms of i are one letter, as for `java`."""
+    return F.lower(F.translate(c, "İIıſ", "iiis"))
+
+
+def folded(word: str) -> str:
+    return word.translate(str.maketrans("İIıſ", "iiis")).lower()
+
+
+class Phrases:
+    """Finds many words and phrases in one pass over a text, whatever their number.
+
+    A text is split where words begin and end; the stretches of as many words as phrases have are intersected with the
+    phrases by hash. They agree with `java`: stretches are compared with the separators in between, so whole words only,
+    and words that need a capital with the text's own letters. Phrases that don't begin and end with a letter or digit
+    can't be stretches and keep their patterns."""
+
+    PARTS = r"(?U)\w+|\W+"
+
+    def __init__(self, phrases: Iterable[str]) -> None:
+        self.exact, self.free, self.odd = {}, {}, []
+        for p in dict.fromkeys(phrases):
+            word, cased = _word(p)
+            parts = re.findall(r"\w+|\W+", p)
+            if not re.fullmatch(r"\w(?s:.*\w)?", p) or cased and len(parts) > 1:
+                self.odd.append(p)
+            elif cased:
+                self.exact[p] = "=" + word
+            else:
+                self.free[p] = folded(p)
+        self.tokens = self.exact | self.free | {p: "~" + p for p in self.odd}
+        lengths = {len(re.findall(r"\w+|\W+", x)) for x in self.free.values()}
+        self.longer = sorted(lengths - {1})
+        self.firsts = sorted({re.match(r"\w+", x)[0] for x in self.free.values()} | {folded(x[1:]) for x in self.exact.values()})
+
+    def found(self, text: Column) -> Column:
+        """The tokens of all phrases in a text, each once."""
+        none = F.array().cast("array<string>")
+        array = lambda xs: F.array(*map(F.lit, sorted(set(xs)))) if xs else none
+
+        def stretches(parts: Column) -> Column:
+            of = lambda n: lambda i: F.array_join(F.slice(parts, i, F.lit(n)), "")
+            longer = [F.transform(F.sequence(F.lit(1), F.size(parts)), of(n)) for n in self.longer]
+            return F.array_intersect(F.concat(parts, *longer), array(self.free.values()))
+
+        def all_(parts: Column) -> Column:
+            cased = F.transform(F.array_intersect(F.regexp_extract_all(text, F.lit(self.PARTS), 0), array([x[1:] for x in self.exact.values()])), lambda w: F.concat(F.lit("="), w))
+            return F.when(F.arrays_overlap(parts, array(self.firsts)), F.concat(stretches(parts), cased) if self.exact else stretches(parts)).otherwise(none)
+
+        out = bound(F.regexp_extract_all(fold(text), F.lit(self.PARTS), 0), all_)
+        odd = [F.when(text.rlike(java(p)), F.lit("~" + p)) for p in self.odd]
+        return F.concat(out, F.array_compact(F.array(*odd))) if odd else out
+
+    def listed(self, found: Column, phrases: Iterable[str]) -> Column:
+        """Those of some phrases that were found, in their order, repeated ones too."""
+        phrases = list(phrases)
+        if not phrases:
+            return F.array().cast("array<string>")
+        rows = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(self.tokens[p]).alias("t")) for p in phrases))
+        hits = F.transform(F.filter(rows, lambda r: F.array_contains(found, r["t"])), lambda r: r["p"])
+        return F.when(F.size(found) > 0, hits).otherwise(F.array().cast("array<string>"))
+
+    def any(self, found: Column, phrases: Iterable[str]) -> Column:
+        phrases = list(phrases)
+        return F.arrays_overlap(found, F.array(*(F.lit(self.tokens[p]) for p in phrases))) if phrases else F.lit(False)
+
+
 @dataclass(frozen=True)
 class Lexicon:
     """Ordered word lists of a classifier. Order and repeated entries of `keywords` show in results.
@@ -70,3 +144,17 @@ class Lexicon:
     def from_lines(cls, text: str, **lists) -> Lexicon:
         """keywords from a text with one on each line; blank lines and # comments don't count."""
         return cls(tuple(x.strip() for x in text.splitlines() if x.strip() and not x.lstrip().startswith("#")), **lists)
+
+    @classmethod
+    def read(cls, path: str | Path = Path(__file__).with_name("lexicon.txt")) -> Lexicon:
+        """A lexicon from a file with sections [keywords], [country name], [topic name] and [union], a word a line; by
+        default the one of the Turkic countries. The words of the first two topics count as words of the first country."""
+        lists: dict[str, list[str]] = {}
+        for line in Path(path).read_text(encoding="utf-8").splitlines():
+            if line.startswith("["):
+                words = lists.setdefault(line.strip("[]"), [])
+            elif line.strip() and not line.startswith("#"):
+                words.append(line.strip())
+        of = lambda kind: {k.removeprefix(kind): tuple(v) for k, v in lists.items() if k.startswith(kind)}
+        topics = of("topic ")
+        return cls(tuple(lists["keywords"]), of("country "), topics, flagging=tuple(topics)[:2], union=tuple(lists.get("union", ())))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.functions.lexicon import Lexicon, java
+from quillstream.functions.lexicon import Lexicon, Phrases, java
 from quillstream.functions.text import bound, filled
 
 STAGE_1, STAGE_2, GENERAL, NOT_RELEVANT = "Stage 1 (Anahtar Kelime)", "Stage 2 (LLM)", "Genel (Filtresiz)", "İlgisiz"
@@ -30,11 +30,9 @@ def masked(text: Column, masks: tuple[str, ...]) -> Column:
 
 
 def keywords_in(text: Column, keywords: tuple[str, ...]) -> Column:
-    """The keywords found, in the order of the list, repeated ones too. One search passes by texts without any."""
-    if not keywords:
-        return F.array().cast("array<string>")
-    found = [F.array_compact(F.array(*(F.when(text.rlike(java(k)), F.lit(k)) for k in keywords[i : i + 40]))) for i in range(0, len(keywords), 40)]
-    return F.when(text.rlike(java(*keywords)), F.concat(*found)).otherwise(F.array().cast("array<string>"))
+    """The keywords found, in the order of the list, repeated ones too, in one pass over the text."""
+    phrases = Phrases(keywords)
+    return bound(phrases.found(text), lambda found: phrases.listed(found, keywords))
 
 
 def has_any(text: Column, words: tuple[str, ...]) -> Column:
@@ -47,16 +45,18 @@ def with_stage1(items: DataFrame, lexicon: Lexicon, title: str = "title", summar
     weak = F.array(*map(F.lit, lexicon.weak)) if lexicon.weak else empty
     first = next(iter(lexicon.countries))
 
-    def facts(t: Column) -> Column:
-        flags = {c: has_any(t, words) for c, words in lexicon.countries.items()}
-        flags[first] = flags[first] | _any(has_any(t, lexicon.topics[x]) for x in lexicon.flagging)
+    phrases = Phrases([*lexicon.keywords, *(w for words in (*lexicon.countries.values(), *lexicon.topics.values(), lexicon.union) for w in words)])
+
+    def facts(hits: Column) -> Column:
+        flags = {c: phrases.any(hits, words) for c, words in lexicon.countries.items()}
+        flags[first] = flags[first] | _any(phrases.any(hits, lexicon.topics[x]) for x in lexicon.flagging)
         topic = F.lit(lexicon.default_topic)
         for name, words in reversed(lexicon.topics.items()):
-            topic = F.when(has_any(t, words), F.lit(name)).otherwise(topic)
+            topic = F.when(phrases.any(hits, words), F.lit(name)).otherwise(topic)
         named = F.array_compact(F.array(*(F.when(f, F.lit(c)) for c, f in flags.items())))
-        full = F.struct(keywords_in(t, lexicon.keywords).alias("found"), named.alias("named"), has_any(t, lexicon.union).alias("union"), topic.alias("topic"))
+        full = F.struct(phrases.listed(hits, lexicon.keywords).alias("found"), named.alias("named"), phrases.any(hits, lexicon.union).alias("union"), topic.alias("topic"))
         none = F.struct(empty.alias("found"), empty.alias("named"), F.lit(False).alias("union"), F.lit("").alias("topic"))
-        return F.when(has_any(t, lexicon.keywords), full).otherwise(none)  # countries and topics only matter beside a keyword
+        return F.when(phrases.any(hits, lexicon.keywords), full).otherwise(none)  # countries and topics only matter beside a keyword
 
     def judged(f: Column) -> Column:
         found, named, n = f["found"], f["named"], F.size(f["named"])
@@ -72,7 +72,7 @@ def with_stage1(items: DataFrame, lexicon: Lexicon, title: str = "title", summar
         return F.struct(yes.alias("is_relevant"), F.when(yes, F.lit(STAGE_1)).alias("stage"), j["weak"].alias("is_candidate"), j["aspect"].alias("aspect"), F.when(yes | j["weak"], F.slice(found, 1, 5)).otherwise(empty).alias("matched"), said.alias("explanation"))
 
     text = masked(lead(F.col(title), F.col(summary), lexicon.window), lexicon.masks)
-    return items.withColumn("stage1", bound(bound(bound(text, facts), judged), result))
+    return items.withColumn("stage1", bound(bound(bound(bound(text, phrases.found), facts), judged), result))
 
 
 LABELS = ("ilgili_mi", "ilgi_kategorisi", "guven_skoru", "gerekce", "relevance_status", "relevance_aspect", "llm_relevance_explanation")
