@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.functions import dates, text
 from quillstream.functions.lexicon import Lexicon, re2
-from quillstream.operators import classify, dedup, filters, lookup, report, upsert
+from quillstream.operators import classify, dedup, filters, lookup, report, stages, upsert
 from quillstream.plans import ingest, sql
-from quillstream.schema import ARTICLES_SQL, articles, table
+from quillstream.schema import ARTICLES_SQL, articles, migrated, table
 from quillstream.sources import configured, feeds, html
+from quillstream.sources.news_table import NewsTable
 from quillstream.streaming import monitor
 
 DAY, AS_OF = "2024-01-02", "2024-01-03 12:00:00"
@@ -251,6 +254,38 @@ def keyword_matches(spark, sf):
     return a.select("id", F.slice(classify.keywords_in(t, LEXICON.keywords), 1, 5).alias("matched"))
 
 
+#: The shipped lexicon, and articles that hold its words, some with a capital, among those of the documents.
+DEFAULT = Lexicon.read()
+_WORDS = list(dict.fromkeys(w for words in (DEFAULT.keywords, *DEFAULT.countries.values(), *DEFAULT.topics.values(), DEFAULT.union) for w in words))
+_SPOKEN_OF = "CASE WHEN id % 3 = 0 THEN upper(substr(w1, 1, 1)) || substr(w1, 2) WHEN id % 7 = 1 THEN w1 || 'x' ELSE w1 END || ', ' || source_name || ' ' || w2 || CASE WHEN id % 5 = 0 THEN chr(39) || 'da ' ELSE ' ' END || title"
+
+
+def _default_sql(columns: str) -> str:
+    """A query over articles that hold the shipped lexicon's words. The masks are Java's, so they are left out."""
+    picked = f"list AS (SELECT {sql.texts(_WORDS)} AS ws), told AS (SELECT * REPLACE ({_SPOKEN_OF} AS title) FROM (SELECT articles.*, ws[id * 7 % {len(_WORDS)} + 1] AS w1, ws[id * 11 % {len(_WORDS)} + 1] AS w2 FROM articles, list))"
+    return f", {picked}, {sql.stage1(replace(DEFAULT, masks=())).replace('FROM articles', 'FROM told')} SELECT {columns} FROM stage1"
+
+
+def _told(spark: SparkSession, sf: str) -> DataFrame:
+    words = F.array(*map(F.lit, _WORDS))
+    word = lambda n: F.element_at(words, (F.col("id") * n % len(_WORDS) + 1).cast("int"))
+    return articles(spark, sf).withColumns({"w1": word(7), "w2": word(11)}).withColumn("title", F.expr(_SPOKEN_OF)).drop("w1", "w2")
+
+
+@_query(_default_sql("id, found[1:5] AS matched"))
+def default_keywords(spark, sf):
+    """The shipped keywords, repeated ones too, in articles that hold some."""
+    t = classify.lead(F.col("title"), F.col("summary"))
+    return _told(spark, sf).select("id", F.slice(classify.keywords_in(t, DEFAULT.keywords), 1, 5).alias("matched"))
+
+
+@_query(_default_sql("id, is_candidate, aspect"))
+def default_aspects(spark, sf):
+    """The shipped lexicon's first stage."""
+    s = classify.with_stage1(_told(spark, sf), replace(DEFAULT, masks=()))
+    return s.select("id", F.col("stage1.is_candidate").alias("is_candidate"), F.col("stage1.aspect").alias("aspect"))
+
+
 @_query(f", {_STAGE1} SELECT id, t AS masked FROM stage1")
 def false_friends(spark, sf):
     return articles(spark, sf).select("id", classify.masked(classify.lead(F.col("title"), F.col("summary")), LEXICON.masks).alias("masked"))
@@ -303,6 +338,14 @@ def category_resolution(spark, sf):
     return lookup.with_category(articles(spark, sf).withColumn("source_name", name)).select("id", "resolved")
 
 
+@_query(_SQL["category_resolution"].split(ARTICLES_SQL, 1)[1])
+def category_join(spark, sf):
+    """As category_resolution, with the patterns as a table."""
+    name = F.element_at(F.array(*map(F.lit, _OUTLET_NAMES)), (F.col("id") % len(_OUTLET_NAMES) + 1).cast("int"))
+    patterns = spark.createDataFrame([(i, p, c) for i, (p, c) in enumerate(_PATTERNS)], "ord int, pattern string, category string")
+    return lookup.with_category(articles(spark, sf).withColumn("source_name", name), patterns).select("id", "resolved")
+
+
 _SOURCES = [(0, "SRC1", "A", "rss", "src1"), (1, "Src12 News", "B", "scraping", ""), (2, "c3", "C", "rss+scraping", ""), (3, "src4", "D", "html", "")]
 _SOURCE_ROWS = ", ".join(f"({i}, {sql.text(n)}, {sql.text(c)}, {sql.text(t)})" for i, n, c, t, _ in _SOURCES)
 
@@ -494,11 +537,15 @@ def title_affixes(spark, sf):
     return articles(spark, sf).select("id", text.without_affixes(raw, ("Gündem",), ("Site",)).alias("bare"), text.without_affixes(raw, first_part=True).alias("first_part"), text.query_encoded(F.expr(_PHRASE)).alias("query"))
 
 
-@_query("SELECT id, source_name || '.' AS brief, CASE WHEN id % 2 = 0 THEN source_name ELSE 'son ' || source_name END AS attempt FROM articles")
+_SAID_BRIEF = r"""CASE id % 8 WHEN 0 THEN '<think>hm ' || category || '</think>Özet: "' || title || '."' WHEN 1 THEN 'so <SUMMARY> ' || title || ' </summary> end'
+  WHEN 2 THEN 'Drafting' || chr(10) || 'Attempt 1: ilk' || chr(10) || 'Attempt 2:* ' || title || chr(13) || chr(10) || 'done' WHEN 3 THEN '<summary>Analyze the Request ' || source_name || '</summary>'
+  WHEN 4 THEN ' `' || title || '` ' || chr(10) WHEN 5 THEN 'xülasə:  ' || title || ' "x"' WHEN 6 THEN 'Internal Monologue' || chr(10) || '1. **Analyze** it' || chr(10) || '* **Role** r' || chr(10) || '```' || chr(10) || 'Attempt none' || chr(10) || '  ' || title || chr(10) || 'and more'
+  ELSE '<thinking>a</thinking>' || chr(10) || summary END"""
+
+
+@_query(f"SELECT id, {sql.brief(f'({_SAID_BRIEF})')} AS brief FROM articles")
 def llm_brief(spark, sf):
-    said = F.concat(F.lit("<think>hm</think>Özet: \""), F.col("source_name"), F.lit(".\""))
-    tried = F.when(F.col("id") % 2 == 0, F.concat(F.lit("<summary> "), F.col("source_name"), F.lit(" </summary>"))).otherwise(F.concat(F.lit("Drafting\nAttempt 1: ilk\nAttempt 2: son "), F.col("source_name")))
-    return articles(spark, sf).select("id", text.clean_brief(said).alias("brief"), text.clean_brief(tried).alias("attempt"))
+    return articles(spark, sf).select("id", text.clean_brief(F.expr(_SAID_BRIEF)).alias("brief"))
 
 
 @_query(f"{_NEWS} SELECT id, CASE WHEN length(trim(summary, ' ')) < 60 OR suffix(trim(summary, ' '), '...') OR suffix(trim(summary, ' '), '…') THEN title ELSE summary END AS content FROM news WHERE ilgili_mi = 1")
@@ -515,7 +562,9 @@ def second_stage(spark, sf):
 
 @_query(f"{_NEWS} SELECT (SELECT count(*) FROM articles) AS fetched, count(*) AS saved, count(*) FILTER (ilgili_mi = 1) AS relevant, 204.0::DOUBLE AS duration_seconds FROM news WHERE source_name <> 'src3'")
 def run_metrics(spark, sf):
-    return report.run_metrics(articles(spark, sf), _news(spark, sf).where("source_name <> 'src3'"), AS_OF, "2024-01-03 12:03:24")
+    """Counted while the saved rows are written."""
+    saved = lambda a: classify.labelled(classify.with_stage1(a, LEXICON)).drop("stage1").where("source_name <> 'src3'")
+    return report.observed_run(articles(spark, sf), saved, lambda rows: rows.write.parquet(stages.folder(spark, "run")), AS_OF, "2024-01-03 12:03:24")
 
 
 @_query(f", t AS (SELECT id, source_name, {_RAW_TITLE} AS raw, CASE WHEN id % 7 = 0 THEN 'BISTECH KAP' ELSE title END AS notice, title FROM articles) SELECT id, id % 3 <> 2 OR source_name ILIKE '%src1' OR title <> trim(regexp_replace(title, '[\\s\\x{{a0}}]+', ' ', 'g'), ' ') AS dirty, id % 7 = 0 AS promo FROM t")
@@ -562,17 +611,17 @@ def source_readings(spark, sf):
     return configured.gathered(feed, cards, configured.readings(spark)).select("ord", "source_name")
 
 
-_OUTLET_ROWS = ", ".join(f"({i}, {sql.text(f'{name} ({city})')})" for i, (_, _, name, _, city) in enumerate(configured.OUTLETS[:7]))
+_OUTLET_ROWS = ", ".join(f"({i}, {sql.text(f'{name} ({city})')})" for i, (_, _, name, _, city) in enumerate(configured.OUTLETS))
 
 
-@_query(f""", o(n, source_name) AS (VALUES {_OUTLET_ROWS}), a AS (SELECT id AS ord, o.source_name, title, CASE WHEN id % 41 = 0 THEN '' WHEN id % 43 = 0 THEN '/x/' || id ELSE 'http://x/' || (id % 997) END AS link FROM articles JOIN o ON id % 7 = n),
+@_query(f""", o(n, source_name) AS (VALUES {_OUTLET_ROWS}), a AS (SELECT id AS ord, o.source_name, title, CASE WHEN id % 41 = 0 THEN '' WHEN id % 43 = 0 THEN '/x/' || id ELSE 'http://x/' || (id % 997) END AS link FROM articles JOIN o ON id % {len(configured.OUTLETS)} = n),
 f AS (SELECT ord, source_name, trim(split_part(title || ' - Outlet - x', ' - ', 1)) AS title, link, 'RSS' AS veri_kaynagi, 0 AS kind FROM a WHERE source_name <> 'Kars Manşet (Kars)' QUALIFY row_number() OVER (PARTITION BY source_name ORDER BY ord) <= 25),
 c AS (SELECT ord, source_name, title, link, 'Scraping' AS veri_kaynagi, 1 AS kind FROM (SELECT ord, source_name, CASE WHEN ord % 5 = 0 THEN title || ' VIDEO' WHEN ord % 7 = 3 THEN title[1:19] ELSE title END AS title, link FROM a) WHERE length(title) >= 20 AND link LIKE 'http%' AND NOT regexp_matches(lower(title), 'foto galeri|video|reklam|resmi ilandır|nöbetçi|vefat|künye')),
 u AS (SELECT * FROM f WHERE link <> '' UNION ALL SELECT * FROM c), d AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY source_name, link ORDER BY kind, ord) = 1)
 SELECT ord, source_name, title, veri_kaynagi FROM d QUALIFY row_number() OVER (PARTITION BY source_name ORDER BY kind, ord) <= 30""")
 def outlet_news(spark, sf):
-    """Feeds and front pages of seven local outlets."""
-    name = F.element_at(F.array(*(F.lit(f"{name} ({city})") for _, _, name, _, city in configured.OUTLETS[:7])), (F.col("id") % 7 + 1).cast("int"))
+    """Feeds and front pages of all local outlets."""
+    name = F.element_at(F.array(*(F.lit(f"{name} ({city})") for _, _, name, _, city in configured.OUTLETS)), (F.col("id") % len(configured.OUTLETS) + 1).cast("int"))
     link = F.when(F.col("id") % 41 == 0, "").when(F.col("id") % 43 == 0, F.concat(F.lit("/x/"), "id")).otherwise(F.concat(F.lit("http://x/"), F.col("id") % 997))
     a = articles(spark, sf).select(F.col("id").alias("ord"), name.alias("source_name"), "title", link.alias("link"))
     feed = a.where("source_name <> 'Kars Manşet (Kars)'").withColumn("title", F.concat("title", F.lit(" - Outlet - x")))
@@ -591,7 +640,18 @@ def saved_query_news(spark, sf):
     return configured.query_items(feed, configured.saved_queries(spark)).select("ord", "source_id", "title", "source_name")
 
 
-@_query()
+_FRESH_NEAR = "len(x.w) >= 3 AND len(k.w) > 0 AND (" + sql.jaccard("k.w", "x.w") + " >= 0.65 OR " + sql.contained("k.w", "x.w") + ")"
+_MIDNIGHT = f"{AS_OF[:10]} 00:00:00"
+
+
+@_query(f""", old AS (SELECT *, {sql.cleaned('title')} AS bare FROM articles WHERE publish_date < '{_MIDNIGHT}'),
+today AS (SELECT id, source_name, category, {sql.cleaned('title')} AS title, summary, least(publish_date, '{AS_OF}') AS publish_date, link FROM articles WHERE publish_date >= '{_MIDNIGHT}'),
+fit AS (SELECT *, {sql.title_key('title', False)} AS k FROM today WHERE NOT {sql.is_junk('title')} AND link NOT IN (SELECT link FROM old)),
+fresh AS (SELECT * FROM fit QUALIFY k = '' OR row_number() OVER (PARTITION BY source_name, publish_date[1:10], k ORDER BY id) = 1),
+{sql.fold('fresh', 'source_name, publish_date[1:10]', _FRESH_NEAR, 'false')}, found_today AS (SELECT * FROM fresh WHERE id IN (SELECT id FROM folded)),
+{_STAGE1.replace('FROM articles', 'FROM found_today')}
+SELECT id, source_name, bare AS title, publish_date, link, CAST(0 AS INTEGER) AS ilgili_mi, 'İlgisiz' AS ilgi_kategorisi FROM old
+UNION ALL SELECT (SELECT max(id) FROM old) + row_number() OVER (ORDER BY id), source_name, {sql.cleaned('title')}, publish_date, link, CAST(aspect IS NOT NULL AS INTEGER), coalesce(aspect, 'İlgisiz') FROM stage1""")
 def ingest_cycle(spark, sf):
     """All articles as they would arrive on the last day, onto those of the days before."""
     a = articles(spark, sf)
@@ -600,6 +660,115 @@ def ingest_cycle(spark, sf):
     return ingest.ingest(items, stored, LEXICON, _sources(spark), AS_OF).select("id", "source_name", "title", "publish_date", "link", "ilgili_mi", "ilgi_kategorisi")
 
 
+def _stored(a: DataFrame, relevant=None) -> DataFrame:
+    """articles as they are stored, with their ids."""
+    rows = a.withColumn("ord", F.col("id"))
+    rows = rows if relevant is None else rows.withColumn("ilgili_mi", relevant)
+    return upsert.prepared(rows, AS_OF).withColumn("id", F.col("ord")).drop("ord")
+
+
+def _in_thirds(rows: DataFrame, order: str) -> list[DataFrame]:
+    """rows as they arrive in three landings, by an order."""
+    top = rows.agg(F.max(order)).first()[0] or 0
+    part = F.floor(F.col(order) * 3 / (top + 1))
+    return [rows.where(part == k) for k in range(3)]
+
+
+def _upserted(a: DataFrame) -> DataFrame:
+    link = F.when(F.col("id") % 3 == 0, F.concat("link", F.lit("/new"))).otherwise(F.col("link"))
+    return a.select(F.col("id").alias("ord"), "source_name", "category", F.concat(F.lit("N "), F.col("source_name")).alias("title"), F.when(F.col("id") % 5 == 0, "").otherwise("new").alias("summary"), F.when(F.col("id") % 7 == 0, "").otherwise("2024-01-05 00:00:00").alias("publish_date"), link.alias("link"), F.lit(1).alias("ilgili_mi"))
+
+
+@_query(sql.UPSERT)
+def upsert_cycles(spark, sf):
+    """What upsert_merge upserts at once, landed in three parts and kept by a stream's cycles in a table of versions; the
+    second batch comes twice."""
+    a, top = articles(spark, sf), stages.folder(spark, "upsert-cycles")
+    news = NewsTable(spark, f"{top}/news")
+    news.insert(_stored(a, F.when(F.col("id") % 2 == 0, 1).otherwise(0)))
+    for k, part in enumerate(_in_thirds(_upserted(a), "ord")):
+        part.write.mode("append").parquet(f"{top}/landing")
+        landed = monitor.landed(spark, f"{top}/landing", part.schema, 1 << 20)
+        monitor.kept_cycle(landed, news, lambda batch, _: batch, lambda _: AS_OF, f"{top}/checkpoint", "cycle").awaitTermination()
+        if k == 1:
+            news.upsert(part, AS_OF, "cycle", 1)
+    return news.read().select("id", "title", "summary", "publish_date", "link", "ilgili_mi", "guven_skoru", "category")
+
+
+def _kept_news(spark: SparkSession, sf: str, name: str) -> NewsTable:
+    """The labelled articles as a stored table."""
+    news = NewsTable(spark, stages.folder(spark, name))
+    news.insert(migrated(_news(spark, sf)))
+    return news
+
+
+@_query(_SQL["daily_summary"].split(ARTICLES_SQL, 1)[1])
+def stored_daily_summary(spark, sf):
+    """As daily_summary, of a stored table: the filter on the day's partition leaves all other days unread."""
+    return report.daily_summary(_kept_news(spark, sf, "stored-day").read().where(F.col("publish_day") == DAY), DAY, {"english": "en", "german": "de"})
+
+
+@_query(f"{_NEWS}, r AS (SELECT id, row_number() OVER (ORDER BY publish_date DESC, id DESC) AS n FROM news WHERE ilgili_mi = 1) SELECT id, CAST((n - 1) // 25 AS INTEGER) AS page FROM r WHERE n <= 100")
+def stored_pages(spark, sf):
+    """Four pages of relevant news of a stored table, each sought from the last row of the one before."""
+    news, after, pages = _kept_news(spark, sf, "stored-pages"), None, []
+    for k in range(4):
+        page = news.page(25, after, F.col("ilgili_mi") == 1).select("id", "publish_date")
+        last = page.orderBy("publish_date", "id").first()
+        if last is None:
+            break
+        after = (last.publish_date, last.id)
+        pages.append(page.select("id", F.lit(k).alias("page")))
+    return reduce(DataFrame.unionByName, pages) if pages else spark.createDataFrame([], "id long, page int")
+
+
+#: What feeds say of an article: fields under each of their names, dates in each form, links with what trackers add.
+_FEED = {
+    "title": "CASE WHEN id % 4 = 0 THEN plain || ' - Site' WHEN id % 9 = 5 THEN 'Foto Galeri ' || plain WHEN id % 13 = 6 THEN 'kurz' ELSE plain END",
+    "link": "'https://WWW.' || source_name || '.example.com/haber/' || id || CASE WHEN id % 3 = 0 THEN '/?utm_source=x&page=' || id ELSE '' END",
+    "date": "CASE id % 4 WHEN 0 THEN publish_date WHEN 1 THEN replace(publish_date, ' ', 'T') || '.250Z' WHEN 2 THEN substr(publish_date, 9, 2) || '.' || substr(publish_date, 6, 2) || '.' || substr(publish_date, 1, 4) || ' ' || substr(publish_date, 12, 5) ELSE 'Tue, ' || substr(publish_date, 9, 2) || ' Jan 2024 ' || substr(publish_date, 12) || ' +0000' END",
+}
+_FEED_HEAD = '<rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel>'
+_PLAIN = r"'Haber ' || id || ' über ' || source_name || ' und ' || category"
+
+
+@_query(f""", p AS (SELECT *, {_PLAIN} AS plain FROM articles), f AS (SELECT *, {_FEED['title']} AS t, row_number() OVER (PARTITION BY source_name ORDER BY id) AS turn FROM p),
+c AS (SELECT id, source_name, plain, publish_date, CASE WHEN id % 4 = 0 THEN plain ELSE t END AS title FROM f WHERE turn <= 40)
+SELECT title, CASE WHEN id % 5 = 0 THEN '' ELSE 'Über ' || id || ' & mehr' END AS summary, CASE WHEN id % 2 = 0 THEN 'A ' || id ELSE '' END AS author, publish_date[1:CASE WHEN id % 4 = 2 THEN 16 ELSE 19 END] || CASE WHEN id % 4 = 2 THEN ':00' ELSE '' END AS publish_date,
+'https://www.' || source_name || '.example.com/haber/' || id || CASE WHEN id % 3 = 0 THEN '?page=' || id ELSE '' END AS link FROM c WHERE NOT {sql.is_junk('title')}""")
+def feed_files(spark, sf):
+    """Articles written as RSS files, and of a third of the sources as Atom files, and read as feeds."""
+    a = articles(spark, sf).withColumn("plain", F.expr(_PLAIN)).withColumns({k: F.expr(v) for k, v in _FEED.items()})
+    esc = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name.split(' ')[0]}>"))
+    pick = lambda n, *cases: reduce(lambda out, kc: F.when(F.col("id") % n == kc[0], kc[1]).otherwise(out), list(enumerate(cases))[::-1], F.lit(""))
+    said = F.concat(F.lit("Über "), F.col("id").cast("string"), F.lit(" & mehr"))
+    text = F.when(F.col("id") % 5 == 0, "").otherwise(pick(3, tag("description", esc(said)), tag("summary", F.concat(F.lit("<![CDATA[<b>"), said, F.lit("</b>]]>"))), tag("content:encoded", esc(F.concat(F.lit("<p>"), said, F.lit("</p>"))))))
+    author = F.when(F.col("id") % 2 == 0, pick(4, tag("author", F.concat(F.lit("A "), "id")), F.lit(""), tag("dc:creator", F.concat(F.lit("A "), "id")))).otherwise("")
+    date = pick(4, tag("pubDate", F.col("date")), tag("published", F.col("date")), tag("dc:date", F.col("date")), tag("updated", F.col("date")))
+    atom = F.pmod(F.xxhash64("source_name"), F.lit(3)) == 0
+    link = F.when(atom & (F.col("id") % 2 == 0), F.concat(F.lit('<link href="'), esc(F.col("link")), F.lit('"/>'))).otherwise(tag("link", esc(F.col("link"))))
+    body = F.concat(tag("title", esc(F.col("title"))), link, text, author, date)
+    entry = F.when(atom, tag("entry", body)).otherwise(tag("item", body))
+    top = stages.folder(spark, "feeds")
+    lines = a.select(F.col("source_name").alias("feed"), F.lit(1).alias("part"), "id", entry.alias("value"))
+    ends = F.inline(F.array(F.struct(F.lit(0).alias("part"), F.lit(_FEED_HEAD).alias("value")), F.struct(F.lit(2).alias("part"), F.lit("</channel></rss>").alias("value"))))
+    whole = lines.unionByName(lines.select("feed").distinct().select("feed", F.lit(0).cast("long").alias("id"), ends))
+    whole.repartition("feed").sortWithinPartitions("feed", "part", "id").select("feed", "value").write.partitionBy("feed").text(top)
+    return feeds.feed_items(spark, top, AS_OF, most=40).select("title", "summary", "author", "publish_date", "link")
+
+
+@_query(", " + sql.fold("articles", "source_name, publish_date[1:10]", _FRESH_NEAR, "false") + " SELECT id FROM folded")
+def headline_stream(spark, sf):
+    """The ingest rule over a stream of articles in three landings, with state by source and day."""
+    top = stages.folder(spark, "headline-stream")
+    for part in _in_thirds(articles(spark, sf).select(F.col("id").alias("ord"), "source_name", "title", "publish_date"), "ord"):
+        part.write.mode("append").parquet(f"{top}/landing")
+        kept = monitor.new_headlines(monitor.landed(spark, f"{top}/landing", part.schema, 1 << 20), late="5 days")
+        kept.writeStream.format("parquet").option("path", f"{top}/kept").option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("ord long").parquet(f"{top}/kept").select(F.col("ord").alias("id"))
+
+
 @_query(f"{_NEWS}, day AS (SELECT * FROM news WHERE publish_date BETWEEN '{DAY} 00:00:00' AND '{DAY} 23:59:59'), {sql.keyed('day')}, r AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY source_name, k ORDER BY publish_date DESC, id DESC) = 1), c AS (SELECT source_name, lower(trim(source_name)) AS s, count(*) AS n FROM r GROUP BY 1), o AS (SELECT source_name, row_number() OVER (ORDER BY n DESC, source_name) AS g FROM c WHERE n >= 10), p(ord, pattern, cat) AS (VALUES {_PATTERN_ROWS}), m AS (SELECT source_name, arg_min(cat, (CASE WHEN s = pattern THEN 0 ELSE 1 END, ord)) AS cat FROM c JOIN p ON s = pattern OR contains(s, pattern) OR contains(pattern, s) GROUP BY 1) SELECT id, source_name, coalesce(cat, CASE WHEN coalesce(category, '') IN ('', {sql.text(lookup.OTHER)}) THEN {sql.text(lookup.OTHER)} ELSE category END) AS category, g IS NULL AS is_other, CAST(coalesce(g, (SELECT coalesce(max(g), 0) + 1 FROM o)) AS INTEGER) AS group_rank FROM r LEFT JOIN o USING (source_name) LEFT JOIN m USING (source_name)")
 def dashboard_day(spark, sf):
     return ingest.dashboard(_news(spark, sf), DAY).select("id", "source_name", "category", "is_other", "group_rank")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quillstream.functions.lexicon import Lexicon, re2
-from quillstream.functions.text import ALERT_LABELS, ENTITIES, GENERIC_TITLES, JUNK_PHRASES, LONG_STOPWORDS, OUTDATED_PHRASES, OUTLET_SUFFIXES, SECTION_LABELS, TITLE_STOPWORDS, TRACKING_KEYS
+from quillstream.functions.text import ALERT_LABELS, ENTITIES, GENERIC_TITLES, JUNK_PHRASES, LONG_STOPWORDS, MONOLOGUE_HEADS, MONOLOGUE_MARKS, OUTDATED_PHRASES, OUTLET_SUFFIXES, SECTION_LABELS, SUMMARY_LABELS, TITLE_STOPWORDS, TRACKING_KEYS
 
 
 def text(x: str) -> str:
@@ -49,6 +49,17 @@ def json_object(c: str) -> str:
     return rf"coalesce({fenced}[-1], {braces}[-1], regexp_extract({c}, '(?s)\{{.*\}}', 0))"
 
 
+def brief(c: str) -> str:
+    """A model's summary: what its tags hold, unless that is a monologue; else its last attempt or its other lines."""
+    heads = "|".join(MONOLOGUE_HEADS)
+    return rf"""(SELECT CASE WHEN t = '' THEN '' WHEN tagged <> '' AND NOT contains(tagged, 'Analyze the Request') AND NOT contains(tagged, 'Internal Monologue') THEN tagged
+  ELSE regexp_replace(regexp_replace(regexp_replace(CASE WHEN NOT ({" OR ".join(f"contains(told, {text(m)})" for m in MONOLOGUE_MARKS)}) THEN told WHEN len(tries) > 0 THEN trim(tries[-1], ' ')
+    ELSE array_to_string(list_filter(list_transform(regexp_split_to_array(told, '\r\n|\n|\r'), lambda x: trim(x, ' ')), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(\d+\.|\*)\s*\*\*({heads})') AND NOT starts_with(x, '```') AND NOT starts_with(x, 'Attempt')), ' ') END,
+    '^[\s\x{{a0}}]+|[\s\x{{a0}}]+$', '', 'g'), '(?i)^({"|".join(SUMMARY_LABELS)})[\s\x{{a0}}]*', ''), '^["` ]+|["` ]+$', '', 'g') END
+  FROM (SELECT t, trim(regexp_extract(t, '(?is)<summary>(.*?)</summary>', 1), ' ') AS tagged, told, regexp_extract_all(told, 'Attempt\s*\d+:\*?\s*([^\n\r]+)', 1) AS tries
+    FROM (SELECT coalesce({c}, '') AS t, regexp_replace(coalesce({c}, ''), '(?is)<think(?:ing)?>.*?</think(?:ing)?>', '', 'g') AS told)))"""
+
+
 def jaccard(a: str, b: str) -> str:
     return f"(CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) END)"
 
