@@ -463,14 +463,61 @@ def search_results(spark, sf):
     return feeds.search_items(articles(spark, sf).select(F.expr(_JSON).alias("json")), _sources(spark), AS_OF).select("title", "source_name", "category", "publish_date", "link")
 
 
+@_query(", h AS (SELECT page_id, regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<nav\\b[^>]*>.*?</nav\\s*>|<footer\\b[^>]*>.*?</footer\\s*>', ' ', 'g') AS h FROM pages), a AS (SELECT page_id, regexp_extract(h, '(?is)<article\\b[^>]*>(.*?)</article>', 1) AS h FROM h), p AS (SELECT page_id, list_filter(list_transform(regexp_split_to_array(h, '(?i)<p\\b[^>]*>')[2:], lambda x: trim(regexp_replace(regexp_replace(regexp_replace(x, '(?is)</p>.*$', ''), '<[^>]+>', '', 'g'), '[\\s\\x{a0}]+', ' ', 'g'), ' ')), lambda x: x <> '' AND NOT (length(x) < 35 AND regexp_matches(lower(x), 'çerez|cookie|takip et|abone ol|paylaş|yorum yap|tıklayın|okumak için|kabul ediyorum|daha fazla'))) AS ps FROM a) SELECT page_id, CASE WHEN length(array_to_string(ps, ' ')) > 100 THEN array_to_string(ps, ' ') ELSE '' END AS body FROM p")
+def html_paragraphs(spark, sf):
+    return html.paragraphs(table(spark, sf, "pages")).select("page_id", "body")
+
+
 @_query()
 def html_article_text(spark, sf):
+    """Bodies as the parser nests open paragraphs, which SQL has no words for; html_paragraphs and page_dates are its parts that have."""
     return html.bodies(table(spark, sf, "pages")).select("page_id", "body", "page_date")
 
 
-@_query(", h AS (SELECT page_id, regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<nav\\b[^>]*>.*?</nav\\s*>|<footer\\b[^>]*>.*?</footer\\s*>', ' ', 'g') AS h FROM pages), a AS (SELECT page_id, regexp_extract(h, '(?is)<article\\b[^>]*>(.*?)</article>', 1) AS h FROM h), p AS (SELECT page_id, list_filter(list_transform(regexp_split_to_array(h, '(?i)<p\\b[^>]*>')[2:], lambda x: trim(regexp_replace(regexp_replace(regexp_replace(x, '(?is)</p>.*$', ''), '<[^>]+>', '', 'g'), '[\\s\\x{a0}]+', ' ', 'g'), ' ')), lambda x: x <> '' AND NOT (length(x) < 35 AND regexp_matches(lower(x), 'çerez|cookie|takip et|abone ol|paylaş|yorum yap|tıklayın|okumak için|kabul ediyorum|daha fazla'))) AS ps FROM a) SELECT page_id, CASE WHEN length(array_to_string(ps, ' ')) > 100 THEN array_to_string(ps, ' ') ELSE '' END AS body FROM p")
-def html_paragraphs(spark, sf):
-    return html.paragraphs(table(spark, sf, "pages")).select("page_id", "body")
+_SITES = configured.SITE_CARDS
+_SITE_ROWS = ", ".join(f"({i}, {sql.text(x.source)}, {sql.text(x.base)}, {sql.text(x.classes[0] if x.classes else 'none')}, {sql.texts(x.hrefs)}::VARCHAR[], {sql.texts(x.links)}::VARCHAR[], {str(x.summary).lower()}, {x.longer}, {x.cards}, {sql.texts(x.skip)}::VARCHAR[])" for i, x in enumerate(_SITES))
+_CARD_TITLE = "CASE WHEN id % 17 = 3 THEN 'kurz' WHEN id % 11 = 2 THEN 'Foto Galeri ' || id || ' über ' || src ELSE 'Haber ' || id || ' über ' || src || ' heute' END"
+_CARD_HREF = "CASE id % 5 WHEN 0 THEN '/gundem/x-' || id WHEN 1 THEN '/haber/dunya/y-' || id WHEN 2 THEN '/spor/z' || id WHEN 3 THEN '/else/e-' || id ELSE '/tr/turkiye/' || id END"
+
+
+@_query(f""", s(n, source_name, base, class, hrefs, links, summed, longer, most, skip) AS (VALUES {_SITE_ROWS}),
+a AS (SELECT s.*, id, {_CARD_TITLE} AS title, {_CARD_HREF} AS href FROM (SELECT id, source_name AS src FROM articles) JOIN s ON id % {len(_SITES)} = n),
+c AS (SELECT *, 0 AS sub FROM a WHERE id % 5 IN (0, 2, 4) AND class <> 'none' UNION ALL SELECT *, 1 AS sub FROM a WHERE len(list_filter(hrefs, lambda h: contains(href, h))) > 0),
+f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY n, id // 700 ORDER BY id, sub) <= most)
+SELECT source_name, base || href AS link, title, CASE WHEN sub = 0 AND summed THEN 'Über ' || id ELSE '' END AS summary FROM f
+WHERE length(title) > longer AND (len(links) = 0 OR len(list_filter(links, lambda l: contains(base || href, l))) > 0) AND len(list_filter(skip, lambda k: contains(lower(title), k))) = 0""")
+def site_cards(spark, sf):
+    """Articles as cards on list pages of the sites that are read by default."""
+    n = (F.col("id") % len(_SITES)).cast("int")
+    pick = lambda f: F.element_at(F.array(*(F.lit(f(x)) for x in _SITES)), n + 1)
+    a = articles(spark, sf).select("id", F.col("source_name").alias("src"), pick(lambda x: x.source).alias("source_name"), pick(lambda x: x.classes[0] if x.classes else "none").alias("cls"))
+    a = a.withColumns({"title": F.expr(_CARD_TITLE), "href": F.expr(_CARD_HREF)})
+    linked = F.expr("concat('<a href=\"', href, '\"><h3>', title, '</h3></a>')")
+    boxed = F.concat(F.lit('<div class="box '), F.when((F.col("id") % 5).isin(0, 2, 4), F.col("cls")).otherwise("other"), F.lit('">'), linked, F.expr("concat('<p>Über ', id, '</p></div>')"))
+    card = F.when(F.col("id") % 5 == 1, linked).otherwise(boxed)
+    pages = a.groupBy("source_name", F.floor(F.col("id") / 700).alias("p")).agg(F.array_sort(F.collect_list(F.struct("id", card.alias("h"))))["h"].alias("cards"))
+    pages = pages.select("source_name", F.concat(F.lit("<html><body><div>"), F.array_join("cards", "\n"), F.lit("</div></body></html>")).alias("html"))
+    return html.cards(pages, list(_SITES), AS_OF).select("source_name", "link", "title", "summary")
+
+
+_DAY_OF_PAGE = "lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0')"
+_DATED = rf"""CASE page_id % 9 WHEN 0 THEN replace(html, '</head>', concat('<meta property="article:published_time" content="2024-03-', {_DAY_OF_PAGE}, 'T10:20:30Z"></head>'))
+  WHEN 1 THEN replace(html, '</head>', concat('<script type="application/ld+json">{{"@type": "NewsArticle", "datePublished": "2024-02-', {_DAY_OF_PAGE}, 'T04:05:06+03:00"}}</script></head>'))
+  WHEN 2 THEN replace(html, '</head>', concat('<script type="application/ld+json">{{"@graph": [{{"x": 1}}, {{"dateCreated": "2024-01-', {_DAY_OF_PAGE}, 'T07:08:09"}}]}}</script></head>'))
+  WHEN 3 THEN replace(html, '<article>', concat('<article><time datetime="2024-05-', {_DAY_OF_PAGE}, ' 07:08:00">now</time>'))
+  WHEN 4 THEN replace(html, '<article>', concat('<article><time>', {_DAY_OF_PAGE}, '.06.2023 09:10</time>'))
+  WHEN 5 THEN replace(html, '<article>', concat('<article><span class="x haber-tarih">', {_DAY_OF_PAGE}, ' Mart 2023</span>'))
+  WHEN 6 THEN replace(replace(html, '<article>', concat('<article><time datetime="2024-05-', {_DAY_OF_PAGE}, ' 07:08:00">now</time>')), '</head>', concat('<meta name="publish-date" content="2024-07-', {_DAY_OF_PAGE}, '"></head>'))
+  WHEN 7 THEN replace(replace(html, '<article>', concat('<article><time datetime="2024-05-', {_DAY_OF_PAGE}, ' 07:08:00">now</time>')), '</head>', concat('<meta property="og:release_date" content="2024/7/', page_id % 28 + 1, ' 01:02:03.5"></head>'))
+  ELSE html END"""
+
+
+@_query(f"""SELECT page_id, CASE page_id % 9 WHEN 0 THEN '2024-03-' || {_DAY_OF_PAGE} || ' 10:20:30' WHEN 1 THEN '2024-02-' || {_DAY_OF_PAGE} || ' 04:05:06' WHEN 2 THEN '2024-01-' || {_DAY_OF_PAGE} || ' 07:08:09'
+WHEN 3 THEN '2024-05-' || {_DAY_OF_PAGE} || ' 07:08:00' WHEN 4 THEN '2023-06-' || {_DAY_OF_PAGE} || ' 09:10:00' WHEN 5 THEN '2023-03-' || {_DAY_OF_PAGE} || ' 12:00:00' WHEN 6 THEN '2024-05-' || {_DAY_OF_PAGE} || ' 07:08:00' WHEN 7 THEN '2024-07-' || {_DAY_OF_PAGE} || ' 01:02:03' END AS page_date FROM pages""")
+def page_dates(spark, sf):
+    """Publication dates of pages that give one in each of the ways that are searched, in their order of trust; a day
+    without a time isn't a date of metadata."""
+    return html.bodies(table(spark, sf, "pages").select("page_id", F.expr(_DATED.replace("AS VARCHAR", "AS STRING")).alias("html"))).select("page_id", "page_date")
 
 
 @_query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events FROM events GROUP BY ALL")

@@ -7,9 +7,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.functions.text import filled
+from quillstream.functions.text import filled, is_junk_title
 from quillstream.operators.dedup import first_of
 from quillstream.sources.feeds import capped, combined
+from quillstream.sources.html import SiteCards, bodies
 
 OFFICIAL, GOVERNMENT, OPPOSITION, LOCAL = "Resmi / Ana Akım", "İktidar Yanlısı", "Muhalif", "Yerel / Bölgesel Basın"
 
@@ -130,6 +131,42 @@ STOP_PHRASES = ("foto galeri", "video", "reklam", "resmi ilandır", "nöbetçi",
 MORE_STOP_PHRASES = {"mediterranean_local": ("iletişim",)}
 OUTLET_FEED, OUTLET_MOST, QUERY_FEED, LEAST_TITLE = 25, 30, 20, 20
 
+#: Cards of each site's list pages, and what of them is read.
+_TITLES = ("h2", "h3", "h4")
+SITE_CARDS = (
+    SiteCards("Anadolu Ajansı (AA)", "https://www.aa.com.tr", ("item-card", "list-item"), ("article",), ("/tr/",), ("/gundem/", "/dunya/", "/politika/", "/turkiye/"), (*_TITLES, "span", "div")),
+    SiteCards("TRT Haber", "https://www.trthaber.com", ("standard-card", "news-item", "card"), hrefs=("/haber/",), links=("/haber/",), titles=(*_TITLES, "div", "span")),
+    SiteCards("DHA | Demirören Haber Ajansı", "https://www.dha.com.tr", ("card",), ("article",), ("dha.com.tr/", "/haber/"), titles=(*_TITLES, "strong", "span"), cards=30),
+    SiteCards("NTV Haber", "https://www.ntv.com.tr", ("card", "news-card"), hrefs=("/gundem/", "/dunya/"), titles=(*_TITLES, "span", "p"), summary=False, cards=30),
+    SiteCards("Milliyet", "https://www.milliyet.com.tr", ("card", "news-item"), hrefs=("milliyet.com.tr/gundem/", "milliyet.com.tr/dunya/"), links=("-",)),
+    SiteCards("Hürriyet", "https://www.hurriyet.com.tr", ("card", "news-box"), hrefs=("hurriyet.com.tr/gundem/", "hurriyet.com.tr/dunya/"), links=("-",), titles=(*_TITLES, "h5")),
+    SiteCards("A Haber", "https://www.ahaber.com.tr", ("card", "news-item"), hrefs=("/gundem/", "/dunya/"), links=("-",), titles=(*_TITLES, "strong", "span"), cards=30),
+    SiteCards("Yeni Şafak", "https://www.yenisafak.com", ("card", "news-item"), hrefs=("/gundem/", "/dunya/"), titles=(*_TITLES, "span", "p"), summary=False, cards=30),
+    SiteCards("Sabah", "https://www.sabah.com.tr", ("card", "news-item"), hrefs=("sabah.com.tr/gundem/", "sabah.com.tr/dunya/"), links=("-",), titles=(*_TITLES, "strong", "span")),
+    SiteCards("Türkiye Gazetesi", "https://www.turkiyegazetesi.com.tr", ("card",), ("article",), ("/gundem/", "/dunya/"), ("-",)),
+    SiteCards("Yeni Akit", "https://www.yeniakit.com.tr", hrefs=("/haber/",), links=("/gundem/", "/dunya/", "/siyaset/"), summary=False, longer=19, cards=1 << 20, skip=("foto galeri", "video")),
+    SiteCards("Sözcü", "https://www.sozcu.com.tr", ("news-card",), ("article",), ("sozcu.com.tr/",), ("/gundem/", "/dunya/", "-p", "-wp"), (*_TITLES, "span", "strong")),
+    SiteCards("Cumhuriyet", "https://www.cumhuriyet.com.tr", ("haber", "card"), ("article",), ("cumhuriyet.com.tr/",), ("/turkiye/", "/dunya/", "/haber/")),
+    SiteCards("Halk TV", "https://halktv.com.tr", ("card",), ("article",), ("halktv.com.tr/gundem/", "halktv.com.tr/dunya/"), ("-",)),
+    SiteCards("BloombergHT", "https://www.bloomberght.com", ("news-item", "card"), ("article",), ("/haber/", "/ekonomi/", "/piyasalar/", "/enerji/"), titles=(*_TITLES, "strong", "span"), longer=15, cards=30),
+)
+#: Sections that a site writes before its titles.
+SECTION_PREFIXES = {"Bengütürk TV": ("Gündem", "Dünya", "Siyaset", "Ekonomi", "Spor", "Haber")}
+
+
+def items_of_today(items: DataFrame, pages: DataFrame, as_of: str) -> DataFrame:
+    """Items of a site whose cards have no date (source_name, title, link): titles without their section, those that are
+    no junk, and of these the ones whose own page (link, html) gives a date of the day, which they take."""
+    own = bodies(pages.select(F.col("link").alias("_l"), "html")).select("_l", "page_date")
+    title = F.col("title")
+    for source, prefixes in SECTION_PREFIXES.items():
+        for p in prefixes:
+            title = F.when((F.col("source_name") == source) & F.startswith(title, F.lit(p + " ")), F.trim(F.substring(title, len(p) + 1, 1 << 20))).otherwise(title)
+    rows = items.withColumn("title", title).where(~is_junk_title(F.col("title")))
+    dated = rows.join(own, rows.link == F.col("_l")).where(F.startswith("page_date", F.lit(as_of[:10])))
+    return dated.withColumn("publish_date", F.col("page_date")).drop("_l", "page_date")
+
+
 
 def sources(spark: SparkSession) -> DataFrame:
     """ord, id, name, category, type, domain."""

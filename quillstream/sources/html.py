@@ -169,7 +169,47 @@ class CardSpec:
     cards: int = 30
 
 
-def cards(pages: DataFrame, specs: list[CardSpec], as_of: str, html: str = "html", source: str = "source_name") -> DataFrame:
+@dataclass(frozen=True)
+class SiteCards:
+    """How one site's list pages are read, by exact names: cards are elements of these names or classes, and anchors whose
+    address holds one of `hrefs`, in page order, the first `cards` of them. A card's link must hold one of `links`, if
+    any are given, and its title, the first element of `titles` or else the link's text, be longer than `longer`."""
+
+    source: str
+    base: str
+    classes: tuple[str, ...] = ()
+    elements: tuple[str, ...] = ()
+    hrefs: tuple[str, ...] = ()
+    links: tuple[str, ...] = ()
+    titles: tuple[str, ...] = ("h2", "h3", "h4", "strong")
+    summary: bool = True
+    longer: int = 10
+    cards: int = 20
+    skip: tuple[str, ...] = ()
+
+
+def _site_cards(root: Element, spec: SiteCards) -> Iterator[tuple[str, str, str, str]]:
+    def is_card(e: Element) -> bool:
+        if e.name in spec.elements or any(c in spec.classes for c in e.classes()):
+            return True
+        return e.name == "a" and any(h in (e.attrs.get("href") or "") for h in spec.hrefs)
+
+    def first(e: Element, names: tuple[str, ...]) -> Element | None:
+        return next((x for x in e.walk() if x is not e and x.name in names), None)
+
+    for card in [e for e in root.walk() if is_card(e)][: spec.cards]:
+        anchor = card if card.name == "a" else first(card, ("a",))
+        if anchor is None or not anchor.attrs.get("href"):
+            continue
+        link = anchor.attrs["href"]
+        link = link if link.startswith("http") else spec.base + link
+        title = re.sub(r"\s+", " ", (first(card, spec.titles) or anchor).text()).strip()
+        said = first(card, ("p",)) if spec.summary else None
+        if len(title) > spec.longer and (not spec.links or any(x in link for x in spec.links)) and not any(x in title.lower() for x in spec.skip):
+            yield link, title, re.sub(r"\s+", " ", said.text()).strip() if said else "", card.text()
+
+
+def cards(pages: DataFrame, specs: list[CardSpec | SiteCards], as_of: str, html: str = "html", source: str = "source_name") -> DataFrame:
     """source_name, ord, link, title, summary, publish_date of the first cards of each page that the site's spec takes.
 
     Links are made absolute by the site's base; the date is a clock time in the card, on the day of as_of."""
@@ -181,7 +221,7 @@ def cards(pages: DataFrame, specs: list[CardSpec], as_of: str, html: str = "html
             for name, h in zip(batch[source], batch[html], strict=True):
                 spec = by_source.get(name)
                 if spec:
-                    out += [(name, i, *c) for i, c in enumerate(_cards(tree(h), spec))]
+                    out += [(name, i, *c) for i, c in enumerate((_cards if isinstance(spec, CardSpec) else _site_cards)(tree(h), spec))]
             yield pd.DataFrame(out, columns=["source_name", "ord", "link", "title", "summary", "said"])
 
     found = pages.select(source, html).mapInPandas(read, "source_name string, ord long, link string, title string, summary string, said string")

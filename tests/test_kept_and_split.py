@@ -11,6 +11,7 @@ from quillstream.operators import dedup, lookup, report, upsert
 from quillstream.operators.components import components
 from quillstream.plans import ingest
 from quillstream.schema import RAW_ARTICLE
+from quillstream.sources import configured
 from quillstream.sources.news_table import NewsTable
 from quillstream.streaming import monitor
 
@@ -264,3 +265,14 @@ def test_any_number_of_sources(spark):
     raw = spark.createDataFrame([("the outlet 77777 news online",), ("OUTLET 5",), ("nobody",), (None,)], "raw_source string")
     got = {x.raw_source: (x.source_name, x.category) for x in lookup.with_source(raw, sources).collect()}
     assert got == {"the outlet 77777 news online": ("Outlet 77777 News", "K"), "OUTLET 5": ("Outlet 5 News", "K"), "nobody": ("nobody", lookup.OTHER), None: ("Outlet 0 News", "K")}
+
+
+# -- pages of sites
+
+
+def test_items_of_today_have_a_page_of_the_day(spark):
+    items_ = spark.createDataFrame([("Bengütürk TV", "Gündem Bakanlıkta yeni dönem bugün resmen başladı", "l1"), ("Bengütürk TV", "Spor Dünkü maçın ardından neler söylendi", "l2"), ("Bengütürk TV", "Gündem", "l3"), ("x", "Gündem başka bir kaynakta kalır elbette", "l4"), ("x", "Sayfası olmayan uzun bir haber başlığı", "l5")], "source_name string, title string, link string")
+    page = lambda d: f'<html><head><meta property="article:published_time" content="{d}T09:00:00Z"></head><body>x</body></html>'
+    pages = spark.createDataFrame([("l1", page("2026-09-03")), ("l2", page("2026-09-02")), ("l3", page("2026-09-03")), ("l4", page("2026-09-03")), ("l6", page("2026-09-03"))], "link string, html string")
+    got = {r.link: (r.title, r.publish_date) for r in configured.items_of_today(items_, pages, AS_OF).collect()}
+    assert got == {"l1": ("Bakanlıkta yeni dönem bugün resmen başladı", "2026-09-03 09:00:00"), "l4": ("Gündem başka bir kaynakta kalır elbette", "2026-09-03 09:00:00")}
