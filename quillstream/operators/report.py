@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions.text import day_of, filled, source_slug, turkish_lower
 from quillstream.operators.filters import found_by, in_tab, of_source, on_day, since_midnight
+from quillstream.operators.stages import cut
 
 # The countries counted, by spellings of which one is in the category.
 COUNTRY_MARKS = {"azerbaycan": ("azerbaycan",), "kazakistan": ("kazakistan",), "kirgizistan": ("kırgızistan", "kirgizistan"), "ozbekistan": ("özbekistan", "ozbekistan"), "turkmenistan": ("türkmenistan", "turkmenistan"), "kktc": ("kktc",)}
@@ -99,10 +100,12 @@ def newest_first(news: DataFrame, newest: bool = True) -> DataFrame:
 
 
 def page(news: DataFrame, tab: str = "all", sub_tab: str = "all", source: str = "all", query: str = "", shown: int = 50, newest: bool = True) -> DataFrame:
-    """The first `shown` rows that pass all filters, with `matches`, the number that do."""
-    rows = news.where(in_tab(tab, sub_tab) & of_source(source) & found_by(query))
-    n = rows.agg(F.count("*").alias("matches"))
-    return newest_first(rows.withColumn("matches", n.scalar()), newest).limit(shown)
+    """The first `shown` rows that pass all filters, with `matches`, the number that do: counted as the rows pass on their
+    way to the page, so that neither filters nor what made the columns run twice."""
+    seen = Observation("matches")
+    rows = news.where(in_tab(tab, sub_tab) & of_source(source) & found_by(query)).observe(seen, F.count(F.lit(1)).alias("n"))
+    first = cut(newest_first(rows, newest).limit(shown))
+    return newest_first(first.withColumn("matches", F.lit(seen.get["n"]).cast("long")), newest)
 
 
 def run_metrics(fetched: DataFrame, saved: DataFrame, began: str | None = None, ended: str | None = None) -> DataFrame:
