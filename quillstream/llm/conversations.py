@@ -255,3 +255,28 @@ def repair_report(conversations: DataFrame) -> DataFrame:
     found = all_.join(counts.drop("conv_id"), "key", "left").join(digests(turns), "key", "left")
     zero = [F.when(F.col("cost").isNull(), 0).otherwise(F.col(c)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return found.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+REPAIR_SQL = r"""WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_transform(string_split(k, ''), lambda c: CAST(ascii(c) AS BIGINT)),
+  lambda x, b: list_reduce([0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda z, y: xor(z >> 1, 3988292384 * (z & 1)), xor(x, b)), 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS kind FROM src),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM h, (VALUES (1), (2)) t(c) WHERE kind <> 0 AND (c = 1 OR kind = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+s AS (SELECT *, role[1:1] AS r, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen, lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1:1] AS pair,
+  NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank FROM o),
+f AS (SELECT *, NOT blank AND seen > 1 AS dup, NOT blank AND seen = 1 AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut FROM s),
+edits(edit, before, after, new) AS (SELECT 'D', x, x, '' FROM (VALUES (''), ('s'), ('u'), ('a')) t(x) UNION ALL SELECT e, b, a, n FROM (VALUES ('K'), ('R')) k(e),
+  (VALUES ('', 's', ''), ('', 'u', ''), ('', 'a', 'u'), ('s', 'u', ''), ('s', 'a', 'u'), ('u', 'u', 'a'), ('u', 'a', ''), ('a', 'u', ''), ('a', 'a', 'u')) t(b, a, n)),
+dp AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, '' AS last, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS lines FROM f
+  UNION ALL SELECT conv_id, i, last, cost, audit, lines FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, last ORDER BY cost, audit) AS place FROM (
+    SELECT p.conv_id, f.i, e.after AS last, p.cost + CASE edit WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + 3 * length(new) + CASE WHEN cut AND edit <> 'D' THEN 3 ELSE 0 END AS cost, p.audit || repeat('I', length(new)) || edit AS audit,
+      CASE WHEN edit = 'D' THEN p.lines ELSE list_concat(p.lines, CASE new WHEN 'u' THEN ['user:'] WHEN 'a' THEN ['assistant:'] ELSE [] END, [CASE WHEN edit = 'K' THEN role WHEN e.after = 'u' THEN 'user' ELSE 'assistant' END || ':' || text]) END AS lines
+    FROM dp p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1 JOIN edits e ON e.before = p.last AND (edit = 'D' OR NOT blank AND NOT dup AND (edit = 'K' AND f.r = e.after OR edit = 'R' AND e.after IN ('u', 'a'))))) WHERE place = 1),
+counts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, count(*) FILTER (cut) AS truncated,
+  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+ends AS (SELECT d.conv_id, cost + 3 * length(new) AS cost, audit || repeat('I', length(new)) AS audit, list_concat(lines, CASE new WHEN 'ua' THEN ['user:', 'assistant:'] WHEN 'a' THEN ['assistant:'] ELSE [] END) AS lines
+  FROM dp d JOIN counts c ON c.conv_id IS NOT DISTINCT FROM d.conv_id AND c.n = d.i JOIN (VALUES ('', ''), ('s', 'ua'), ('u', 'a'), ('a', '')) e(last, new) USING (last) QUALIFY row_number() OVER (PARTITION BY d.conv_id ORDER BY cost + 3 * length(new), audit || repeat('I', length(new))) = 1)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM a.conv_id"""

@@ -79,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontaminate.LEAK_SQL, "op3_source_mixing": mixing.MIX_SQL, "op8_line_dedup": lines.LINES_SQL, "op12_exact_copies": copies.COPIES_SQL}
+    return {"op2_decontamination": decontaminate.LEAK_SQL, "op3_source_mixing": mixing.MIX_SQL, "op8_line_dedup": lines.LINES_SQL, "op11_periodic_runs": runs.RUNS_SQL, "op12_exact_copies": copies.COPIES_SQL, "op13_conversation_repair": conversations.REPAIR_SQL}

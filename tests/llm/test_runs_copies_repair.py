@@ -307,3 +307,24 @@ def test_repair_query_equals_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     got = sorted(repr(tuple(r[c] for c in REPAIR_COLUMNS)) for r in queries.op13_conversation_repair(spark, SF).collect())
     assert set(plain_report(rows)) <= set(got) and len(got) == 100
+
+
+# -- in SQL
+
+
+def test_sql_of_odd_rows(spark):
+    """The queries' SQL says the same of rows that the test tables don't have."""
+    con = pytest.importorskip("duckdb").connect()
+    docs = [(i if i % 9 else None, t) for i, t in enumerate([*odd_texts(), "one two " * 20, "a b c d e f " * 2, *(f"u v w x y z {i} " * 3 for i in range(40))])] + [(7, "x y"), (7, "x y")]
+    turns = odd_turns(30, 3)
+    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]).astype({"doc_id": "Int64"}))
+    con.register("conversations", pd.DataFrame(turns, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
+    for name, sql, got in (
+        ("runs", runs.RUNS_SQL, runs.run_report(spark.createDataFrame(docs, "doc_id long, text string"))),
+        ("copies", copies.COPIES_SQL, copies.copy_report(spark.createDataFrame(docs, "doc_id long, text string"))),
+        ("repair", conversations.REPAIR_SQL, conversations.repair_report(spark.createDataFrame(turns, CONVERSATION))),
+    ):
+        theirs = con.execute(sql).fetchall()
+        columns = [d[0] for d in con.description]
+        assert set(columns) == set(got.columns), name
+        assert sorted(repr(tuple(r[c] for c in columns)) for r in got.collect()) == sorted(map(repr, theirs)), name
