@@ -7,6 +7,7 @@ line in the log, so that no reader sees it and the next try overwrites it; a bat
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -71,17 +72,17 @@ class NewsTable:
 
         Days are read from the newest on, or from the row's own, one by one until the page is full: a page far behind
         costs what the first one does. Undated rows come last."""
-        before = sorted((d for d in self.days() if d.day is not None), key=lambda d: (d.day != UNDATED, d.day), reverse=True)
-        parts, left = [], shown
-        for d in before:
-            if not left:
-                break
-            if after and d.day != UNDATED and d.day > after[0][:10]:
+        seek, parts, left = None, [], shown
+        if after:
+            here = after[0][:10] if re.fullmatch(r"\d{4}-\d{2}-\d{2}", after[0][:10]) else UNDATED
+            seek = (F.col("publish_date") < after[0]) | (F.col("publish_date") == after[0]) & (F.col("id") < after[1])
+        turn = lambda day: (day != UNDATED, day)
+        for d in sorted((d for d in self.days() if d.day is not None), key=lambda d: turn(d.day), reverse=True):
+            if not left or after and turn(d.day) > turn(here):
                 continue
             rows = self._rows([d])
             rows = rows if where is None else rows.where(where)
-            if after:
-                rows = rows.where((F.col("publish_date") < after[0]) | (F.col("publish_date") == after[0]) & (F.col("id") < after[1]) | (F.col("publish_day") == UNDATED))
+            rows = rows.where(seek) if after and d.day == here else rows
             part = cut(rows.orderBy(F.desc("publish_date"), F.desc("id")).limit(left))
             left -= part.count()
             parts.append(part)
@@ -93,7 +94,9 @@ class NewsTable:
         data = f"{self.path}/data/version={version}"
         kinds = self.spark.createDataFrame([], self.schema).schema
         stored = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds), day_column().alias("publish_day"))
-        stored.repartition("publish_day", F.pmod(F.xxhash64("link"), F.lit(8))).write.mode("overwrite").partitionBy("publish_day").parquet(data)
+        # a day's rows meet in as many files as its size asks for; what a killed batch left in the folder goes
+        stored = stored.hint("rebalance", F.col("publish_day"))
+        stored.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("publish_day").parquet(data)
         written = self.spark.read.schema(f"{self.schema}, publish_day string").parquet(data) if changed else None
         found = written.groupBy("publish_day").agg(F.max("id").alias("id")).collect() if changed else []
         assert {r.publish_day for r in found} <= changed, "a row of a day that wasn't to change"

@@ -151,6 +151,8 @@ def test_pages_read_a_day_each(spark, tmp_path):
         got += [r.id for r in page.orderBy(F.desc("publish_date"), F.desc("id")).collect()]
         after = (last.publish_date, last.id) if last else after
     assert got == all_ and news.page(10, after).collect() == []
+    news.upsert(items(spark, [(k, "t", "", "ohne", f"v{k}", 0) for k in range(3)]), AS_OF)
+    assert [r.link for r in news.page(2, after).collect()] == ["v2", "v1"] and [r.link for r in news.page(2, ("ohne", 102)).collect()] == ["v0"]
     assert [r.link for r in news.page(3, ("2026-09-02 00:00:00", 10**9), F.col("ilgili_mi") == 1).collect()] == ["u21", "u19", "u17"]
 
 
