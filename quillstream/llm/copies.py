@@ -6,8 +6,9 @@ Equal texts have equal names at the same level and no others do: names stand for
 hashes of them.
 
 Sorting is dealt by a hash: blocks are sorted by it, and those of one hash by themselves. A name is the place among the
-blocks of a part of the hashes, and the part's number. Blocks and pairs are told apart before they are sorted, so one that a third of all rows share is one row there; where names are
-joined back, such a key's rows are of a few numbers and Spark splits them among tasks."""
+blocks of a part of the hashes, and the part's number. Blocks and pairs are told apart before they are sorted, so one
+that a third of all rows share is one row there; where names are joined back, such a key's rows are of a few numbers and
+Spark splits them among tasks."""
 
 from __future__ import annotations
 
