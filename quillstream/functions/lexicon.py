@@ -42,6 +42,13 @@ def java(*keywords: str) -> str:
     return rf"(?iuU)(?<!\w)(?:{'|'.join(parts)})(?!\w)" if parts else "(?!)"
 
 
+def edged(pattern: str) -> str:
+    r"""A Java pattern whose \b is where its \w begins or ends: before Java 19, \b goes by Unicode's letters even where \w
+    is ASCII's."""
+    edge = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+    return re.sub(r"(?s)\\(.)", lambda m: edge if m[1] == "b" else m[0], pattern)
+
+
 def re2(*keywords: str) -> str:
     """The same for engines without look-behind; it also takes the characters at both sides."""
     parts = []

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.functions.lexicon import Lexicon, Phrases, java
+from quillstream.functions.lexicon import Lexicon, Phrases, edged, java
 from quillstream.functions.text import bound, filled
 
 STAGE_1, STAGE_2, GENERAL, NOT_RELEVANT = "Stage 1 (Anahtar Kelime)", "Stage 2 (LLM)", "Genel (Filtresiz)", "İlgisiz"
@@ -26,7 +26,7 @@ def lead(title: Column, summary: Column, window: int = 350) -> Column:
 
 def masked(text: Column, masks: tuple[str, ...]) -> Column:
     """text with each false friend replaced by a blank, in the order of the list."""
-    return reduce(lambda t, m: F.regexp_replace(t, m, " "), masks, text)
+    return reduce(lambda t, m: F.regexp_replace(t, edged(m), " "), masks, text)
 
 
 def keywords_in(text: Column, keywords: tuple[str, ...]) -> Column:
@@ -121,7 +121,7 @@ def strictly_relabelled(news: DataFrame, words: tuple[str, ...], vetoes: tuple[s
     the first one of which the title has a substring."""
     title, low = filled(F.col("title")), F.lower(filled(F.col("title")))
     has = lambda xs: _any(F.contains(low, F.lit(x)) for x in xs)
-    veto = _any(title.rlike(v) for v in vetoes)
+    veto = _any(title.rlike(edged(v)) for v in vetoes)
     yes = ~veto & (has_any(title, words) | has_any(F.substring(filled(F.col("summary")), 1, window), words) & has(cues))
     aspect = F.lit(default)
     for name, parts in reversed(aspects.items()):

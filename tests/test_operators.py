@@ -48,6 +48,16 @@ def test_patterns_are_whole_words_in_any_case(spark):
         assert duckdb.connect().execute("select regexp_matches(?, ?)", [given, re2(word)]).fetchone()[0] is expected
 
 
+def test_masks_end_where_their_own_words_do(spark):
+    """Without the flag U, \\w is ASCII's, and so is \\b on any Java, as in SQL; with it, both are Unicode's."""
+    rows = spark.createDataFrame([("des les elleévi çoivi",), ("les elles",), ("éles elle.",)], "t string")
+    got = lambda m: [r[0] for r in rows.select(classify.masked(F.col("t"), (m,))).collect()]
+    sql = lambda m: [pytest.importorskip("duckdb").connect().execute("select regexp_replace(?, ?, ' ', 'g')", [r.t, m]).fetchone()[0] for r in rows.collect()]
+    plain = r"(?i)\bles\s+elle\b"
+    assert got(plain) == ["des  évi çoivi", "les elles", "é ."] == sql(plain)
+    assert got(r"(?iuU)\bles\s+elle\b") == [r.t for r in rows.collect()]
+
+
 def test_second_stage(spark):
     rows = spark.createDataFrame([(1, "BTC yükseldi", ""), (2, "BTC düştü", ""), (3, "Azerbaycan", "")], "id int, title string, summary string")
     judged = classify.labelled(classify.with_stage1(rows, LEXICON))
