@@ -72,9 +72,11 @@ def unescaped_fully(c: Column) -> Column:
     return F.pandas_udf(lambda batch: batch.map(unescape, na_action="ignore"), "string", F.PandasUDFType.SCALAR)(c)
 
 
-def clean_leading_time(c: Column, decode=unescaped) -> Column:
-    """Decoded, without a leading time and then a leading alert label, with single blanks."""
-    t = F.regexp_replace(decode(filled(c)), r"^\d{1,2}[:.]\d{2}(:\d{2})?\s*[-–—]?\s*", "")
+def clean_leading_time(c: Column, decode=unescaped, numbers: bool = False) -> Column:
+    """Decoded, without a leading time and then a leading alert label, with single blanks. With `numbers`, a longer number
+    that begins as a time does (94.182.225.142, 10.15.2024) stays whole; without, it loses that part as a time would."""
+    longer = r"(?![.:]?\d)" if numbers else ""
+    t = F.regexp_replace(decode(filled(c)), rf"^\d{{1,2}}[:.]\d{{2}}(:\d{{2}})?{longer}\s*[-–—]?\s*", "")
     return squashed(F.regexp_replace(t, rf"(?iuU)^({_any(ALERT_LABELS)})\s*[:|-]?\s*", ""))
 
 

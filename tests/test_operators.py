@@ -287,3 +287,8 @@ def test_sequential_purge_as_a_fold(spark):
             kept[title] = now
     got = [x.id for x in dedup.sequential_survivors(news).select(F.col("id")).collect()]
     assert sorted(got) == sorted(x[0] for x in kept.values())
+
+
+def test_a_title_that_begins_with_an_address_is_not_dirty(spark):
+    rows = spark.createDataFrame([(1, "56.187.231.175 Keit in lich auf", "s"), (2, "14:24 Keit in lich auf", "s"), (3, "Keit in lich auf", "s")], "id long, title string, source_name string")
+    assert [r.id for r in filters.dirty_rows(rows).collect()] == [2]

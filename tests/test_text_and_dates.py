@@ -16,6 +16,7 @@ def values(spark, f, inputs, kind="string"):
 CASES = [
     (text.clean_text, [" <p>a  b</p>\n<b>c</b> ", None, ""], ["a b c", "", ""]),
     (text.clean_leading_time, ["14:24 - Başlık  &amp; son", "14.24 SON DAKİKA: Deprem", "son dakika | x", None, "CANLI"], ["Başlık & son", "Deprem", "x", "", ""]),
+    (lambda c: text.clean_leading_time(c, numbers=True), ["94.182.225.142 Kars", "10.15.2024 Kars", "14:24:30 - Kars", "14.24 CANLI: Kars", "1:234 Kars"], ["94.182.225.142 Kars", "10.15.2024 Kars", "Kars", "Kars", "1:234 Kars"]),
     (text.strip_title_suffix, ["Uzun bir başlık - Outlet", "Kısa - Outlet", "A - b uzun başlık - X"], ["Uzun bir başlık", "Kısa - Outlet", "A - b uzun başlık"]),
     (text.title_key, ["14:20 Gündem - Kars'ta Şiddetli! - Sözcü Gazetesi", "Haberler: Yeni", None, "İstanbul | TRT Haber"], ["karstaşiddetli", "yeni", "", "istanbul"]),
     (lambda c: text.title_key(c, False), ["Gündem - Kars"], ["gündemkars"]),
