@@ -14,16 +14,17 @@ DEFAULTS = {"source_id": "", "source_name": "Bilinmeyen", "category": "Resmi / A
 MERGED = ("author", "relevance_status", "llm_relevance_explanation", "relevance_aspect", "inconsistency_status", "inconsistency_note", "group_id", "veri_kaynagi", "ilgili_mi", "ilgi_kategorisi", "guven_skoru", "gerekce")
 
 
-def prepared(items: DataFrame, as_of: str) -> DataFrame:
-    """items (with ord) as they are stored: cleaned, with defaults. A relevant item's missing or zero score is 1."""
+def prepared(items: DataFrame, as_of: str, numbers: bool = False) -> DataFrame:
+    """items (with ord) as they are stored: cleaned, with defaults. A relevant item's missing or zero score is 1. `numbers`
+    keeps leading numbers that are longer than a time."""
     col = lambda c, kind="string": F.col(c) if c in items.columns else F.lit(None).cast(kind)
     flag = F.when(col("ilgili_mi").cast("string").isin("1", "true"), 1).otherwise(0)
     score = F.when(F.coalesce(col("guven_skoru", "double"), F.lit(0.0)) == 0.0, F.when(flag == 1, 1.0).otherwise(0.0)).otherwise(col("guven_skoru", "double"))
     wanted = lambda c, d: F.when(filled(col(c)) == "", d).otherwise(col(c))
     out = {k: F.coalesce(col(k), F.lit(d)) for k, d in DEFAULTS.items()}
     out |= {
-        "title": clean_leading_time(col("title")),
-        "summary": clean_leading_time(col("summary")),
+        "title": clean_leading_time(col("title"), numbers=numbers),
+        "summary": clean_leading_time(col("summary"), numbers=numbers),
         "link": filled(col("link")),
         "publish_date": wanted("publish_date", F.lit(as_of)),
         "scraped_at": wanted("scraped_at", F.lit(as_of)),
