@@ -68,7 +68,7 @@ def new_headlines(items: DataFrame, late: str = "2 days") -> DataFrame:
     batch items are seen by ord. State lives in RocksDB, which this sets for the session's new queries."""
     items.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     rows = items.withColumn("_ts", F.try_to_timestamp("publish_date", F.lit("yyyy-MM-dd HH:mm:ss"))).withWatermark("_ts", late)
-    rows = rows.select("_ts", filled(F.col("source_name")).alias("source_name"), day_of(filled(F.col("publish_date"))).alias("day"), "ord", title_words(clean_leading_time(F.col("title"))).alias("words"))
+    rows = rows.select("_ts", filled(F.col("source_name")).alias("source_name"), day_of(filled(F.col("publish_date"))).alias("day"), "ord", title_words(clean_leading_time(F.col("title"), numbers=True)).alias("words"))
     return rows.groupBy("source_name", "day").transformWithStateInPandas(Headlines(), "source_name string, day string, ord long", "Append", "EventTime")
 
 

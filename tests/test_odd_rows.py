@@ -11,7 +11,7 @@ from test_queries import SF, plain
 TEXTS = ["Des les elleévi çoivi\nles elle. la", "94.182.225.142 Oring thedo\n10.15.231.17 thenne and on", "94.182.225 Kars"]
 
 
-@pytest.mark.parametrize("name", ["false_friends", "title_hygiene", "upsert_cycles", "upsert_merge"])
+@pytest.mark.parametrize("name", ["false_friends", "title_hygiene", "headline_stream", "upsert_cycles", "upsert_merge"])
 def test_odd_rows(spark, tmp_path, name):
     if not os.path.isdir(SF):
         pytest.skip("no test tables")
