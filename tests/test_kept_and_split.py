@@ -278,3 +278,17 @@ def test_items_of_today_have_a_page_of_the_day(spark):
     pages = spark.createDataFrame([("l1", page("2026-09-03")), ("l2", page("2026-09-02")), ("l3", page("2026-09-03")), ("l4", page("2026-09-03")), ("l6", page("2026-09-03"))], "link string, html string")
     got = {r.link: (r.title, r.publish_date) for r in configured.items_of_today(items_, pages, AS_OF).collect()}
     assert got == {"l1": ("Bakanlıkta yeni dönem bugün resmen başladı", "2026-09-03 09:00:00"), "l4": ("Gündem başka bir kaynakta kalır elbette", "2026-09-03 09:00:00")}
+
+
+def test_rows_that_hold_an_earlier_short_set_fall_before_any_fold(spark):
+    """One short title that many hold made a component of all of them, which one task folded."""
+    sets = [("g", 0, ["kars"], 1), ("g", 1, ["ani", "kars"], 1)] + [("g", i, sorted(["kars", f"x{i}", f"y{i}", f"z{i}"]), 1) for i in range(2, 60)]
+    sets += [("g", 60, ["a", "b", "c", "d"], 1), ("g", 61, ["a", "b", "c", "d", "e"], 1), ("g", 62, ["b", "c", "d", "e", "f"], 1)]
+    nodes = spark.createDataFrame(sets, "g string, rep long, words array<string>, twins long").withColumn("times", F.array().cast("array<double>"))
+    ranked = dedup._ranked(nodes)
+    assert sorted(r.rep for r in dedup._short_cover(ranked, dedup.INGEST).collect()) == list(range(2, 60))
+    pairs = dedup.near_pairs(ranked.where("rep >= 60"), dedup.INGEST)
+    assert sorted(map(tuple, pairs.collect())) == [(60, 61), (61, 62)]
+    falls, left = dedup._decided(pairs)
+    assert [r.node for r in falls.collect()] == [61] and left.isEmpty()
+    assert "words" not in dedup._posted(ranked, None).columns
