@@ -70,12 +70,13 @@ def folded(word: str) -> str:
 class Phrases:
     """Finds many words and phrases in one pass over a text, whatever their number.
 
-    A text is split where words begin and end; the stretches of as many words as phrases have are intersected with the
-    phrases by hash. They agree with `java`: stretches are compared with the separators in between, so whole words only,
+    A text is split where words begin and end; its words, and the stretches of as many words as phrases have that begin
+    with the first word of one, are intersected with the phrases by hash. They agree with `java`: stretches are compared with the separators in between, so whole words only,
     and words that need a capital with the text's own letters. Phrases that don't begin and end with a letter or digit
     can't be stretches and keep their patterns."""
 
-    PARTS = r"(?U)\w+|\W+"
+    #: \w+ or \W+; naming ASCII letters and the blank first spares most characters the look-up in Unicode's tables.
+    PARTS = r"(?U)[a-zA-Z0-9_\w]+|[ [^a-zA-Z0-9_\w]]+"
 
     def __init__(self, phrases: Iterable[str]) -> None:
         self.exact, self.free, self.odd = {}, {}, []
@@ -89,25 +90,32 @@ class Phrases:
             else:
                 self.free[p] = folded(p)
         self.tokens = self.exact | self.free | {p: "~" + p for p in self.odd}
-        lengths = {len(re.findall(r"\w+|\W+", x)) for x in self.free.values()}
-        self.longer = sorted(lengths - {1})
-        self.firsts = sorted({re.match(r"\w+", x)[0] for x in self.free.values()} | {folded(x[1:]) for x in self.exact.values()})
+        parts = [re.findall(r"\w+|\W+", x) for x in self.free.values()]
+        self.longer = sorted({len(x) for x in parts} - {1})
+        self.firsts = sorted({x[0] for x in parts if len(x) > 1})
 
     def found(self, text: Column) -> Column:
         """The tokens of all phrases in a text, each once."""
         none = F.array().cast("array<string>")
         array = lambda xs: F.array(*map(F.lit, sorted(set(xs)))) if xs else none
 
-        def stretches(parts: Column) -> Column:
+        def stretches(parts: Column, begun: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_contains(begun, F.element_at(parts, i)))
             of = lambda n: lambda i: F.array_join(F.slice(parts, i, F.lit(n)), "")
-            longer = [F.transform(F.sequence(F.lit(1), F.size(parts)), of(n)) for n in self.longer]
-            return F.array_intersect(F.concat(parts, *longer), array(self.free.values()))
+            longer = bound(starts, lambda at: F.concat(*(F.transform(at, of(n)) for n in self.longer)))
+            return F.when(F.size(begun) > 0, F.array_intersect(longer, array(self.free.values()))).otherwise(none)
 
         def all_(parts: Column) -> Column:
-            cased = F.transform(F.array_intersect(F.regexp_extract_all(text, F.lit(self.PARTS), 0), array([x[1:] for x in self.exact.values()])), lambda w: F.concat(F.lit("="), w))
-            return F.when(F.arrays_overlap(parts, array(self.firsts)), F.concat(stretches(parts), cased) if self.exact else stretches(parts)).otherwise(none)
-
-        out = bound(F.regexp_extract_all(fold(text), F.lit(self.PARTS), 0), all_)
+            out = [F.array_intersect(parts, array(self.free.values()))]
+            if self.longer:
+                out.append(bound(F.array_intersect(parts, array(self.firsts)), lambda begun: stretches(parts, begun)))
+            if self.exact:
+                words = [x[1:] for x in self.exact.values()]
+                cased = F.transform(F.array_intersect(F.regexp_extract_all(text, F.lit(self.PARTS), 0), array(words)), lambda w: F.concat(F.lit("="), w))
+                out.append(F.when(F.arrays_overlap(parts, array(map(folded, words))), cased).otherwise(none))
+            return F.concat(*out)
+
+        out = bound(F.coalesce(F.regexp_extract_all(fold(text), F.lit(self.PARTS), 0), none), all_)
         odd = [F.when(text.rlike(java(p)), F.lit("~" + p)) for p in self.odd]
         return F.concat(out, F.array_compact(F.array(*odd))) if odd else out
 

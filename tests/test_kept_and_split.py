@@ -247,6 +247,23 @@ def test_phrases_agree_with_their_patterns(spark):
     assert df.select(Phrases(()).found(t).alias("f")).where("size(f) > 0").count() == 0
 
 
+def test_stretches_begin_where_a_phrase_of_words_does(spark):
+    """A stretch is built at no other part, so that a text costs its words and not all their stretches."""
+    phrases = Phrases(("tap", "bakı", "dağlık karabağ", "3+3 formatı"))
+    assert (phrases.firsts, phrases.longer) == (["3", "dağlik"], [3, 5])
+    rows = [("dağlık dağlık karabağ",), ("x 3+3 formatı",), ("formatı 3+3",), ("3",), ("Tap, Bakı",), ("bakı",), ("",), (None,)]
+    found = [sorted(x.f) for x in spark.createDataFrame(rows, "t string").select(phrases.found(F.col("t")).alias("f")).collect()]
+    assert found == [["dağlik karabağ"], ["3+3 formati"], [], [], ["=Bakı", "tap"], [], [], []]
+
+
+def test_parts_are_those_of_plain_classes(spark):
+    r = random.Random(5)
+    signs = [chr(c) for c in [*range(1, 0x3000), *range(0xFE00, 0x10000), *range(0x1F100, 0x1F200)]]
+    texts = [("".join(r.choice(signs if k % 2 else signs[:0x180]) for _ in range(40)),) for k in range(2000)]
+    parts = lambda p: F.regexp_extract_all("t", F.lit(p), F.lit(0))
+    assert spark.createDataFrame(texts, "t string").where(parts(Phrases.PARTS) != parts(r"(?U)\w+|\W+")).count() == 0
+
+
 def test_the_shipped_lexicon():
     x = Lexicon.read()
     assert len(x.keywords) == 201 and len(set(x.keywords)) == 190 and list(x.countries)[0] == "Azerbaycan" and len(x.countries) == 6
