@@ -1,5 +1,6 @@
 """Classification, dedup, upsert, sources and reports on small tables."""
 
+import gc
 import random
 
 import pytest
@@ -213,6 +214,25 @@ def test_pages(spark):
     assert got[1].body.startswith("Uzun") and got[1].body.endswith("İkinci paragraf.") and "Takip" not in got[1].body and got[6].body == ""
 
 
+@pytest.mark.parametrize("read", [html.bodies, lambda pages: html.cards(pages, [html.CardSpec("s", "https://z.com")], AS_OF)])
+def test_pages_come_in_short_batches(spark, read):
+    for name in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{name}")
+    read(spark.createDataFrame([("s", "<p>x</p>")], "source_name string, html string"))
+    sizes = F.pandas_udf(lambda batch: batch * 0 + len(batch), "long", F.PandasUDFType.SCALAR)
+    assert spark.range(0, 2000, 1, 1).select(F.max(sizes("id"))).first()[0] <= 256
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    read(spark.createDataFrame([("s", "<p>x</p>")], "source_name string, html string"))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "7"
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_trees_of_pages_hold_no_cycles():
+    gc.collect()
+    html.tree("<div><p>a<b>c</b></p></div>" * 50)
+    assert gc.collect() == 0
+
+
 def test_cards_and_local_items(spark):
     h = """<div class="news-card"><a href="/haber/1"><h3>Uzun bir haber başlığı burada</h3></a><p class="spot">Özet</p><span> 14.20</span></div>
     <div class="news-card"><a href="https://z.com/2"><h3>Kısa</h3></a></div><div class="news-card">link yok</div>"""
