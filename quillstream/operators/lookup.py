@@ -91,5 +91,5 @@ def with_source(rows: DataFrame, sources: DataFrame, raw: str = "raw_source", ot
 def with_provenance(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """rows with veri_kaynagi: RSS if the configured source (name, type) of exactly this name is one, else Scraping."""
     config = sources.groupBy(F.col("name").alias("_n")).agg(F.min_by("type", "ord").alias("_t"))
-    out = rows.join(config, rows.source_name == config["_n"], "left")
+    out = rows.join(F.broadcast(config), rows.source_name == config["_n"], "left")
     return out.withColumn("veri_kaynagi", F.when(F.contains(filled(F.col("_t")), F.lit("rss")), "RSS").otherwise("Scraping")).drop("_n", "_t")

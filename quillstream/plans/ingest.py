@@ -18,12 +18,16 @@ def arrivals(items: DataFrame, news: DataFrame, as_of: str, zone: str = "UTC") -
     """Items (RAW_ARTICLE) worth a look: of today, no junk, with a new link and story, no near-duplicate of their
     source and day, stored ones included. All cheap tests come before the fold."""
     date = dates.with_title_time(dates.pipeline_date(F.col("publish_date"), as_of, zone), F.col("title"))
-    rows = cut(items.withColumn("publish_date", date).withColumn("title", clean_leading_time(F.col("title"))).where(filters.since_midnight(as_of)))
-    rows = dedup.new_stories(filters.unknown_links(rows.where(~is_junk_title(F.col("title"))), news), news)
-    today = news.where(filters.since_midnight(as_of)).select("source_name", "title", "publish_date", "link", (F.col("id") - F.lit(1 << 62)).alias("ord"))
-    both = today.unionByName(rows.select("source_name", "title", "publish_date", "link", "ord"))
-    kept = dedup.near_survivors(both, dedup.INGEST, order="ord").select(F.col("ord").alias("_o"))
-    return rows.join(kept, rows.ord == F.col("_o"), "left_semi")
+    rows = items.withColumn("publish_date", date).withColumn("title", clean_leading_time(F.col("title"))).where(filters.since_midnight(as_of))
+    rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
+    # only what the tests read travels, and is written once: the fold reads it several times
+    facts = ("source_name", "title", "publish_date", "link", "ord", "_row")
+    new = filters.unknown_links(rows.select(*facts).where(~is_junk_title(F.col("title"))), news)
+    new = cut(dedup.new_stories(new, news))
+    today = news.where(filters.since_midnight(as_of)).withColumns({"ord": F.col("id") - F.lit(1 << 62), "_row": F.lit(None).cast("long")})
+    both = cut(today.select(*facts)).unionByName(new)
+    kept = dedup.near_survivors(both, dedup.INGEST, order="ord").where("_row is not null").select("_row")
+    return rows.join(kept, "_row", "left_semi").drop("_row")
 
 
 def with_bodies(items: DataFrame, bodies: DataFrame, as_of: str) -> DataFrame:

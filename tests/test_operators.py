@@ -289,6 +289,31 @@ def test_ingest_cycle(spark):
     assert {r.link for r in read} == {"u1", "u7"} and all(r.is_other and r.group_rank == 1 for r in read)
 
 
+def test_a_cycle_reads_the_stored_table_once_for_each_use(spark):
+    """For links, for stories, for today's rows and for the upsert; what comes of it is written, not read again."""
+    reads, news = spark.sparkContext.accumulator(0), stored(spark)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(len(batch))
+            yield batch
+
+    schema = "ord long, source_id string, source_name string, category string, title string, summary string, author string, publish_date string, link string, scraped_at string, veri_kaynagi string"
+    items = spark.createDataFrame([(o, "id", "NTV", "c", t, "", "", "2026-09-01 09:00:00", f"u{o}", None, None) for o, t in ((1, "Azerbaycan ordusu bugün ortak tatbikat düzenledi"), (2, "Bambaşka konu hakkında yepyeni uzun bir haber"))], schema)
+    sources = spark.createDataFrame([(0, "NTV", "rss")], "ord int, name string, type string")
+    out = ingest.ingest(items, news.mapInPandas(counted, news.schema), LEXICON, sources, AS_OF).collect()
+    assert len(out) > news.count() and reads.value <= 4 * news.count()
+
+
+def test_titles_without_key_all_stay(spark):
+    rows = [(1, "s", "?!", "2026-09-01"), (2, "s", "?!", "2026-09-01"), (3, "s", "Bir", "2026-09-01"), (4, "s", "bir!", "2026-09-01"), (5, None, "iki", "2026-09-01"), (6, "s", None, "2026-09-01"), (6, "s", None, "2026-09-01"), (7, "s", "Bir", None)]
+    items = spark.createDataFrame(rows, "ord long, source_name string, title string, publish_date string")
+    kept = lambda old: sorted(r.ord for r in dedup.new_stories(items, old).collect())
+    assert kept(items.where("false")) == [1, 2, 3, 5, 6, 6, 7]
+    assert kept(items.where("ord in (4, 5) or title is null")) == [1, 2, 6, 6, 7]
+    assert kept(items.where("ord = 1")) == [3, 5, 7]
+
+
 def test_sequential_purge_as_a_fold(spark):
     import random
 

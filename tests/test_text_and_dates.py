@@ -65,3 +65,13 @@ def test_section_and_time_are_split_off(spark):
 
 def test_unescaped_fully(spark):
     assert values(spark, text.unescaped_fully, ["&eacute;&#x41;", None]) == ["éA", None]
+
+
+def test_squashed_is_every_run_of_white_space_as_a_blank(spark):
+    import random
+
+    r = random.Random(3)
+    signs = [chr(c) for c in (*range(1, 0x21), 0x7F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)] + [" "] * 30 + ["a", "ç", "&"] * 12
+    texts = [("".join(r.choice(signs) for _ in range(r.randint(0, 12))),) for _ in range(3000)]
+    plain = F.regexp_replace(F.regexp_replace("t", r"(?U)\s+", " "), "^ | $", "")
+    assert spark.createDataFrame(texts, "t string").where(text.squashed(F.col("t")) != plain).count() == 0
