@@ -226,27 +226,34 @@ def shards(benchmark: DataFrame, item: str, text: str, window: int, limit: int):
         yield Items(((r.item, r.text) for r in part.orderBy("item", "text").toLocalIterator()), window)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, shard_words: int = SHARD_WORDS, name: str = "leak") -> DataFrame:
-    """docs with leak (or another name): struct<n_words, spans: array<struct<start, end>> of hit words, items: array<string>>.
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, shard_words: int = SHARD_WORDS, name: str = "leak", cut: bool = False) -> DataFrame:
+    """docs with leak (or another name): struct<n_words, spans: array<struct<start, end>> of hit words, items: array<string>>,
+    and with cut also left: string, the text without what is hit (null if nothing is). It is cut where it is scanned, as a
+    second function would need a second Python worker beside each scanning one.
 
     A null or empty text has no words; items that are null or have no words have no windows; the windows of items
     without id are hit like others, but no id is named for them; repeated items count once. Repeated rows of docs stay. An empty benchmark hits nothing."""
     spark = prepare(docs.sparkSession)
-    kind = "n_words long, spans array<struct<start: int, end: int>>, items array<string>"
+    kind = "n_words long, spans array<struct<start: int, end: int>>, items array<string>" + ", left string" * cut
 
     def scanner(model: Items):
         held = spark.sparkContext.broadcast(model)
 
         @F.pandas_udf(kind)
-        def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        def scan(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
             model = held.value
-            for texts in batches:
+            for batch in batches:
+                texts, *earlier = batch if isinstance(batch, tuple) else [batch]  # a lone column comes as it is
                 rows = []
-                for t in texts:
+                for t, before in zip(texts, earlier[0] if earlier else [()] * len(texts), strict=True):
                     w = words(t)
                     spans, found = model.match(w)
-                    rows.append((len(w), [{"start": a, "end": b} for a, b in spans], sorted(found)))
-                yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
+                    row = (len(w), [{"start": a, "end": b} for a, b in spans], sorted(found))
+                    if cut:
+                        hit = sorted([*spans, *((x["start"], x["end"]) for x in before)])
+                        row = (*row, without(t, hit) if hit else None)
+                    rows.append(row)
+                yield pd.DataFrame(rows, columns=["n_words", "spans", "items", "left"][: 3 + cut])
 
         return scan.asNondeterministic()  # so that a filter on its result doesn't run it again
 
@@ -254,9 +261,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     first = next(models)
     out = with_columns(docs, {name: scanner(first)(F.coalesce(F.col(text), F.lit("")))})
     for model in models:
-        more = scanner(model)(F.coalesce(F.col(text), F.lit("")))
+        more = scanner(model)(F.coalesce(F.col(text), F.lit("")), *[F.col(f"{name}.spans")] * cut)
         both = with_columns(out, {"__qs_more": more})
-        out = stored(with_columns(both, {name: F.struct(F.col(f"{name}.n_words").alias("n_words"), F.concat(f"{name}.spans", "__qs_more.spans").alias("spans"), F.array_distinct(F.concat(f"{name}.items", "__qs_more.items")).alias("items"))}).drop("__qs_more"), "leaks")
+        left = [F.col("__qs_more.left").alias("left")] * cut
+        out = stored(with_columns(both, {name: F.struct(F.col(f"{name}.n_words").alias("n_words"), F.concat(f"{name}.spans", "__qs_more.spans").alias("spans"), F.array_distinct(F.concat(f"{name}.items", "__qs_more.items")).alias("items"), *left)}).drop("__qs_more"), "leaks")
     return out
 
 
@@ -272,16 +280,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     hit words of a span, and a document with over most_covered of its words hit, or left without any word, goes.
 
     Columns and clean rows stay as they are; a document without hits stays even if it is null or empty."""
-    spark = prepare(docs.sparkSession)
-    found = find_leaks(docs, benchmark, text, window=window, name="__qs_leak", **names)
-
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([without(t, sorted((x["start"], x["end"]) for x in hit)) if len(hit) else t for t, hit in zip(texts, spans, strict=True)], dtype=object)
-
+    found = find_leaks(docs, benchmark, text, window=window, name="__qs_leak", cut=True, **names)
     n_hit = covered("__qs_leak.spans")
     kept = found.where((n_hit == 0) | (n_hit < F.col("__qs_leak.n_words")) & (n_hit <= most_covered * F.col("__qs_leak.n_words")))
-    return with_columns(kept, {text: cut(F.col(text), F.col("__qs_leak.spans"))}).select(docs.columns)
+    return with_columns(kept, {text: F.coalesce("__qs_leak.left", text)}).select(docs.columns)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ REJECTED, KEPT = 0.001, 0.85
 #: Up to the first many characters the level of all calibration rows holds, from the last many on that of long ones (of
 #: at least LEAST_ROWS of them), and between them one that grows with the logarithm of the length.
 SHORT, LONG, LEAST_ROWS = 400, 1600, 100
+#: Characters of texts that are scored at once, if they aren't of one text.
+SCORED = 1 << 17
 _letter = regex.compile(r"\p{L}").search
 
 #: ASCII that isn't a letter counts as a blank; upper case as lower case.
@@ -70,9 +73,9 @@ class Model:
     def scores(self, texts: list[str]) -> np.ndarray:
         out = np.empty((len(texts), len(self.langs)), np.float64)
         i = 0
-        while i < len(texts):  # a few megabytes at once
+        while i < len(texts):  # some 40 bytes a character are held at once, in arrays that a worker then keeps
             j, size = i, 0
-            while j < len(texts) and (j == i or size + len(texts[j]) < 1_000_000):
+            while j < len(texts) and (j == i or size + len(texts[j]) < SCORED):
                 size += len(texts[j])
                 j += 1
             grams, starts, ends = subwords(texts[i:j])
@@ -191,7 +194,8 @@ def sample(docs: DataFrame, text: str, lang: str, row_id: str, rows_per_lang: in
     if not counts:
         return []
     rows_per_lang = min(rows_per_lang, ROWS // len(counts))
-    share = docs.sparkSession.createDataFrame([(r["l"], min(1.0, rows_per_lang / r["count"])) for r in counts], "l string, share double")
+    share = pa.table({"l": [r["l"] for r in counts], "share": [min(1.0, rows_per_lang / r["count"]) for r in counts]})
+    share = docs.sparkSession.createDataFrame(share, "l string, share double")  # a list would start Python workers to convert it
     chance = F.pmod(F.xxhash64(F.lit(11), "i", "l"), F.lit(1 << 20)) / float(1 << 20)
     spare = F.greatest(F.length("t") - CHARS, F.lit(0))
     passage = F.substring(F.col("t"), (F.pmod(F.xxhash64(F.lit(13), "i"), spare + 1) + 1).cast("int"), F.lit(CHARS))

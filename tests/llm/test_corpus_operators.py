@@ -79,6 +79,18 @@ def test_clean_text_stays_and_passages_go(spark):
     assert got == {0: "Nothing here.", 1: "Before the cut, ; after the cut comes quite a lot of other text, long enough to stay."}
 
 
+def test_passages_are_cut_by_the_scanning_workers(spark):
+    passages = [f"{w}1 {w}2 {w}3 {w}4 {w}5" for w in "abcdefgh"]
+    docs = docs_of(spark, [f"first of it {p}; then {q} and some more words of its own, more than are hit" for p in passages for q in passages] + ["", None, "clean", passages[0]])
+    b = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    kept = decontaminate.decontaminate(docs, b, window=4)
+    assert kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    want = {i: "first of it ; then  and some more words of its own, more than are hit" for i in range(64)} | {64: "", 65: None, 66: "clean"}
+    for shard_words in (10**6, 8):
+        got = decontaminate.decontaminate(docs, b, window=4, shard_words=shard_words)
+        assert {x.doc_id: x.text for x in got.collect()} == want
+
+
 def test_automaton_matches_longest_suffixes_and_stays_small():
     r = random.Random(6)
     sequences = [[r.randrange(4) for _ in range(r.randint(1, 30))] for _ in range(30)]
@@ -518,6 +530,22 @@ def test_any_number_of_languages_is_learned(spark):
     assert np.mean([x.lang == x.lang_pred for x in got]) > 0.9
 
 
+def test_sampling_starts_no_python_worker_and_scoring_holds_little(spark, monkeypatch):
+    rows = [(i, f"the cat and the dog {i}" if i % 2 else f"der hund und die katze {i}", "en" if i % 2 else "de") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").localCheckpoint()
+    monkeypatch.setattr(spark.sparkContext, "pythonExec", "/nonexistent/python")
+    got = language.sample(docs, "text", "lang", "doc_id", 600)
+    assert got == sorted((t, x) for _, t, x in rows)
+    model = language.fit(got)
+    texts = [f"{t} " * 400 for t, _ in got] * 5
+    tracemalloc.start()
+    many = model.scores(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16e6
+    assert (many == np.concatenate([model.scores([t]) for t in texts])).all()
+
+
 def test_a_very_long_text_has_the_language_of_its_parts(spark):
     model = language.fit([("the cat and the dog were here today", "en"), ("der hund und die katze sind hier heute", "de")] * 30)
     docs = docs_of(spark, ["the dog was here and the cat " * 100_000, "die katze und der hund " * 100_000])
