@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quillstream.functions.text import clean_leading_time, day_of, filled, title_words
-from quillstream.operators.dedup import INGEST
+from quillstream.operators.dedup import INGEST, Rule
 from quillstream.schema import RAW_ARTICLE
 from quillstream.sources.news_table import NewsTable
 
@@ -63,61 +64,100 @@ def new_links(items: DataFrame, within: str = "2 days") -> DataFrame:
 def new_headlines(items: DataFrame, late: str = "2 days") -> DataFrame:
     """source_name, day, ord of items of a stream that are no near-duplicates of earlier ones of their source and day.
 
-    The state of a source and day is the word sets kept so far and where each word occurs in them; it goes when the
-    watermark, `late` behind the newest date, has passed the day. Items older than the watermark are dropped. Within a
-    batch items are seen by ord. State lives in RocksDB, which this sets for the session's new queries."""
+    The state of a source and day is the word sets kept so far; it goes when the watermark, `late` behind the newest date,
+    has passed the day. Items older than the watermark are dropped. Within a batch items are seen by ord. State lives in
+    RocksDB, which this sets for the session's new queries."""
     items.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     rows = items.withColumn("_ts", F.try_to_timestamp("publish_date", F.lit("yyyy-MM-dd HH:mm:ss"))).withWatermark("_ts", late)
-    rows = rows.select("_ts", filled(F.col("source_name")).alias("source_name"), day_of(filled(F.col("publish_date"))).alias("day"), "ord", title_words(clean_leading_time(F.col("title"), numbers=True)).alias("words"))
+    rows = rows.select("_ts", filled(F.col("source_name")).alias("source_name"), day_of(filled(F.col("publish_date"))).alias("day"), "ord", F.array_join(F.array_sort(title_words(clean_leading_time(F.col("title"), numbers=True))), " ").alias("words"))
     return rows.groupBy("source_name", "day").transformWithStateInPandas(Headlines(), "source_name string, day string, ord long", "Append", "EventTime")
 
 
+class Arrivals:
+    """Distinct word sets in order, of which those fall that are near an earlier one that stays.
+
+    Sets that stay pass by one at a time, and what is near them falls; only the arrivals are held. Words are ordered by how
+    many arrivals have them, rarest first and those that none has before all. A set of n words is similar to another only if
+    they share one of each one's first n - ceil(similar * n) + 1 words; one that holds another has the other's first."""
+
+    def __init__(self, sets: list[list[str]], rule: Rule) -> None:
+        often = Counter(w for words in sets for w in words)
+        self.rule, self.rank = rule, {w: k for k, w in enumerate(sorted(often, key=lambda w: (often[w], w)))}
+        self.sets = [sorted(self.rank[w] for w in words) for words in sets]
+        self.open = bytearray(b"\1" * len(sets))
+        self.alike, self.first, self.whole = {}, {}, {}
+        for turn, ranks in enumerate(self.sets):
+            if len(ranks) >= max(rule.fewest, 1):  # others stay
+                for lists, some in ((self.alike, ranks[: self._reach(len(ranks))]), (self.first, ranks[:1]), (self.whole, ranks)):
+                    for w in some:
+                        lists.setdefault(w, []).append(turn)
+
+    def _reach(self, n: int) -> int:
+        return n - math.ceil(self.rule.similar * n - 1e-9) + 1
+
+    def meet(self, words: list[str]) -> None:
+        """Lets fall what is near a set that stays."""
+        self._meet(sorted(self.rank[w] for w in words if w in self.rank), len(words))
+
+    def _meet(self, ranks: list[int], n: int) -> None:
+        own, unknown = set(ranks), n - len(ranks)
+        reach = self._reach(n) - unknown
+        for k, w in enumerate(ranks):
+            lists = self.alike if k < reach else self.first
+            if w in lists:
+                self._fall(lists, w, own, n)
+        if not unknown and ranks[:1] and ranks[0] in self.whole:
+            self._fall(self.whole, ranks[0], own, n)
+
+    def _fall(self, lists: dict[int, list[int]], w: int, own: set[int], n: int) -> None:
+        similar, subset, inside, closed = self.rule.similar, self.rule.subset, lists is self.whole, 0
+        for turn in lists[w]:
+            if not self.open[turn]:
+                closed += 1
+                continue
+            other = self.sets[turn]
+            m = len(other)
+            if (n / m if n < m else m / n) < similar and not (n <= m if inside else m <= n and other[0] == w):
+                continue
+            both = len(own.intersection(other))
+            if both / (n + m - both) >= similar or both == min(n, m) >= subset:
+                self.open[turn] = 0
+                closed += 1
+        if 2 * closed > len(lists[w]):  # what has fallen isn't walked again
+            lists[w] = [turn for turn in lists[w] if self.open[turn]]
+
+    def stay(self) -> Iterator[int]:
+        """The turns of those that stay, each of which lets later ones fall."""
+        for turn, ranks in enumerate(self.sets):
+            if self.open[turn]:
+                self.open[turn] = 0
+                self._meet(ranks, len(ranks))
+                yield turn
+
+
 class Headlines(StatefulProcessor):
     """Keeps headlines of one source and day that aren't near an earlier one.
 
-    `sets` has the words of each one kept, `words` the kept ones that have a word, `heads` those whose first word it is,
-    in lists of LIST. Words are ordered longest first, as long ones are rare. A new set of n words is near a kept one
-    only if they share one of its first n - ceil(similar * n) + 1 words, or if it holds the other's first word; so a
-    headline costs the lists of its own words, and what is added to state is one list for each of them."""
+    `sets` has the words of those kept, as lines in parts of LIST, as each call of the state costs more than a line. A batch
+    is seen in slices: a slice is held, what is kept passes by it part by part, then its own rows do. So a batch reads
+    what is kept once for each slice, and writes what it adds."""
 
-    LIST = 128
+    LIST, SLICE = 1024, 32_768
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.rule = handle, INGEST
-        self.sets = handle.getMapState("sets", "turn long", "words array<string>")
-        self.lists = {kind: handle.getMapState(kind, "word string, part int", "turns array<long>") for kind in ("words", "heads")}
+        self.sets = handle.getMapState("sets", "part int", "lines string")
         self.size = handle.getValueState("size", "kept long")
 
-    def _turns(self, kind: str, word: str) -> Iterator[int]:
-        part = 0
-        while found := self.lists[kind].getValue((word, part)):
-            yield from found[0]
-            if len(found[0]) < self.LIST:
-                return
-            part += 1
-
-    def _list(self, kind: str, word: str, turn: int) -> None:
-        part, turns = 0, []
-        while found := self.lists[kind].getValue((word, part)):
-            turns = list(found[0])
-            if len(turns) < self.LIST:
-                break
-            part, turns = part + 1, []
-        self.lists[kind].updateValue((word, part), ([*turns, turn],))
-
-    def _near(self, words: list[str]) -> bool:
-        own, n, tried = set(words), len(words), set()
-        reach = n - math.ceil(self.rule.similar * n - 1e-9) + 1
-        for kind, some in (("words", words[:reach]), ("heads", words)):
-            for word in some:
-                for turn in self._turns(kind, word):
-                    if turn not in tried:
-                        tried.add(turn)
-                        other = self.sets.getValue((turn,))[0]
-                        both = len(own.intersection(other))
-                        if both / (n + len(other) - both) >= self.rule.similar or both == min(n, len(other)) >= self.rule.subset:
-                            return True
-        return False
+    def _parts(self, kept: int) -> Iterator[list[str]]:
+        for part in range(-(-kept // self.LIST)):
+            yield self.sets.getValue((part,))[0].split("\n")
+
+    def _add(self, lines: list[str], kept: int) -> None:
+        part, some = divmod(kept, self.LIST)
+        lines = [*self.sets.getValue((part,))[0].split("\n"), *lines] if some and lines else lines
+        for k in range(0, len(lines), self.LIST):
+            self.sets.updateValue((part + k // self.LIST,), ("\n".join(lines[k : k + self.LIST]),))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         kept = self.size.get()[0] if self.size.exists() else 0
@@ -125,22 +165,27 @@ class Headlines(StatefulProcessor):
             over = pd.to_datetime(key[1], errors="coerce")
             after = timerValues.getCurrentWatermarkInMs() + _DAY
             self.handle.registerTimer(after if pd.isna(over) else max(int(over.timestamp() * 1000) + _DAY, after))
-        out = []
-        for row in pd.concat(list(rows)).sort_values("ord").itertuples(index=False):
-            words = sorted(row.words, key=lambda w: (-len(w), w))
-            if len(words) >= self.rule.fewest and self._near(words):
-                continue
-            if words:
-                self.sets.updateValue((kept,), (words,))
-                self._list("heads", words[0], kept)
-                for w in words:
-                    self._list("words", w, kept)
-                kept += 1
-            out.append((*key, row.ord))
+        batch, out = pd.concat([some[["ord", "words"]] for some in rows]).sort_values(["ord", "words"]), []
+        for at in range(0, len(batch), self.SLICE):
+            some = batch[at : at + self.SLICE]
+            turns = {line: turn for turn, line in enumerate(dict.fromkeys(some["words"]))}
+            arrivals = Arrivals([line.split() for line in turns], self.rule)
+            for part in self._parts(kept):
+                for line in part:
+                    arrivals.meet(line.split())
+            stay, seen = set(arrivals.stay()), set()
+            for o, line in zip(some["ord"], some["words"]):
+                # of equal ones the first, but all that have too few words
+                if turns[line] in stay and (line not in seen or len(arrivals.sets[turns[line]]) < self.rule.fewest):
+                    out.append((*key, o))
+                seen.add(line)
+            new = [line for line, turn in turns.items() if line and turn in stay]
+            self._add(new, kept)
+            kept += len(new)
         self.size.update((kept,))
         yield pd.DataFrame(out, columns=["source_name", "day", "ord"])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        for state in (self.sets, *self.lists.values(), self.size):
+        for state in (self.sets, self.size):
             state.clear()
         yield pd.DataFrame({"source_name": pd.Series(dtype=str), "day": pd.Series(dtype=str), "ord": pd.Series(dtype="int64")})

@@ -3,6 +3,7 @@
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,6 +228,79 @@ def test_lists_of_words_go_on_in_parts(spark, tmp_path, monkeypatch):
     assert sorted(r.ord for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [*range(12), 13]
 
 
+class State:
+    """A processor's handle and its states, which counts their calls."""
+
+    def __init__(self):
+        self.calls, self.values = 0, {}
+
+    def getMapState(self, name, *_):  # noqa: N802
+        return Values(self, name)
+
+    getValueState = getMapState  # noqa: N815
+
+    def registerTimer(self, _):  # noqa: N802
+        pass
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return 0
+
+
+class Values:
+    def __init__(self, state, name):
+        self.state, self.name = state, name
+
+    def getValue(self, key=()):  # noqa: N802
+        self.state.calls += 1
+        return self.state.values.get((self.name, *key))
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.state.calls += 1
+        self.state.values[(self.name, *key)] = value
+
+    get = getValue
+
+    def exists(self):
+        return self.get() is not None
+
+    def update(self, value):
+        self.updateValue((), value)
+
+
+def kept_of(batches, state, **sizes):
+    """ords that a source and day keeps of batches of (ord, words)."""
+    out = []
+    for batch in batches:
+        processor = monitor.Headlines()
+        vars(processor).update(sizes)
+        processor.init(state)
+        some = pd.DataFrame(batch, columns=["ord", "words"])
+        out += [o for got in processor.handleInputRows(("s", "2026-09-01"), iter([some[::2], some[1::2]]), state) for o in got["ord"]]
+    return out
+
+
+def test_a_batch_of_headlines_calls_the_state_a_few_times():
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(3000)]
+    state = State()
+    assert kept_of([rows[:2000], [*rows[:1000], *rows[2000:]]], state) == [*range(3000)] and state.calls < 30
+
+
+def test_slices_and_parts_of_any_size_keep_the_same_headlines():
+    r = random.Random(3)
+    for words, most in ((12, 5), (40, 8), (300, 25)):
+        rows = [(i, " ".join(sorted(r.sample([f"w{k}" for k in range(words)], r.randint(0, most))))) for i in range(400)]
+        rows = [(i, " ".join(sorted({*line.split()[1:], f"w{i % words}"})) if line and r.random() < 0.3 else r.choice([line, rows[i // 2][1]])) for i, line in rows]
+        kept, stay = [], []
+        for i, line in rows:
+            x = set(line.split())
+            if len(x) < 3 or not any(len(x & k) / len(x | k) >= 0.65 or len(x & k) == min(len(x), len(k)) for k in kept):
+                stay.append(i)
+                kept += [x] if x else []
+        assert 0 < len(stay) < 400
+        for sizes in ({}, {"SLICE": 7, "LIST": 3}, {"SLICE": 1, "LIST": 1}, {"SLICE": 64}):
+            assert kept_of([rows[:150], rows[150:160], rows[160:]], State(), **sizes) == stay
+
+
 # -- phrases and names by hash
 
 WORDS = ("azerbaycan", "azerbaycan'ın", "bakı", "Fuzuli", "fuzuli kenti", "3+3 formatı", "o‘zbekistan", "kars-nahçıvan", "tap", "azerbaycan", "қазақстан", "c++", "kırgızistan", "dağlık karabağ", "karabağ", ".net")
